@@ -28,7 +28,32 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from framesift.llm.archives import pages_through_archives
+
+    records = pages_through_archives(table(spark, sf_dir, "pages")).where("record_type IN ('response', 'revisit')")
+    return records.select(
+        F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to_id").alias("refers_to"), "record_id", "url", "date"
+    )
+
+
+def op3_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from framesift.llm.sketches import sketch_neighbours
+
+    return sketch_neighbours(table(spark, sf_dir, "documents"))
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from framesift.llm.simhash import simhash_components
+
+    found = simhash_components(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Query] = {
+    "op1_arc_to_warc": op1_arc_to_warc,
+    "op3_bottom_k": op3_bottom_k,
+    "op9_simhash": op9_simhash,
     "op10_packing": op10_packing,
 }
 
