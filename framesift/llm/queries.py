@@ -43,6 +43,19 @@ def op3_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch_neighbours(table(spark, sf_dir, "documents"))
 
 
+def fold(of: int = 5):
+    """crc32(doc_id as text) mod ``of``; null for a null doc_id."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % of
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from framesift.llm.toxicity import toxicity
+
+    scored = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold() != 0)
+    held_out = F.coalesce(fold() == 0, F.lit(False)).alias("held_out")
+    return scored.select("doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from framesift.llm.simhash import simhash_components
 
@@ -53,6 +66,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_arc_to_warc": op1_arc_to_warc,
     "op3_bottom_k": op3_bottom_k,
+    "op4_toxicity": op4_toxicity,
     "op9_simhash": op9_simhash,
     "op10_packing": op10_packing,
 }
