@@ -56,6 +56,14 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op5_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from framesift.llm.backoff import backoff_scores
+
+    scored = backoff_scores(table(spark, sf_dir, "documents"), fold() != 1)
+    held_out = F.coalesce(fold() == 1, F.lit(False)).alias("held_out")
+    return scored.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from framesift.llm.simhash import simhash_components
 
@@ -67,6 +75,7 @@ QUERIES: dict[str, Query] = {
     "op1_arc_to_warc": op1_arc_to_warc,
     "op3_bottom_k": op3_bottom_k,
     "op4_toxicity": op4_toxicity,
+    "op5_backoff_lm": op5_backoff_lm,
     "op9_simhash": op9_simhash,
     "op10_packing": op10_packing,
 }
