@@ -64,6 +64,13 @@ def op5_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from framesift.llm.quality import quality
+
+    found = quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "evidence", "host_rate", "path_rate", "quality", F.col("keep").cast("int").alias("keep"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from framesift.llm.simhash import simhash_components
 
@@ -76,6 +83,7 @@ QUERIES: dict[str, Query] = {
     "op3_bottom_k": op3_bottom_k,
     "op4_toxicity": op4_toxicity,
     "op5_backoff_lm": op5_backoff_lm,
+    "op7_quality": op7_quality,
     "op9_simhash": op9_simhash,
     "op10_packing": op10_packing,
 }
