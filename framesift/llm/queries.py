@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from framesift.llm.licenses import license_scan_sql
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -71,6 +73,12 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "evidence", "host_rate", "path_rate", "quality", F.col("keep").cast("int").alias("keep"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from framesift.llm.licenses import license_scan
+
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from framesift.llm.simhash import simhash_components
 
@@ -84,8 +92,11 @@ QUERIES: dict[str, Query] = {
     "op4_toxicity": op4_toxicity,
     "op5_backoff_lm": op5_backoff_lm,
     "op7_quality": op7_quality,
+    "op8_licenses": op8_licenses,
     "op9_simhash": op9_simhash,
     "op10_packing": op10_packing,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op8_licenses": license_scan_sql(),
+}
