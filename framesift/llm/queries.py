@@ -66,6 +66,13 @@ def op5_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from framesift.llm.decontaminate import find_leaks
+
+    leaks = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return leaks.select("doc_id", "item_id", "score", "start", "end", "n_seeds")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from framesift.llm.quality import quality
 
@@ -91,6 +98,7 @@ QUERIES: dict[str, Query] = {
     "op3_bottom_k": op3_bottom_k,
     "op4_toxicity": op4_toxicity,
     "op5_backoff_lm": op5_backoff_lm,
+    "op6_decontamination": op6_decontamination,
     "op7_quality": op7_quality,
     "op8_licenses": op8_licenses,
     "op9_simhash": op9_simhash,
