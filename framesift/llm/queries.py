@@ -39,6 +39,26 @@ def op1_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from framesift.llm.personal import KINDS, LABELS, fit, personal_spans
+
+    docs = table(spark, sf_dir, "documents")
+    found = personal_spans(docs, fit(docs))
+
+    def count(kind: str):
+        return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+    rank = F.array(*[F.lit(k) for k in LABELS])
+    ordered = F.transform(
+        F.array_sort(F.transform(F.concat("base", "added"), lambda x: F.struct(F.array_position(rank, x["kind"]).alias("rank"), x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))),
+        lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")),
+    )
+    return found.select("doc_id", *[count(k) for k in KINDS], F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(ordered).alias("spans"))
+
+
 def op3_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from framesift.llm.sketches import sketch_neighbours
 
@@ -95,6 +115,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_arc_to_warc": op1_arc_to_warc,
+    "op2_personal_data": op2_personal_data,
     "op3_bottom_k": op3_bottom_k,
     "op4_toxicity": op4_toxicity,
     "op5_backoff_lm": op5_backoff_lm,
