@@ -10,7 +10,7 @@ segments free.  Base spans are barriers: they always stay, and segments lie betw
 
 The field is trained by gradient ascent on the conditional log likelihood (segment-level forward and backward
 sums) over at most ``TRAIN_WINDOWS`` windows of a hash sample of ``TRAIN_ROWS`` documents (documented bounds).
-There are no labels, so base spans and strong secrets (long hexadecimal runs) serve as the truth; every
+There are no labels, so base spans and strong secrets (long hexadecimal runs, access key ids) serve as the truth; every
 base span is also shown once in a damaged spelling that keeps its label, which teaches what the patterns
 cannot match.  The sample decides weights only; every whole text is searched.
 
@@ -95,7 +95,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|[^\w\s]|_|\w")
 TRIGGER = re.compile(r"[0-9@]|[\[(]\s?(?:at|dot)\s?[\])]", re.I)
-HEX = re.compile(r"[0-9A-Fa-f]{24,}")
+HEX = re.compile(r"[0-9A-Fa-f]{24,}|AKIA[0-9A-Z]{16}")
 
 
 class Window:
