@@ -10,7 +10,7 @@ from framesift.plans import fixtures as fx
 from framesift.plans.registry import query, table
 
 DAY = 86_400_000
-RUNS = f"""e AS (SELECT user_id, event_id, epoch_ms(ts) AS ms, value FROM events),
+RUNS = f"""e AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS ms, value FROM events),
  cut AS (SELECT *, CASE WHEN ms - lag(ms) OVER (PARTITION BY user_id ORDER BY ms, event_id) > {DAY} THEN 1 ELSE 0 END AS c FROM e),
  runs AS (SELECT user_id, event_id, ms, value, sum(c) OVER (PARTITION BY user_id ORDER BY ms, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS run_no FROM cut)"""
 
