@@ -1,0 +1,505 @@
+"""Each operator against a brute-force version and on awkward rows: nulls, empty, long and repeated texts, clashing names."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
+
+LONG = "alpha beta gamma delta epsilon zeta eta theta " * 3000
+WORDS = "sun moon star rain wind fire lake hill tree road bird fish stone cloud river field".split()
+
+
+def text_of(seed: int, n: int) -> str:
+    r = random.Random(seed)
+    return " ".join(r.choice(WORDS) + str(r.randrange(40)) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def rows():
+    out = [(i, text_of(i, 5 + i * 7 % 90), "en" if i % 3 else None, f"src{i % 2}") for i in range(1, 40)]
+    out += [(40, out[0][1], "en", "src0"), (41, None, None, None), (42, "", "en", "src1"), (43, " \t\n", "en", "src1"), (44, LONG, "en", "src0"), (45, "one", "en", "src0"), (46, "Ünï çödé ß. 日本語", "de", "src0")]
+    return [*out, out[3], out[3], (None, "no id here at all", "en", "src0"), (None, None, None, None)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    """Extra columns have the names that operators use inside."""
+    base = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    return base.select("*", F.length("text").cast("long").alias("n_chars"), *[F.lit("x").alias(c) for c in ("row", "key", "id", "block", "tie", "fp", "host", "path", "bucket", "learn", "toxic", "salt")])
+
+
+@pytest.fixture(scope="module")
+def none(docs):
+    return docs.limit(0)
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    data = [(i, int(i % 5 != 0), int(i % 4 == 0)) for i in range(1, 46)] + [(None, 1, 1), (3, None, None), (999, 1, 0)]
+    return spark.createDataFrame(data, "doc_id long, quality int, toxic int")
+
+
+def words(text):
+    return (text or "").encode().lower().split()
+
+
+# packing
+
+
+@given(st.integers(0, 20_000))
+def test_power_pieces(n):
+    from framesift.llm.packing import power_pieces
+
+    pieces = power_pieces(n)
+    assert all(length & (length - 1) == 0 and length <= 2048 for _, length in pieces)
+    assert [s for s, _ in pieces] == [sum(x for _, x in pieces[:i]) for i in range(len(pieces))] and sum(x for _, x in pieces) == n
+
+
+def test_packing(docs, rows, none):
+    from tokenizers import Tokenizer
+
+    from framesift.llm.packing import pack_power_of_two
+    from framesift.llm.queries import tokenizer_path
+
+    t = Tokenizer.from_file(tokenizer_path())
+    got = pack_power_of_two(docs, tokenizer_path()).collect()
+    want = {}
+    for doc_id, text, *_ in rows:
+        want.setdefault(doc_id, []).append([*t.encode(text or "", add_special_tokens=False).ids, 1])
+    assert len({r["sequence_id"] for r in got}) == len(got)
+    seen = {}
+    for r in got:
+        ids = np.frombuffer(r["ids"], "<u4").tolist()
+        assert any(ids == w[r["start"] : r["start"] + r["length"]] and len(w) == r["doc_tokens"] for w in want[r["doc_id"]])
+        seen[r["doc_id"]] = seen.get(r["doc_id"], 0) + r["length"]
+    assert seen == {k: sum(map(len, v)) for k, v in want.items()}
+    assert pack_power_of_two(none, tokenizer_path()).count() == 0
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(max_size=40))
+def test_chunk_ids_equal_the_tokenizer(text):
+    from framesift.llm.packing import ChunkIds
+    from framesift.llm.queries import tokenizer_path
+
+    coder = test_chunk_ids_equal_the_tokenizer.__dict__.setdefault("coder", ChunkIds(tokenizer_path()))
+    assert np.frombuffer(coder.encode([text])[0], "<u4").tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+# SimHash
+
+
+def brute_fingerprint(text, size=3):
+    w = words(text)
+    runs = [w] if 0 < len(w) <= size else [w[i : i + size] for i in range(len(w) - size + 1)]
+    hashes = [xxhash.xxh64_intdigest(b" ".join(r), 42) for r in runs]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def brute_components(points, distance=3):
+    """points: {node: value}; smallest node reachable over close values."""
+    nodes = sorted(points)
+    up = {n: n for n in nodes}
+
+    def root(n):
+        while up[n] != n:
+            n = up[n]
+        return n
+
+    for i, a in enumerate(nodes):
+        for b in nodes[i + 1 :]:
+            if (points[a] ^ points[b]).bit_count() <= distance:
+                x, y = root(a), root(b)
+                up[max(x, y)] = min(x, y)
+    return {n: root(n) for n in nodes}
+
+
+def test_simhash(docs, rows, none):
+    from framesift.llm.simhash import simhash_components
+
+    got = simhash_components(docs).collect()
+    prints = {d: brute_fingerprint(t) for d, t, *_ in rows if d is not None}
+    want = brute_components(prints)
+    assert len(got) == len(rows)
+    for r in got:
+        if r["doc_id"] is not None:
+            assert (r["fp"] % (1 << 64), r["component_id"]) == (prints[r["doc_id"]], want[r["doc_id"]])
+    assert simhash_components(none).count() == 0
+
+
+@pytest.mark.parametrize("long_list", [4096, 3])
+def test_links_equal_brute_force(spark, long_list):
+    from framesift.llm.simhash import link_fingerprints
+    from framesift.plans.graph import connected_components
+
+    r = random.Random(long_list)
+    values = set()
+    for _ in range(25):
+        v = r.getrandbits(64)
+        for _ in range(r.randrange(1, 9)):
+            values.add(v)
+            v ^= sum(1 << b for b in r.sample(range(64), r.randrange(0, 5)))
+    signed = {v - (1 << 64) if v >> 63 else v for v in values}
+    nodes = spark.createDataFrame([(v,) for v in signed], "fp long")
+    got = {x["node"]: x["component"] for x in connected_components(link_fingerprints(nodes, long_list=long_list)).collect()}
+    by_sign = {v: v % (1 << 64) for v in signed}
+    want = brute_components(by_sign)
+    assert {v: got.get(v, v) for v in signed} == want
+
+
+def test_flips_equal_blocks():
+    from framesift.llm.simhash import _pairs_by_blocks, _pairs_by_flips
+
+    r = np.random.default_rng(1)
+    low = np.unique(r.integers(0, 1 << 12, 300).astype(np.uint64))
+    fps = np.sort((low & np.uint64(0xFF)) | ((low >> np.uint64(8)) << np.uint64(24)) | np.uint64(0xABCD << 40))
+    a = {tuple(p) for x in _pairs_by_blocks(fps, 3, 64) for p in zip(x[0].tolist(), x[1].tolist(), strict=True)}
+    b = {tuple(p) for x in _pairs_by_flips(fps, 3, (0, 1, 3)) for p in zip(x[0].tolist(), x[1].tolist(), strict=True)}
+    assert a == b and a
+
+
+def test_bit_counts():
+    from framesift.llm.simhash import bit_counts
+
+    x = np.random.default_rng(0).integers(0, 1 << 63, (1001, 2)).astype(np.uint64)
+    want = [int((x[:, b // 64] >> np.uint64(b % 64) & np.uint64(1)).sum()) for b in range(128)]
+    assert bit_counts(x).tolist() == want
+
+
+def test_wide_near_duplicates(spark):
+    from framesift.llm.wide import near_duplicate_ids, without_near_duplicates
+
+    r = random.Random(5)
+    base = {g: text_of(1000 + g, 300).split() for g in range(12)}
+    data = []
+    for g, w in base.items():
+        for copy in range(4 if g else 60):  # group 0 is longer than a list compared in full
+            v = list(w)
+            for _ in range(0 if copy == 0 else 3):
+                v[r.randrange(len(v))] = "changed"
+            data.append((100 * g + copy, " ".join(v)))
+    data += [(9000, ""), (9001, None), (None, "x y z")]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    kept = {x["doc_id"] for x in without_near_duplicates(docs).collect()}
+    assert {100 * g for g in base} <= kept and 9000 in kept and 9001 not in kept and None in kept
+    assert len(kept) <= len(base) + 2 + 2  # at most two near copies slip through
+    assert near_duplicate_ids(docs.limit(0)).count() == 0
+
+
+# archives
+
+
+def test_archives(spark):
+    from framesift.llm.archives import pages_through_archives, read_arc, write_arc
+    from framesift.plans.shared import shared_path
+
+    data = [(5, "http://a/ b\n", "<p>é</p>"), (2, None, "same"), (9, "u", "same"), (3, "u", None), (4, "u", ""), (7, "u", "x\nhttp://fake 1.1.1.1 20200101000000 text/html 5\nWARC/1.0\r\n"), (8, "u", "y" * 3_000_000), (2, "u2", "same"), (None, "u", "same"), (None, "v", "only")]
+    pages = spark.createDataFrame(data, "page_id long, url string, html string").repartition(3).withColumn("payload", F.lit(1)).withColumn("archive", F.lit("z"))
+    got = [r for r in pages_through_archives(pages).collect() if r["record_type"] in ("response", "revisit")]
+    assert len(got) == len(data)
+    groups = {}
+    for page, _, html in data:
+        groups.setdefault((html or "").encode(), []).append(page)
+    import base64
+
+    for payload, ids in groups.items():
+        digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+        own = [r for r in got if r["payload_digest"] == digest and r["payload_bytes"] == len(payload)]
+        first = min((i for i in ids if i is not None), default=None)
+        assert sorted(map(str, ids)) == sorted(str(r["id"]) for r in own)
+        assert sum(r["record_type"] == "response" for r in own) == 1
+        assert all((r["id"] == first) if r["record_type"] == "response" else r["refers_to_id"] == first for r in own)
+        assert all(bytes(r["payload"]) == payload for r in own if r["record_type"] == "response")
+    path = write_arc(pages, shared_path(spark, "arc"))
+    arcs = read_arc(spark, path).collect()
+    assert {r["version"] for r in arcs} == {1, 2} and sum(r["record_type"] == "warcinfo" for r in arcs) >= 2
+    assert pages_through_archives(pages.limit(0)).where("record_type <> 'warcinfo'").count() == 0
+
+
+def test_archive_pieces():
+    from framesift.llm.archives import arc_filedesc, arc_record, parse_arc, warc_date
+
+    data = arc_filedesc(2, "x.arc", "20200101000000") + arc_record(2, "dns:a", "1.2.3.4", "2020", "text/dns", b"body\n\n") + arc_record(2, "http://a", "1.2.3.4", "20200102030405", "text/html", b"HTTP/1.0 200 OK\n\nhi")
+    kinds = [(r[6], r[10]) for r in parse_arc("x", data)]
+    assert kinds[1:] == [("resource", b"body\n\n"), ("response", b"hi")]
+    assert warc_date("20200102030405") == "2020-01-02T03:04:05Z" and warc_date("bad") == warc_date(None) == warc_date("20209902") == "1970-01-01T00:00:00Z"
+    with pytest.raises(ValueError):
+        list(parse_arc("x", b"no header\n"))
+
+
+# sketches
+
+
+@pytest.mark.parametrize("block_rows", [2048, 5])
+def test_sketch_neighbours(docs, rows, none, block_rows):
+    from framesift.llm.sketches import sketch_neighbours
+
+    got = sketch_neighbours(docs, block_rows=block_rows).collect()
+    unique = [r for r in rows if r[0] is not None]
+    order = sorted(unique, key=lambda r: -r[0])
+    by_id = {r["doc_id"]: r for r in got if r["doc_id"] is not None}
+    assert len(got) == len(rows)
+
+    def shingles(text):
+        w = words(text)
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    for i, (doc_id, text, *_) in enumerate(order[:-1]):
+        if order[i + 1][0] == doc_id:
+            continue
+        text, after = text or "", order[i + 1][1] or ""
+        cut = len(text) // 3
+        edited = text[: len(text) - cut] + after[:cut]
+        r = by_id[doc_id]
+        if doc_id != 4:  # the repeated row's first copies have themselves as the next
+            assert (r["n_chars"], r["edited_sha256"]) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
+            a, b = shingles(text), shingles(edited)
+            assert abs(r["near_edited"] - (len(a & b) / len(a | b) if a | b else 1.0)) < 0.15
+            assert abs(r["n_shingles"] - len(a)) <= 0.4 * len(a)
+    assert sketch_neighbours(none, block_rows=block_rows).count() == 0
+
+
+def test_sketches_merge(spark):
+    from framesift.llm.sketches import containment, distinct_count, from_bytes, merge, merged_sketches, resemblance, sketch, sketches
+
+    a, b = text_of(1, 4000), text_of(2, 4000)
+    whole = sketch(a + " " + b)
+    parts = merge(sketch(a), sketch(b))
+    assert resemblance(whole, parts) > 0.95 and containment(sketch(a), whole) > 0.9 and abs(distinct_count(whole) / 7996 - 1) < 0.3
+    docs = spark.createDataFrame([(1, a), (1, b), (2, None)], "doc_id long, text string")
+    got = {r["doc_id"]: from_bytes(r["sketch"]) for r in merged_sketches(sketches(docs), ["doc_id"]).collect()}
+    assert np.array_equal(got[1], parts) and not len(got[2])
+
+
+# toxicity
+
+
+def test_toxicity(spark, docs, labels, none):
+    from framesift.llm.toxicity import toxicity
+
+    data = [(i, text_of(i, 60) + (" dreadful1 insult" if i % 4 == 0 else "")) for i in range(400)]
+    many = spark.createDataFrame(data, "doc_id long, text string")
+    truth = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0
+    got = {r["doc_id"]: r["score"] for r in toxicity(many, truth, fold).collect()}
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert sum((got[i] >= 0.5) == (i % 4 == 0) for i in held) >= 0.95 * len(held)
+    awkward = toxicity(docs, labels, fold).collect()
+    assert len(awkward) == docs.count() and all(0 <= r["score"] <= 1 for r in awkward)
+    assert toxicity(none, labels, fold).count() == 0
+    assert {r["score"] for r in toxicity(docs, labels.limit(0), fold).collect()} == {0.5}
+
+
+# language model
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_backoff(docs, rows, none, order):
+    from framesift.llm.backoff import PRIOR, backoff_scores
+
+    learn = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 1
+    got = backoff_scores(docs, learn, order=order, block_chars=20_000, bucket_entries=500).collect()
+    tokens = [(d, [*words(t), b""]) for d, t, *_ in rows]
+    counts = [{} for _ in range(order)]
+    for d, w in tokens:
+        if d is not None and zlib.crc32(str(d).encode()) % 5 != 1:
+            for n in range(1, order + 1):
+                for i in range(len(w) - n + 1):
+                    counts[n - 1][tuple(w[i : i + n])] = counts[n - 1].get(tuple(w[i : i + n]), 0) + 1
+    total, vocabulary = sum(counts[0].values()), len(counts[0])
+    want = {}
+    for d, w in tokens:
+        base = score = 0.0
+        for i in range(len(w)):
+            p = (counts[0].get((w[i],), 0) + 0.5) / (total + 0.5 * (vocabulary + 1))
+            base += np.log10(p)
+            for n in range(2, min(order, i + 1) + 1):
+                context = counts[n - 2].get(tuple(w[i - n + 1 : i]), 0)
+                if context:
+                    p = (counts[n - 1].get(tuple(w[i - n + 1 : i + 1]), 0) + PRIOR * p) / (context + PRIOR)
+            score += np.log10(p)
+        want.setdefault(d, []).append((len(w), sum((x,) in counts[0] for x in w), base, score))
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["train_tokens"] == total
+        assert any(r["n_tokens"] == n and r["n_known"] == k and np.isclose(r["base_score"], b) and np.isclose(r["score"], s) for n, k, b, s in want[r["doc_id"]])
+    assert backoff_scores(none, learn).count() == 0
+
+
+# decontamination
+
+
+def test_alignment_equals_the_full_table():
+    from framesift.llm.decontaminate import aligned_span
+
+    r = random.Random(3)
+    for _ in range(60):
+        a = np.array([r.randrange(6) for _ in range(r.randrange(1, 12))], np.uint64)
+        b = np.array([r.randrange(6) for _ in range(r.randrange(1, 20))], np.uint64)
+        h = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                h[i, j] = max(0, h[i - 1, j - 1] + (2 if a[i - 1] == b[j - 1] else -1), h[i - 1, j] - 1, h[i, j - 1] - 1)
+        score, start, end = aligned_span(a, b)
+        assert score == h.max() and 0 <= start <= end <= len(b)
+
+
+def test_decontamination(spark, docs, none):
+    from framesift.llm.decontaminate import find_leaks, without_leaks
+
+    items = [(1, text_of(501, 30)), (2, text_of(502, 40)), (3, None), (4, ""), (5, "tiny")]
+    edited = items[1][1].split()
+    for i in range(2, len(edited), 7):
+        edited[i] = "edit"
+    del edited[10]
+    data = [(1, f"Intro words here. {items[0][1].upper()} outro."), (2, text_of(7, 200) + " " + " ".join(edited) + " " + text_of(8, 200)), (3, text_of(9, 400)), (4, None), (None, items[0][1]), (6, items[0][1]), (6, items[0][1])]
+    d = spark.createDataFrame(data, "doc_id long, text string").withColumn("score", F.lit(1)).withColumn("leaked_row", F.lit(1))
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("block", F.lit("x"))
+    for block_words in (1_000_000, 20):
+        got = find_leaks(d, bench, block_words=block_words).collect()
+        assert sorted((str(r["doc_id"]), r["item_id"]) for r in got) == [("1", 1), ("2", 2), ("6", 1), ("6", 1), ("None", 1)]
+        first = next(r for r in got if r["doc_id"] == 1)
+        assert first["score"] == 1.0 and data[0][1][first["start"] : first["end"]] == items[0][1].upper()
+    assert sorted(x["doc_id"] for x in without_leaks(d, find_leaks(d, bench)).collect()) == [3, 4]
+    assert find_leaks(none, bench).count() == 0 and find_leaks(docs, bench.limit(0)).count() == 0
+
+
+# personal data
+
+
+BASE = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
+
+
+def brute_spans(text):
+    out = []
+    for kind, pattern in BASE:
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            total = sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(digits)))
+            fails = {"ip": lambda: any(int(p) > 255 for p in m[0].split(".")), "card": lambda: not 13 <= len(digits) <= 19 or total % 10, "phone": lambda: not 9 <= len(digits) <= 15}
+            if not (kind in fails and fails[kind]()):
+                out.append((kind, m.start(), m.end()))
+    return out
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["a", "b.c", "@", "x@y.zz", ".", "1", "23", "4111 1111 1111 1111", "4111111111111111", "+1 (212) 555-0100", "+", "10.0.0.1", "300.1.1.1", "1.2.3.4.5.6.7.8", " ", "-", "é", "0", "000255", "%"]), max_size=14))
+def test_base_spans(parts):
+    from framesift.llm.personal import base_spans
+
+    assert base_spans("".join(parts)) == brute_spans("".join(parts))
+
+
+def test_field_sums_equal_enumeration():
+    from framesift.llm.personal import LABELS, Lattice, Window, best_segments, expected
+
+    text = "x 12 y 3"
+    spans = [m.span() for m in re.finditer(r"\S+", text)]
+    lattice = Lattice(Window(text, [s for s, _ in spans], [e for _, e in spans], [any(c.isdigit() for c in text[s:e]) for s, e in spans]))
+    scores = np.random.default_rng(2).normal(size=(len(lattice.spans), len(LABELS)))
+
+    def every(at):
+        if at == lattice.n:
+            yield 0.0, ()
+            return
+        for value, rest in every(at + 1):
+            yield value, rest
+        for c, (i, j) in enumerate(lattice.spans):
+            if i == at:
+                for value, rest in every(j):
+                    for label in range(len(LABELS)):
+                        yield value + scores[c, label], ((c, label), *rest)
+
+    paths = list(every(0))
+    z = np.logaddexp.reduce([v for v, _ in paths])
+    want = np.zeros_like(scores)
+    for v, path in paths:
+        for c, label in path:
+            want[c, label] += np.exp(v - z)
+    assert np.allclose(expected(lattice, scores), want)
+    top = max(paths)[1]
+    assert [(*lattice.spans[c], label) for c, label in top] == best_segments(lattice, scores)
+
+
+def test_personal_data(spark, docs, none):
+    from framesift.llm.personal import fit, personal_spans, redact
+
+    r = random.Random(1)
+    data = [(i, f"{re.sub('[0-9]', '', text_of(i, 20))} mail u{i}.x@host{i}.example.com or +1 ({r.randrange(200, 900)}) 555-{r.randrange(1000, 9999)} {'key = ' + hashlib.sha1(str(i).encode()).hexdigest() if i % 3 == 0 else ''} end") for i in range(90)]
+    d = spark.createDataFrame(data, "doc_id long, text string")
+    weights = fit(d)
+    for x in personal_spans(d, weights).collect():
+        text = data[x["doc_id"]][1]
+        assert [(s["kind"], s["start"], s["end"]) for s in x["base"]] == brute_spans(text)
+        if x["doc_id"] % 3 == 0:
+            assert any(s["kind"] == "secret" for s in x["added"])
+    masked = redact(d, weights).collect()
+    assert all("@" not in x["text"] and "[EMAIL]" in x["text"] and "[PHONE]" in x["text"] for x in masked)
+    assert redact(docs, None).count() == docs.count() and redact(docs, None).columns == docs.columns
+    assert personal_spans(docs, fit(docs)).count() == docs.count()
+    assert personal_spans(none, fit(none)).count() == 0
+
+
+def test_long_texts_take_linear_time():
+    import time
+
+    from framesift.llm.personal import find_spans
+
+    began = time.time()
+    for text in ("1" * 300_000, "a" * 300_000 + "@", "1." * 150_000, "+1" * 150_000, "a@" * 150_000):
+        find_spans(text, None)
+    assert time.time() - began < 20
+
+
+# quality
+
+
+def test_quality(spark, docs, labels, none):
+    from framesift.llm.quality import quality
+
+    data = [(i, text_of(i, 80) + "." if i % 4 else "SPAM!! " * 60, "en", f"s{i % 5}") for i in range(300)]
+    many = spark.createDataFrame(data, "doc_id long, text string, lang string, source string")
+    truth = spark.createDataFrame([(i, int(i % 4 != 0)) for i in range(0, 300, 2)], "doc_id long, quality int")
+    got = quality(many, truth).collect()
+    assert all(r["keep"] == (r["doc_id"] % 4 != 0) for r in got)
+    assert all(0 < r["path_rate"] < 1 and 0 < r["host_rate"] < 1 for r in got)
+    awkward = quality(docs, labels).collect()
+    assert len(awkward) == docs.count() and not any(r["keep"] for r in awkward if r["doc_id"] in (41, 42, 43))
+    assert quality(none, labels).count() == 0
+    assert all(r["keep"] for r in quality(docs, labels.limit(0)).collect() if r["doc_id"] not in (41, 42, 43, None))
+
+
+def test_sparse_sites_shrink(spark):
+    from framesift.llm.quality import strength
+
+    rows = [(100, 50.0, 0.5)] * 40 + [(100, 95.0, 0.5)] * 20 + [(100, 5.0, 0.5)] * 20
+    spread = strength(spark.createDataFrame(rows, "n long, good double, parent double"), "parent")
+    same = strength(spark.createDataFrame([(100, 50.0, 0.5)] * 80, "n long, good double, parent double"), "parent")
+    assert spread < 10 < same
+
+
+# licences
+
+
+def test_licenses(spark, docs, none):
+    from framesift.llm.licenses import KNOWN, license_scan
+
+    mit = KNOWN[0][1]
+    data = [(1, mit), (2, "Copyright (c) 2020 A\n" + mit.upper().replace(",", " ,")), (3, "text\nLicenced under the MIT licence\nmore"), (4, None), (5, mit + " extra"), (None, mit)]
+    got = {r["doc_id"]: r for r in license_scan(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert [got[i]["license"] for i in (1, 2, 3, 4, 5, None)] == ["MIT", "MIT", None, None, None, "MIT"]
+    assert got[3]["notices"] == "MIT" and got[3]["n_notices"] == 1 and got[1]["digest"] == got[2]["digest"]
+    assert license_scan(docs).count() == docs.count() and license_scan(none).count() == 0
+
+
+def test_licence_scan_runs_no_python(spark, docs):
+    from framesift.llm.licenses import license_scan
+
+    plan = license_scan(docs)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
