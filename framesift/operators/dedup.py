@@ -192,31 +192,32 @@ def marked(metadata: Column, group: Column) -> Column:
     return F.array_union(F.coalesce(metadata, F.array().cast("array<string>")), F.array(group))
 
 
-def top_k(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int) -> DataFrame:
-    """(query, id, score, rank) of the k largest inner products for a small set of query vectors, given in full.
+TOP = T.StructType([T.StructField("query", T.LongType()), T.StructField("id", T.LongType()), T.StructField("score", T.DoubleType())])
 
-    Each partition keeps its own k best before the shuffle.
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+    """(query, id, score, rank) of the k largest inner products of each query vector (id, embedding) with all vectors.
+
+    Queries and vectors are dealt to blocks by hash; each pair of blocks is one group of about two blocks' vectors, which keeps the
+    k best of each query, and only those are ranked together.
     """
     from pyspark.sql import Window as W
 
-    out = T.StructType([T.StructField("query", T.LongType()), T.StructField("id", T.LongType()), T.StructField("score", T.DoubleType())])
-    names = np.array([q for q, _ in queries], np.int64)
-    matrix = np.array([v for _, v in queries], np.float64)
+    n, m = max(1, -(-vectors.count() // block)), max(1, -(-queries.count() // block))
+    own = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    asked = F.pmod(F.xxhash64("id"), F.lit(m)).cast("int")
+    rows = vectors.select("id", "embedding", own.alias("j"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("i"), F.lit(1).alias("side"))
+    asks = queries.select("id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("j"), asked.alias("i"), F.lit(0).alias("side"))
 
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, scores = np.empty(0, np.int64), np.empty((0, len(names)))
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = np.stack(batch.column(1).to_pylist()).astype(np.float64)
-            ids, scores = np.r_[ids, batch.column(0).to_numpy()], np.r_[scores, x @ matrix.T]
-            if len(ids) > 8 * k * len(names):
-                kept = np.unique(np.concatenate([np.lexsort((ids, -scores[:, q]))[:k] for q in range(len(names))]))
-                ids, scores = ids[kept], scores[kept]
-        for q, name in enumerate(names):
-            order = np.lexsort((ids, -scores[:, q]))[:k] if len(ids) else np.empty(0, np.int64)
-            if len(order):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(order), name)), pa.array(ids[order]), pa.array(scores[order, q])], schema=to_arrow_schema(out))
-
-    local = vectors.select("id", "embedding").mapInArrow(best, out)
+    def find(ids: np.ndarray, x: np.ndarray, side: np.ndarray) -> pa.Table:
+        q, v = side == 0, side == 1
+        schema = to_arrow_schema(TOP)
+        if not q.any() or not v.any():
+            return schema.empty_table()
+        scores = x[q].astype(np.float64) @ x[v].astype(np.float64).T
+        # rows come by ascending id, so a stable order breaks ties by it
+        best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+        return pa.table([np.repeat(ids[q], best.shape[1]), ids[v][best].ravel(), np.take_along_axis(scores, best, 1).ravel()], schema=schema)
+
+    local = rows.unionByName(asks).groupBy("i", "j").applyInArrow(_grouped(find), TOP)
     return local.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
