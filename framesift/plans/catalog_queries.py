@@ -342,7 +342,7 @@ def d3_duplicate_members(spark, d):
 
 
 @query("d4_near_hashes", f"""WITH {HASHED}, n AS (SELECT * FROM h WHERE id % 20 = 0), c AS (SELECT phash, min(id) AS old_id FROM h WHERE id % 20 <> 0 GROUP BY phash),
- p AS (SELECT id AS new_id, old_id, list_sum([CASE WHEN substr(n.phash, i, 1) <> substr(c.phash, i, 1) THEN 1 ELSE 0 END FOR i IN range(1, 17)])::BIGINT AS distance FROM n, c) SELECT * FROM p WHERE distance <= 5""")
+ p AS (SELECT id AS new_id, old_id, list_sum([CASE WHEN substr(n.phash, i, 1) <> substr(c.phash, i, 1) THEN 1 ELSE 0 END FOR i IN range(1, 17)])::INT AS distance FROM n, c) SELECT * FROM p WHERE distance <= 5""")
 def d4_near_hashes(spark, d):
     h = hashed_docs(spark, d)
     return D.near_hashes(h.where("id % 20 = 0"), h.where("id % 20 <> 0"))
@@ -376,7 +376,7 @@ def d6_scan_summary(spark, d):
     return D.scan_summary(write_shared(members, "members"), hashed_docs(spark, d))
 
 
-@query("d9_top_k", """WITH q AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 20 = 0) SELECT query, id, round(score, 6) AS score, rank FROM (SELECT q.vec_id AS query, e.vec_id AS id, list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) DESC, e.vec_id) AS rank FROM q, embeddings e) WHERE rank <= 10""")
+@query("d9_top_k", """WITH q AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 20 = 0) SELECT query, id, round(score, 6) AS score, rank::INT AS rank FROM (SELECT q.vec_id AS query, e.vec_id AS id, list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) DESC, e.vec_id) AS rank FROM q, embeddings e) WHERE rank <= 10""")
 def d9_top_k(spark, d):
     return D.top_k(vectors(spark, d), vectors(spark, d).where("id % 20 = 0"), 10).select("query", "id", F.round("score", 6).alias("score"), "rank")
 
@@ -444,7 +444,7 @@ def x12_reason_flags(spark, d):
     return N.reason_flags(chat, "the|und|que", "^$", criteria).select("id", "position", "generic", "boiler", "weak", "copies_criteria", "repeat")
 
 
-@query("x14_frame_notes", "SELECT doc_id, least(16, len(list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> ''))) AS n FROM documents")
+@query("x14_frame_notes", "SELECT doc_id, least(16, len(list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> '')))::INT AS n FROM documents")
 def x14_frame_notes(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(N.frame_notes(F.split("text", "\n"))).alias("n"))
 
@@ -462,7 +462,7 @@ def s3_clip_list(spark, d):
     return out.select("c_custkey", F.when(F.col("c").isNotNull(), F.size("c")).alias("n"))
 
 
-@query("s6_coco_boxes", "SELECT concat('i', l_orderkey) AS image_id, l_returnflag AS cls, count(*) AS n, sum(l_partkey + l_suppkey) AS x1 FROM lineitem GROUP BY ALL")
+@query("s6_coco_boxes", "SELECT concat('i', l_orderkey) AS image_id, l_returnflag AS cls, count(*) AS n, sum(l_partkey + l_suppkey)::BIGINT AS x1 FROM lineitem GROUP BY ALL")
 def s6_coco_boxes(spark, d):
     li = table(spark, d, "lineitem")
     flag = F.when(F.col("l_returnflag") == "A", 1).when(F.col("l_returnflag") == "N", 2).otherwise(3)

@@ -265,7 +265,7 @@ def a5_manifest(spark, d):
     return m.select(F.lit("status").alias("kind"), F.explode("statuses").alias("value", "n")).union(m.select(F.lit("quality"), F.explode("tags")))
 
 
-@query("a6_tag_statistics", f"WITH {fx.ASSETS} SELECT dim, count(*) AS total, count(DISTINCT tag) AS n_names, count(*) FILTER (source = 'AI') AS from_ai, count(*) FILTER (source = 'Human') AS from_human, 0 AS from_rule FROM (SELECT 'lang' AS dim, lang AS tag, 'AI' AS source FROM assets WHERE quality IS NOT NULL UNION ALL SELECT 'quality', qtag, 'Human' FROM assets WHERE quality IS NOT NULL) GROUP BY dim")
+@query("a6_tag_statistics", f"WITH {fx.ASSETS} SELECT dim, count(*) AS total, count(DISTINCT tag) AS n_names, count(*) FILTER (source = 'AI') AS from_ai, count(*) FILTER (source = 'Human') AS from_human, 0::BIGINT AS from_rule FROM (SELECT 'lang' AS dim, lang AS tag, 'AI' AS source FROM assets WHERE quality IS NOT NULL UNION ALL SELECT 'quality', qtag, 'Human' FROM assets WHERE quality IS NOT NULL) GROUP BY dim")
 def a6_tag_statistics(spark, d):
     return T.tag_statistics(T.long_tags(fx.assets(spark, d), "final_tags"), ["dim"])
 
@@ -295,7 +295,7 @@ def a15_reconcile(spark, d):
     return agg.reconcile(a.where("id % 11 <> 0"), a, a)
 
 
-@query("a16_health", "SELECT count(*) AS n, count(*) FILTER (doc_id % 3 = 0) AS with_video, count(*) FILTER (doc_id % 3 <> 0) AS without_video, 0 AS no_path, true AS contiguous FROM documents")
+@query("a16_health", "SELECT count(*) AS n, count(*) FILTER (doc_id % 3 = 0) AS with_video, count(*) FILTER (doc_id % 3 <> 0) AS without_video, 0::BIGINT AS no_path, true AS contiguous FROM documents")
 def a16_health(spark, d):
     return agg.health(table(spark, d, "documents").select(F.col("doc_id").alias("vector_id"), F.when(F.col("doc_id") % 3 == 0, F.col("source")).alias("video_source"), F.col("lang").alias("path")))
 
@@ -429,7 +429,7 @@ def e1_asset_dim_metrics(spark, d):
     return evaluate.asset_dim_metrics(*fx.predictions(spark, d), DIMS)
 
 
-POOLED = """pooled AS (SELECT model, asset_id, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, CASE WHEN sum(tp + fp) > 0 THEN round(sum(tp) / sum(tp + fp), 4) ELSE 0 END AS precision, CASE WHEN sum(tp + fn) > 0 THEN round(sum(tp) / sum(tp + fn), 4) ELSE 0 END AS recall,
+POOLED = """pooled AS (SELECT model, asset_id, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, CASE WHEN sum(tp + fp) > 0 THEN round(sum(tp) / sum(tp + fp), 4) ELSE 0 END AS precision, CASE WHEN sum(tp + fn) > 0 THEN round(sum(tp) / sum(tp + fn), 4) ELSE 0 END AS recall,
  CASE WHEN sum(tp) > 0 THEN round(2.0 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn)), 4) ELSE 0 END AS f1 FROM metrics GROUP BY ALL)"""
 
 
@@ -472,7 +472,7 @@ SCORES = """base AS (SELECT l_orderkey AS segment, concat_ws('-', l_orderkey, l_
 
 
 @query("e7_hit_rates", f"""WITH {SCORES}, s AS (SELECT model, grp, segment, max(score) AS score, count(*) AS f, count(*) FILTER (score >= 0.25) AS fh, count(*) FILTER (score >= 0.15 AND score < 0.25) AS fw FROM bothm GROUP BY ALL)
- SELECT model, grp, sum(f) AS n_frames, count(*) AS n_segments, sum(fh) AS frames_high, sum(fw) AS frames_low, count(*) FILTER (score >= 0.25) AS segments_high, count(*) FILTER (score >= 0.15 AND score < 0.25) AS segments_low, round(sum(fh) / sum(f), 4) AS frame_rate, round(count(*) FILTER (score >= 0.25) / count(*), 4) AS segment_rate FROM s GROUP BY ALL""")
+ SELECT model, grp, sum(f)::BIGINT AS n_frames, count(*) AS n_segments, sum(fh)::BIGINT AS frames_high, sum(fw)::BIGINT AS frames_low, count(*) FILTER (score >= 0.25) AS segments_high, count(*) FILTER (score >= 0.15 AND score < 0.25) AS segments_low, round(sum(fh) / sum(f), 4) AS frame_rate, round(count(*) FILTER (score >= 0.25) / count(*), 4) AS segment_rate FROM s GROUP BY ALL""")
 def e7_hit_rates(spark, d):
     old, new = detector_scores(spark, d)
     return evaluate.hit_rates(old.union(new))
