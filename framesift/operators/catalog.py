@@ -196,3 +196,88 @@ def copy_plan(source: DataFrame, target: DataFrame) -> DataFrame:
     """Source files whose basename the target lacks."""
     have = target.select(basename(F.col("path")).alias("_b")).distinct()
     return source.withColumn("_b", basename(F.col("path"))).join(have, "_b", "left_anti").drop("_b")
+
+
+def stepped(assets: DataFrame, updates: DataFrame) -> DataFrame:
+    """Column updates (id, vector_id, detections, final_tags, decision; null: not given) with the status they lead to.
+
+    A vector makes EMBEDDED, detections DETECTED, final tags TAGGED, and a decision its own state (an unknown one REVIEW);
+    the furthest given step decides.
+    """
+    from framesift.operators.decision import state_after
+
+    u = updates.select(F.col("id").alias("_id"), *[F.col(c).alias(f"_{c}") for c in ("vector_id", "detections", "final_tags", "decision")])
+    joined = assets.join(u, F.col("id") == F.col("_id"), "left")
+    status = (
+        F.when(F.col("_decision").isNotNull(), state_after(F.col("_decision"))).when(F.col("_final_tags").isNotNull(), F.lit("TAGGED"))
+        .when(F.col("_detections").isNotNull(), F.lit("DETECTED")).when(F.col("_vector_id").isNotNull(), F.lit("EMBEDDED")).otherwise(F.col("status"))
+    )
+    values = {c: F.coalesce(F.col(f"_{c}"), F.col(c)) for c in ("vector_id", "detections", "final_tags", "decision")}
+    return joined.select(*[values[c].alias(c) if c in values else status.alias(c) if c == "status" else F.col(c) for c in assets.columns])
+
+
+def synced(existing: DataFrame, records: DataFrame, sources: DataFrame) -> DataFrame:
+    """Rows to append for metadata records whose vector id the catalog lacks, with defaults filled in.
+
+    ``records``: id, path, filename, frame_index, timestamp, video_path, src_dir as text where read from JSON.
+    """
+    new = records.withColumn("vector_id", F.col("id").cast("string").try_cast("long")).where("vector_id IS NOT NULL").drop("id")
+    new = missing_rows(first_per_key(new, ["vector_id"], ["path"]), existing, ["vector_id"])
+    clean = new.select(
+        "vector_id", "path", F.coalesce(F.nullif("filename", F.lit("")), basename(F.col("path"))).alias("filename"), F.coalesce(F.col("frame_index").cast("string").try_cast("int"), F.lit(0)).alias("frame_index"),
+        F.coalesce(F.col("timestamp").cast("string").try_cast("double"), F.lit(0.0)).alias("timestamp"), F.coalesce("video_path", "path").alias("video_path"),
+        F.when(F.col("src_dir").rlike(r"^(/|[A-Za-z]:)"), F.col("src_dir")).alias("source_root"),
+    )
+    return attach_sources(clean, sources)
+
+
+def backfill_report(existing: DataFrame, records: DataFrame) -> DataFrame:
+    """The dry run of a backfill: metadata records, rows before, rows to add and the gap that stays (records without a usable id)."""
+    ids = records.select(F.col("id").cast("string").try_cast("long").alias("vector_id"))
+    usable = ids.where("vector_id IS NOT NULL").distinct()
+    counts = records.agg(F.count("*").alias("meta"))
+    for name, rows in (("before", existing), ("added", missing_rows(usable, existing, ["vector_id"])), ("usable", usable)):
+        counts = counts.crossJoin(F.broadcast(rows.agg(F.count("*").alias(name))))
+    return counts.select("meta", "before", "added", (F.col("meta") - F.col("usable")).alias("gap"))
+
+
+def renamed(projects: DataFrame, project_id: int, name: str) -> DataFrame:
+    """A new display name, unless another project shows the same."""
+    shown = F.coalesce("display_name", "name")
+    if projects.where((shown == name) & (F.col("id") != project_id)).limit(1).count():
+        raise ValueError(f"another project is called {name}")
+    return projects.withColumn("display_name", F.when(F.col("id") == project_id, F.lit(name)).otherwise(F.col("display_name")))
+
+
+def human_labelled(clips: DataFrame, labels: DataFrame) -> DataFrame:
+    """Human labels of clips: human, rejected, final (a copy of human where not given) and decision where given."""
+    new = labels.select(F.col("clip_id").alias("_c"), *[F.col(c).alias(f"_{c}") for c in ("human_tags", "human_rejected", "final_tags", "decision")])
+    joined = clips.join(new, F.col("clip_id") == F.col("_c"), "left")
+    given = F.col("_c").isNotNull()
+    values = {
+        "human_tags": F.when(given, F.col("_human_tags")).otherwise(F.col("human_tags")),
+        "human_rejected": F.when(given, F.coalesce("_human_rejected", "human_rejected")).otherwise(F.col("human_rejected")),
+        "final_tags": F.when(given, F.coalesce("_final_tags", "_human_tags")).otherwise(F.col("final_tags")),
+        "decision": F.coalesce("_decision", "decision"),
+    }
+    return joined.select(*[values[c].alias(c) if c in values else F.col(c) for c in clips.columns])
+
+
+def appended(table: DataFrame, rows: DataFrame, key: str, seed: list[str]) -> DataFrame:
+    """The table with new rows under ids made of their own values."""
+    text = F.concat_ws("|", *[F.col(c).cast("string") for c in seed])
+    return table.unionByName(rows.withColumn(key, new_id(text)).select(*table.columns))
+
+
+def round_summary(outcomes: DataFrame, root: str = "root") -> DataFrame:
+    """Files found, new and submitted of an ingest round, per root and in all (root null)."""
+    return outcomes.rollup(root).agg(F.count("*").alias("found"), F.count_if(F.col("outcome") != "known").alias("new"), F.count_if(F.col("outcome") == "submit").alias("submitted"))
+
+
+def paired(images: DataFrame, labels: DataFrame) -> DataFrame:
+    """Images with a label of the same folder and stem, and nothing else."""
+    return images.join(labels.select("folder", "stem").distinct(), ["folder", "stem"], "left_semi")
+
+
+def capped_total(positives: DataFrame, order: list[str], most: int) -> DataFrame:
+    return positives.orderBy(*order).limit(most)
