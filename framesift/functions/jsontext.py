@@ -105,5 +105,5 @@ def complete_of(texts: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.DoubleType())
 def overlap_share(a: pd.Series, b: pd.Series) -> pd.Series:
-    """The longest common substring as a share of the first text (up to 400 characters of either count)."""
-    return pd.Series([longest_common((x or "")[:400], (y or "")[:400]) / max(1, len((x or "")[:400])) for x, y in zip(a, b, strict=True)])
+    """The longest common substring as a share of the first text."""
+    return pd.Series([longest_common(x or "", y or "") / max(1, len(x or "")) for x, y in zip(a, b, strict=True)])
