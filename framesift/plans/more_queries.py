@@ -232,3 +232,21 @@ def k5_package(spark, d):
 
     docs = table(spark, d, "documents")
     return docs.select("doc_id", sharded_name(F.concat(F.lit("asset"), F.lpad(F.col("doc_id").cast("string"), 6, "0")), F.lit("a/b/p.jpg")).alias("target"))
+
+
+@query("r2_stream_clips", """WITH e AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS ms FROM events),
+ c AS (SELECT *, CASE WHEN ms - lag(ms) OVER (PARTITION BY user_id ORDER BY ms, event_id) > 86400000 THEN 1 ELSE 0 END AS cut FROM e),
+ r AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY ms, event_id ROWS UNBOUNDED PRECEDING) AS run_no FROM c),
+ w AS (SELECT *, (row_number() OVER (PARTITION BY user_id, run_no ORDER BY ms, event_id) - 1) // 30 AS win FROM r),
+ g AS (SELECT user_id, run_no, win, count(*)::INT AS n, min(ms) AS first_ms, max(ms) AS last_ms FROM w GROUP BY ALL)
+ SELECT cast(user_id AS varchar) AS run, n, first_ms, last_ms FROM g WHERE n >= 5 AND (run_no, win) <> (SELECT max((run_no, win)) FROM g AS h WHERE h.user_id = g.user_id)""")
+def r2_stream_clips(spark, d):
+    """Closed clips of a stream of frames; a run's last window is still open when the input ends."""
+    from framesift.streaming import ingest as R
+
+    folder = shared_path(spark, "frames")
+    fx.events_ms(spark, d).select(F.col("user_id").cast("string").alias("run"), "ms", F.col("event_id").alias("id")).repartition("run").write.parquet(folder)
+    frames = spark.readStream.schema("run string, ms long, id long").parquet(folder)
+    with R.rocks_state(spark):
+        clips = R.run_to_table(R.stream_clips(frames, 86_400_000, 30, 5), "r2_stream_clips", "append", shared_path(spark, "r2"))
+    return clips.select("run", F.size("frame_ids").alias("n"), "first_ms", "last_ms")

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from framesift.operators.catalog import less_dense, without_siblings
@@ -68,6 +69,18 @@ class ClipCutter(StatefulProcessor):
         pass
 
 
+@contextmanager
+def rocks_state(spark: SparkSession) -> Iterator[None]:
+    """Keyed state needs the RocksDB store; the session's own choice comes back afterwards."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+
+
 def stream_clips(frames: DataFrame, gap_ms: int, size: int, least: int) -> DataFrame:
     """Closed clips of a stream of (run, ms, id)."""
     return frames.groupBy("run").transformWithStateInPandas(ClipCutter(gap_ms, size, least), CLIP, "append", "none")
