@@ -195,5 +195,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, seed_words: int = SEED_WOR
 
 def without_leaks(docs: DataFrame, leaks: DataFrame) -> DataFrame:
     """``docs`` less the rows that hold a test item; all columns stay as they are."""
-    marked = write_shared(leaks.select(F.col("row").alias("leaked_row")).distinct(), "leaked")
-    return docs.join(marked, F.xxhash64(docs["doc_id"], docs["text"].cast("string")) == marked["leaked_row"], "left_anti")
+    marked = write_shared(leaks.select(F.col("row").alias("_leaked")).distinct(), "leaked")
+    # the marked rows grow with the documents, so they are never broadcast
+    return docs.join(marked.hint("merge"), F.xxhash64(docs["doc_id"], docs["text"].cast("string")) == F.col("_leaked"), "left_anti")
