@@ -192,6 +192,29 @@ def test_wide_near_duplicates(spark):
     assert near_duplicate_ids(docs.limit(0)).count() == 0
 
 
+def test_list_links_equal_all_pairs():
+    from framesift.llm.wide import alike, list_links
+
+    r = np.random.default_rng(7)
+    base = r.integers(0, 1 << 63, (4, 32)).astype(np.uint64)
+    fps = base[r.integers(0, 4, 80)]
+    for row in fps:
+        for bit in r.integers(0, 2048, 180):
+            row[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    links, _ = list_links(np.arange(80), fps, 310)
+    up = {i: i for i in range(80)}
+
+    def groups(pairs):
+        label = dict(up)
+        for a, b in pairs:
+            old, new = label[b], label[a]
+            label = {k: new if v == old else v for k, v in label.items()}
+        return {frozenset(k for k in label if label[k] == v) for v in label.values()}
+
+    every = [(i, int(j)) for i in range(80) for j in np.flatnonzero(alike(fps, fps[i], 310))]
+    assert groups(links) == groups(every) and len(links) < 80
+
+
 # archives
 
 
