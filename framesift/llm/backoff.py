@@ -39,10 +39,10 @@ from framesift.plans.shared import write_shared
 ORDER = 2
 #: Weight of the shorter context's distribution, in counts.
 PRIOR = 200.0
-BLOCK_CHARS = 16 << 20
+BLOCK_CHARS = 8 << 20
 BUCKET_ENTRIES = 2_000_000
 #: Bytes of texts that one task holds back to pack texts of the same block together.
-HOLD_BYTES = 48 << 20
+HOLD_BYTES = 24 << 20
 
 PACKED = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("data", T.BinaryType())])
 QUESTIONS = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("length", T.IntegerType()), T.StructField("data", T.BinaryType())])
