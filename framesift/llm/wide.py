@@ -11,7 +11,11 @@ Lists of two give a pair, which is verified by a join with the fingerprints.  Fo
 fingerprints come to the list: its medoid (the node nearest to the list's majority bits) is linked to every node it
 matches, which makes those one component, and only nodes that it does not match are compared with all.  That
 finds exactly the list's components, gives at most one link less than its nodes, and takes time linear in a
-group of near copies.  A list is read in parts of ``LIST_NODES``; parts are joined by the first part's medoid.
+group of near copies.  A list is read in parts of ``LIST_NODES``.  Nodes of all parts that match the first part's
+medoid are one component; every other node is compared with the nodes of all other parts, in blocks, unless both are
+linked already or their distances from that medoid differ by more than the limit (the triangle inequality).  So a list
+of several parts is exact too; earlier parts' fingerprints wait in an unnamed scratch file, and ids, roots and
+distances take 18 bytes a node in memory.
 
 Defined results: blank texts form one group; texts of fewer than five words have one shingle; rows that
 repeat a doc_id are one document; rows with a null doc_id are never dropped.
@@ -20,6 +24,7 @@ repeat a doc_id are one document; rows with a null doc_id are never dropped.
 from __future__ import annotations
 
 import math
+import tempfile
 from collections.abc import Iterable, Iterator
 from itertools import groupby, islice
 
@@ -142,19 +147,93 @@ def list_links(nodes: np.ndarray, fps: np.ndarray, most: int) -> tuple[list[tupl
     return list(zip(first[other].tolist(), nodes[other].tolist(), strict=True)), medoid
 
 
+def _roots(parent: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The roots of some nodes, which then point at them."""
+    root = parent[at]
+    while (root != parent[root]).any():
+        root = parent[root]
+    parent[at] = root
+    return root
+
+
+def _join(parent: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+    """Make each x and its y one component; the least place is the root."""
+    pairs = np.unique(np.stack([_roots(parent, x), _roots(parent, y)], axis=1), axis=0)
+    for a, b in pairs[pairs[:, 0] != pairs[:, 1]].tolist():
+        while a != parent[a]:
+            a = int(parent[a])
+        while b != parent[b]:
+            b = int(parent[b])
+        parent[max(a, b)] = min(a, b)
+
+
+def _join_alike(parent: np.ndarray, far: np.ndarray, rows: np.ndarray, x: np.ndarray, columns: np.ndarray, y: np.ndarray, most: int) -> None:
+    """Join the nodes ``rows`` (fingerprints x) with all of ``columns`` (y) that are alike, ``far`` from one leader."""
+    order = np.argsort(_roots(parent, rows), kind="stable")  # once two components are joined, the rest of them is passed over
+    rows, x = rows[order], x[order]
+    at = 0
+    while at < len(rows) and len(columns):
+        step = max(1, CELL_WORDS // (len(columns) * x.shape[1]))
+        own = rows[at : at + step]
+        roots = _roots(parent, own)
+        open_ = (far[columns] >= int(far[own].min()) - most) & (far[columns] <= int(far[own].max()) + most)
+        if (roots == roots[0]).all():
+            open_ &= _roots(parent, columns) != roots[0]
+        left = np.flatnonzero(open_)
+        if len(left):
+            u, v = np.nonzero(alike(x[at : at + step][:, None, :], y[left][None, :, :], most))
+            if len(u):
+                _join(parent, own[u], columns[left[v]])
+        at += step
+
+
+def long_list_links(parts: Iterable[tuple[np.ndarray, np.ndarray]], most: int) -> Iterator[tuple[int, int]]:
+    """The components of a list that comes in parts (nodes, fingerprints) by growing node, as links from their least node."""
+    ids, parent, far = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int16)
+    leader = None
+    earlier: list[tuple[int, int, np.ndarray]] = []  # begin, end, places that do not match the leader
+    with tempfile.TemporaryFile() as held:
+        for nodes, fps in parts:
+            low, high = len(ids), len(ids) + len(nodes)
+            places = np.arange(low, high)
+            links, medoid = list_links(places, fps, most)
+            if leader is None:
+                leader, leader_place = fps[medoid].copy(), medoid
+            ids, parent = np.r_[ids, nodes], np.r_[parent, places]
+            far = np.r_[far, np.bitwise_count(fps ^ leader).sum(axis=1, dtype=np.int16)]
+            for a, b in links:
+                parent[b] = a
+            near = alike(fps, leader, most)
+            _join(parent, places[near], np.full(int(near.sum()), leader_place))
+            rest = places[~near]
+            for begin, end, others in earlier:
+                if len(rest) or len(others):
+                    held.seek(begin * fps.shape[1] * 8)
+                    before = np.frombuffer(held.read((end - begin) * fps.shape[1] * 8), "<u8").reshape(end - begin, -1)
+                    _join_alike(parent, far, rest, fps[~near], np.arange(begin, end), before, most)
+                    _join_alike(parent, far, others, before[others - begin], places[near], fps[near], most)
+            held.seek(low * fps.shape[1] * 8)
+            held.write(np.ascontiguousarray(fps).tobytes())
+            earlier.append((low, high, rest))
+    for low, high, _ in earlier:
+        first = _roots(parent, np.arange(low, high))
+        other = np.flatnonzero(first != np.arange(low, high))
+        yield from zip(ids[first[other]].tolist(), ids[low + other].tolist(), strict=True)
+
+
 def _search_lists(most: int):
+    def arrays(part: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        return np.array([r[1] for r in part], np.int64), np.frombuffer(b"".join(r[2] for r in part), "<u8").reshape(len(part), -1)
+
+    def all_parts(part: list[tuple], own: Iterator[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        while part:
+            yield arrays(part)
+            part = list(islice(own, LIST_NODES))
+
     def run(rows: Iterator[tuple]) -> Iterable[tuple]:
         for _, own in groupby(rows, key=lambda r: r[0]):
-            leader = None
-            while part := list(islice(own, LIST_NODES)):
-                nodes = np.array([r[1] for r in part], np.int64)
-                fps = np.frombuffer(b"".join(r[2] for r in part), "<u8").reshape(len(part), -1)
-                links, medoid = list_links(nodes, fps, most)
-                yield from links
-                if leader is not None:
-                    yield from ((leader[0], int(x)) for x in nodes[alike(fps, leader[1], most)])
-                else:
-                    leader = (int(nodes[medoid]), fps[medoid].copy())
+            part = list(islice(own, LIST_NODES))
+            yield from list_links(*arrays(part), most)[0] if len(part) < LIST_NODES else long_list_links(all_parts(part, own), most)
 
     return run
 

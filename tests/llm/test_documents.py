@@ -215,6 +215,48 @@ def test_list_links_equal_all_pairs():
     assert groups(links) == groups(every) and len(links) < 80
 
 
+@pytest.mark.parametrize("part", [3, 7, 20, 200])
+@pytest.mark.parametrize("cells", [32, 4 << 20])
+def test_long_lists_in_parts_equal_all_pairs(monkeypatch, part, cells):
+    """Near copies in different parts that match each other, but not the first part's medoid, keep their link."""
+    from framesift.llm import wide
+
+    monkeypatch.setattr(wide, "LIST_NODES", part)
+    monkeypatch.setattr(wide, "CELL_WORDS", cells)
+    r = np.random.default_rng(part)
+    families = r.integers(0, 2, (4, 2048), dtype=np.uint8)
+    families[3] = families[0]
+    families[3, :430] ^= 1  # near to some of the first family only
+    bits = families[np.r_[np.zeros(20, int), r.integers(0, 4, 80)]]
+    for row in bits:
+        at = r.integers(0, 250) if r.random() < 0.5 else 0
+        row[r.choice(700, at, replace=False)] ^= 1
+    fps = np.packbits(bits, axis=1, bitorder="little").view("<u8")
+    ids = np.sort(r.choice(10_000, 100, replace=False))
+    rows = [(key, int(i), fp.tobytes()) for key in (1, 2) for i, fp in zip(ids[:: 3 - key], fps[:: 3 - key], strict=True)]
+    links = list(wide._search_lists(310)(iter(rows)))
+
+    def components(pairs, nodes):
+        label = {n: n for n in nodes}
+        for a, b in pairs:
+            old, new = label[b], label[a]
+            label = {n: new if x == old else x for n, x in label.items()}
+        groups = {}
+        for n, x in label.items():
+            groups.setdefault(x, set()).add(n)
+        return sorted(map(sorted, groups.values()))
+
+    def all_pairs(nodes, f):
+        good = wide.alike(f[:, None, :], f[None, :, :], 310)
+        return [(int(nodes[a]), int(nodes[b])) for a, b in zip(*np.nonzero(good), strict=True)]
+
+    want = [*all_pairs(ids[::2], fps[::2]), *all_pairs(ids, fps)]
+    assert components(links, ids.tolist()) == components(want, ids.tolist())
+    assert 1 < len(components(want, ids.tolist())) < 100
+    assert len(links) < 150 and all(a < b for a, b in links)
+
+
+
 # archives
 
 
