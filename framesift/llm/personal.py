@@ -2,8 +2,8 @@
 
 Base spans are exact matches of four patterns (email, ip, card, phone) with their checks.  The random field
 adds spans that the patterns miss: obfuscated or ill-formed addresses and numbers, and secrets.  Around
-each trigger (a digit, ``@``, or the words "at"/"dot" in brackets) a window of tokens is cut.  Every
-run of up to ``MAX_TOKENS`` tokens that holds a trigger is a candidate segment of each kind, scored by
+each trigger (a digit, ``@``, or the words "at"/"dot", in brackets or between words of a host) a window of tokens is cut.  Every
+run of up to ``MAX_TOKENS`` tokens that holds a trigger, and every spelt address however long, is a candidate segment of each kind, scored by
 features of the whole span (shape, digits, groups, separators, octets, Luhn, neighbours), and
 a dynamic programme over segment ends chooses boundaries and kinds of the window together, with tokens outside
 segments free.  Base spans are barriers: they always stay, and segments lie between them.
@@ -12,7 +12,8 @@ The field is trained by gradient ascent on the conditional log likelihood (segme
 sums) over at most ``TRAIN_WINDOWS`` windows of a hash sample of ``TRAIN_ROWS`` documents (documented bounds).
 There are no labels, so base spans and strong secrets (long hexadecimal runs, access key ids) serve as the truth; every
 base span is also shown once in a damaged spelling that keeps its label, which teaches what the patterns
-cannot match.  The sample decides weights only; every whole text is searched.
+cannot match; an address is shown in nine, with fewer and more parts and without digits.  A word, "at" and a host
+name count as an address ("look at example.com" too).  The sample decides weights only; every whole text is searched.
 
 Defined results: null and blank texts have no spans; offsets are code points, ends exclusive; repeated rows
 are searched one by one; null ids are carried; an empty table gives an empty result; without any
@@ -34,7 +35,7 @@ from framesift.llm.arrow import map_rows
 KINDS = ["email", "ip", "card", "phone"]
 ADDED = ["secret"]
 LABELS = [*KINDS, *ADDED]
-MAX_TOKENS = 9
+MAX_TOKENS = 24
 MARGIN = 3
 TRAIN_ROWS = 4000
 TRAIN_WINDOWS = 500
@@ -94,7 +95,14 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|[^\w\s]|_|\w")
-TRIGGER = re.compile(r"[0-9@]|[\[(]\s?(?:at|dot)\s?[\])]", re.I)
+AT_MARK = r"(?:\s*+[\[({<]\s?at\s?[\])}>]\s*+|\s++at\s++|\s?@\s?)"
+DOT_MARK = r"(?:\.|\s++\.\s++|\s*+[\[({<]\s?dot\s?[\])}>]\s*+|\s++dot\s++)"
+#: A bare "at" counts where a host follows, that is a word, a dot in any spelling and another word.
+TRIGGER = re.compile(rf"[0-9@]|[\[({{<]\s?(?:at|dot)\s?[\])}}>]|(?<=\s)at(?=\s++[\w-]++{DOT_MARK}\w)|(?<=\s)dot(?=\s++\w)", re.I)
+#: An address whose marks are signs, words or words in brackets; its last part has letters only.
+ADDRESS = re.compile(rf"[\w%+-]++(?:{DOT_MARK}[\w%+-]++)*{AT_MARK}[\w-]++(?:{DOT_MARK}[\w-]++)*{DOT_MARK}[^\W\d_]{{2,}}(?![\w-])", re.I)
+#: What stands before a span that begins within an address.
+WITHIN = re.compile(rf"[\w%+-](?:{DOT_MARK})?\Z", re.I)
 HEX = re.compile(r"[0-9A-Fa-f]{24,}|AKIA[0-9A-Z]{16}")
 
 
@@ -161,6 +169,9 @@ def features(text: str, start: int, end: int, before: str, after: str) -> list[s
         out.append(f"octets={all(len(g) <= 3 and int(g) <= 255 for g in groups)}")
     if HEX.fullmatch(span):
         out.append("hex")
+    found = ADDRESS.match(text, start, end + REACH) if "@" in span or "at" in low else None
+    if found and found.end() >= end:
+        out.append(f"address={found.end() == end and not WITHIN.search(text[max(0, start - 12) : start])}")
     if re.search(r"[.](?:com|org|net|[a-z]{2})$", low):
         out.append("domain")
     return out
@@ -179,16 +190,22 @@ class Lattice:
         self.features: list[np.ndarray] = []
         self.by_end: list[list[int]] = [[] for _ in range(self.n + 1)]
         words = [w.text[s:e] for s, e in zip(w.starts, w.ends, strict=True)]
+        first, last = {s: i for i, s in enumerate(w.starts)}, {e: j for j, e in enumerate(w.ends)}
+        found = [m.span() for m in ADDRESS.finditer(w.text, w.starts[0], w.ends[-1])] if self.n else []
+        whole = {first[s]: last[e] for s, e in found if s in first and e in last}
         for i in range(self.n):
             if words[i] in ",.;:!?)]":
                 continue
             warm = False
-            for j in range(i, min(self.n, i + MAX_TOKENS)):
+            ends = [*range(i, min(self.n, i + MAX_TOKENS))]
+            if whole.get(i, 0) >= i + MAX_TOKENS:
+                ends.append(whole[i])
+            for j in ends:
                 warm = warm or w.hot[j]
                 if not warm or words[j] in ",.;:!?([+=":
                     continue
                 before = words[i - 1].lower()[:10] if i else "^"
-                after = shape(words[j + 1])[:4] if j + 1 < self.n else "$"
+                after = "$" if j + 1 == self.n else words[j + 1].lower() if words[j + 1].lower() in ("at", "dot") else shape(words[j + 1])[:4]
                 self.by_end[j + 1].append(len(self.spans))
                 self.spans.append((i, j + 1))
                 self.features.append(hashed(features(w.text, w.starts[i], w.ends[j], before, after)))
@@ -236,10 +253,22 @@ def expected(lattice: Lattice, scores: np.ndarray) -> np.ndarray:
     return np.array([np.exp(forward[i] + scores[c] + backward[j] - total) for c, (i, j) in enumerate(lattice.spans)]) if lattice.spans else scores
 
 
+LETTERS = str.maketrans("0123456789", "aeiourstln")
+
+
+def varied(address: str, number: int) -> str:
+    """The address, or one without digits, with fewer or more parts."""
+    local, _, host = (address.translate(LETTERS) if number % 4 else address).rpartition("@")
+    parts = host.split(".")
+    local = [local, re.split(r"[._%+-]", local)[0] or local, f"{local}.{parts[0]}"][number % 3]
+    return local + "@" + ".".join([parts, parts[-2:], [*parts, parts[-1][:2]], ["mail", *parts, parts[-1][:2]]][number // 2 % 4])
+
+
 def damaged(kind: str, span: str, number: int) -> str:
     """A spelling of a base span that its pattern no longer matches."""
     if kind == "email":
-        return span.replace("@", [" at ", " (at) ", " [at] "][number % 3]).replace(".", [".", " dot ", "."][number % 3])
+        span = varied(span, number)
+        return span.replace("@", [" at ", " (at) ", " [at] ", "[at]", " {at} "][number % 5]).replace(".", [".", " dot ", " [dot] ", " (dot) "][number // 3 % 4])
     if kind == "phone":
         return [span.lstrip("+"), "00" + span.lstrip("+"), re.sub(r"^\+[0-9]+ ?", "", span)][number % 3]
     if kind == "card":
@@ -248,16 +277,14 @@ def damaged(kind: str, span: str, number: int) -> str:
     return span.replace(".", [" . ", ",", " dot "][number % 3])
 
 
-def _example(text: str, truth: list[tuple[str, int, int]]) -> tuple[Lattice, dict[tuple[int, int], int]] | None:
-    """The lattice of the text's first window with the truth's candidates."""
+def _example(text: str, truth: list[tuple[str, int, int]]) -> tuple[Lattice, dict[int, int]] | None:
+    """The lattice of the text's first window with the truth's candidates; None where a true span has no candidate."""
     for w in windows(text, []):
         lattice = Lattice(w)
-        gold = {}
-        for kind, s, e in truth:
-            for c, (i, j) in enumerate(lattice.spans):
-                if w.starts[i] == s and w.ends[j - 1] == e:
-                    gold[c] = LABELS.index(kind)
-        return lattice, gold
+        places = {(w.starts[i], w.ends[j - 1]): c for c, (i, j) in enumerate(lattice.spans)}
+        if any((s, e) not in places for _, s, e in truth):
+            return None
+        return lattice, {places[s, e]: LABELS.index(kind) for kind, s, e in truth}
     return None
 
 
@@ -271,7 +298,8 @@ def training_examples(texts: Iterable[str]) -> list[tuple[Lattice, dict[int, int
             head, tail = text[max(0, s - REACH // 2) : s], text[e : e + REACH // 2]
             if any(c in "0123456789@" for c in head + tail):
                 continue
-            for span in (text[s:e], damaged(kind, text[s:e], number + len(out))):
+            spans_of = [text[s:e], *(damaged(kind, text[s:e], n) for n in (range(len(out), len(out) + 9) if kind == "email" else [number + len(out)]))]
+            for span in spans_of:
                 out.append(_example(head + span + tail, [(kind, len(head), len(head) + len(span))]))
         for w in windows(text, covered):
             lattice = Lattice(w)

@@ -511,6 +511,41 @@ def test_personal_data(spark, docs, none):
     assert personal_spans(none, fit(none)).count() == 0
 
 
+SPELT = [
+    "john.doe [at] mail.example.com", "jane at example dot org", "jane.smith at mail.example.com", "u5.x (at) host5 dot example dot com",
+    "john [dot] doe [at] mail [dot] example [dot] co [dot] uk", "mary(at)uni(dot)example(dot)net",
+    "ana [dot] b [dot] c {at} example [dot] dept [dot] uni [dot] co [dot] uk",
+]
+
+
+def test_spelt_addresses(spark):
+    from framesift.llm.personal import KINDS, Lattice, find_spans, fit, redact, windows
+
+    r = random.Random(3)
+    data = [(i, f"{re.sub('[0-9]', '', text_of(i, 20))} mail {r.choice(WORDS)}{i}.x@host{i}.example.com soon {re.sub('[0-9]', '', text_of(i + 500, 30))}") for i in range(120)]
+    data += [(1000 + i, f"{re.sub('[0-9]', '', text_of(i, 20))} meet at noon, at the hill") for i in range(30)]
+    weights = fit(spark.createDataFrame(data, "doc_id long, text string"))
+    for address in SPELT:
+        text = f"please write to {address} for more on this"
+        spans = [(w.starts[i], w.ends[j - 1]) for w in windows(text, []) for i, j in Lattice(w).spans]
+        assert (16, 16 + len(address)) in spans
+        assert find_spans(text, weights) == ([], [(KINDS[0], 16, 16 + len(address))])
+    spelt = spark.createDataFrame([(i, f"please write to {a} for more on this") for i, a in enumerate(SPELT)], "doc_id long, text string")
+    assert {x["text"] for x in redact(spelt, weights).collect()} == {"please write to [EMAIL] for more on this"}
+    assert find_spans("we meet at noon. Then at home we sit at the fire", weights) == ([], [])
+
+
+def test_spelt_training_examples_have_their_span():
+    from framesift.llm.personal import KINDS, _example, damaged, training_examples
+
+    for number in range(40):
+        span = damaged("email", "jane.smith@mail.example.com", number)
+        example = _example(f"write to {span} now", [("email", 9, 9 + len(span))])
+        assert example and list(example[1].values()) == [0]
+    assert _example("b " * 30 + "1", [("phone", 0, 61)]) is None
+    assert all(gold for _, gold in training_examples(["write to jane.smith@mail.example.com now"])) and KINDS[0] == "email"
+
+
 def test_long_texts_take_linear_time():
     import time
 
