@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from framesift.operators.catalog import less_dense, without_siblings
+from framesift.plans.shared import shared_path
 
 CLIP = T.StructType([T.StructField("run", T.StringType()), T.StructField("clip_index", T.LongType()), T.StructField("frame_ids", T.ArrayType(T.LongType())), T.StructField("first_ms", T.LongType()), T.StructField("last_ms", T.LongType())])
 
@@ -105,7 +106,15 @@ def windowed_counts(stream: DataFrame, ts: str, window: str, slide: str | None =
 
 
 def run_to_table(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Run a stream over what is there now and return the result table (for bounded inputs and tests)."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+    """Run a stream over what is there now and return the result table: Parquet in the shared folder, a folder for each
+    micro-batch, which a repeated batch overwrites.  The last one is the table in complete mode, all of them in append mode."""
+    spark, path = stream.sparkSession, shared_path(stream.sparkSession, name)
+    done: dict[int, str] = {}
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/{number}")
+        done[number] = f"{path}/{number}"
+
+    stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    folders = [done[max(done)]] if done and mode == "complete" else list(done.values())
+    return spark.read.schema(stream.schema).parquet(*folders) if folders else spark.createDataFrame([], stream.schema)

@@ -272,3 +272,18 @@ def test_stream_clips_equal_batch(spark, tmp_path):
         for frame in cutter.handleInputRows(("r",), iter([pd.DataFrame({"ms": part, "id": part})]), None):
             out += frame["frame_ids"].tolist()
     assert out == [[0, 100, 200], [5000, 5100, 5200, 5300]]
+
+
+def test_streams_keep_no_rows_on_the_driver(spark, tmp_path):
+    from framesift.streaming.ingest import once_each, run_to_table
+
+    for i in range(3):
+        spark.range(i * 5, i * 5 + 10, 1, 1).selectExpr("id", "id % 4 AS kind").write.mode("append").parquet(str(tmp_path / "in"))
+    read = spark.readStream.schema("id long, kind long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = run_to_table(once_each(read, ["id"]), "each", "append", str(tmp_path / "c1"))
+    assert sorted(x["id"] for x in got.collect()) == list(range(20)) and got.inputFiles()
+    counted = run_to_table(read.groupBy("kind").count(), "counts", "complete", str(tmp_path / "c2"))
+    assert {x["kind"]: x["count"] for x in counted.collect()} == {0: 7, 1: 8, 2: 8, 3: 7} and counted.inputFiles()
+    (tmp_path / "none").mkdir()
+    empty = spark.readStream.schema("id long").parquet(str(tmp_path / "none"))
+    assert run_to_table(empty, "none", "append", str(tmp_path / "c3")).count() == 0
