@@ -9,7 +9,7 @@ from framesift.functions.jsontext import extracted_of
 from framesift.operators import boxes as B, catalog as C, decision, dedup as D, normalize as N, sequence as seq, tags as T
 from framesift.plans import fixtures as fx
 from framesift.plans.registry import query, table
-from framesift.plans.shared import shared_path
+from framesift.plans.shared import shared_path, write_shared
 from framesift.sources import readers as S, writers as K
 
 
@@ -242,11 +242,26 @@ def k5_package(spark, d):
  SELECT cast(user_id AS varchar) AS run, n, first_ms, last_ms FROM g WHERE n >= 5 AND (run_no, win) <> (SELECT max((run_no, win)) FROM g AS h WHERE h.user_id = g.user_id)""")
 def r2_stream_clips(spark, d):
     """Closed clips of a stream of frames; a run's last window is still open when the input ends."""
+    return _clip_stream(spark, d, False).select("run", F.size("frame_ids").alias("n"), "first_ms", "last_ms")
+
+
+def _clip_stream(spark, d, flush):
+    """The closed clips, with ``flush`` also those open when the input ends."""
     from framesift.streaming import ingest as R
 
-    folder = shared_path(spark, "frames")
+    folder, checkpoint = shared_path(spark, "frames"), shared_path(spark, "r2")
     fx.events_ms(spark, d).select(F.col("user_id").cast("string").alias("run"), "ms", F.col("event_id").alias("id")).repartition("run").write.parquet(folder)
     frames = spark.readStream.schema("run string, ms long, id long").parquet(folder)
     with R.rocks_state(spark):
-        clips = R.run_to_table(R.stream_clips(frames, 86_400_000, 30, 5), "r2_stream_clips", "append", shared_path(spark, "r2"))
-    return clips.select("run", F.size("frame_ids").alias("n"), "first_ms", "last_ms")
+        closed = R.run_to_table(R.stream_clips(frames, 86_400_000, 30, 5), "r2_stream_clips", "append", checkpoint)
+        return closed.unionByName(write_shared(R.open_clips(spark, checkpoint, 5), "r2-open")) if flush else closed
+
+
+@query("r2_stream_clips_flushed", """WITH e AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS ms FROM events),
+ c AS (SELECT *, CASE WHEN ms - lag(ms) OVER (PARTITION BY user_id ORDER BY ms, event_id) > 86400000 THEN 1 ELSE 0 END AS cut FROM e),
+ r AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY ms, event_id ROWS UNBOUNDED PRECEDING) AS run_no FROM c),
+ w AS (SELECT *, (row_number() OVER (PARTITION BY user_id, run_no ORDER BY ms, event_id) - 1) // 30 AS win FROM r)
+ SELECT cast(user_id AS varchar) AS run, count(*)::INT AS n, min(ms) AS first_ms, max(ms) AS last_ms FROM w GROUP BY user_id, run_no, win HAVING count(*) >= 5""")
+def r2_stream_clips_flushed(spark, d):
+    """All clips of a bounded stream of frames, the last window of each run included."""
+    return _clip_stream(spark, d, True).select("run", F.size("frame_ids").alias("n"), "first_ms", "last_ms")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import heapq
+import tempfile
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -14,6 +17,10 @@ from framesift.plans.shared import shared_path
 
 CLIP = T.StructType([T.StructField("run", T.StringType()), T.StructField("clip_index", T.LongType()), T.StructField("frame_ids", T.ArrayType(T.LongType())), T.StructField("first_ms", T.LongType()), T.StructField("last_ms", T.LongType())])
 
+OPEN = T.StructType([T.StructField("ids", T.ArrayType(T.LongType())), T.StructField("first_ms", T.LongType()), T.StructField("last_ms", T.LongType()), T.StructField("next", T.LongType())])
+#: Frames read at once from a sorted chunk, and clips handed back at once.
+SLICE = 256
+
 
 def discovery_round(found: DataFrame, manifest: DataFrame, jobs: DataFrame, step: int, most: int, first_run: bool) -> DataFrame:
     """Outcomes of one round over found files (path, dir): ``seed`` on the first run; else new folders less low-resolution
@@ -30,41 +37,69 @@ def discovery_round(found: DataFrame, manifest: DataFrame, jobs: DataFrame, step
     return new.join(marked.select("dir", outcome.alias("outcome")), "dir").select("path", "dir", "outcome")
 
 
+def frames_in_order(chunks: Iterator[pd.DataFrame]) -> Iterator[tuple[int, int]]:
+    """(ms, id) of all chunks by growing time, then id: sorted chunks wait in an unnamed scratch file and are merged in slices."""
+    with tempfile.TemporaryFile() as held:
+
+        def read(begin: int, n: int) -> Iterator[tuple[int, int]]:
+            for at in range(begin, begin + n, SLICE):
+                held.seek(at * 16)
+                yield from map(tuple, np.frombuffer(held.read(min(SLICE, begin + n - at) * 16), np.int64).reshape(-1, 2).tolist())
+
+        places, end = [], 0
+        for chunk in chunks:
+            own = chunk[["ms", "id"]].to_numpy(np.int64)
+            held.write(np.ascontiguousarray(own[np.lexsort((own[:, 1], own[:, 0]))]).tobytes())
+            places.append((end, len(own)))
+            end += len(own)
+        yield from heapq.merge(*[read(*p) for p in places])
+
+
 class ClipCutter(StatefulProcessor):
-    """Keeps one open window per run; a frame after a gap, or after a full window, closes it.
+    """Keeps one open window per run; a frame after a gap, or after a full window, closes it, and so does a timer where
+    ``quiet_ms`` is given: a run without frames for so long, by the clock.
 
     Frames of a run must arrive in order over batches (within a batch they are sorted).
     """
 
-    def __init__(self, gap_ms: int, size: int, least: int) -> None:
-        self.gap_ms, self.size, self.least = gap_ms, size, least
+    def __init__(self, gap_ms: int, size: int, least: int, quiet_ms: int | None = None) -> None:
+        self.gap_ms, self.size, self.least, self.quiet_ms = gap_ms, size, least, quiet_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        schema = T.StructType([T.StructField("ids", T.ArrayType(T.LongType())), T.StructField("first_ms", T.LongType()), T.StructField("last_ms", T.LongType()), T.StructField("next", T.LongType())])
-        self.state = handle.getValueState("open", schema)
+        self.handle = handle
+        self.state = handle.getValueState("open", OPEN)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         ids, first, last, number = self.state.get() if self.state.exists() else ([], None, None, 0)
         ids, out = list(ids), []
-        frames = pd.concat(list(rows)).sort_values(["ms", "id"])
 
-        def close() -> None:
-            nonlocal ids, number
-            if len(ids) >= self.least:
-                out.append((key[0], number, ids, first, last))
-                number += 1
-            ids = []
-
-        for ms, frame in zip(frames["ms"].tolist(), frames["id"].tolist(), strict=True):
+        for ms, frame in frames_in_order(rows):
             if ids and (ms - last > self.gap_ms or len(ids) >= self.size):
-                close()
+                if len(ids) >= self.least:
+                    out.append((key[0], number, ids, first, last))
+                    number += 1
+                ids = []
             if not ids:
                 first = ms
             ids.append(frame)
             last = ms
+            if len(out) >= SLICE:
+                yield pd.DataFrame(out, columns=CLIP.names)
+                out = []
         self.state.update((ids, first, last, number))
+        if self.quiet_ms is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.quiet_ms)
         if out:
-            yield pd.DataFrame(out, columns=[f.name for f in CLIP.fields])
+            yield pd.DataFrame(out, columns=CLIP.names)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        ids, first, last, number = self.state.get() if self.state.exists() else ([], None, None, 0)
+        long_enough = len(ids) >= self.least
+        self.state.update(([], None, None, number + long_enough))
+        if long_enough:
+            yield pd.DataFrame([(key[0], number, list(ids), first, last)], columns=CLIP.names)
 
     def close(self) -> None:
         pass
@@ -82,9 +117,16 @@ def rocks_state(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before) if before else spark.conf.unset(key)
 
 
-def stream_clips(frames: DataFrame, gap_ms: int, size: int, least: int) -> DataFrame:
+def stream_clips(frames: DataFrame, gap_ms: int, size: int, least: int, quiet_ms: int | None = None) -> DataFrame:
     """Closed clips of a stream of (run, ms, id)."""
-    return frames.groupBy("run").transformWithStateInPandas(ClipCutter(gap_ms, size, least), CLIP, "append", "none")
+    return frames.groupBy("run").transformWithStateInPandas(ClipCutter(gap_ms, size, least, quiet_ms), CLIP, "append", "none" if quiet_ms is None else "processingTime")
+
+
+def open_clips(spark: SparkSession, checkpoint: str, least: int) -> DataFrame:
+    """The windows that ``stream_clips`` left open when its bounded input ended, read from the state in ``checkpoint``."""
+    state = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "open").load()
+    clips = state.select("key.run", F.col("value.next").alias("clip_index"), F.col("value.ids").alias("frame_ids"), "value.first_ms", "value.last_ms")
+    return clips.where(F.size("frame_ids") >= least)
 
 
 def last_wins(batch: DataFrame, key: str, order: str) -> DataFrame:

@@ -287,3 +287,32 @@ def test_streams_keep_no_rows_on_the_driver(spark, tmp_path):
     (tmp_path / "none").mkdir()
     empty = spark.readStream.schema("id long").parquet(str(tmp_path / "none"))
     assert run_to_table(empty, "none", "append", str(tmp_path / "c3")).count() == 0
+
+
+def test_open_windows_are_flushed(spark, tmp_path):
+    import itertools
+    import time
+
+    import pandas as pd
+
+    from framesift.streaming.ingest import frames_in_order, open_clips, rocks_state, run_to_table, stream_clips
+
+    frames = [(int(ms), i) for i, ms in enumerate(random.Random(2).choices(range(500), k=2000))]
+    chunks = [pd.DataFrame(c, columns=["ms", "id"]) for c in itertools.batched(frames, 300)]
+    assert list(frames_in_order(iter(chunks))) == sorted(frames)
+
+    rows = [("a", ms, ms) for ms in (0, 100, 200, 5000, 5100)] + [("b", 7, 7), ("b", 8, 8)] + [("c", 1, 1)]
+    spark.createDataFrame(rows, "run string, ms long, id long").coalesce(1).write.parquet(str(tmp_path / "in"))
+    read = spark.readStream.schema("run string, ms long, id long").parquet(str(tmp_path / "in"))
+    with rocks_state(spark):
+        closed = run_to_table(stream_clips(read, 1000, 4, 2), "clips", "append", str(tmp_path / "c1"))
+        left = open_clips(spark, str(tmp_path / "c1"), 2)
+        assert closed.columns == left.columns
+        assert sorted((x["run"], x["clip_index"], x["frame_ids"]) for x in closed.union(left).collect()) == [("a", 0, [0, 100, 200]), ("a", 1, [5000, 5100]), ("b", 0, [7, 8])]
+        # an unbounded stream: the timer closes quiet runs
+        query = stream_clips(read, 1000, 4, 2, 100).writeStream.format("memory").queryName("timed").option("checkpointLocation", str(tmp_path / "c2")).start()
+        until = time.time() + 40
+        while time.time() < until and spark.table("timed").count() < 3:
+            time.sleep(0.2)
+        query.stop()
+        assert sorted((x["run"], x["clip_index"], x["frame_ids"]) for x in spark.table("timed").collect()) == [("a", 0, [0, 100, 200]), ("a", 1, [5000, 5100]), ("b", 0, [7, 8])]
