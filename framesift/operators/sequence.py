@@ -181,6 +181,15 @@ def evenly_spaced(items: Column, count: int) -> Column:
     return F.when(n <= count, items).when(F.lit(count == 1), F.slice(items, 1, 1)).otherwise(chosen)
 
 
+def evenly_spaced_rows(rows: DataFrame, key: str, item: str, count: int) -> DataFrame:
+    """(key, picks) as ``evenly_spaced`` of each key's items in order, for ``count`` of 2 or more; only picked items are collected."""
+    own = W.partitionBy(key)
+    placed = rows.withColumn("_at", F.row_number().over(own.orderBy(F.asc_nulls_last(item))) - 1).withColumn("_n", F.count(item).over(own))
+    picks = F.array(*[F.bround(F.lit(i) * (F.col("_n") - 1) / (count - 1), 0).cast("int") for i in range(count)])
+    chosen = placed.where((F.col("_n") <= count) | F.array_contains(picks, F.col("_at")))
+    return chosen.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("picks"))
+
+
 def ranked(rows: DataFrame, keys: list[str], order: list, name: str = "rank") -> DataFrame:
     return rows.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
 

@@ -83,8 +83,7 @@ def w8_clip_seconds(spark, d):
 @query("w9_evenly_spaced", """WITH o AS (SELECT user_id, list(event_id ORDER BY event_id) AS ids FROM events GROUP BY user_id)
  SELECT user_id, CASE WHEN len(ids) <= 5 THEN ids ELSE list_transform(list_distinct_ordered, lambda i: ids[i + 1]) END AS picks FROM (SELECT *, list_sort(list_distinct(list_transform(range(0, 5), lambda i: CAST(round_even(i * (len(ids) - 1) / 4, 0) AS BIGINT)))) AS list_distinct_ordered FROM o)""")
 def w9_evenly_spaced(spark, d):
-    ids = table(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list("event_id")).alias("ids"))
-    return ids.select("user_id", seq.evenly_spaced(F.col("ids"), 5).alias("picks"))
+    return seq.evenly_spaced_rows(table(spark, d, "events").select("user_id", "event_id"), "user_id", "event_id", 5)
 
 
 @query("w10_first_per_key", "SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1")

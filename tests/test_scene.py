@@ -316,3 +316,9 @@ def test_open_windows_are_flushed(spark, tmp_path):
             time.sleep(0.2)
         query.stop()
         assert sorted((x["run"], x["clip_index"], x["frame_ids"]) for x in spark.table("timed").collect()) == [("a", 0, [0, 100, 200]), ("a", 1, [5000, 5100]), ("b", 0, [7, 8])]
+
+
+def test_evenly_spaced_rows_collect_picks_only(spark):
+    rows = spark.range(1, 40).selectExpr("explode(sequence(0L, id - 1)) AS item", "id AS k")
+    got = {x["k"]: x["picks"] for x in seq.evenly_spaced_rows(rows, "k", "item", 5).collect()}
+    assert got == {n: list(range(n)) if n <= 5 else [round(i * (n - 1) / 4) for i in range(5)] for n in range(1, 40)}
