@@ -3,15 +3,16 @@
 A fingerprint of B bytes is a set of B (position, byte) postings.  Two fingerprints that differ in at
 most d bits differ in at most d bytes, so they share at least B - d postings: the guaranteed
 minimum.  The index is read at the combinations of positions that any pair with that many
-shared postings must have in common, pairs found there are tallied over all positions, kept when
-they reach the minimum, and verified bit by bit.
+shared postings must have in common; pairs found there are tallied over all eight positions, most of them fall short of
+the minimum and go, and those that reach it are verified bit by bit.
 
 For 64-bit fingerprints and d = 3 any five of eight positions hold three within one half, so
 eight keys of three positional bytes reach every link (``HALVES``).  Equal fingerprints are one
 node; each node's rows in the index are counted, not its documents.
 
 Long index lists.  A list is compared in one task, in blocks, and gives at most one link less than
-its nodes (a spanning forest of its links), never all pairs.  A list of over ``long_list`` nodes
+its nodes (a spanning forest of its links), never all pairs.  So a node meets at most 8 x ``long_list`` others,
+however large the corpus is: a list of over ``long_list`` nodes
 is split by two further positions (any five shared positions that include the three have two
 more), and those lists hold at most 2**24 distinct fingerprints since 40 of 64 bits are fixed;
 from ``FLIP_FROM`` nodes on, they are searched by flipping up to three of the 24 free bits, linear in
@@ -109,10 +110,21 @@ def positional_key(fp, positions: tuple[int, ...], number: int):
     return key
 
 
-def shared_bytes(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Tally of equal positional bytes of fingerprint pairs."""
-    diff = (x ^ y).astype("<u8")
-    return (diff[..., None].view(np.uint8) == 0).sum(axis=-1)
+LOW7 = np.uint64(0x7F7F7F7F7F7F7F7F)
+
+
+def shared_bytes(diff: np.ndarray) -> np.ndarray:
+    """Tally of equal positional bytes, for each 64-bit word of two fingerprints' difference (x ^ y)."""
+    # the high bit of a byte stays clear only where the whole byte is zero
+    return np.bitwise_count(~(((diff & LOW7) + LOW7) | diff | LOW7))
+
+
+def verified(x: np.ndarray, y: np.ndarray, distance: int) -> np.ndarray:
+    """Which pairs (broadcast) are links: first the count filter, then the differing bits of the pairs that pass it."""
+    diff = x ^ y
+    good = shared_bytes(diff) >= BYTES - distance
+    good[good] = np.bitwise_count(diff[good]) <= distance
+    return good
 
 
 class Forest:
@@ -134,18 +146,11 @@ class Forest:
 
 
 def _pairs_by_blocks(fps: np.ndarray, distance: int, block: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    least = BYTES - distance
     for i in range(0, len(fps), block):
-        x = fps[i : i + block]
         for j in range(i, len(fps), block):
-            y = fps[j : j + block]
-            diff = x[:, None] ^ y[None, :]
-            close = np.bitwise_count(diff) <= distance
-            if i == j:
-                close = np.triu(close, 1)
-            a, b = np.nonzero(close)
-            kept = shared_bytes(x[a], y[b]) >= least if len(a) else slice(0)
-            yield a[kept] + i, b[kept] + j
+            good = verified(fps[i : i + block, None], fps[None, j : j + block], distance)
+            a, b = np.nonzero(np.triu(good, 1) if i == j else good)
+            yield a + i, b + j
 
 
 def _pairs_by_flips(fps: np.ndarray, distance: int, free: tuple[int, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -157,6 +162,7 @@ def _pairs_by_flips(fps: np.ndarray, distance: int, free: tuple[int, ...]) -> It
             at = np.searchsorted(fps, other)
             hit = (at < len(fps)) & (fps[np.minimum(at, len(fps) - 1)] == other) & (other > fps)
             a = np.nonzero(hit)[0]
+            a = a[verified(fps[a], fps[at[a]], distance)]
             yield a, at[a]
 
 
@@ -170,30 +176,28 @@ def _forest_links(fps: np.ndarray, distance: int, free: tuple[int, ...] = ()) ->
     return [(int(signed[i]), int(signed[j])) for i, j in links]
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Keys, where each key's list begins, and fingerprints; the last list of a batch waits for its rest."""
-    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Keys, where each key's list begins, and the other columns; the last list of a batch waits for its rest."""
+    waiting: list[list[np.ndarray]] = []
 
-    def cut(key: np.ndarray, fp: np.ndarray):
-        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        return key, starts, fp
+    def cut(parts: list[list[np.ndarray]]) -> tuple[np.ndarray, ...]:
+        key, *rest = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return key, np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), *rest
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        key, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        if waiting and waiting[0][0][0] == key[-1]:
-            waiting.append((key, fp))
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        last = int(np.searchsorted(columns[0], columns[0][-1]))
+        if waiting and last == 0 and waiting[0][0][0] == columns[0][-1]:
+            waiting.append(columns)
             continue
-        last = int(np.searchsorted(key, key[-1]))
-        head = [*waiting, (key[:last], fp[:last])]
-        k, f = (np.concatenate(x) for x in zip(*head, strict=True))
-        if len(k):
-            yield cut(k, f)
-        waiting = [(key[last:], fp[last:])]
+        head = [*waiting, [c[:last] for c in columns]]
+        if sum(len(x[0]) for x in head):
+            yield cut(head)
+        waiting = [[c[last:] for c in columns]]
     if waiting:
-        k, f = (np.concatenate(x) for x in zip(*waiting, strict=True))
-        yield cut(k, f)
+        yield cut(waiting)
 
 
 def _search(distance: int, frees: list[tuple[int, ...]] | None = None, shift: int = 0):
@@ -207,8 +211,7 @@ def _search(distance: int, frees: list[tuple[int, ...]] | None = None, shift: in
             pairs = starts[ends - starts == 2]
             if len(pairs):
                 x, y = fp[pairs], fp[pairs + 1]
-                diff = x.view(np.uint64) ^ y.view(np.uint64)
-                good = (shared_bytes(x.view(np.uint64), y.view(np.uint64)) >= BYTES - distance) & (np.bitwise_count(diff) <= distance)
+                good = verified(x.view(np.uint64), y.view(np.uint64), distance)
                 links += zip(x[good].tolist(), y[good].tolist(), strict=True)
             for i in np.flatnonzero(ends - starts > 2):
                 own = fp[starts[i] : ends[i]].view(np.uint64)

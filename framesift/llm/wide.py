@@ -2,10 +2,19 @@
 
 Three of 64 bits are a far stricter likeness than a resemblance of 0.8 between sets of five-word shingles.  For
 that the same method runs on 2048 bits: the share of differing bits d gives the cosine cos(pi d) of the
-two shingle sets and with it the resemblance c / (2 - c), to about 0.01.  256 byte positions are
-indexed in 170 lists of three bytes, neighbouring and evenly spread ones; a pair at resemblance 0.8 shares a list value with
-probability 0.96, at 0.85 with 0.998, and exact copies always.  Pairs are tallied over all 256 positions, kept from
-``LEAST_SHARED`` equal bytes on (a pair at 0.8 has 68 on average, with a deviation of 7), and verified.
+two shingle sets and with it the resemblance c / (2 - c), to about 0.01.  The limit of differing bits lies ``SLACK``
+standard deviations above the expected number at the similarity, so that a pair just at it passes with probability 0.9.
+
+256 byte positions are indexed in lists, each keyed by the bytes at ``width`` random positions: three, and one more
+whenever the nodes outgrow ``NODES_A_KEY`` for each possible key.  There are so many lists that a pair at the similarity meets in one
+with probability ``MEETS`` (171 lists of three bytes) whatever the width; a pair at 0.85 does with 0.998, and exact copies always.  Pairs
+that meet are tallied over all 256 positions, kept from the least number of equal bytes on that any pair within the
+limit has (five standard deviations below its mean: no smaller number is guaranteed, as more bits may differ than there are
+bytes), and verified bit by bit.
+
+The lists are read in two rounds.  What the first ``1 / FIRST_SHARE`` of them links is one group; in the others, nodes of one group are
+never compared or linked again and lists of one group only are passed over, so a large group of near copies costs a few
+links a node, not one for every list.
 
 Lists of two give a pair, which is verified by a join with the fingerprints.  For longer lists the
 fingerprints come to the list: its medoid (the node nearest to the list's majority bits) is linked to every node it
@@ -17,8 +26,9 @@ linked already or their distances from that medoid differ by more than the limit
 of several parts is exact too; earlier parts' fingerprints wait in an unnamed scratch file, and ids, roots and
 distances take 18 bytes a node in memory.
 
-Defined results: blank texts form one group; texts of fewer than five words have one shingle; rows that
-repeat a doc_id are one document; rows with a null doc_id are never dropped.
+Defined results: blank and null texts form one group; texts of fewer than five words have one shingle; rows that
+repeat a doc_id are one document, of which every row is dropped or kept alike; rows with a null doc_id are never dropped; ties go to the
+smallest doc_id; other columns are carried whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,7 +44,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from framesift.llm.arrow import map_rows
-from framesift.llm.simhash import _runs, bit_counts
+from framesift.llm.simhash import _runs, bit_counts, shared_bytes
 from framesift.llm.words import MIX, mixed, run_hashes, word_hashes, words_of
 from framesift.plans.graph import connected_components
 from framesift.plans.shared import write_shared
@@ -42,15 +52,18 @@ from framesift.plans.shared import write_shared
 SHINGLE_WORDS = 5
 LANES = 32
 SIMILARITY = 0.8
-LEAST_SHARED = 40
+SLACK = 1.3
+MEETS = 0.965
+NODES_A_KEY = 64
+FIRST_SHARE = 7
 #: Shingles hashed at once.
 CHUNK = 4096
 LIST_NODES = 65_536
 #: Bits compared at once, in 64-bit words.
-CELL_WORDS = 4 << 20
+CELL_WORDS = 1 << 20
 
 PRINTS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("fp", T.BinaryType())])
-INDEX = T.StructType([T.StructField("key", T.LongType()), T.StructField("id", T.LongType())])
+INDEX = T.StructType([T.StructField("key", T.LongType()), T.StructField("id", T.LongType()), T.StructField("group", T.LongType())])
 #: A pair (id, other), or a node of a longer list (key, id).
 FOUND = T.StructType([T.StructField("key", T.LongType()), T.StructField("id", T.LongType()), T.StructField("other", T.LongType())])
 LINKS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
@@ -69,46 +82,72 @@ def wide_fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS, lanes
     return np.packbits(totals * 2 > len(hashes), bitorder="little").tobytes()
 
 
-def most_bits(similarity: float, bits: int) -> int:
-    """The number of differing bits that stands for ``similarity``."""
-    cosine = 2 * similarity / (1 + similarity)
-    return int(bits * math.acos(cosine) / math.pi)
+def differing_share(similarity: float) -> float:
+    """The expected share of differing bits of two texts of that resemblance."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def most_bits(similarity: float, bits: int, slack: float = SLACK) -> int:
+    """The number of differing bits up to which two fingerprints stand for ``similarity``."""
+    d = differing_share(similarity)
+    return int(bits * d + slack * math.sqrt(bits * d * (1 - d)))
+
+
+def least_bytes(most: int, bits: int) -> int:
+    """The number of equal bytes that any two fingerprints with ``most`` differing bits have."""
+    share = (1 - most / bits) ** 8
+    return max(0, math.floor(bits / 8 * share - 5 * math.sqrt(bits / 8 * share * (1 - share))))
+
 
+def list_width(nodes: int) -> int:
+    width = 3
+    while nodes > NODES_A_KEY << 8 * width:
+        width += 1
+    return width
 
-def list_positions(size: int) -> np.ndarray:
-    """Triples of byte positions: neighbours, and ones a third of the fingerprint apart."""
-    n = size // 3
-    at = np.arange(n)
-    return np.concatenate([np.stack([3 * at, 3 * at + 1, 3 * at + 2], axis=1), np.stack([at, at + n, at + 2 * n], axis=1)])
 
+def list_positions(size: int, width: int, similarity: float, meets: float = MEETS) -> np.ndarray:
+    """The byte positions of each list: random permutations, cut into pieces of ``width``."""
+    share = (1 - differing_share(similarity)) ** (8 * width)
+    lists, pieces = math.ceil(math.log(1 - meets) / math.log(1 - share)), size // width
+    draw = np.random.default_rng(width)
+    dealt = [draw.permutation(size)[: pieces * width].reshape(pieces, width) for _ in range(-(-lists // pieces))]
+    return np.concatenate(dealt)[:lists]
 
-def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, id) of every list a node belongs to; the key is the list's number and its three bytes."""
-    schema = to_arrow_schema(INDEX)
-    for batch in batches:
-        for at in range(0, batch.num_rows, 1024):
-            part = batch.slice(at, 1024)
-            b = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(part.num_rows, -1)
-            lists = list_positions(b.shape[1])
-            t = b[:, lists].astype(np.int64)
-            keys = np.arange(len(lists)) << 24 | t[..., 0] << 16 | t[..., 1] << 8 | t[..., 2]
-            ids = np.repeat(part.column(0).to_numpy(), len(lists))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(ids)], schema=schema)
+
+def _index(positions: np.ndarray, first: int):
+    """(key, id, group) of every list a node belongs to; the key is the list's number, from ``first`` on, and its bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = to_arrow_schema(INDEX)
+        n, width = positions.shape
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                b = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(part.num_rows, -1)
+                keys = np.broadcast_to(np.arange(first, first + n), (part.num_rows, n)).astype(np.int64)
+                for k in range(width):
+                    keys = keys << 8 | b[:, positions[:, k]]
+                ids, groups = (np.repeat(part.column(i).to_numpy(), n) for i in (0, 2))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(ids), pa.array(groups)], schema=schema)
+
+    return run
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs and longer lists of the sorted index; lists of one go."""
+    """Pairs and longer lists of the sorted index; lists of one node or of one group go."""
     schema = to_arrow_schema(FOUND)
 
     def batch(key, node, other) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (key, node, other)], schema=schema)
 
-    for key, starts, node in _runs(batches):
+    for key, starts, node, group in _runs(batches):
         sizes = np.diff(np.r_[starts, len(key)])
-        two = starts[sizes == 2]
+        mixed_groups = np.minimum.reduceat(group, starts) != np.maximum.reduceat(group, starts)
+        two = starts[(sizes == 2) & mixed_groups]
         if len(two):
             yield batch([None] * len(two), np.minimum(node[two], node[two + 1]), np.maximum(node[two], node[two + 1]))
-        longer = np.repeat(sizes > 2, sizes)
+        longer = np.repeat((sizes > 2) & mixed_groups, sizes)
         if longer.any():
             yield batch(key[longer], node[longer], [None] * int(longer.sum()))
 
@@ -116,35 +155,35 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def alike(x: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
     """Which fingerprints (rows of 64-bit words, broadcast) share enough bytes and differ in few enough bits."""
     diff = x ^ y
-    good = np.bitwise_count(diff).sum(axis=-1, dtype=np.int64) <= most
-    if good.any():  # the tally of shared positional bytes, of those that are left
-        good[good] = (np.ascontiguousarray(diff[good]).view(np.uint8) == 0).sum(axis=-1) >= LEAST_SHARED
+    good = shared_bytes(diff).sum(axis=-1, dtype=np.int64) >= least_bytes(most, 64 * diff.shape[-1])
+    if good.any():
+        good[good] = np.bitwise_count(diff[good]).sum(axis=-1, dtype=np.int64) <= most
     return good
 
 
-def list_links(nodes: np.ndarray, fps: np.ndarray, most: int) -> tuple[list[tuple[int, int]], int]:
-    """One list's components as links from their least node, and the place of the list's medoid."""
-    n = len(nodes)
+def list_links(groups: np.ndarray, fps: np.ndarray, most: int) -> tuple[list[tuple[int, int]], int]:
+    """One list's components as links from their least group, and the place of the list's medoid; nodes of equal group are linked already."""
+    n = len(groups)
+    names, labels = np.unique(groups, return_inverse=True)
     majority = np.packbits(bit_counts(fps) * 2 > n, bitorder="little").view("<u8")
     medoid = int(np.bitwise_count(fps ^ majority).sum(axis=1, dtype=np.int64).argmin())
     near = alike(fps, fps[medoid], most)
     near[medoid] = True
-    labels = np.where(near, medoid, np.arange(n))
-    rest = np.flatnonzero(~near)
+    up, touched = np.arange(len(names)), np.unique(labels[near])
+    up[touched] = touched[0]
+    labels = up[labels]
+    rest = np.flatnonzero(labels != labels[medoid])
     step = max(1, CELL_WORDS // (n * fps.shape[1]))
     for at in range(0, len(rest), step):
         part = rest[at : at + step]
         hits = alike(fps[part][:, None, :], fps[None, :, :], most)
         for u, row in zip(part.tolist(), hits, strict=True):
             for label in np.unique(labels[row]).tolist():
-                if label != labels[u]:
-                    labels[labels == label] = labels[u]
-    # from the least id, which many lists of one group share, so that their links are the same ones
-    least = np.full(n, np.iinfo(np.int64).max)
-    np.minimum.at(least, labels, nodes)
-    first = least[labels]
-    other = np.flatnonzero(first != nodes)
-    return list(zip(first[other].tolist(), nodes[other].tolist(), strict=True)), medoid
+                own = int(labels[u])
+                if label != own:
+                    labels[labels == max(label, own)] = min(label, own)
+    other = names[labels] != groups
+    return [tuple(x) for x in np.unique(np.stack([names[labels][other], groups[other]], axis=1), axis=0).tolist()], medoid
 
 
 def _roots(parent: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -188,21 +227,25 @@ def _join_alike(parent: np.ndarray, far: np.ndarray, rows: np.ndarray, x: np.nda
 
 
 def long_list_links(parts: Iterable[tuple[np.ndarray, np.ndarray]], most: int) -> Iterator[tuple[int, int]]:
-    """The components of a list that comes in parts (nodes, fingerprints) by growing node, as links from their least node."""
+    """The components of a list that comes in parts (groups, fingerprints), as links between its groups."""
     ids, parent, far = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int16)
     leader = None
     earlier: list[tuple[int, int, np.ndarray]] = []  # begin, end, places that do not match the leader
+    seen: dict[int, int] = {}  # a place of each group
     with tempfile.TemporaryFile() as held:
-        for nodes, fps in parts:
-            low, high = len(ids), len(ids) + len(nodes)
+        for groups, fps in parts:
+            low, high = len(ids), len(ids) + len(groups)
             places = np.arange(low, high)
-            links, medoid = list_links(places, fps, most)
+            names, at, own = np.unique(groups, return_index=True, return_inverse=True)
+            links, medoid = list_links(low + at[own], fps, most)
             if leader is None:
                 leader, leader_place = fps[medoid].copy(), medoid
-            ids, parent = np.r_[ids, nodes], np.r_[parent, places]
+            ids, parent = np.r_[ids, groups], np.r_[parent, low + at[own]]
             far = np.r_[far, np.bitwise_count(fps ^ leader).sum(axis=1, dtype=np.int16)]
-            for a, b in links:
-                parent[b] = a
+            again = [(low + int(p), seen.setdefault(g, low + int(p))) for g, p in zip(names.tolist(), at, strict=True)]
+            for pairs in (links, again):
+                if pairs:
+                    _join(parent, *np.array(pairs).T)
             near = alike(fps, leader, most)
             _join(parent, places[near], np.full(int(near.sum()), leader_place))
             rest = places[~near]
@@ -216,14 +259,16 @@ def long_list_links(parts: Iterable[tuple[np.ndarray, np.ndarray]], most: int) -
             held.write(np.ascontiguousarray(fps).tobytes())
             earlier.append((low, high, rest))
     for low, high, _ in earlier:
-        first = _roots(parent, np.arange(low, high))
-        other = np.flatnonzero(first != np.arange(low, high))
-        yield from zip(ids[first[other]].tolist(), ids[low + other].tolist(), strict=True)
+        first = ids[_roots(parent, np.arange(low, high))]
+        other = first != ids[low:high]
+        yield from (tuple(x) for x in np.unique(np.stack([first[other], ids[low:high][other]], axis=1), axis=0).tolist())
 
 
 def _search_lists(most: int):
+    """Links between groups from the sorted rows (key, id, fp, group) of whole lists."""
+
     def arrays(part: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        return np.array([r[1] for r in part], np.int64), np.frombuffer(b"".join(r[2] for r in part), "<u8").reshape(len(part), -1)
+        return np.array([r[3] for r in part], np.int64), np.frombuffer(b"".join(r[2] for r in part), "<u8").reshape(len(part), -1)
 
     def all_parts(part: list[tuple], own: Iterator[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         while part:
@@ -247,21 +292,34 @@ def _verify(most: int):
     return run
 
 
-def near_links(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Links (a, b) between the distinct fingerprints (id, fp) of ``nodes`` (a written table)."""
+def _links(nodes: DataFrame, positions: np.ndarray, first: int, most: int) -> DataFrame:
+    """Links between the groups of ``nodes`` (id, fp, group; a written table) in some of the lists."""
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    most = most_bits(similarity, 64 * LANES)
-    index = nodes.select("id", "fp").mapInArrow(_index, INDEX)
+    index = nodes.select("id", "fp", "group").mapInArrow(_index(positions, first), INDEX)
     found = write_shared(index.repartition(n, "key").sortWithinPartitions("key", "id").mapInArrow(_lists, FOUND), "lists")
-    a = nodes.select(F.col("id").alias("a_id"), F.col("fp").alias("a_fp"))
-    b = nodes.select(F.col("id").alias("b_id"), F.col("fp").alias("b_fp"))
+    a = nodes.select(F.col("id").alias("a_id"), F.col("fp").alias("a_fp"), F.col("group").alias("a_group"))
+    b = nodes.select(F.col("id").alias("b_id"), F.col("fp").alias("b_fp"), F.col("group").alias("b_group"))
     pairs = write_shared(found.where("other IS NOT NULL").select("id", "other").distinct(), "pairs")
-    both = pairs.join(a, F.col("id") == F.col("a_id")).join(b, F.col("other") == F.col("b_id")).select("id", "other", "a_fp", "b_fp")
-    lists = found.where("other IS NULL").select("key", "id").join(a, F.col("id") == F.col("a_id")).select("key", "id", "a_fp")
+    both = pairs.join(a, F.col("id") == F.col("a_id")).join(b, F.col("other") == F.col("b_id")).select("a_group", "b_group", "a_fp", "b_fp")
+    lists = found.where("other IS NULL").select("key", "id").join(a, F.col("id") == F.col("a_id")).select("key", "id", "a_fp", "a_group")
     lists = lists.repartition(n, "key").sortWithinPartitions("key", "id")
     return map_rows(both, _verify(most), LINKS).union(map_rows(lists, _search_lists(most), LINKS))
 
 
+def near_groups(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(id, fp, group) of the distinct fingerprints (id, fp) of ``nodes`` (a written table); ``group`` is the least id of the group."""
+    bits = 64 * LANES
+    positions = list_positions(bits // 8, list_width(nodes.count()), similarity)
+    cut = -(-len(positions) // FIRST_SHARE)
+    grouped = nodes.withColumn("group", F.col("id"))
+    for low, high in ((0, cut), (cut, len(positions))):
+        links = _links(grouped, positions[low:high], low, most_bits(similarity, bits))
+        named = connected_components(links).select(F.col("node").alias("was"), F.col("component").alias("now"))
+        joined = grouped.join(named, F.col("group") == F.col("was"), "left")
+        grouped = write_shared(joined.select("id", "fp", F.coalesce("now", "group").alias("group")), "near-groups")
+    return grouped
+
+
 def near_duplicate_ids(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, kept_id) of every document that a near-duplicate with a smaller doc_id stands for."""
 
@@ -271,10 +329,7 @@ def near_duplicate_ids(docs: DataFrame, similarity: float = SIMILARITY) -> DataF
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
     prints = write_shared(map_rows(rows, prints_of, PRINTS), "wide-prints")
     nodes = write_shared(prints.groupBy("fp").agg(F.min("doc_id").alias("id")), "wide-nodes")
-    groups = write_shared(connected_components(near_links(nodes, similarity)), "groups")
-    owners = write_shared(
-        nodes.join(groups, nodes["id"] == groups["node"], "left").select(F.col("fp").alias("node_fp"), F.coalesce("component", "id").alias("kept_id")), "wide-owners"
-    )
+    owners = near_groups(nodes.select("id", "fp"), similarity).select(F.col("fp").alias("node_fp"), F.col("group").alias("kept_id"))
     return prints.join(owners, prints["fp"] == owners["node_fp"]).where("doc_id <> kept_id").select("doc_id", "kept_id").distinct()
 
 

@@ -233,7 +233,7 @@ def test_long_lists_in_parts_equal_all_pairs(monkeypatch, part, cells):
         row[r.choice(700, at, replace=False)] ^= 1
     fps = np.packbits(bits, axis=1, bitorder="little").view("<u8")
     ids = np.sort(r.choice(10_000, 100, replace=False))
-    rows = [(key, int(i), fp.tobytes()) for key in (1, 2) for i, fp in zip(ids[:: 3 - key], fps[:: 3 - key], strict=True)]
+    rows = [(key, int(i), fp.tobytes(), int(i)) for key in (1, 2) for i, fp in zip(ids[:: 3 - key], fps[:: 3 - key], strict=True)]
     links = list(wide._search_lists(310)(iter(rows)))
 
     def components(pairs, nodes):
@@ -254,6 +254,49 @@ def test_long_lists_in_parts_equal_all_pairs(monkeypatch, part, cells):
     assert components(links, ids.tolist()) == components(want, ids.tolist())
     assert 1 < len(components(want, ids.tolist())) < 100
     assert len(links) < 150 and all(a < b for a, b in links)
+    # nodes that an earlier round has joined are one group, which stays one and is not linked again
+    joined = {i: x[0] for x in components(want, ids.tolist()) for i in x}
+    mixed = [(key, i, fp, joined[i] if i % 3 else i) for key, i, fp, _ in rows]
+    found = list(wide._search_lists(310)(iter(mixed)))
+    own = [(g, i) for _, i, _, g in mixed]
+    assert components([*found, *own], ids.tolist()) == components(want, ids.tolist()) and len(found) <= len(links)
+    assert not list(wide._search_lists(310)(iter([(key, i, fp, 5) for key, i, fp, _ in rows])))
+
+
+def test_wide_lists_meet():
+    """Lists of any width meet a pair at the limit as often; the count filter rejects pairs and loses none within the limit."""
+    from framesift.llm import wide
+    from framesift.llm.simhash import shared_bytes
+
+    assert [wide.list_width(n) for n in (0, 1 << 30, (1 << 30) + 1, 1 << 38)] == [3, 3, 4, 4]
+    share = 1 - wide.differing_share(0.8)
+    for width in (3, 4):
+        lists = wide.list_positions(256, width, 0.8)
+        assert lists.shape[1] == width and all(len(set(x)) == width for x in lists.tolist())
+        assert 0.965 <= 1 - (1 - share ** (8 * width)) ** len(lists) < 0.967
+    r = np.random.default_rng(3)
+    a = r.integers(0, 2, (400, 2048), dtype=np.uint8)
+    b = a ^ (r.random((400, 2048)) < np.linspace(0.1, 0.3, 400)[:, None])
+    x, y = (np.packbits(v, axis=1, bitorder="little").view("<u8") for v in (a, b))
+    most = wide.most_bits(0.8, 2048)
+    bits, tally = (a != b).sum(axis=1), shared_bytes(x ^ y).sum(axis=1)
+    assert (tally == (np.packbits(a, axis=1) == np.packbits(b, axis=1)).sum(axis=1)).all()
+    assert (wide.alike(x, y, most) == (bits <= most)).all() and (tally < wide.least_bytes(most, 2048)).sum() > 50
+
+
+def test_count_filter_of_64_bits():
+    """Most pairs of an index list share too few bytes; only those that reach the minimum are compared bit by bit."""
+    from framesift.llm import simhash
+
+    r = np.random.default_rng(2)
+    fps = (r.integers(0, 1 << 40, 500).astype(np.uint64) << np.uint64(24)) | np.uint64(0xABCDEF)  # one list: three bytes are equal
+    near = fps ^ (np.uint64(1) << r.integers(24, 64, 500).astype(np.uint64))
+    both = np.r_[fps, near]
+    diff = both[:, None] ^ both[None, :]
+    tally = simhash.shared_bytes(diff)
+    assert (tally == (diff[..., None].view(np.uint8) == 0).sum(axis=-1)).all()
+    want = np.bitwise_count(diff) <= 3
+    assert (simhash.verified(both[:, None], both[None, :], 3) == want).all() and want.sum() > 1500 and (tally < 5).mean() > 0.9
 
 
 
