@@ -641,6 +641,40 @@ def test_licenses(spark, docs, none):
     assert license_scan(docs).count() == docs.count() and license_scan(none).count() == 0
 
 
+def test_licence_table_and_sql(spark, tmp_path):
+    """Every known text is found as a whole document, wrapped under a copyright line, and as a paragraph of another; the SQL agrees."""
+    import textwrap
+
+    import duckdb
+
+    from framesift.llm.licenses import KNOWN, NEEDLES, known_digests, license_scan, license_scan_sql
+
+    table = known_digests(spark).collect()
+    assert len({r["known_digest"] for r in table}) == len(table) == len(KNOWN)
+    assert all(any(n in text.lower() for n in NEEDLES) for _, text in KNOWN)
+    data, want = [], {}
+    for i, (name, text) in enumerate(KNOWN):
+        wrapped = textwrap.fill(text.upper() if i % 2 else text, 70)
+        data += [(3 * i, f"Copyright (c) 2020 A\r\n\u00a9 2021 B, all rights reserved\n{wrapped}\n"), (3 * i + 1, f"some words\n\n  \n{wrapped}\n\nmore words"), (3 * i + 2, text + " and more")]
+        want |= {3 * i: (name, name if text == wrapped else None), 3 * i + 1: (None, name), 3 * i + 2: (None, "")}
+    long_line = "Copyright 2020 A. " + KNOWN[0][1]
+    data += [(9000, long_line), (9001, None), (9002, " \r\n"), (None, KNOWN[0][1]), (9003, KNOWN[0][1] + "\n" + KNOWN[0][1]), (9003, KNOWN[0][1] + "\n" + KNOWN[0][1])]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    got = license_scan(docs.withColumns({"row": F.lit(1), "part": F.lit("x"), "license": F.lit("y")})).collect()
+    assert len(got) == len(data)
+    for r in got:
+        if r["doc_id"] in want:
+            license, notices = want[r["doc_id"]]
+            assert r["license"] == license and (notices is None or r["notices"] == notices), (r, KNOWN[r["doc_id"] // 3])
+    named = {r["doc_id"]: r for r in got}
+    assert named[9000]["license"] is None and named[9003]["n_notices"] == 3 - 1 and named[None]["license"] == "MIT" and named[9001]["digest"] == named[9002]["digest"]
+    docs.write.parquet(f"{tmp_path}/d")
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from '{tmp_path}/d/*.parquet'")
+    rows = c.sql(license_scan_sql()).fetchall()
+    assert sorted(map(str, rows)) == sorted(str(tuple(r)) for r in got)
+
+
 def test_licence_scan_runs_no_python(spark, docs):
     from framesift.llm.licenses import license_scan
 
