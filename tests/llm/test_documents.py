@@ -407,9 +407,9 @@ def test_toxicity(spark, docs, labels, none):
 # language model
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
 def test_backoff(docs, rows, none, order):
-    from framesift.llm.backoff import PRIOR, backoff_scores
+    from framesift.llm.backoff import PRIORS, backoff_scores
 
     learn = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 1
     got = backoff_scores(docs, learn, order=order, block_chars=20_000, bucket_entries=500).collect()
@@ -430,7 +430,8 @@ def test_backoff(docs, rows, none, order):
             for n in range(2, min(order, i + 1) + 1):
                 context = counts[n - 2].get(tuple(w[i - n + 1 : i]), 0)
                 if context:
-                    p = (counts[n - 1].get(tuple(w[i - n + 1 : i + 1]), 0) + PRIOR * p) / (context + PRIOR)
+                    prior = PRIORS[min(n - 2, len(PRIORS) - 1)]
+                    p = (counts[n - 1].get(tuple(w[i - n + 1 : i + 1]), 0) + prior * p) / (context + prior)
             score += np.log10(p)
         want.setdefault(d, []).append((len(w), sum((x,) in counts[0] for x in w), base, score))
     assert len(got) == len(rows)
@@ -440,6 +441,30 @@ def test_backoff(docs, rows, none, order):
     assert backoff_scores(none, learn).count() == 0
 
 
+def test_automaton_states_and_arcs():
+    """a b a b c is learnt, a b c and b d are scored: states, failure arcs and arcs by hand."""
+    from framesift.llm.backoff import Automaton, Grams
+
+    grams = Grams([(1, True, b"a b a b c"), (2, False, b"a b c"), (3, False, b"b d")], 3, 64)
+    counts = [grams.own_counts(n) for n in (1, 2, 3)]
+    m = Automaton(grams, counts, (2.0, 1.0), 6, 4)
+
+    def number(length, token):
+        return int(m.base[length - 1]) + int(grams.at[length - 1][token])
+
+    a, b, ab, abc, bc = number(1, 0), number(1, 1), number(2, 1), number(3, 4), number(2, 4)
+    bd, d = number(2, 11), number(1, 11)
+    assert m.level[[a, b, ab]].tolist() == [1, 1, 2] and m.failure[[a, b, ab]].tolist() == [0, 0, b]
+    assert m.arc[[a, ab, abc, bc, d]].all() and not m.arc[bd]
+    assert m.target[[a, ab, abc, d]].tolist() == [a, ab, bc, 0]
+    assert np.allclose(10 ** m.price[[a, b, ab]], [2 / 4, 2 / 4, 1 / 3])
+    p = (np.array(counts[0]) + 0.5) / (6 + 2.5)
+    one = lambda token: p[grams.at[0][token]]
+    p_bc = (1 + 2 * one(4)) / 4
+    assert np.isclose(10 ** m.weight[abc], (1 + p_bc) / 3)
+    assert np.isclose(m.scores(grams)[2], np.log10(one(1) * (2 / 4) * one(11) * one(12)))
+
+
 # decontamination
 
 
