@@ -18,8 +18,8 @@ buckets by hash; a bucket adds up all blocks' counts and answers each block with
 question.  So every count covers all training texts, a frequent word costs one entry a block, and
 blocks and buckets have a bounded size at any input size.  Messages are the pairs of blocks and buckets that have an n-gram in common: their
 number grows faster than the input while they shrink, and never beyond the n-grams asked for.  Tasks are at most ``MAX_TASKS``, each reading its blocks
-one after the other.  Words have 64-bit hashes; longer n-grams have 20 bits more than the corpus's characters need to be
-numbered, so about one in a million is mistaken for another at any size.
+one after the other.  Words have 64-bit hashes; longer n-grams have 16 bits more than the corpus's characters need to be
+numbered, so fewer than one in 65,000 are mistaken for another at any size.
 
 Defined results: null and blank texts are the end token alone; rows with ``learn`` null or false are
 scored but not learned from; repeated rows are learned and scored one by one; without training rows N and
@@ -44,7 +44,9 @@ from framesift.plans.shared import write_shared
 ORDER = 3
 #: Weight of the shorter context's distribution, in counts, for contexts of one word, two and so on; the last holds for longer ones.
 PRIORS = (800.0, 10.0)
-BLOCK_CHARS = 8 << 20
+BLOCK_CHARS = 6 << 20
+#: Tokens that are read one after the other.
+PIECE = 512
 BUCKET_ENTRIES = 2_000_000
 MAX_TASKS = 10_000
 #: Bytes of texts that one task holds back to pack texts of the same block together.
@@ -106,7 +108,7 @@ END = np.uint64(word_hashes([b""])[0])
 
 
 class Grams:
-    """The n-grams of one block: for each length its distinct hashes, the token that first ends each, and
+    """The n-grams of one block: for each length its distinct hashes, a token that ends each, and
     token by token the n-gram that it ends (-1: none)."""
 
     def __init__(self, docs: list[tuple], order: int, bits: int) -> None:
@@ -117,15 +119,17 @@ class Grams:
         tokens = np.concatenate(per_doc)
         del per_doc
         offset = np.arange(len(tokens), dtype=np.int32) - np.repeat(self.starts, sizes).astype(np.int32)
-        self.hashes, self.at, self.first = [], [], []
+        self.hashes, self.at, self.where = [], [], []
         for length in range(1, order + 1):
             whole = np.flatnonzero(offset >= length - 1).astype(np.int32)
             grams = tokens if length == 1 else run_hashes(tokens, length)[whole - length + 1] >> np.uint64(64 - bits) if len(whole) else tokens[:0]
-            distinct, first, inverse = np.unique(grams, return_index=True, return_inverse=True)
-            at = np.full(len(tokens), -1, np.int32)
+            distinct, inverse = np.unique(grams, return_inverse=True)
+            del grams
+            at, where = np.full(len(tokens), -1, np.int32), np.zeros(len(distinct), np.int32)
             at[whole] = inverse
+            where[inverse] = whole
             self.hashes.append(distinct)
-            self.first.append(whole[first])
+            self.where.append(where)
             self.at.append(at)
 
     def own_counts(self, length: int) -> np.ndarray:
@@ -193,7 +197,7 @@ class Automaton:
                 self.arc[own] = True  # words that were never seen share the unknown word's arc, which leads to no context
                 suffix = np.zeros(len(count), np.int64)
             else:
-                at, ends = grams.at[length - 2], grams.first[length - 1]
+                at, ends = grams.at[length - 2], grams.where[length - 1]
                 prior = priors[min(length - 2, len(priors) - 1)]
                 suffix = int(self.base[length - 2]) + at[ends]
                 context_count = counts[length - 2][at[ends - 1]]
@@ -210,14 +214,26 @@ class Automaton:
             shorter = p
 
     def scores(self, grams: Grams) -> np.ndarray:
-        """One log10 probability a text: all texts of the block are read side by side from left to right."""
+        """One log10 probability a text: all texts of the block are read side by side from left to right.
+
+        A state depends on the last ``order`` - 1 tokens only, so a long text is read in pieces, each of which takes up its state
+        from the tokens before it.
+        """
         order = len(grams.at)
-        by_size = np.argsort(-grams.sizes, kind="stable")
-        starts, sizes = grams.starts[by_size], grams.sizes[by_size]
-        active = np.searchsorted(-sizes, -np.arange(int(sizes[0])), side="left")  # texts that have a token at each step
+        pieces = -(-grams.sizes // PIECE)
+        text = np.repeat(np.arange(len(pieces)), pieces)
+        begin = PIECE * (np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+        sizes = np.minimum(PIECE, grams.sizes[text] - begin)
+        warm = np.where(begin > 0, order - 1, 0)
+        starts, sizes = grams.starts[text] + begin - warm, sizes + warm
+        by_size = np.argsort(-sizes, kind="stable")
+        starts, sizes, warm, text = starts[by_size], sizes[by_size], warm[by_size], text[by_size]
+        active = np.searchsorted(-sizes, -np.arange(int(sizes[0])), side="left")  # pieces that have a token at each step
         state, out = np.zeros(len(sizes), np.int32), np.zeros(len(sizes))
         for step, n in enumerate(active.tolist()):
             at, now = starts[:n] + step, state[:n]
+            if step == order - 1:
+                out[warm > 0] = 0.0
             for level in range(min(step, order - 1), -1, -1):
                 here = np.flatnonzero((now >= 0) & (self.level[np.maximum(now, 0)] == level))
                 if not len(here):
@@ -230,9 +246,7 @@ class Automaton:
                 out[failed] += self.price[now[failed]]
                 now[failed] = self.failure[now[failed]]
             np.subtract(-1, now, out=now)
-        back = np.empty_like(out)
-        back[by_size] = out
-        return back
+        return np.bincount(text, weights=out, minlength=len(pieces))
 
 
 def _traverse(order: int, bits: int, priors: tuple[float, ...], total: int, vocabulary: int):
@@ -271,7 +285,7 @@ def backoff_scores(docs: DataFrame, learn: Column, order: int = ORDER, priors: t
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(learn, F.lit(False)).alias("learn"), text.alias("text"))
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    bits = min(64, int(chars).bit_length() + 20)
+    bits = min(64, int(chars).bit_length() + 16)
     blocks = max(1, -(-chars // block_chars))
     buckets = max(1, -(-chars * order // (6 * bucket_entries)))
     tasks = min(blocks, MAX_TASKS)

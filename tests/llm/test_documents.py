@@ -408,7 +408,7 @@ def test_toxicity(spark, docs, labels, none):
 
 
 @pytest.mark.parametrize("order", [1, 2, 3, 4])
-def test_backoff(docs, rows, none, order):
+def test_backoff(docs, rows, none, order, monkeypatch):
     from framesift.llm.backoff import PRIORS, backoff_scores
 
     learn = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 1
@@ -465,6 +465,22 @@ def test_automaton_states_and_arcs():
     assert np.isclose(m.scores(grams)[2], np.log10(one(1) * (2 / 4) * one(11) * one(12)))
 
 
+def test_automaton_in_pieces(monkeypatch):
+    from framesift.llm import backoff
+
+    r = random.Random(4)
+    docs = [(i, i % 3 > 0, " ".join(r.choice("abcde") for _ in range(n)).encode()) for i, n in enumerate([0, 1, 2, 3, 40, 200, 1300])]
+    for order in (1, 2, 3, 4):
+        grams = backoff.Grams(docs, order, 64)
+        counts = [grams.own_counts(n) for n in range(1, order + 1)]
+        m = backoff.Automaton(grams, counts, (5.0, 2.0), int(counts[0].sum()), int((counts[0] > 0).sum()))
+        monkeypatch.setattr(backoff, "PIECE", 1 << 20)
+        whole = m.scores(grams)
+        for piece in (5, 7, 64):
+            monkeypatch.setattr(backoff, "PIECE", piece)
+            assert np.allclose(m.scores(grams), whole)
+
+
 # decontamination
 
 
