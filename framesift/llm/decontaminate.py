@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from framesift.llm.arrow import map_rows
-from framesift.llm.words import run_hashes, word_hashes
+from framesift.llm.words import row_keys, run_hashes, without_rows, word_hashes
 from framesift.plans.shared import write_shared
 
 SEED_WORDS = 3
@@ -43,7 +43,7 @@ WORD = re.compile(r"[^\W_]+")
 
 COUNTS = T.StructType([T.StructField("word", T.LongType()), T.StructField("n", T.LongType())])
 LEAKS = T.StructType([
-    T.StructField("doc_id", T.LongType()), T.StructField("row", T.LongType()), T.StructField("item_id", T.LongType()), T.StructField("score", T.DoubleType()),
+    T.StructField("doc_id", T.LongType()), T.StructField("row", T.LongType()), T.StructField("row2", T.LongType()), T.StructField("item_id", T.LongType()), T.StructField("score", T.DoubleType()),
     T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("n_seeds", T.LongType()),
 ])
 
@@ -133,7 +133,7 @@ def _count(wanted: set[int]):
 
 def _find(seeds: Seeds, seed_words: int, threshold: float):
     def run(rows: Iterator[tuple]) -> Iterable[tuple]:
-        for doc_id, row, text in rows:
+        for doc_id, row, row2, text in rows:
             words = words_of(text)
             hashes = word_hashes(words)
             if not len(hashes):
@@ -158,18 +158,18 @@ def _find(seeds: Seeds, seed_words: int, threshold: float):
                     at = last + 1
                 if best[0] >= threshold:
                     spans = [m.span() for m in WORD.finditer(text)]
-                    yield doc_id, row, item_id, best[0], spans[-best[1]][0], spans[best[2] - 1][1], len(spots)
+                    yield doc_id, row, row2, item_id, best[0], spans[-best[1]][0], spans[best[2] - 1][1], len(spots)
 
     return run
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, seed_words: int = SEED_WORDS, threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """One row per document and test item it holds: doc_id, row, item_id, score of the best passage, its
+    """One row per document and test item it holds: doc_id, row, row2, item_id, score of the best passage, its
     code points start and end, and the number of seeds found.
 
-    ``row`` is a hash of id and text, which marks the row where ids repeat or are null.
+    ``row`` and ``row2`` are hashes of id and text, which mark the row where ids repeat or are null.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", F.col("text").cast("string")).alias("row"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_keys(docs), F.col("text").cast("string").alias("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-total // (5 * block_words)))
@@ -195,6 +195,4 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, seed_words: int = SEED_WOR
 
 def without_leaks(docs: DataFrame, leaks: DataFrame) -> DataFrame:
     """``docs`` less the rows that hold a test item; all columns stay as they are."""
-    marked = write_shared(leaks.select(F.col("row").alias("_leaked")).distinct(), "leaked")
-    # the marked rows grow with the documents, so they are never broadcast
-    return docs.join(marked.hint("merge"), F.xxhash64(docs["doc_id"], docs["text"].cast("string")) == F.col("_leaked"), "left_anti")
+    return without_rows(docs, write_shared(leaks.select("row", "row2").distinct(), "leaked"))

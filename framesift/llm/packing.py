@@ -2,7 +2,8 @@
 
 Every document is tokenised, closed by one end id and cut into pieces whose lengths are
 powers of two: as many pieces of ``max_length`` as fit, then the binary digits of the rest,
-longest first.  Pieces of equal length belong to one bucket; each piece is a sequence of its
+longest first.  Pieces of equal length belong to one bucket, and the bucket leads the sequence id, so ids of equal lengths are
+neighbours; ``write_buckets`` writes one folder a bucket, from which batches of one shape are read.  Each piece is a sequence of its
 own, so no sequence crosses documents and none needs padding.
 
 Defined results: a null text counts as empty and yields the end id alone (one piece of
@@ -24,6 +25,11 @@ MAX_LENGTH = 2048
 #: Distinct white-space separated chunks whose ids one worker remembers (about 150 bytes each).
 CACHE_CHUNKS = 400_000
 
+#: Characters of texts after which they are tokenised together.
+HELD_CHARS = 4 << 20
+#: Where a piece's bucket stands in its sequence id.
+BUCKET_SHIFT = 58
+
 PIECES = T.StructType([
     T.StructField("doc_id", T.LongType()),
     T.StructField("start", T.LongType()),
@@ -53,9 +59,15 @@ def byte_characters() -> list[str]:
     return [chr(b if b in kept else next(spare)) for b in range(256)]
 
 
+#: A tokenizer that lower-cases and never joins across white space gives these texts the ids of their chunks, however they are spelt.
+PROBES = ["Ab cD", "one  TWO\nthree", "x 1,2 y. Z", "don't Stop it's", "é É ß", "a-b  (c) [D]", "under_score __ w", "12 345 6", " lead", "tail ", "\t!\u00a0? ..", "Ünï code ﬁ 漢字 かな"]
+
+
 class ChunkIds:
     """Token ids of texts for a tokenizer that lower-cases and never joins across white space.
 
+    Whether the tokenizer is one is tried on ``PROBES``; any other encodes whole texts.
+
     A chunk between white space always gets the same ids, so they are remembered per chunk, as
     little-endian unsigned 32-bit bytes: a document's ids are one join.  A new chunk that is a word
     of Latin letters with closing punctuation goes straight to the vocabulary's merges, word and
@@ -73,6 +85,19 @@ class ChunkIds:
         self.limit = limit
         self.chunks: dict[bytes, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.by_chunks = self._chunks_alike()
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [b"".join([i.to_bytes(4, "little") for i in e.ids]) for e in encoded]
+
+    def _chunks_alike(self) -> bool:
+        """Whether the shortcuts give what the whole tokenizer gives."""
+        try:
+            chunked = self._by_chunks(PROBES)
+        except Exception:  # a model without the byte alphabet refuses the words' shown form
+            return False
+        return chunked == self._whole(PROBES)
 
     def _word(self, word: str) -> bytes:
         ids = self.words.get(word)
@@ -95,6 +120,9 @@ class ChunkIds:
             self.chunks[chunk] = b"".join([i.to_bytes(4, "little") for i in e.ids])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        return self._by_chunks(texts) if self.by_chunks else self._whole([t or "" for t in texts])
+
+    def _by_chunks(self, texts: list[str | None]) -> list[bytes]:
         if len(self.chunks) > self.limit:
             self.chunks, self.words = {}, {}
         # lower-casing A-Z at once halves the forms; a special token's own spelling must stay as it is
@@ -114,6 +142,7 @@ def _pack(tokenizer_path: str, end_id: int, max_length: int):
         coder = ChunkIds(tokenizer_path)
         end = end_id.to_bytes(4, "little")
         held: list[tuple] = []
+        chars = 0
 
         def flush() -> Iterator[tuple]:
             for (doc_id, _), ids in zip(held, coder.encode([t for _, t in held]), strict=True):
@@ -124,9 +153,10 @@ def _pack(tokenizer_path: str, end_id: int, max_length: int):
 
         for row in rows:
             held.append(row)
-            if len(held) >= 256:
+            chars += len(row[1] or "")
+            if len(held) >= 256 or chars >= HELD_CHARS:
                 yield from flush()
-                held = []
+                held, chars = [], 0
         yield from flush()
 
     return run
@@ -136,12 +166,18 @@ def pack_power_of_two(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID
     """Pieces of all documents: doc_id, start, length, doc_tokens, bucket (log2 of length), ids
     (binary, little-endian unsigned 32-bit), sequence_id and offset.
 
-    ``max_length`` must be a power of two.  Every piece is one whole sequence: ``offset`` is 0 and
+    ``max_length`` must be a power of two, 2**30 at most.  Every piece is one whole sequence: ``offset`` is 0 and
     ``sequence_id`` unique.  One narrow pass; nothing is shuffled, so a hot source costs nothing.
     The tokenizer file must lie at the same path on every machine.
     """
-    if max_length < 1 or max_length & (max_length - 1):
-        raise ValueError("max_length must be a power of two")
+    if not 1 <= max_length <= 1 << 30 or max_length & (max_length - 1):
+        raise ValueError("max_length must be a power of two, 2**30 at most")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     pieces = map_rows(rows, _pack(tokenizer_path, end_id, max_length), PIECES, weight=lambda r: len(r[5]))
-    return pieces.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
+    in_bucket = F.shiftleft(F.col("bucket").cast("long"), BUCKET_SHIFT)
+    return pieces.withColumns({"sequence_id": in_bucket.bitwiseOR(F.monotonically_increasing_id()), "offset": F.lit(0).cast("long")})
+
+
+def write_buckets(pieces: DataFrame, path: str) -> None:
+    """Write pieces as Parquet, one folder for each length (``bucket=k`` holds those of 2**k ids), without a shuffle."""
+    pieces.write.partitionBy("bucket").parquet(path)

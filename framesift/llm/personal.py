@@ -6,10 +6,13 @@ each trigger (a digit, ``@``, or the words "at"/"dot", in brackets or between wo
 run of up to ``MAX_TOKENS`` tokens that holds a trigger, and every spelt address however long, is a candidate segment of each kind, scored by
 features of the whole span (shape, digits, groups, separators, octets, Luhn, neighbours), and
 a dynamic programme over segment ends chooses boundaries and kinds of the window together, with tokens outside
-segments free.  Base spans are barriers: they always stay, and segments lie between them.
+segments free.  Base spans are barriers: they always stay, and segments lie between them.  Windows of a long run of triggers
+overlap, and a segment belongs to the window that holds it whole.
 
 The field is trained by gradient ascent on the conditional log likelihood (segment-level forward and backward
-sums) over at most ``TRAIN_WINDOWS`` windows of a hash sample of ``TRAIN_ROWS`` documents (documented bounds).
+sums) over at most ``TRAIN_WINDOWS`` windows of a hash sample of about ``TRAIN_ROWS`` documents (documented bounds): of each
+document, wherever in its text they stand, one span of each kind and ``TRIGGERS_A_TEXT`` other triggers, chosen by hash; of all
+those at most ``KIND_SNIPPETS`` for each kind come first, so that rare kinds are learnt too, and the other triggers fill up.
 There are no labels, so base spans and strong secrets (long hexadecimal runs, access key ids) serve as the truth; every
 base span is also shown once in a damaged spelling that keeps its label, which teaches what the patterns
 cannot match; an address is shown in nine, with fewer and more parts and without digits.  A word, "at" and a host
@@ -23,14 +26,17 @@ time linear in the text, long runs of digits or letters included.
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterable, Iterator
+from itertools import zip_longest
 
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from framesift.llm.arrow import map_rows
+from framesift.llm.words import hash_share
 
 KINDS = ["email", "ip", "card", "phone"]
 ADDED = ["secret"]
@@ -38,7 +44,9 @@ LABELS = [*KINDS, *ADDED]
 MAX_TOKENS = 24
 MARGIN = 3
 TRAIN_ROWS = 4000
-TRAIN_WINDOWS = 500
+TRAIN_WINDOWS = 1000
+KIND_SNIPPETS = 40
+TRIGGERS_A_TEXT = 4
 EPOCHS = 6
 BITS = 14
 
@@ -107,21 +115,24 @@ HEX = re.compile(r"[0-9A-Fa-f]{24,}|AKIA[0-9A-Z]{16}")
 
 
 class Window:
-    """Tokens (start, end) around triggers, free of base spans; ``hot``: which tokens hold a trigger."""
+    """Tokens (start, end) around triggers, free of base spans; ``hot``: which tokens hold a trigger; segments that begin
+    from ``low`` on and before ``high`` are this window's."""
 
-    __slots__ = ("ends", "hot", "starts", "text")
+    __slots__ = ("ends", "high", "hot", "low", "starts", "text")
 
-    def __init__(self, text: str, starts: list[int], ends: list[int], hot: list[bool]) -> None:
-        self.text, self.starts, self.ends, self.hot = text, starts, ends, hot
+    def __init__(self, text: str, starts: list[int], ends: list[int], hot: list[bool], low: int = 0, high: int = 1 << 62) -> None:
+        self.text, self.starts, self.ends, self.hot, self.low, self.high = text, starts, ends, hot, low, high
 
 
-#: Code points on either side of a trigger within which its window's tokens are cut.
-REACH = 48
+#: Code points on either side of a trigger within which its window's tokens are cut, and the longest window of many triggers.
+REACH, LONGEST = 48, 768
+#: How far a window reads beyond the place from which on segments belong to the next one, and back from where its own begin.
+BEYOND, BACK = 192, 32
 
 
 def windows(text: str, barriers: list[tuple[int, int]]) -> Iterator[Window]:
     """Windows of the text's triggers that no barrier covers; nearby triggers share one."""
-    spots: list[tuple[int, int]] = []
+    spots: list[list[int]] = []  # begin, end, and where the segments that are its own begin and end
     barriers = sorted(barriers)
     b = 0
     for m in TRIGGER.finditer(text):
@@ -129,14 +140,18 @@ def windows(text: str, barriers: list[tuple[int, int]]) -> Iterator[Window]:
             b += 1
         if b < len(barriers) and barriers[b][0] < m.end():
             continue
-        low = barriers[b - 1][1] if b else 0
-        high = barriers[b][0] if b < len(barriers) else len(text)
-        low, high = max(low, m.start() - REACH), min(high, m.end() + REACH)
-        if spots and low <= spots[-1][1] and high - spots[-1][0] <= 16 * REACH:
-            spots[-1] = (spots[-1][0], max(high, spots[-1][1]))
-        else:
-            spots.append((max(low, spots[-1][1]) if spots and low < spots[-1][1] else low, high))
-    for low, high in spots:
+        floor = barriers[b - 1][1] if b else 0
+        ceiling = barriers[b][0] if b < len(barriers) else len(text)
+        low, high = max(floor, m.start() - REACH), min(ceiling, m.end() + REACH)
+        if not spots or low > spots[-1][1] or floor >= spots[-1][1]:
+            spots.append([low, high, low, len(text)])
+        elif high - spots[-1][2] <= LONGEST:
+            spots[-1][1] = max(high, spots[-1][1])
+        else:  # a long run of triggers: windows overlap
+            low = max(low, spots[-1][2] + 1)
+            spots[-1][1], spots[-1][3] = max(spots[-1][1], min(ceiling, low + BEYOND)), low
+            spots.append([max(floor, low - BACK), high, low, len(text)])
+    for low, high, own, after in spots:
         # a long run without breaks is whole in one token where it fits, cut at the window's edge where not
         tokens = [m.span() for m in TOKEN.finditer(text, low, high)]
         merged: list[tuple[int, int]] = []
@@ -146,7 +161,7 @@ def windows(text: str, barriers: list[tuple[int, int]]) -> Iterator[Window]:
             else:
                 merged.append((s, e))
         if merged:
-            yield Window(text, [s for s, _ in merged], [e for _, e in merged], [bool(TRIGGER.search(text[s:e])) or text[s:e].lower() in ("at", "dot") for s, e in merged])
+            yield Window(text, [s for s, _ in merged], [e for _, e in merged], [bool(TRIGGER.search(text[s:e])) or text[s:e].lower() in ("at", "dot") for s, e in merged], own, after)
 
 
 def shape(text: str) -> str:
@@ -170,8 +185,11 @@ def features(text: str, start: int, end: int, before: str, after: str) -> list[s
     if HEX.fullmatch(span):
         out.append("hex")
     found = ADDRESS.match(text, start, end + REACH) if "@" in span or "at" in low else None
-    if found and found.end() >= end:
-        out.append(f"address={found.end() == end and not WITHIN.search(text[max(0, start - 12) : start])}")
+    if found:
+        out.append("beyond address" if found.end() < end else f"address={found.end() == end and not WITHIN.search(text[max(0, start - 12) : start])}")
+    elif "@" in span or "at" in low:
+        out.append("no address")
+    out.append(f"words={min(len(span.split()), 9)}")
     if re.search(r"[.](?:com|org|net|[a-z]{2})$", low):
         out.append("domain")
     return out
@@ -270,13 +288,36 @@ def damaged(kind: str, span: str, number: int) -> str:
         span = varied(span, number)
         return span.replace("@", [" at ", " (at) ", " [at] ", "[at]", " {at} "][number % 5]).replace(".", [".", " dot ", " [dot] ", " (dot) "][number // 3 % 4])
     if kind == "phone":
-        return [span.lstrip("+"), "00" + span.lstrip("+"), re.sub(r"^\+[0-9]+ ?", "", span)][number % 3]
+        own = re.sub(r"^\+[0-9]{1,3}[ -]?", "", span)
+        groups = re.findall("[0-9]+", own)
+        return [span.lstrip("+"), "00" + span.lstrip("+"), own, "-".join(groups), " ".join(["0" + groups[0], *groups[1:]]), f"({groups[0]}) " + "-".join(groups[1:] or groups)][number % 6]
     if kind == "card":
         digits = re.sub("[^0-9]", "", span)
         return [".", "/", "_"][number % 3].join(digits[i : i + 4] for i in range(0, len(digits), 4))
     return span.replace(".", [" . ", ",", " dot "][number % 3])
 
 
+#: How many damaged spellings of a base span are shown.
+SPELLINGS = {"email": 9, "phone": 6, "card": 3, "ip": 3}
+#: Ordinary numbers, and "at" and "dot" as ordinary words: nothing personal.
+PLAIN = [
+    "{a}.{b}.{c}", "v{a}.{b}", "{a}/{b}/{y}", "{y}-0{c}-1{c}", "{a}:3{c}", "{a}:1{c}:4{b}", "${a},{y}.{a}", "{a}.{y} %", "{y} to {y}", "{y}/{c}", "{a} - {b} = {c}", "{a} x {b}", "no. {y}{a}", "{a} {y}",
+    "{a}{b} of {y}", "(see {c}.{a})", "[{a}]", "{a}st and {b}nd", "{y}s", "#{a}{y}", "at {a} or {b}", "at noon. They", "a dot in the", "{y}{y}{y}{y}", "{y} {y} {y} {y}", "{y}{a}-{y}-{y}-{y}", "a dot or two dots", "stay at sea. Then",
+]
+
+
+def plain_examples(texts: list[str]) -> Iterator[tuple[str, list]]:
+    """``PLAIN`` with numbers, between words of the snippets."""
+    words = [w for text in texts for w in re.findall(r"[^\W\d_]+[.,]?", text)] or ["a"]
+    for i in range(2 * len(PLAIN)):
+        number = {"a": 1 + i % 12, "b": 2 + i * 7 % 30, "c": 1 + i * 5 % 9, "y": 1900 + i * 37 % 130}
+        at = i * 13 % len(words)
+        plain = PLAIN[i % len(PLAIN)].format(**number)
+        if luhn(re.sub("[^0-9]", "", plain)):  # a long number that is no card
+            plain = plain[:-1] + "5731940628"[ord(plain[-1]) % 10]
+        yield " ".join([*words[at : at + 4], plain, *words[at + 4 : at + 8]]), []
+
+
 def _example(text: str, truth: list[tuple[str, int, int]]) -> tuple[Lattice, dict[int, int]] | None:
     """The lattice of the text's first window with the truth's candidates; None where a true span has no candidate."""
     for w in windows(text, []):
@@ -289,7 +330,13 @@ def _example(text: str, truth: list[tuple[str, int, int]]) -> tuple[Lattice, dic
 
 
 def training_examples(texts: Iterable[str]) -> list[tuple[Lattice, dict[int, int]]]:
-    """At most ``TRAIN_WINDOWS`` windows with their true segments."""
+    """At most ``TRAIN_WINDOWS`` windows of the texts with their true segments, and those of ordinary numbers."""
+    texts = list(texts)
+    plain = [_example(*x) for x in plain_examples(texts)]
+    return [x for x in [*_text_examples(texts), *plain] if x and x[0].n <= 80]
+
+
+def _text_examples(texts: Iterable[str]) -> list[tuple[Lattice, dict[int, int]] | None]:
     out: list = []
     for text in texts:
         spans = base_spans(text)
@@ -298,18 +345,21 @@ def training_examples(texts: Iterable[str]) -> list[tuple[Lattice, dict[int, int
             head, tail = text[max(0, s - REACH // 2) : s], text[e : e + REACH // 2]
             if any(c in "0123456789@" for c in head + tail):
                 continue
-            spans_of = [text[s:e], *(damaged(kind, text[s:e], n) for n in (range(len(out), len(out) + 9) if kind == "email" else [number + len(out)]))]
+            spans_of = [text[s:e], *(damaged(kind, text[s:e], n) for n in range(number + len(out), number + len(out) + SPELLINGS[kind]))]
             for span in spans_of:
                 out.append(_example(head + span + tail, [(kind, len(head), len(head) + len(span))]))
+        for m in [*HEX.finditer(text)][:1]:
+            head, tail = text[max(0, m.start() - REACH // 2) : m.start()], text[m.end() : m.end() + REACH // 2]
+            if not any(c in "0123456789@" for c in head + tail):
+                for size in (24, 32, 36):
+                    out.append(_example(head + m[0][:size] + tail, [("secret", len(head), len(head) + min(size, len(m[0])))]))
         for w in windows(text, covered):
             lattice = Lattice(w)
             gold = {c: LABELS.index("secret") for c, (i, j) in enumerate(lattice.spans) if j == i + 1 and HEX.fullmatch(text[w.starts[i] : w.ends[i]])}
             out.append((lattice, gold))
-            if len(out) >= TRAIN_WINDOWS:
-                return [x for x in out if x and x[0].n <= 120]
         if len(out) >= TRAIN_WINDOWS:
             break
-    return [x for x in out if x and x[0].n <= 120]
+    return out[:TRAIN_WINDOWS]
 
 
 def train(texts: Iterable[str], epochs: int = EPOCHS, rate: float = 0.5, decay: float = 1e-4) -> np.ndarray:
@@ -339,32 +389,51 @@ def find_spans(text: str, weights: np.ndarray | None) -> tuple[list[tuple[str, i
     base = base_spans(text)
     if weights is None:
         return base, []
-    added = []
+    added, last = [], 0
     for w in windows(text, [(s, e) for _, s, e in base]):
         lattice = Lattice(w)
         for i, j, label in best_segments(lattice, lattice.scores(weights)):
-            added.append((LABELS[label], w.starts[i], w.ends[j - 1]))
+            if max(w.low, last) <= w.starts[i] < w.high:
+                added.append((LABELS[label], w.starts[i], w.ends[j - 1]))
+                last = w.ends[j - 1]
     return base, sorted(added, key=lambda x: (LABELS.index(x[0]), x[1]))
 
 
+def snippets(text: str) -> Iterator[tuple[str, str]]:
+    """(kind, surroundings) of one span of each kind and of some other triggers (kind ""), chosen by hash over the whole text."""
+
+    def order(place: int) -> int:
+        return xxhash.xxh64_intdigest(f"{place}:{len(text)}".encode(), 3)
+
+    chosen: dict[str, tuple[int, int]] = {}
+    for kind, s, e in [*base_spans(text), *(("secret", *m.span()) for m in HEX.finditer(text))]:
+        if kind not in chosen or order(s) < order(chosen[kind][0]):
+            chosen[kind] = (s, e)
+    triggers = heapq.nsmallest(TRIGGERS_A_TEXT, (m.span() for m in TRIGGER.finditer(text)), key=lambda x: order(x[0]))
+    for kind, (s, e) in [*chosen.items(), *(("", x) for x in triggers)]:
+        yield kind, text[max(0, s - REACH) : min(e, s + 4 * REACH) + REACH]
+
+
+def balanced(found: Iterable[tuple[str, str]]) -> list[str]:
+    """Snippets in the order of their hashes: of each kind ``KIND_SNIPPETS`` at most first, then those of other triggers."""
+    order = sorted({(kind, text) for kind, text in found}, key=lambda x: (xxhash.xxh64_intdigest(x[1].encode("utf-8", "replace")), x))
+    first = [[x for k, x in order if k == kind][:KIND_SNIPPETS] for kind in LABELS]
+    return [*(x for group in zip_longest(*first) for x in group if x is not None), *(x for k, x in order if not k)]
+
+
 def fit(docs: DataFrame, bound: int = TRAIN_ROWS) -> np.ndarray | None:
-    """Weights from a hash sample of about ``bound`` documents at most; None without any window."""
+    """Weights from a hash sample of about ``bound`` documents; None without any trigger in it."""
     text = F.col("text").cast("string")
-    n = docs.count()
-    share = min(1.0, bound / max(1, n))
-    sample = docs.where(F.pmod(F.xxhash64(F.lit(2), "doc_id", text), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))).select(text.alias("text"))
+    sample = docs.where(hash_share(2, bound, docs.count(), "doc_id", text)).select(text.alias("text"))
 
     def cut(rows: Iterator[tuple]) -> Iterable[tuple]:
-        """Only the surroundings of triggers, each bounded, go to the driver."""
+        """Only the surroundings of spans and triggers, each bounded in number and size, go to the driver."""
         for (value,) in rows:
-            for m in list(TRIGGER.finditer(value or ""))[:200:7][:4]:
-                low, high = max(0, m.start() - 2 * REACH), m.end() + 2 * REACH
-                yield (value[low:high],)
-
-    schema = T.StructType([T.StructField("text", T.StringType())])
-    texts = sorted(r["text"] for r in map_rows(sample, cut, schema).collect())
-    order = sorted(range(len(texts)), key=lambda i: xxhash.xxh64_intdigest(texts[i].encode("utf-8", "replace")))
-    return train(texts[i] for i in order) if texts else None
+            yield from snippets(value or "")
+
+    schema = T.StructType([T.StructField("kind", T.StringType()), T.StructField("text", T.StringType())])
+    texts = balanced((r["kind"], r["text"]) for r in map_rows(sample, cut, schema).collect())
+    return train(texts) if texts else None
 
 
 def personal_spans(docs: DataFrame, weights: np.ndarray | None) -> DataFrame:

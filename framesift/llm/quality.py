@@ -30,6 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from framesift.llm.arrow import map_rows
+from framesift.llm.words import hash_share, row_keys
 from framesift.plans.shared import write_shared
 
 TRAIN_ROWS = 16_000
@@ -38,7 +39,7 @@ STRENGTH = (1.0, 10_000.0)
 FEATURES = ["log_words", "mean_word", "upper", "symbols", "digits", "pipes", "repeated_words", "same_as_before", "top_word", "repeated_lines", "ends", "letters"]
 STATISTICS = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("host", T.StringType()), T.StructField("path", T.StringType()),
-    T.StructField("row", T.LongType()), *(T.StructField(f, T.DoubleType()) for f in FEATURES),
+    T.StructField("row", T.LongType()), T.StructField("row2", T.LongType()), *(T.StructField(f, T.DoubleType()) for f in FEATURES),
 ])
 LETTERS = re.compile(r"[^\W\d_]+")
 SYMBOLS = re.compile(r"[^\w\s.,;:!?'\"()-]|!!|\|")
@@ -67,8 +68,8 @@ def statistics(text: str | None) -> list[float]:
 
 
 def _statistics(rows: Iterator[tuple]) -> Iterable[tuple]:
-    for doc_id, host, path, row, text in rows:
-        yield (doc_id, host, path, row, *map(float, statistics(text)))
+    for doc_id, host, path, row, row2, text in rows:
+        yield (doc_id, host, path, row, row2, *map(float, statistics(text)))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
@@ -95,8 +96,7 @@ def expanded(x: np.ndarray, mean: np.ndarray, spread: np.ndarray) -> np.ndarray:
 def classifier(stats: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """(mean, spread, weights, rate of good documents) from at most about ``bound`` labelled rows."""
     ids = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("quality").cast("int")).alias("quality"))
-    share = min(1.0, bound / max(1, ids.count()))
-    taken = ids.where(F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
+    taken = ids.where(hash_share(7, bound, ids.count(), "doc_id"))
     rows = stats.join(F.broadcast(taken), "doc_id").select("doc_id", *FEATURES, "quality").toPandas().sort_values("doc_id")
     x, y = rows[FEATURES].to_numpy(float), rows["quality"].to_numpy(float)
     width = len(FEATURES)
@@ -134,15 +134,24 @@ def strength(groups: DataFrame, parent: str) -> float:
     return STRENGTH[1] if variance <= 0 else min(STRENGTH[1], max(STRENGTH[0], 1 / variance - 1))
 
 
+def with_site(pages: DataFrame, url: str = "url", levels: int = 1) -> DataFrame:
+    """Adds ``host`` (lower case, without www. and port) and ``path`` (the first ``levels`` folders) of a url; null for none."""
+    whole = F.col(url).cast("string")
+    host = F.regexp_extract(F.lower(whole), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(?:www\.)?([^/?#:]+)", 1)
+    path = F.regexp_extract(whole, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*((?:/[^/?#]+(?=/)){0,%d})" % levels, 1)
+    return pages.withColumns({"host": F.when(host != "", host), "path": F.when(host != "", path)})
+
+
 def quality(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", bound: int = TRAIN_ROWS) -> DataFrame:
-    """Per row: doc_id, row, evidence, host_rate, path_rate, quality (probability of good), keep.
+    """Per row: doc_id, row, row2, host, path, evidence, host_rate, path_rate, quality (probability of good), keep.
 
-    ``row`` is a hash of id and text that tells repeated ids apart.
+    ``row`` and ``row2`` are two hashes of id and text that tell repeated ids apart.  ``host`` and ``path`` name columns of
+    ``docs``; ``with_site`` derives them from a url.
     """
     text = F.col("text").cast("string")
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"),
-        F.xxhash64("doc_id", text).alias("row"), text.alias("text"),
+        *row_keys(docs), text.alias("text"),
     )
     stats = write_shared(map_rows(rows, _statistics, STATISTICS), "statistics")
     mean, spread, weights, rate = classifier(stats, labels, bound)
@@ -163,4 +172,4 @@ def quality(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     probability = 1 / (1 + F.exp(-(F.col("evidence") + F.log(F.col("path_rate") / (1 - F.col("path_rate"))))))
     has_words = F.col("log_words") > 0
     final = joined.withColumn("quality", F.when(has_words, probability).otherwise(F.lit(0.0)))
-    return final.select("doc_id", "row", "host", "path", "evidence", "host_rate", "path_rate", "quality", (F.col("quality") >= 0.5).alias("keep"))
+    return final.select("doc_id", "row", "row2", "host", "path", "evidence", "host_rate", "path_rate", "quality", (F.col("quality") >= 0.5).alias("keep"))

@@ -21,13 +21,15 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def packed_digests(pieces: DataFrame) -> DataFrame:
+    """The columns of packed pieces, with a checksum in place of the ids."""
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from framesift.llm.packing import pack_power_of_two
 
-    pieces = pack_power_of_two(table(spark, sf_dir, "documents"), tokenizer_path())
-    return pieces.select(
-        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket"
-    )
+    return packed_digests(pack_power_of_two(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
 def op1_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

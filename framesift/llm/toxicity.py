@@ -12,8 +12,8 @@ bias takes up, so that a score of 0.5 is the decision.  Weights are at most 2**`
 bounds what is broadcast.  Scoring reads every row once.
 
 Defined results: null and blank texts have only the bias; documents without a label, or with a null
-one, are scored but not learned from; repeated rows are scored one by one; without any labelled row
-all scores are 0.5; a null doc_id counts as held out False and is never learned from;
+one, are scored but not learned from; repeated rows are scored one by one; without any labelled row to learn
+from all scores are 0; a null doc_id counts as held out False and is never learned from;
 an empty table gives an empty result.
 """
 
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from framesift.llm.arrow import map_rows
-from framesift.llm.words import MIX, mixed
+from framesift.llm.words import MIX, hash_share, mixed
 
 BITS = 20
 TRAIN_ROWS = 16_000
@@ -44,7 +44,7 @@ class Hasher:
     """Feature indices of texts; hashes of words are remembered."""
 
     def __init__(self, bits: int = BITS, limit: int = 300_000) -> None:
-        self.mask, self.limit, self.known = np.uint64((1 << bits) - 2), limit, {}
+        self.size, self.limit, self.known = np.uint64((1 << bits) - 1), limit, {}
 
     def __call__(self, text: str | None) -> np.ndarray:
         """Distinct indices; index 0 is the bias, present in every text."""
@@ -60,7 +60,7 @@ class Hasher:
         h = np.array(hashes, np.uint64)
         with np.errstate(over="ignore"):
             parts = [h, mixed(h[:-1] * MIX + h[1:]), mixed(h[:-2] * MIX + h[2:] + np.uint64(3))]
-        return np.unique(np.r_[np.uint64(0), (np.concatenate(parts) & self.mask) + np.uint64(1)]).astype(np.int64)
+        return np.unique(np.r_[np.uint64(0), np.concatenate(parts) % self.size + np.uint64(1)]).astype(np.int64)
 
 
 def sigmoid(x: float) -> float:
@@ -94,9 +94,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, learn: Column, bound: int
     are broadcast and the texts never shuffled.
     """
     ids = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic")).where(learn)
-    total = max(1, ids.count())
-    share = min(1.0, bound / total)
-    taken = ids.where(F.pmod(F.xxhash64(F.lit(4), "doc_id"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
+    taken = ids.where(hash_share(4, bound, ids.count(), "doc_id"))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(taken), "doc_id")
 
 
@@ -155,7 +153,7 @@ def score(docs: DataFrame, at: np.ndarray, weight: np.ndarray, bits: int = BITS)
         indices, values = held.value
         weights[indices] = values
         for doc_id, text in rows:
-            yield doc_id, float(sigmoid(weights[hasher(text)].sum()))
+            yield doc_id, float(sigmoid(weights[hasher(text)].sum())) if len(indices) else 0.0
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return map_rows(rows, run, SCORES)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import xxhash
+from pyspark.sql import Column, DataFrame, functions as F
 
 SEED = 42
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -54,3 +55,29 @@ def run_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
         for i in range(1, size):
             out = mixed(out * MIX + hashes[i : n - size + 1 + i])
     return out
+
+
+#: Steps of a hash share: so fine that a share of a bounded sample is never rounded to none.
+SHARE_STEPS = 1 << 62
+
+
+def hash_share(salt: int, bound: int, total: int, *columns: str | Column) -> Column:
+    """A condition for about ``bound`` of ``total`` rows (all where there are fewer), by a hash of ``columns``."""
+    taken = SHARE_STEPS if total <= bound else max(1, SHARE_STEPS * bound // total)
+    return F.pmod(F.xxhash64(F.lit(salt), *columns), F.lit(SHARE_STEPS)) < F.lit(taken)
+
+
+def row_keys(docs: DataFrame, first: str = "row", second: str = "row2") -> list[Column]:
+    """Two independent 64-bit hashes of doc_id and text, which mark a row where ids repeat or are null."""
+    text = docs["text"].cast("string")
+    return [F.xxhash64(docs["doc_id"], text).alias(first), F.xxhash64(F.lit(1), docs["doc_id"], text).alias(second)]
+
+
+def without_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``docs`` less the rows whose keys are in ``rows`` (row, row2; a written table); columns stay as they are.
+
+    The marked rows grow with the documents, so they are never broadcast.
+    """
+    marked = rows.select(F.col("row").alias("_row"), F.col("row2").alias("_row2")).distinct().hint("merge")
+    one, two = row_keys(docs)
+    return docs.join(marked, (one == F.col("_row")) & (two == F.col("_row2")), "left_anti")

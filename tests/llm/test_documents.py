@@ -401,7 +401,7 @@ def test_toxicity(spark, docs, labels, none):
     awkward = toxicity(docs, labels, fold).collect()
     assert len(awkward) == docs.count() and all(0 <= r["score"] <= 1 for r in awkward)
     assert toxicity(none, labels, fold).count() == 0
-    assert {r["score"] for r in toxicity(docs, labels.limit(0), fold).collect()} == {0.5}
+    assert {r["score"] for r in toxicity(docs, labels.limit(0), fold).collect()} == {0.0}
 
 
 # language model
@@ -620,14 +620,14 @@ def test_spelt_addresses(spark):
 
 
 def test_spelt_training_examples_have_their_span():
-    from framesift.llm.personal import KINDS, _example, damaged, training_examples
+    from framesift.llm.personal import KINDS, _example, _text_examples, damaged
 
     for number in range(40):
         span = damaged("email", "jane.smith@mail.example.com", number)
         example = _example(f"write to {span} now", [("email", 9, 9 + len(span))])
         assert example and list(example[1].values()) == [0]
     assert _example("b " * 30 + "1", [("phone", 0, 61)]) is None
-    assert all(gold for _, gold in training_examples(["write to jane.smith@mail.example.com now"])) and KINDS[0] == "email"
+    assert all(x is None or x[1] for x in _text_examples(["write to jane.smith@mail.example.com now"])) and KINDS[0] == "email"
 
 
 def test_long_texts_take_linear_time():
@@ -668,6 +668,153 @@ def test_sparse_sites_shrink(spark):
     assert spread < 10 < same
 
 
+# sampling, personal data in long runs and damaged spellings, toxicity's updates, sites, buckets
+
+
+def test_hash_share_never_rounds_to_none(spark):
+    from framesift.llm.words import SHARE_STEPS, hash_share
+
+    rows = spark.range(20_000)
+    assert rows.where(hash_share(1, 100, 50, "id")).count() == 20_000
+    assert abs(rows.where(hash_share(1, 2000, 20_000, "id")).count() - 2000) < 300
+    for total in (5 * 10**9, 10**15):
+        assert 4000 * SHARE_STEPS // total > 0 and str(4000 * SHARE_STEPS // total) in hash_share(1, 4000, total, "id")._jc.toString()
+
+
+def test_windows_of_long_runs():
+    """Windows of a long run of triggers share out the text; a segment across an edge is whole in its window."""
+    from framesift.llm import personal as P
+
+    r = random.Random(3)
+    for base in ("12 a ", "x1y2-", "7 "):
+        text = "".join(base if r.random() < 0.95 else "word " for _ in range(900))
+        found = list(P.windows(text, []))
+        assert len(found) > 2
+        for w, after in zip(found, [*found[1:], None], strict=True):
+            assert w.starts[0] <= w.low + 1 and w.low < w.high
+            if after:
+                assert w.high == after.low and w.ends[-1] >= min(w.high + P.BEYOND // 2, len(text) - 1)
+        for m in P.TRIGGER.finditer(text):
+            assert sum(w.low <= m.start() < w.high for w in found) == 1
+    barriers = [(100, 140), (1000, 1010)]
+    assert not any(s < b and e > a for w in P.windows(text, barriers) for s, e in zip(w.starts, w.ends, strict=True) for a, b in barriers)
+
+
+def test_added_spans_on_damaged_data():
+    """Spellings that the base patterns miss are found, ordinary numbers are left alone."""
+    from framesift.llm import personal as P
+
+    r = random.Random(9)
+    spans = ["ann.lee@mail.example.org", "bo7@site.net", "10.20.30.40", "4532015112830366", "4111 1111 1111 1111", "+49 170 1234567", "+1 (826) 555-4081", "0123456789abcdef0123456789abcdef01234567"]
+    letters = lambda i, n: re.sub("[0-9]", "", text_of(i, n))
+    texts = [" ".join([letters(i, 12), spans[i % len(spans)], letters(i + 500, 12)]) for i in range(240)]
+    weights = P.train(P.balanced(x for t in texts for x in P.snippets(t)))
+
+    def found(span):
+        head = letters(r.randrange(10_000), 6) + " "
+        base, added = P.find_spans(head + span + " " + letters(r.randrange(10_000), 6), weights)
+        return any(s <= len(head) and e >= len(head) + len(span) for _, s, e in [*base, *added]), len(added)
+
+    for kind, forms in {
+        "email": ["kim at host dot com", "joe.b [at] corp.example.net", "eva(at)web(dot)de"], "ip": ["77 . 12 . 8 . 200", "9,18,27,36"], "card": ["4532.0151.1283.0366", "4111/1111/1111/1111"],
+        "phone": ["0049 170 7654321", "826-555-1234"], "secret": ["fedcba9876543210fedcba9876543210"],
+    }.items():
+        caught = [found(f)[0] for f in forms for _ in range(10)]
+        assert sum(caught) >= 0.7 * len(caught), kind
+    plain = [found(f)[1] for f in ("in 2019", "page 17 of 230", "version 3.2.1", "on 12/03/2021", "cost $1,299.99", "at 10:45 today") for _ in range(10)]
+    assert sum(map(bool, plain)) <= 3
+
+
+def test_ftrl_equals_plain_loop():
+    from framesift.llm.toxicity import ALPHA, BETA, L1, L2, Ftrl, Hasher
+
+    r = random.Random(1)
+    examples = [(np.array(sorted({0, *r.sample(range(1, 40), 6)})), r.randrange(2)) for _ in range(300)]
+    model = Ftrl(40)
+    z, n = [0.0] * 40, [0.0] * 40
+
+    def weight(i):
+        if abs(z[i]) <= L1:
+            return 0.0
+        return -(z[i] - (L1 if z[i] > 0 else -L1)) / ((BETA + n[i] ** 0.5) / ALPHA + L2)
+
+    for at, label in examples:
+        model.learn(at, label)
+        w = {int(i): weight(i) for i in at}
+        g = 1 / (1 + np.exp(-sum(w.values()))) - label
+        for i in w:
+            sigma = ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / ALPHA
+            z[i] += g - sigma * w[i]
+            n[i] += g * g
+    assert np.allclose(model.z, z) and np.allclose(model.n, n)
+    assert np.allclose(model.weights(np.arange(40)), [weight(i) for i in range(40)]) and (model.weights(np.arange(40)) == 0).any()
+    at = Hasher(20)(text_of(1, 5000))
+    assert at[0] == 0 and 0.4 < (at % 2 == 0).mean() < 0.6 and at.max() < 1 << 20
+
+
+def test_toxicity_without_labels(spark, docs):
+    from framesift.llm.toxicity import toxicity
+
+    labels = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, toxic int")
+    got = toxicity(docs, labels, F.lit(True)).collect()
+    assert len(got) == docs.count() and {r["score"] for r in got} == {0.0}
+
+
+def test_sites_shrink_and_help(spark):
+    """Sites derived from urls: where they differ, the site terms raise the AUC on rows that were not learnt from."""
+    from framesift.llm.quality import quality, with_site
+
+    urls = spark.createDataFrame(
+        [("https://www.A.example:8080/x/y/z?q", "a.example", "/x"), ("http://b.org", "b.org", ""), ("http://u@c.de/only", "c.de", ""), ("nonsense", None, None), (None, None, None)], "url string, h string, p string"
+    )
+    for row in with_site(urls).collect():
+        assert (row["host"], row["path"]) == (row["h"], row["p"])
+    r = random.Random(2)
+    data, labels = [], []
+    for i in range(3000):
+        site = i % 20
+        good = r.random() < (0.9 if site < 10 else 0.3)
+        noisy = r.random() < 0.25
+        data.append((i, ("BUY NOW!! " * 5 if good == noisy else "") + text_of(i, 40) + ".", f"http://site{site}.net/p/{i}"))
+        if i % 2:
+            labels.append((i, int(good)))
+    pages = with_site(spark.createDataFrame(data, "doc_id long, text string, url string"))
+    found = quality(pages, spark.createDataFrame(labels, "doc_id long, quality int"), "host", "path").collect()
+    truth = {}
+    r = random.Random(2)
+    for i in range(3000):
+        truth[i] = r.random() < (0.9 if i % 20 < 10 else 0.3)
+        r.random()
+    held = [x for x in found if x["doc_id"] % 2 == 0]
+
+    def auc(key):
+        ranked = sorted((key(x), truth[x["doc_id"]]) for x in held)
+        good = sum(y for _, y in ranked)
+        return (sum(i for i, (_, y) in enumerate(ranked) if y) - good * (good - 1) / 2) / good / (len(ranked) - good)
+
+    assert auc(lambda x: x["quality"]) > auc(lambda x: x["evidence"]) + 0.01
+    rates = {x["host"]: x["host_rate"] for x in found}
+    assert max(rates.values()) - min(rates.values()) > 0.1
+
+
+def test_buckets_lie_together(spark, docs, tmp_path):
+    from framesift.llm import packing
+    from framesift.llm.queries import tokenizer_path
+
+    pieces = packing.pack_power_of_two(docs, tokenizer_path(), max_length=64)
+    packing.write_buckets(pieces, f"{tmp_path}/b")
+    back = spark.read.parquet(f"{tmp_path}/b")
+    rows = back.select("bucket", "length", "sequence_id").collect()
+    assert len(rows) == pieces.count() and all(1 << r["bucket"] == r["length"] and r["sequence_id"] >> packing.BUCKET_SHIFT == r["bucket"] for r in rows)
+    assert len({r["sequence_id"] for r in rows}) == len(rows)
+    assert packing.ChunkIds(tokenizer_path()).by_chunks and not packing.ChunkIds(tokenizer_path("byte_bpe_50k.json")).by_chunks
+    text = "Some words,  and\nlines 12"
+    from tokenizers import Tokenizer
+
+    other = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids
+    assert packing.ChunkIds(tokenizer_path("byte_bpe_50k.json")).encode([text, None]) == [b"".join(i.to_bytes(4, "little") for i in other), b""]
+
+
 # licences
 
 
