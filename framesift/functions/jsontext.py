@@ -5,6 +5,7 @@ Plain helpers per text and Arrow-batched column functions of them.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -38,15 +39,28 @@ def _steps(text: str, start: int = 0) -> Iterator[tuple[int, str, list[str]]]:
         yield i, c, stack
 
 
+#: A whole string (open ones end with the text), or a brace; other brackets need not balance.
+_MARK = re.compile(r'"(?:[^"\\]|\\.|\\\Z)*(?:"|\Z)|[{}]', re.S)
+
+
+def _closed(text: str, start: int) -> int:
+    """The place after the brace that closes the first object from ``start`` on; -1 where none does."""
+    depth = 0
+    for m in _MARK.finditer(text, start):
+        if m[0] == "{":
+            depth += 1
+        elif m[0] == "}" and depth:
+            depth -= 1
+            if not depth:
+                return m.end()
+    return -1
+
+
 def first_object(text: str | None) -> str | None:
-    """The first balanced {...}, whatever follows it."""
+    """From the first brace to the one that closes it, whatever stands around them."""
     start = (text or "").find("{")
-    if start < 0:
-        return None
-    for i, c, stack in _steps(text, start):
-        if c == "}" and not stack:
-            return text[start : i + 1]
-    return None
+    end = _closed(text, start) if start >= 0 else -1
+    return text[start:end] if end >= 0 else None
 
 
 def repaired(text: str | None) -> str | None:
@@ -66,7 +80,8 @@ def repaired(text: str | None) -> str | None:
 
 
 def complete(text: str | None) -> bool:
-    return first_object(text) is not None
+    """Whether an object has been closed; quotes before the first brace open strings as well."""
+    return _closed(text or "", 0) >= 0
 
 
 def extracted(text: str | None) -> str | None:
@@ -77,15 +92,15 @@ def longest_common(a: str, b: str) -> int:
     """Length of the longest common substring."""
     if not a or not b:
         return 0
-    best, row = 0, [0] * (len(b) + 1)
-    for x in a:
-        new = [0] * (len(b) + 1)
-        for j, y in enumerate(b):
-            if x == y:
-                new[j + 1] = row[j] + 1
-                best = max(best, new[j + 1])
-        row = new
-    return best
+    low, high = 0, min(len(a), len(b))
+    while low < high:  # a common substring has common substrings of every smaller length
+        size = (low + high + 1) // 2
+        parts = {a[i : i + size] for i in range(len(a) - size + 1)}
+        if any(b[i : i + size] in parts for i in range(len(b) - size + 1)):
+            low = size
+        else:
+            high = size - 1
+    return low
 
 
 @F.pandas_udf(T.StringType())

@@ -102,10 +102,10 @@ def class_quadrants(classes: DataFrame, frames: DataFrame, old: DataFrame, new:
 
 
 def segment_values(hits: DataFrame, names: dict[str, str], none: str = "无标识") -> DataFrame:
-    """Per (segment, model): the sorted mapped class names joined by |, or ``none``."""
+    """Per (segment, model): the sorted class names, mapped where a name is given, joined by 、, or ``none``."""
     table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
-    sets = hits.groupBy("segment", "model").agg(F.array_sort(F.collect_set(F.try_element_at(table, F.col("cls")))).alias("values"))
-    return sets.select("segment", "model", F.when(F.size("values") > 0, F.array_join("values", "|")).otherwise(F.lit(none)).alias("value"))
+    sets = hits.groupBy("segment", "model").agg(F.array_sort(F.collect_set(F.coalesce(F.try_element_at(table, F.col("cls")), F.col("cls")))).alias("values"))
+    return sets.select("segment", "model", F.when(F.size("values") > 0, F.array_join("values", "、")).otherwise(F.lit(none)).alias("value"))
 
 
 def deploy_check(detections: DataFrame) -> DataFrame:

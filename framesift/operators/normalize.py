@@ -44,21 +44,30 @@ def as_values(doc: Column, name: str) -> Column:
     return F.when(F.schema_of_variant(F.try_variant_get(doc, f"$.{name}", "variant")).startswith("ARRAY"), many).when(one.isNotNull(), F.array(one))
 
 
-def values_long(rows: DataFrame, key: str, dims: list[str], doc: str = "doc") -> DataFrame:
-    """(key, dim, position, value) of the dimensions of a variant object."""
-    pairs = F.array(*[F.struct(F.lit(d).alias("dim"), as_values(F.col(doc), d).alias("v")) for d in dims])
+def values_long(rows: DataFrame, key: str, dims: list[str], doc: str = "doc", old_names: dict[str, list[str]] | None = None) -> DataFrame:
+    """(key, dim, position, value) of the dimensions of a variant object.  Where a dimension is missing or empty, the first of its
+    ``old_names`` that is not stands for it."""
+
+    def given(dim: str) -> Column:
+        out = as_values(F.col(doc), dim)
+        for old in (old_names or {}).get(dim, []):
+            empty = out.isNull() | (F.size(out) == 0) | (out == F.array(F.lit("")))
+            out = F.when(empty, as_values(F.col(doc), old)).otherwise(out)
+        return out
+
+    pairs = F.array(*[F.struct(F.lit(d).alias("dim"), given(d).alias("v")) for d in dims])
     return rows.select(key, F.explode(pairs).alias("p")).select(key, "p.dim", F.posexplode("p.v").alias("position", "value")).where("value IS NOT NULL")
 
 
 def checked_values(values: DataFrame, dim_values: DataFrame, value_aliases: DataFrame, dims: list[str], key: str = "id") -> DataFrame:
     """Values by their official names, in their own dimension or relocated to the alphabetically first one that lists them;
-    others are dropped; repeats keep the first place; every dimension without any value gets ``unknown``."""
+    others are dropped; relocated values follow the dimension's own in the order of ``dims`` they came from; repeats keep the first place; every dimension without any value gets ``unknown``."""
     a = F.broadcast(value_aliases.select(F.col("dim").alias("_ad"), F.col("alias").alias("_a"), F.col("value").alias("_av")))
     named = values.join(a, (F.col("dim") == F.col("_ad")) & (F.col("value") == F.col("_a")), "left").withColumn("value", F.coalesce("_av", "value")).drop("_ad", "_a", "_av")
     listed = F.broadcast(dim_values.where(F.col("dim").isin(dims)).groupBy(F.col("value").alias("_v")).agg(F.collect_set("dim").alias("_dims")))
     placed = named.join(listed, F.col("value") == F.col("_v")).withColumn("_own", F.array_contains("_dims", F.col("dim")))
-    placed = placed.withColumn("dim", F.when(F.col("_own"), F.col("dim")).otherwise(F.array_min("_dims")))
-    kept = placed.where(F.col("dim").isin(dims)).groupBy(key, "dim", "value").agg(F.min(F.struct((~F.col("_own")).alias("moved"), "position")).alias("_at"))
+    placed = placed.withColumn("_from", F.array_position(F.array(*[F.lit(d) for d in dims]), F.col("dim"))).withColumn("dim", F.when(F.col("_own"), F.col("dim")).otherwise(F.array_min("_dims")))
+    kept = placed.where(F.col("dim").isin(dims)).groupBy(key, "dim", "value").agg(F.min(F.struct((~F.col("_own")).alias("moved"), "_from", "position")).alias("_at"))
     real = kept.withColumn("_n", F.count_if(F.col("value") != UNKNOWN).over(W.partitionBy(key, "dim"))).where((F.col("value") != UNKNOWN) | (F.col("_n") == 0))
     grouped = real.groupBy(key, "dim").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "value"))), lambda x: x["value"]).alias("tags"))
     grid = values.select(key).distinct().withColumn("dim", F.explode(F.array(*[F.lit(d) for d in dims])))
@@ -71,17 +80,40 @@ def sign_tags(tags: Column) -> Column:
     return F.when(F.size(named) == 0, F.array(F.lit(NO_SIGN))).otherwise(named)
 
 
+def risk_tags(tags: Column) -> Column:
+    """Risks without repeats; nothing becomes "unknown"."""
+    named = F.array_distinct(F.coalesce(tags, F.array().cast("array<string>")))
+    return F.when(F.size(named) == 0, F.array(F.lit(UNKNOWN))).otherwise(named)
+
+
+def ego_states(states: Column, vocabulary: list[str]) -> Column:
+    """The states that the vocabulary lists; ``unknown`` where none is."""
+    known = F.filter(F.coalesce(states, F.array().cast("array<string>")), lambda x: x.isin(vocabulary))
+    return F.when(F.size(known) == 0, F.array(F.lit(UNKNOWN))).otherwise(known)
+
+
 def confidence(text: Column) -> Column:
-    """A number, or a list's first; anything else 0."""
-    return F.coalesce(F.regexp_extract(text, r"^\[?\s*\"?(-?[0-9]+(?:\.[0-9]+)?)", 1).try_cast("double"), F.lit(0.0))
+    """A whole number text, or a list's first item; anything else 0."""
+    first = F.when(text.rlike(r"^\s*\["), F.regexp_extract(text, r"^\s*\[\s*\"?([^\",\]]*)", 1)).otherwise(text)
+    number = F.trim(first)
+    is_number = number.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$")
+    return F.coalesce(F.when(is_number, number.try_cast("double")), F.lit(0.0))
 
 
 def checked_events(events: DataFrame, vocabulary: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Events of the vocabulary by their official type; reason and anchor cut to their longest."""
+    """Events of the vocabulary by their official type; reason and anchor trimmed and cut to their longest."""
+
+    def cut(name: str, most: int) -> Column:
+        return F.substring(F.regexp_replace(F.coalesce(name, F.lit("")), r"^\s+|\s+$", ""), 1, most)
+
+    known = official(events, aliases).join(F.broadcast(vocabulary.select(F.col("value").alias("type")).distinct()), "type", "left_semi")
+    return known.withColumn("reason", cut("reason", REASON_CHARS)).withColumn("anchor", cut("anchor", ANCHOR_CHARS))
+
+
+def official(rows: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Rows with ``type`` by its official name."""
     a = F.broadcast(aliases.select(F.col("alias").alias("_a"), F.col("value").alias("_v")))
-    named = events.join(a, F.col("type") == F.col("_a"), "left").withColumn("type", F.coalesce("_v", "type")).drop("_a", "_v")
-    known = named.join(F.broadcast(vocabulary.select(F.col("value").alias("type")).distinct()), "type", "left_semi")
-    return known.withColumn("reason", F.substring(F.coalesce("reason", F.lit("")), 1, REASON_CHARS)).withColumn("anchor", F.substring(F.coalesce("anchor", F.lit("")), 1, ANCHOR_CHARS))
+    return rows.join(a, F.col("type") == F.col("_a"), "left").withColumn("type", F.coalesce("_v", "type")).drop("_a", "_v")
 
 
 def deduplicated_events(events: DataFrame, key: str = "id") -> DataFrame:
@@ -98,36 +130,56 @@ def deduplicated_events(events: DataFrame, key: str = "id") -> DataFrame:
 
 def best(rows: DataFrame, key: str, most: int) -> DataFrame:
     """The ``most`` surest rows of a key; equal ones in their order."""
-    order = W.partitionBy(key).orderBy(F.desc("confidence"), "position")
+    order = W.partitionBy(key).orderBy(F.coalesce("confidence", F.lit(0.0)).desc(), "position")
     return rows.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most).drop("_r")
 
 
-def moved_objects(objects: DataFrame, vocabulary: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
-    """(objects of the vocabulary, the top ones; values moved to other dimensions as (key, dim, value))."""
+def moved_objects(objects: DataFrame, vocabulary: DataFrame, key: str = "id", aliases: DataFrame | None = None, states: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(objects of the vocabulary, the top ones; values moved to other dimensions as (key, dim, value)).
+
+    Aliases are resolved first.  A missing confidence stays missing and ranks like 0; of a column ``state`` only ``states`` stay.
+    """
     table = F.create_map(*[x for name, (d, v) in MOVED_OBJECTS.items() for x in (F.lit(name), F.struct(F.lit(d).alias("dim"), F.lit(v).alias("value")))])
-    routed = objects.withColumn("_m", F.try_element_at(table, F.col("type")))
+    named = objects if aliases is None else official(objects, aliases)
+    if states is not None:
+        named = named.withColumn("state", F.when(F.col("state").isin(states), F.col("state")))
+    routed = named.withColumn("_m", F.try_element_at(table, F.col("type")))
     moved = routed.where("_m IS NOT NULL").select(key, "_m.dim", "_m.value").distinct()
     kept = routed.where("_m IS NULL").drop("_m").join(F.broadcast(vocabulary.select(F.col("value").alias("type")).distinct()), "type", "left_semi")
     return best(kept, key, MAX_OBJECTS), moved
 
 
-def reason_flags(events: DataFrame, anchors: str, boiler: str, criteria: DataFrame, least: float = 0.45, key: str = "id") -> DataFrame:
-    """Adds generic (no concrete anchor word), boiler (a stock phrase), weak (fewer than two anchor words), criteria (copies the type's
-    criterion) and repeat (the same reason twice in one reply)."""
-    c = F.broadcast(criteria.select(F.col("type").alias("_t"), F.col("text").alias("_c")))
-    joined = events.join(c, F.col("type") == F.col("_t"), "left")
-    found = F.array_distinct(F.regexp_extract_all("reason", F.lit(f"({anchors})"), 1))
-    same = F.count("*").over(W.partitionBy(key, "reason")) > 1
-    return joined.select(
-        *events.columns, (F.size(found) == 0).alias("generic"), F.col("reason").rlike(boiler).alias("boiler"), (F.size(found) < 2).alias("weak"),
-        (F.coalesce(overlap_share(F.col("reason"), F.coalesce("_c", F.lit(""))), F.lit(0.0)) >= least).alias("copies_criteria"), (same & (F.col("reason") != "")).alias("repeat"),
+#: A frame's number before what is seen in it.
+FRAME_MARK = r"F[0-9]+\s*[:：]?\s*"
+
+
+def reason_flags(events: DataFrame, anchors: str, things: str, boiler: str, criteria: DataFrame, least: float = 0.45) -> DataFrame:
+    """Adds generic (no anchor word in anchor, reason or evidence, frame numbers apart), boiler (a stock phrase with fewer than two
+    different ``things``), weak (fewer than two frame numbers), copies_criteria (a run of at least ``least`` of the text stands in the
+    type's criterion) and repeat (two equal pieces of evidence).
+
+    ``events`` has type, reason, anchor and evidence (an array); each may be null.
+    """
+    c = criteria.select(F.col("type").alias("_t"), F.col("text").alias("_c"))
+    pieces = F.coalesce("evidence", F.array().cast("array<string>"))
+    raw = F.trim(F.array_join(F.concat(F.array(F.coalesce("reason", F.lit(""))), pieces), " "))
+    rows = events.join(c, F.col("type") == F.col("_t"), "left").withColumn("_raw", raw).withColumn("_text", F.trim(F.regexp_replace("_raw", FRAME_MARK, "")))
+    seen = F.concat_ws(" ", F.coalesce("anchor", F.lit("")), "_text")
+    found = F.array_distinct(F.regexp_extract_all(seen, F.lit(f"({things})"), 1))
+    marks = F.size(F.regexp_extract_all("_raw", F.lit("(F[0-9]+)"), 1))
+    copied = F.coalesce(overlap_share(F.col("_text"), F.coalesce("_c", F.lit(""))), F.lit(0.0)) >= least
+    return rows.select(
+        *events.columns, (~seen.rlike(anchors)).alias("generic"), (seen.rlike(boiler) & (F.size(found) < 2)).alias("boiler"), (marks < 2).alias("weak"),
+        copied.alias("copies_criteria"), (F.size(F.array_distinct(pieces)) < F.size(pieces)).alias("repeat"),
     )
 
 
 def evidence_flags(frames: Column, anchors: str) -> Column:
-    """struct(repeat, generic) of frame notes: any two alike; more than half without an anchor word."""
-    plain = F.filter(frames, lambda x: ~x.rlike(anchors))
-    return F.struct((F.size(F.array_distinct(frames)) < F.size(frames)).alias("repeat"), (F.size(plain) * 2 > F.size(frames)).alias("generic"))
+    """struct(repeat, generic) of frame notes, frame numbers and blanks apart: any two alike; more than half without an anchor word."""
+    notes = F.transform(F.coalesce(frames, F.array().cast("array<string>")), lambda x: F.trim(F.regexp_replace(F.coalesce(x, F.lit("")), r"^F[0-9]+\s*[:：]\s*", "")))
+    notes = F.filter(notes, lambda x: x != "")
+    plain = F.filter(notes, lambda x: ~x.rlike(anchors))
+    return F.struct((F.size(F.array_distinct(notes)) < F.size(notes)).alias("repeat"), (F.size(plain) * 2 > F.size(notes)).alias("generic"))
 
 
 def frame_notes(items: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from framesift.functions.jsontext import complete_of, extracted_of
+from framesift.functions.jsontext import complete_of, extracted_of, first_object_of
 from framesift.functions.paths import basename
 from framesift.operators import boxes as B, catalog as C, dedup as D, normalize as N
 from framesift.plans import fixtures as fx
@@ -397,6 +397,12 @@ def x3_complete(spark, d):
     return replies(spark, d).select("id", complete_of(F.col("text")).alias("complete"))
 
 
+@query("x3_braces_only", "SELECT event_id AS id, event_id % 4 IN (0, 1) AS complete, CASE event_id % 4 WHEN 0 THEN '{\"a\": [1}' WHEN 1 THEN '{\"b\": \"}\"}' WHEN 2 THEN '{\"c\": 1}' END AS object FROM events")
+def x3_braces_only(spark, d):
+    text = F.expr("""CASE event_id % 4 WHEN 0 THEN 'so: {"a": [1}]}' WHEN 1 THEN '{"b": "}"} and {' WHEN 2 THEN 'say "{"c": 1}' ELSE '{"d": {"e": 2}' END""")
+    return table(spark, d, "events").select(F.col("event_id").alias("id"), complete_of(text).alias("complete"), first_object_of(text).alias("object"))
+
+
 def vocabulary(spark):
     v = spark.range(1).selectExpr("explode(array(struct('time' AS dim, '白天' AS value), struct('time' AS dim, '夜晚' AS value), struct('road' AS dim, '直路' AS value), struct('scene' AS dim, '城市道路' AS value))) AS r").select("r.*")
     a = spark.range(1).selectExpr("'road' AS dim", "'直' AS alias", "'直路' AS value")
@@ -437,13 +443,6 @@ def x10_moved_objects(spark, d):
     return kept.agg(F.lit("kept").alias("kind"), F.count("*").alias("n")).union(moved.agg(F.lit("moved"), F.count("*")))
 
 
-@query("x12_reason_flags")
-def x12_reason_flags(spark, d):
-    chat = table(spark, d, "conversations").select(F.col("conv_id").alias("id"), F.col("turn").alias("position"), F.col("role").alias("type"), F.col("text").alias("reason"))
-    criteria = spark.range(1).selectExpr("explode(array(struct('user' AS type, 'the of and to' AS text), struct('assistant' AS type, 'der die und' AS text))) AS r").select("r.*")
-    return N.reason_flags(chat, "the|und|que", "^$", criteria).select("id", "position", "generic", "boiler", "weak", "copies_criteria", "repeat")
-
-
 @query("x14_frame_notes", "SELECT doc_id, least(16, len(list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> '')))::INT AS n FROM documents")
 def x14_frame_notes(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(N.frame_notes(F.split("text", "\n"))).alias("n"))

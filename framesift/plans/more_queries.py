@@ -184,24 +184,72 @@ def x7_sign_tags(spark, d):
     return table(spark, d, "part").select("p_partkey", N.sign_tags(raw).alias("tags"))
 
 
-@query("x8_confidence", "SELECT event_id AS id, CASE event_id % 3 WHEN 0 THEN round(event_id / 7, 2) WHEN 1 THEN 0.5 ELSE 0 END::DOUBLE AS confidence FROM events")
+@query("x8_confidence", "SELECT event_id AS id, CASE event_id % 6 WHEN 0 THEN round(event_id / 7, 2) WHEN 1 THEN 0.5 WHEN 2 THEN 0.001 ELSE 0 END::DOUBLE AS confidence, [CASE WHEN event_id % 2 = 0 THEN 'turning' ELSE 'unknown' END] AS ego FROM events")
 def x8_confidence(spark, d):
-    text = F.expr("CASE event_id % 3 WHEN 0 THEN cast(round(event_id / 7, 2) AS string) WHEN 1 THEN '[0.5, 0.9]' ELSE 'high' END")
-    return table(spark, d, "events").select(F.col("event_id").alias("id"), N.confidence(text).alias("confidence"))
+    text = F.expr("CASE event_id % 6 WHEN 0 THEN cast(round(event_id / 7, 2) AS string) WHEN 1 THEN '[0.5, 0.9]' WHEN 2 THEN ' 1e-3' WHEN 3 THEN '0.9abc' WHEN 4 THEN '[]' ELSE 'high' END")
+    ego = F.expr("CASE WHEN event_id % 2 = 0 THEN array('flying', 'turning') WHEN event_id % 3 = 0 THEN array('flying') END")
+    return table(spark, d, "events").select(F.col("event_id").alias("id"), N.confidence(text).alias("confidence"), N.ego_states(ego, ["turning", "stopped"]).alias("ego"))
 
 
-@query("x9_checked_events", "SELECT event_id AS id, CASE event_type WHEN 'click' THEN 'press' ELSE event_type END AS type, 200::INT AS n FROM events WHERE event_type IN ('click', 'view')")
+@query("x9_checked_events", """SELECT event_id AS id, CASE event_type WHEN 'click' THEN 'press' ELSE event_type END AS type, CASE WHEN event_id % 2 = 0 THEN repeat('x', 200) ELSE 'ab' END AS reason,
+  CASE WHEN event_id % 3 = 0 THEN repeat('y', 80) ELSE '' END AS anchor FROM events WHERE event_type IN ('click', 'view')""")
 def x9_checked_events(spark, d):
-    events = table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("type"), F.repeat(F.lit("x"), F.lit(300)).alias("reason"), F.lit(None).cast("string").alias("anchor"))
+    events = table(spark, d, "events").select(
+        F.col("event_id").alias("id"), F.col("event_type").alias("type"), F.expr("CASE WHEN event_id % 2 = 0 THEN concat('  ', repeat('x', 300)) ELSE concat(repeat(' ', 250), 'ab', chr(10)) END").alias("reason"),
+        F.expr("CASE WHEN event_id % 3 = 0 THEN concat(' ', repeat('y', 90)) END").alias("anchor"),
+    )
     known = spark.range(1).selectExpr("explode(array('press', 'view')) AS value")
     alias = spark.range(1).selectExpr("'click' AS alias", "'press' AS value")
-    return N.checked_events(events, known, alias).select("id", "type", F.length("reason").alias("n"))
+    return N.checked_events(events, known, alias).select("id", "type", "reason", "anchor")
 
 
 @query("x13_evidence_flags", "SELECT p_partkey, p_size % 2 = 0 AS repeat, p_size % 3 = 0 AS generic FROM part")
 def x13_evidence_flags(spark, d):
-    notes = F.concat(F.expr("CASE WHEN p_size % 2 = 0 THEN array('lamp 1', 'lamp 1') ELSE array('lamp 1', 'lamp 2') END"), F.expr("CASE WHEN p_size % 3 = 0 THEN array('a', 'b', 'c') ELSE array('d') END"))
-    return table(spark, d, "part").select("p_partkey", N.evidence_flags(notes, "lamp").alias("f")).select("p_partkey", "f.repeat", "f.generic")
+    lamps = F.expr("CASE WHEN p_size % 2 = 0 THEN array('F1: lamp on', 'F2：lamp on') ELSE array('F1:lamp on', 'F12: lamp off') END")
+    rest = F.expr("CASE WHEN p_size % 3 = 0 THEN array('F3: moves', ' ', 'F4: waits', 'F5 : goes', 'F6:') ELSE array('F7: stays', NULL) END")
+    return table(spark, d, "part").select("p_partkey", N.evidence_flags(F.concat(lamps, rest), "lamp|[0-9]").alias("f")).select("p_partkey", "f.repeat", "f.generic")
+
+
+REASONS = """CASE p_size % 5 WHEN 0 THEN 'crosses the road' WHEN 1 THEN 'lamp near fence' WHEN 2 THEN 'crosses the road by the lamp' WHEN 3 THEN 'crosses the road from fence to lamp, slowly and with care' ELSE 'moves on' END"""
+FLAGGED = f"""concat('F1: ', CASE WHEN p_size % 2 = 0 THEN 'F2: ' ELSE '' END, {REASONS}) AS reason, CASE p_size % 3 WHEN 0 THEN 'red' WHEN 1 THEN '' END AS anchor, CASE WHEN p_size % 4 = 0 THEN 'A' ELSE 'B' END AS type"""
+
+
+@query("x12_reason_flags", f"""WITH e AS (SELECT p_partkey, {FLAGGED}, CASE p_size % 7 WHEN 0 THEN ['x', 'x'] WHEN 1 THEN ['F3: lamp'] ELSE [] END AS evidence FROM part),
+  r AS (SELECT *, trim(concat_ws(' ', reason, nullif(array_to_string(evidence, ' '), ''))) AS raw FROM e),
+  t AS (SELECT *, trim(regexp_replace(raw, 'F[0-9]+\\s*[:：]?\\s*', '', 'g')) AS plain FROM r), s AS (SELECT *, concat(coalesce(anchor, ''), ' ', plain) AS seen FROM t)
+  SELECT p_partkey, NOT regexp_matches(seen, 'lamp|fence|red|[0-9]') AS generic, contains(seen, 'crosses the road') AND len(list_distinct(regexp_extract_all(seen, 'lamp|fence'))) < 2 AS boiler,
+   len(regexp_extract_all(raw, 'F[0-9]+')) < 2 AS weak, type = 'A' AND contains(plain, 'crosses the road') AND 16.0 / length(plain) >= 0.45 AS copies_criteria, len(list_distinct(evidence)) < len(evidence) AS repeat FROM s""")
+def x12_reason_flags(spark, d):
+    events = table(spark, d, "part").selectExpr("p_partkey", *[x.strip() for x in FLAGGED.replace(" AS reason, ", " AS reason;").replace(" AS anchor, ", " AS anchor;").split(";")], "CASE p_size % 7 WHEN 0 THEN array('x', 'x') WHEN 1 THEN array('F3: lamp') END AS evidence")
+    criteria = spark.range(1).selectExpr("'A' AS type", "'crosses the road' AS text")
+    return N.reason_flags(events, "lamp|fence|red|[0-9]", "lamp|fence", "crosses the road", criteria).select("p_partkey", "generic", "boiler", "weak", "copies_criteria", "repeat")
+
+
+@query("x6_old_dimensions", """SELECT event_id AS id, dim, CASE dim WHEN 'road' THEN [CASE event_id % 4 WHEN 0 THEN 'wet' WHEN 3 THEN 'unknown' ELSE 'dry' END] ELSE [CASE WHEN event_id % 2 = 0 THEN 'day' ELSE 'unknown' END] END AS tags
+  FROM events, (VALUES ('road'), ('time')) AS v(dim)""")
+def x6_old_dimensions(spark, d):
+    text = F.expr("""CASE event_id % 4 WHEN 0 THEN '{"road": ["wet"], "surface": "dry", "time": "day"}' WHEN 1 THEN '{"road": [], "surface": "dry", "time": ""}' WHEN 2 THEN '{"road": "", "area": "dry", "time": "day"}' ELSE '{"road": ["lava"], "surface": "dry", "time": 5}' END""")
+    docs = table(spark, d, "events").select(F.col("event_id").alias("id"), F.try_parse_json(text).alias("doc"))
+    v = spark.range(1).selectExpr("explode(array(struct('road' AS dim, 'wet' AS value), struct('road' AS dim, 'dry' AS value), struct('time' AS dim, 'day' AS value))) AS r").select("r.*")
+    none = spark.range(0).selectExpr("'' AS dim", "'' AS alias", "'' AS value")
+    return N.checked_values(N.values_long(docs, "id", ["road", "time"], old_names={"road": ["surface", "area"]}), v, none, ["road", "time"])
+
+
+@query("x7_risk_tags", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN ['unknown'] ELSE ['high', 'low'] END AS tags FROM part")
+def x7_risk_tags(spark, d):
+    return table(spark, d, "part").select("p_partkey", N.risk_tags(F.expr("CASE WHEN p_size % 2 = 1 THEN array('high', 'low', 'high') WHEN p_size % 4 = 0 THEN array() END")).alias("tags"))
+
+
+@query("x10_object_rules", """WITH o AS (SELECT l_orderkey AS id, l_linenumber AS line, l_partkey, l_suppkey, CASE WHEN l_linenumber <> 3 THEN l_discount END AS confidence, CASE WHEN l_returnflag = 'A' THEN 'moving' END AS state FROM lineitem WHERE l_returnflag <> 'N')
+  SELECT id, '小车' AS type, line, state, confidence FROM o QUALIFY row_number() OVER (PARTITION BY id ORDER BY coalesce(confidence, 0) DESC, line, l_partkey, l_suppkey) <= 8""")
+def x10_object_rules(spark, d):
+    objects = table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("id"), F.expr("CASE l_returnflag WHEN 'A' THEN '轿车' WHEN 'R' THEN '小车' ELSE '路标' END").alias("type"), F.expr("CASE WHEN l_returnflag = 'A' THEN 'moving' ELSE 'melting' END").alias("state"),
+        F.expr("CASE WHEN l_linenumber <> 3 THEN l_discount END").alias("confidence"), F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("position"),
+    )
+    aliases = spark.range(1).selectExpr("explode(array(struct('轿车' AS alias, '小车' AS value), struct('路标' AS alias, '路牌' AS value))) AS r").select("r.*")
+    kept, _ = N.moved_objects(objects, spark.range(1).select(F.lit("小车").alias("value")), aliases=aliases, states=["moving"])
+    return kept.select("id", "type", F.col("position.l_linenumber").alias("line"), "state", "confidence")
 
 
 @query("d8_marked", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN ['g1'] ELSE ['g2', 'g1'] END AS groups FROM documents")

@@ -492,10 +492,10 @@ def e9_class_quadrants(spark, d):
     return evaluate.class_quadrants(classes, old.select("frame").distinct(), old, new)
 
 
-@query("e10_segment_values", f"""WITH {SCORES} SELECT segment, model, coalesce(nullif(string_agg(DISTINCT CASE cls WHEN 'A' THEN '限速' WHEN 'R' THEN '施工' END, '|' ORDER BY CASE cls WHEN 'A' THEN '限速' WHEN 'R' THEN '施工' END), ''), '无标识') AS value FROM bothm WHERE score >= 0.25 GROUP BY ALL""")
+@query("e10_segment_values", f"""WITH {SCORES} SELECT segment, model, coalesce(nullif(string_agg(DISTINCT CASE cls WHEN 'A' THEN '限速' ELSE cls END, '、' ORDER BY CASE cls WHEN 'A' THEN '限速' ELSE cls END), ''), '无标识') AS value FROM bothm WHERE score >= 0.25 GROUP BY ALL""")
 def e10_segment_values(spark, d):
     old, new = detector_scores(spark, d)
-    return evaluate.segment_values(old.union(new).where("score >= 0.25"), {"A": "限速", "R": "施工"})
+    return evaluate.segment_values(old.union(new).where("score >= 0.25"), {"A": "限速"})
 
 
 @query("e11_deploy_check", "SELECT l_linestatus AS weight, l_returnflag AS cls, count(*) AS n, max(l_discount) AS max_conf FROM lineitem GROUP BY ALL")
