@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -35,15 +36,17 @@ def hash_distance(a: Column, b: Column, length: int = HASH_CHARACTERS) -> Column
     return F.when(F.length(a) == F.length(b), different).otherwise(F.lit(999))
 
 
-def hash_bands(value: Column, most: int = MOST_DIFFERENT, length: int = HASH_CHARACTERS) -> Column:
-    """most + 1 bands of the hash: hashes that differ in at most ``most`` characters agree in one of them."""
-    bands = most + 1
-    edges = [length * i // bands for i in range(bands + 1)]
-    return F.array(*[F.concat(F.lit(f"{i}:"), F.substring(value, edges[i] + 1, edges[i + 1] - edges[i])) for i in range(bands)])
+def hash_bands(value: Column, most: int = MOST_DIFFERENT, length: int = HASH_CHARACTERS, agree: int = 3) -> Column:
+    """Keys of the hash: it is cut into most + ``agree`` pieces, and hashes that differ in at most ``most`` characters have ``agree`` of
+    them in common, so one key for each combination of that many (56 keys of six characters by default) meets every such pair."""
+    pieces = min(length, most + agree)
+    edges = [length * i // pieces for i in range(pieces + 1)]
+    parts = [F.substring(value, edges[i] + 1, edges[i + 1] - edges[i]) for i in range(pieces)]
+    return F.array(*[F.concat(F.lit(f"{n}:"), *[parts[i] for i in c]) for n, c in enumerate(combinations(range(pieces), max(1, pieces - most)))])
 
 
 def near_hashes(new: DataFrame, catalog: DataFrame, most: int = MOST_DIFFERENT) -> DataFrame:
-    """(new_id, old_id, distance) of hashes at most ``most`` characters apart: joined by equal bands, then verified.
+    """(new_id, old_id, distance) of hashes at most ``most`` characters apart: joined by equal keys of several bands, then verified.
 
     Equal hashes are one row on each side before the bands are joined, so copies do not multiply.
     """
@@ -198,26 +201,35 @@ TOP = T.StructType([T.StructField("query", T.LongType()), T.StructField("id", T.
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """(query, id, score, rank) of the k largest inner products of each query vector (id, embedding) with all vectors.
 
-    Queries and vectors are dealt to blocks by hash; each pair of blocks is one group of about two blocks' vectors, which keeps the
-    k best of each query, and only those are ranked together.
+    Vectors are dealt to blocks by hash and shuffled once; the queries, the smaller side, go to every block.  A block's vectors are held
+    while its queries stream past, and only the block's k best of each query are ranked together.
     """
     from pyspark.sql import Window as W
 
-    n, m = max(1, -(-vectors.count() // block)), max(1, -(-queries.count() // block))
-    own = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    asked = F.pmod(F.xxhash64("id"), F.lit(m)).cast("int")
-    rows = vectors.select("id", "embedding", own.alias("j"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("i"), F.lit(1).alias("side"))
-    asks = queries.select("id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("j"), asked.alias("i"), F.lit(0).alias("side"))
+    n = max(1, -(-vectors.count() // block))
+    rows = vectors.select(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("j"), F.lit(0).alias("side"), "id", "embedding")
+    asks = queries.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("j"), F.lit(1).alias("side"), "id", "embedding")
+    tasks = min(n, max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1))
 
-    def find(ids: np.ndarray, x: np.ndarray, side: np.ndarray) -> pa.Table:
-        q, v = side == 0, side == 1
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = to_arrow_schema(TOP)
-        if not q.any() or not v.any():
-            return schema.empty_table()
-        scores = x[q].astype(np.float64) @ x[v].astype(np.float64).T
-        # rows come by ascending id, so a stable order breaks ties by it
-        best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-        return pa.table([np.repeat(ids[q], best.shape[1]), ids[v][best].ravel(), np.take_along_axis(scores, best, 1).ravel()], schema=schema)
-
-    local = rows.unionByName(asks).groupBy("i", "j").applyInArrow(_grouped(find), TOP)
+        held, parts, block_ids, block_x = None, [], None, None
+        for batch in batches:
+            j, side, ids = (batch.column(i).to_numpy() for i in range(3))
+            cuts = np.flatnonzero(np.r_[True, (j[1:] != j[:-1]) | (side[1:] != side[:-1]), True]) if len(j) else []
+            for low, high in zip(cuts, cuts[1:], strict=False):
+                x = np.stack(batch.column(3).slice(low, high - low).to_pylist()).astype(np.float64)
+                if j[low] != held:
+                    held, parts, block_x = j[low], [], None
+                if side[low] == 0:
+                    parts.append((ids[low:high], x))
+                elif parts:
+                    if block_x is None:
+                        block_ids, block_x = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+                    scores = x @ block_x.T
+                    best = np.argsort(-scores, axis=1, kind="stable")[:, :k]  # vectors come by ascending id, which breaks ties
+                    columns = (np.repeat(ids[low:high], best.shape[1]), block_ids[best].ravel(), np.take_along_axis(scores, best, 1).ravel())
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
+
+    local = rows.union(asks).repartition(tasks, "j").sortWithinPartitions("j", "side", "id").mapInArrow(search, TOP)
     return local.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)

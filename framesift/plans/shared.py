@@ -2,7 +2,7 @@
 
 A table written here cuts lineage: a lost executor costs a re-read, never a recomputation
 of everything before it.  The folder is the one the session names in ``spark.checkpoint.dir``;
-only where that is unset (plain local sessions) does this module choose one itself.
+only where that is unset in a plain local session does this module choose one itself; on a cluster it raises.
 """
 
 from __future__ import annotations
@@ -16,10 +16,13 @@ _LOCAL_FALLBACK: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder: the session's ``spark.checkpoint.dir``, else one local folder per process."""
+    """The shared folder: the session's ``spark.checkpoint.dir``; on a local master, else one local folder per process."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _LOCAL_FALLBACK:
         _LOCAL_FALLBACK.append(tempfile.mkdtemp(prefix="spark-framesift-"))
     return "file://" + _LOCAL_FALLBACK[0]
