@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from framesift.functions.paths import percent
 from framesift.operators.search import PROCESSED, tag_match
@@ -31,7 +31,7 @@ def tag_distribution(assets: DataFrame, dims: list[str]) -> DataFrame:
 
 
 def coverage(assets: DataFrame, requirements: list[dict], most: int = 10_000) -> DataFrame:
-    """Per requirement (name, filters, target): current approved count, coverage, gap and sources of the first hits.
+    """Per requirement (name, filters, target): current approved count, coverage, gap, number of sources and the sources of the first ``most`` hits.
 
     One scan: every requirement is a condition, so an asset is tested against all of them at once.
     """
@@ -41,7 +41,13 @@ def coverage(assets: DataFrame, requirements: list[dict], most: int = 10_000) ->
     names = F.explode(F.array(*[F.struct(F.lit(i).alias("_i"), F.lit(r["name"]).alias("name"), F.lit(r.get("target", most)).alias("target")) for i, r in enumerate(requirements)]))
     wanted = assets.sparkSession.range(1).select(names.alias("r")).select("r.*")
     joined = wanted.join(counts, F.col("_i") == F.col("_r"), "left").na.fill(0, ["current", "n_sources"])
-    return joined.select("name", "target", "current", percent(F.col("current") / F.greatest(F.lit(1), F.col("target"))).alias("coverage"), F.greatest(F.lit(0), F.col("target") - F.col("current")).alias("gap"), "n_sources")
+    first = hits.withColumn("_at", F.row_number().over(W.partitionBy("_r").orderBy("id"))).where(F.col("_at") <= most)
+    sources = first.groupBy(F.col("_r").alias("_s")).agg(F.array_sort(F.collect_set("source_id")).alias("sources"))
+    joined = joined.join(sources, F.col("_i") == F.col("_s"), "left")
+    return joined.select(
+        "name", "target", "current", percent(F.col("current") / F.greatest(F.lit(1), F.col("target"))).alias("coverage"), F.greatest(F.lit(0), F.col("target") - F.col("current")).alias("gap"), "n_sources",
+        F.coalesce("sources", F.array().cast("array<string>")).alias("sources"),
+    )
 
 
 def distribution(rows: DataFrame, column: str) -> DataFrame:
@@ -76,9 +82,9 @@ def split_check(images: DataFrame, labels: DataFrame) -> DataFrame:
     return i.join(l, "split", "full").na.fill(0, ["images", "labels"]).withColumn("equal", F.col("images") == F.col("labels"))
 
 
-def unmapped(names: DataFrame, mapped: Column) -> DataFrame:
-    """Names without a class and their counts."""
-    return names.where(mapped.isNull()).groupBy("name").agg(F.count("*").alias("n"))
+def unmapped(names: DataFrame, mapped: Column, silent: list[str] | None = None) -> DataFrame:
+    """Names without a class and their counts, but for those that are left out silently."""
+    return names.where(mapped.isNull() & ~F.col("name").isin(silent or [])).groupBy("name").agg(F.count("*").alias("n"))
 
 
 def reconcile(index: DataFrame, metadata: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -151,3 +151,17 @@ def mask_boxes(pixels: DataFrame, colours: dict[tuple[int, int, int], str]) -> D
     cls = F.try_element_at(table, (F.shiftleft("r", 16).bitwiseOR(F.shiftleft("g", 8)).bitwiseOR(F.col("b"))).cast("int"))
     known = pixels.withColumn("cls", cls).where("cls IS NOT NULL")
     return known.groupBy("image", "component", "cls").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), (F.max("x") + 1).alias("x1"), (F.max("y") + 1).alias("y1"))
+
+
+def folded_frames(frames: DataFrame, labels: DataFrame, prefix: str) -> DataFrame:
+    """(split, name, lines, n_boxes) of labelled frames under a prefixed name; frames (split, stem) without labels (stem, line) stay as
+    negatives with no lines.  Blank lines do not count."""
+    lines = labels.where(F.trim("line") != "").groupBy(F.col("stem").alias("_s")).agg(F.array_sort(F.collect_list("line")).alias("lines"))
+    joined = frames.join(lines, F.col("stem") == F.col("_s"), "left")
+    kept = F.coalesce("lines", F.array().cast("array<string>"))
+    return joined.select("split", F.concat(F.lit(prefix), "stem").alias("name"), kept.alias("lines"), F.size(kept).alias("n_boxes"))
+
+
+def line_class_counts(folded: DataFrame) -> DataFrame:
+    """Boxes per class, the first field of each line."""
+    return folded.select(F.explode("lines").alias("line")).groupBy(F.split(F.trim("line"), r"\s+")[0].alias("cls")).agg(F.count("*").alias("n"))

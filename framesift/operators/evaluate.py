@@ -116,3 +116,22 @@ def deploy_check(detections: DataFrame) -> DataFrame:
 def epoch_matrix(metrics: DataFrame, value: str, epochs: list[int]) -> DataFrame:
     """One row per class, one column per epoch."""
     return metrics.groupBy("cls").pivot("epoch", epochs).agg(F.first(value, ignorenulls=True))
+
+
+def hard_cases(diffs: DataFrame, status: str = "NEW") -> DataFrame:
+    """One row per asset with a difference of machine and human tags (asset_id, dim, only_ai, only_human, both): case_id, diff by
+    dimension and status.  A case's id follows from its asset, so a repeated run appends no second one where ids are unique."""
+    diff = F.map_from_entries(F.array_sort(F.collect_list(F.struct("dim", F.struct("only_ai", "only_human", "both")))))
+    return diffs.groupBy("asset_id").agg(diff.alias("diff")).select(F.substring(F.sha2(F.col("asset_id").cast("string"), 256), 1, 16).alias("case_id"), "asset_id", "diff", F.lit(status).alias("status"))
+
+
+def listed_cases(cases: DataFrame, project: str, status: str | None = None) -> DataFrame:
+    """A project's cases, of one status or of any, newest first."""
+    own = cases.where(F.col("project") == project)
+    return (own if status is None else own.where(F.col("status") == status)).orderBy(F.desc("created_at"), "case_id")
+
+
+def benchmark_samples(samples: DataFrame, project: str, split: str | None = None) -> DataFrame:
+    """A project's benchmark samples, of one split or of all."""
+    own = samples.where(F.col("project") == project)
+    return own if split is None else own.where(F.col("split") == split)

@@ -19,6 +19,44 @@ def merged(tags: DataFrame, keys: tuple[str, ...] = ("asset_id", "dim")) -> Data
     return tags.groupBy(*keys, "tag", "source").agg(F.max("confidence").alias("confidence"), F.min("position").alias("position"))
 
 
+def machine_tags(rows: DataFrame, dims: list[str], doc: str = "doc", key: str = "asset_id") -> DataFrame:
+    """The long form of a variant object {dim: [tag, ...]} of machine tags with their model.
+
+    A tag is an object (tag, source, confidence, model) or a bare string, which counts as surely seen by an unknown model; other items are
+    left out, and so are objects without a name.
+    """
+    each = F.array(*[F.struct(F.lit(d).alias("dim"), F.try_variant_get(doc, f"$.{d}", "array<variant>").alias("items")) for d in dims])
+    items = rows.select(key, F.explode(each).alias("e")).select(key, "e.dim", F.posexplode("e.items").alias("position", "v"))
+    bare = F.schema_of_variant("v") == "STRING"
+
+    def field(name: str, kind: str) -> Column:
+        return F.try_variant_get("v", f"$.{name}", kind)
+
+    named = items.select(
+        key, "dim", "position", F.when(bare, F.try_variant_get("v", "$", "string")).otherwise(field("tag", "string")).alias("tag"), F.coalesce(field("source", "string"), F.lit("AI")).alias("source"),
+        F.coalesce(field("confidence", "double"), F.lit(1.0)).alias("confidence"), F.coalesce(field("model", "string"), F.lit("unknown")).alias("model"),
+    )
+    return named.where("tag IS NOT NULL")
+
+
+def tags_by_source(tags: Column, source: str) -> Column:
+    """The tag structs of one source."""
+    return F.filter(tags, lambda t: t["source"] == source)
+
+
+def without_tag(tags: Column, name: str, source: str | None = None) -> Column:
+    """The tag structs less those of a name, of one source or of any."""
+    return F.filter(tags, lambda t: ~((t["tag"] == name) & (F.lit(True) if source is None else t["source"] == source)))
+
+
+def scene_categories(ontology: DataFrame, legacy: DataFrame) -> DataFrame:
+    """(category, details, focus) of an ontology's array ``scene_categories``; of the legacy table's where the ontology has none."""
+    own = ontology.select(F.explode("scene_categories").alias("c")).select("c.category", "c.details", "c.focus")
+    old = legacy.select(F.explode("scene_categories").alias("c")).select("c.category", "c.details", "c.focus")
+    none = own.limit(1).agg((F.count("*") == 0).alias("_none"))
+    return own.unionByName(old.crossJoin(F.broadcast(none)).where("_none").drop("_none"))
+
+
 def human_tags(rows: DataFrame, tag: str = "tag") -> DataFrame:
     return rows.select("*").withColumn("source", F.lit("Human")).withColumn("confidence", F.lit(1.0))
 

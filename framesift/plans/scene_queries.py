@@ -251,9 +251,9 @@ def a3_tag_distribution(spark, d):
     return agg.tag_distribution(fx.assets(spark, d), ["lang", "length", "quality"])
 
 
-@query("a4_coverage", f"""WITH {fx.ASSETS}, r AS (SELECT 'english' AS name, 500 AS target, count(*) AS current, count(DISTINCT source_id) AS n_sources FROM assets WHERE status = 'APPROVED' AND lang = 'en' UNION ALL
- SELECT 'long_good', 10000, count(*), count(DISTINCT source_id) FROM assets WHERE status = 'APPROVED' AND length = 'long' AND qtag = 'good')
- SELECT name, target, current, format('{{:.1f}}%', 100.0 * current / target) AS coverage, greatest(0, target - current) AS gap, n_sources FROM r""")
+@query("a4_coverage", f"""WITH {fx.ASSETS}, r AS (SELECT 'english' AS name, 500 AS target, count(*) AS current, count(DISTINCT source_id) AS n_sources, coalesce(list_sort(list(DISTINCT source_id)), []) AS sources FROM assets WHERE status = 'APPROVED' AND lang = 'en' UNION ALL
+ SELECT 'long_good', 10000, count(*), count(DISTINCT source_id), coalesce(list_sort(list(DISTINCT source_id)), []) FROM assets WHERE status = 'APPROVED' AND length = 'long' AND qtag = 'good')
+ SELECT name, target, current, format('{{:.1f}}%', 100.0 * current / target) AS coverage, greatest(0, target - current) AS gap, n_sources, sources FROM r""")
 def a4_coverage(spark, d):
     return agg.coverage(fx.assets(spark, d), [{"name": "english", "filters": {"lang": ["en"]}, "target": 500}, {"name": "long_good", "filters": {"length": ["long"], "quality": ["good"]}}])
 

@@ -8,6 +8,7 @@ from framesift.functions.paths import safe_class_name
 from framesift.operators.aggregates import manifest
 from framesift.operators.search import export_rows, flat_rows, sharded_name
 
+BYTE_ORDER_MARK = "\ufeff"
 FORMATS = ("jsonl", "json", "csv", "parquet", "package")
 
 
@@ -19,7 +20,9 @@ def write_export(assets: DataFrame, path: str, form: str, dims: list[str]) -> di
     if form in ("jsonl", "json"):
         nested.write.json(path)
     elif form == "csv":
-        flat_rows(nested, dims).write.option("header", "true").csv(path)
+        flat = flat_rows(nested, dims)
+        # the mark that opens a UTF-8 file for spreadsheets stands before the header's first name
+        flat.withColumnRenamed(flat.columns[0], BYTE_ORDER_MARK + flat.columns[0]).write.option("header", "true").csv(path)
     elif form == "parquet":
         flat_rows(nested, dims).write.parquet(path)
     else:
