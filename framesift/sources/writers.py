@@ -64,5 +64,5 @@ def project_path(root: str, project: str, kind: str) -> str:
 
 
 def work_snapshot(rows: DataFrame, key: str = "project") -> DataFrame:
-    """Per project the number of ids and their digest, beside the ids themselves as rows."""
+    """Per project the number of ids, the first and the last."""
     return rows.groupBy(key).agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
