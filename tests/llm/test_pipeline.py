@@ -50,3 +50,30 @@ def test_stages(spark, folder):
     pieces = after["packing"]
     assert ids["packing"] == ids["decontamination"] and pieces.where("length & (length - 1) <> 0 OR offset <> 0").count() == 0
     assert p.run(spark, path).count() == pieces.count()
+
+
+def test_stages_with_awkward_rows(spark, folder, tmp_path):
+    """Nulls, empty and repeated rows, clashing columns and an empty table in every stage."""
+    import corpus_pipeline as p
+
+    path, texts = folder
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row string, row2 string, keep string, kind string, _x string"
+    good, copy = texts[0], texts[1]
+    item = texts[4000]
+    rows = [(1, None), (2, ""), (3, " \n "), (None, good), (5, copy), (5, copy), (6, copy), (7, item), (None, item), (8, "BUY NOW!! " * 80), (9, "me@site.example.com " + texts[2])]
+    docs = spark.createDataFrame([(i, t, None, None, None if t is None else len(t), "r", "s", "k", "email", None) for i, t in rows], schema)
+
+    def ids(out):
+        return sorted((r["doc_id"] if r["doc_id"] is not None else -1) for r in out.select("doc_id").collect())
+
+    stages = dict(p.STAGES)
+    kept = stages["quality"](spark, docs, path)
+    assert ids(kept) == [-1, -1, 5, 5, 6, 7, 8, 9] and kept.columns == docs.columns  # all labels of these ids are 1, so every text with words stays
+    assert ids(stages["simhash_dedup"](spark, docs, path)) == [-1, -1, 1, 5, 5, 7, 8, 9]  # blank texts are one group; rows of one id share their fate
+    assert ids(stages["decontamination"](spark, docs, path)) == [-1, 1, 2, 3, 5, 5, 6, 8, 9]
+    masked = {r["doc_id"]: r for r in stages["personal_data"](spark, docs, path).collect()}
+    assert masked[9]["text"].startswith("[EMAIL] ") and masked[9]["n_chars"] == len(masked[9]["text"]) and masked[1]["text"] is None and masked[9]["kind"] == "email"
+    pieces = stages["packing"](spark, docs, path).collect()
+    assert sum(r["start"] == 0 for r in pieces) == len(rows) and [r["length"] for r in pieces if r["doc_id"] == 1] == [1]
+    for stage in stages.values():
+        assert stage(spark, docs.limit(0), path).count() == 0
