@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from framesift.functions.paths import basename, dirname, forward, slug, stem
 from framesift.plans.order import with_position
@@ -87,38 +92,70 @@ def fixed_windows(rows: DataFrame, run: list[str], order: list[str], size: int =
     return rows.withColumn("window_no", F.floor(number / size).cast("long"))
 
 
-def cut_windows(frames: Column, seconds: float, floor_frames: int = CLIP_FRAMES, min_tail: int = MIN_FRAMES) -> Column:
-    """Windows of a time-ordered array of struct(ms, id): an array of arrays of id.
+def _number_windows(batches: Iterator[pa.RecordBatch], ms: str, span: float, floor_frames: int, min_tail: int, size: int) -> Iterator[pa.RecordBatch]:
+    """``window_no`` for rows sorted by run and time, with ``_at`` (place in the run) and ``_timed``.
 
-    A window closes before the first frame that comes when it has ``floor_frames`` and ``seconds``; a tail
-    shorter than ``min_tail`` joins the window before it, or is dropped where there is none.  Null where a
-    time is missing or first and last are equal, so the caller can fall back to counted windows.
+    Of the open window only number, first time and size are kept, and its rows while they are fewer than ``min_tail``.
     """
-    element = "array<struct<ms:bigint,id:bigint>>"
-    empty = F.array().cast(element)
-    start = F.struct(F.array().cast(f"array<{element}>").alias("done"), empty.alias("open"))
-
-    def step(state: Column, frame: Column) -> Column:
-        closes = (F.size(state["open"]) >= floor_frames) & (F.size(state["open"]) > 0) & (frame["ms"] - F.get(state["open"], F.lit(0))["ms"] >= seconds * 1000)
-        done = F.when(closes, F.concat(state["done"], F.array(state["open"]))).otherwise(state["done"])
-        opened = F.when(closes, F.array(frame)).otherwise(F.concat(state["open"], F.array(frame)))
-        return F.struct(done.alias("done"), opened.alias("open"))
-
-    def finish(state: Column) -> Column:
-        n = F.size(state["done"])
-        short = F.size(state["open"]) < min_tail
-        merged = F.concat(F.slice(state["done"], 1, F.greatest(n - 1, F.lit(0))), F.array(F.concat(F.element_at(state["done"], -1), state["open"])))
-        windows = F.when(short & (n > 0), merged).when(~short, F.concat(state["done"], F.array(state["open"]))).otherwise(state["done"])
-        return F.transform(windows, lambda w: F.transform(w, lambda f: f["id"]))
-
-    usable = ~F.exists(frames, lambda f: f["ms"].isNull()) & (F.size(frames) > 0) & (F.get(frames, F.lit(0))["ms"] != F.element_at(frames, -1)["ms"])
-    return F.when(usable, F.aggregate(frames.cast(element), start, step, finish))
-
-
-def counted_windows(ids: Column, size: int = CLIP_FRAMES) -> Column:
-    """Windows of every ``size`` ids."""
-    starts = F.sequence(F.lit(0), F.greatest(F.size(ids) - 1, F.lit(0)), F.lit(size))
-    return F.transform(starts, lambda s: F.slice(ids, s + 1, F.lit(size)))
+    held, no, began, count = None, 0, 0, min_tail
+
+    def numbered(part: pa.Table, window: np.ndarray) -> Iterator[pa.RecordBatch]:
+        kept = part.drop_columns(["_at", "_timed"]).append_column("window_no", pa.array(window, pa.int64()))
+        yield from kept.filter(pa.array(window >= 0)).to_batches()
+
+    for batch in batches:
+        part = pa.Table.from_batches([batch])
+        old = held.num_rows if held is not None else 0
+        if old:
+            part = pa.concat_tables([held, part])
+        n = part.num_rows
+        at, timed = part["_at"].to_numpy(), part["_timed"].to_numpy()
+        times = pc.fill_null(part[ms], 0).to_numpy()
+        window = np.full(n, no, np.int64)
+        edges = [old, *(np.flatnonzero(at[old:] == 0) + old), n]
+        for k, (low, high) in enumerate(zip(edges, edges[1:], strict=False)):
+            if k:  # a run begins, so the one before has its last window
+                if count < min_tail:
+                    window[low - count : low] = no - 1
+                no, count = 0, 0
+            if low < high and not timed[low]:
+                window[low:high], count = at[low:high] // size, min_tail
+                continue
+            while low < high:
+                began = times[low] if not count else began
+                may_close = low + max(floor_frames - count, 0 if count else 1)
+                late = np.flatnonzero(times[may_close:high] - began >= span)
+                end = may_close + late[0] if len(late) else high
+                window[low:end] = no
+                count += end - low
+                if end < high:
+                    no, count = no + 1, 0
+                low = end
+        ready = n - (count if count < min_tail else 0)
+        held = part.slice(ready)
+        yield from numbered(part.slice(0, ready), window[:ready])
+    if held is not None and held.num_rows:
+        yield from numbered(held, np.full(held.num_rows, no - 1))
+
+
+def clip_windows(rows: DataFrame, run: list[str], order: list[str], ms: str, seconds: float, size: int = CLIP_FRAMES, min_tail: int = MIN_FRAMES) -> DataFrame:
+    """Adds ``window_no`` to the rows of each run in their order; no run is held in memory.
+
+    Where ``seconds`` is positive, a window closes before the first frame that comes when it has ``size`` frames and
+    ``seconds``; a tail shorter than ``min_tail`` joins the window before it, or is dropped where there is none.  Runs in
+    which a time (``ms``, milliseconds) is missing or first and last are equal, and all runs without ``seconds``, have
+    windows of every ``size`` frames.
+    """
+    own = W.partitionBy(*run).orderBy(*order)
+    placed = rows.withColumn("_at", (F.row_number().over(own) - 1).cast("long"))
+    if seconds <= 0:
+        return placed.withColumn("window_no", F.floor(F.col("_at") / size).cast("long")).drop("_at")
+    whole = own.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    usable = (F.count(ms).over(whole) == F.count(F.lit(1)).over(whole)) & (F.first(ms).over(whole) != F.last(ms).over(whole))
+    schema = T.StructType([*rows.schema.fields, T.StructField("window_no", T.LongType())])
+    # the windows above leave the rows clustered by run and sorted, and the stream keeps that order
+    marked = placed.withColumn("_timed", F.coalesce(usable, F.lit(False)))
+    return marked.mapInArrow(lambda batches: _number_windows(batches, ms, seconds * 1000, size, min_tail, size), schema)
 
 
 def clip_seconds(rows: DataFrame, config: DataFrame, project: str = "project") -> DataFrame:
@@ -130,21 +167,19 @@ def clip_seconds(rows: DataFrame, config: DataFrame, project: str = "project") -
 
 
 def build_seq_clips(frames: DataFrame, size: int = CLIP_FRAMES, min_frames: int = MIN_FRAMES, seconds: float = 0.0) -> DataFrame:
-    """Clips of frames (id, path, position) ordered by their file names: runs of at least ``min_frames``, cut by time
-    where ``seconds`` is positive and the names tell it, else every ``size`` frames.
+    """Clips of frames (id, path, position) ordered by their file names: runs of at least ``min_frames``, cut by
+    ``clip_windows`` with the times that the names tell.
 
     ``legacy_clip_id`` is made of the last 48 characters of the first path, which can collide; ``clip_id``
     adds a hash of the run.
     """
-    keyed = frames.withColumn("_k", seq_key(F.col("path"))).where("_k IS NOT NULL").select("id", "path", "position", "_k.*")
-    runs = split_keyed_runs(keyed)
-    ordered = F.array_sort(F.collect_list(F.struct("value", "sub", "position", frame_ms(F.col("path")).alias("ms"), "id", "path")))
-    grouped = runs.groupBy("run_id", "mode", "run_no").agg(ordered.alias("frames")).where(F.size("frames") >= min_frames)
-    ids = F.transform("frames", lambda f: f["id"])
-    timed = cut_windows(F.transform("frames", lambda f: F.struct(f["ms"].alias("ms"), f["id"].alias("id"))), seconds, size, min_frames) if seconds > 0 else F.lit(None)
-    windows = F.coalesce(timed, counted_windows(ids, size))
-    head = F.get(F.col("frames"), F.lit(0))["path"]
-    clips = grouped.select("run_id", "mode", "run_no", head.alias("head"), F.posexplode(windows).alias("clip_index", "frame_ids"))
+    run, order = ["run_id", "mode", "run_no"], ["value", "sub", "position", "id"]
+    keyed = frames.withColumn("_k", seq_key(F.col("path"))).where("_k IS NOT NULL").select("id", "path", "position", frame_ms(F.col("path")).alias("ms"), "_k.*")
+    own = W.partitionBy(*run)
+    sized = split_keyed_runs(keyed).withColumn("_n", F.count(F.lit(1)).over(own)).withColumn("head", F.first("path").over(own.orderBy(*order)))
+    cut = clip_windows(sized.where(F.col("_n") >= min_frames).drop("_n", "path"), run, order, "ms", seconds, size, min_frames)
+    items = F.array_sort(F.collect_list(F.struct(*order)))
+    clips = cut.groupBy(*run, "head", F.col("window_no").cast("int").alias("clip_index")).agg(F.transform(items, lambda f: f["id"]).alias("frame_ids"))
     legacy = F.format_string("seq_%s_%05d", slug(F.col("head")), F.col("clip_index"))
     folder = F.when(dirname(F.col("head")) == "", F.lit("images")).otherwise(dirname(F.col("head")))
     return clips.select(
@@ -155,11 +190,11 @@ def build_seq_clips(frames: DataFrame, size: int = CLIP_FRAMES, min_frames: int
 
 def build_video_clips(frames: DataFrame, size: int = CLIP_FRAMES, min_frames: int = MIN_FRAMES, seconds: float = 0.0) -> DataFrame:
     """Clips of frames (id, video_path, timestamp in seconds, frame_index) with a video, ordered by time, then index."""
-    ordered = F.array_sort(F.collect_list(F.struct(F.coalesce("timestamp", F.lit(0.0)).alias("t"), F.coalesce("frame_index", F.lit(0)).alias("i"), "id")))
-    grouped = frames.where("video_path IS NOT NULL").groupBy("video_path").agg(ordered.alias("frames"))
-    ids = F.transform("frames", lambda f: f["id"])
-    timed = cut_windows(F.transform("frames", lambda f: F.struct((f["t"] * 1000).cast("long").alias("ms"), f["id"].alias("id"))), seconds, size, min_frames) if seconds > 0 else F.lit(None)
-    clips = grouped.select("video_path", F.posexplode(F.coalesce(timed, counted_windows(ids, size))).alias("clip_index", "frame_ids"))
+    order = ["t", "i", "id"]
+    timed = frames.where("video_path IS NOT NULL").select("video_path", F.coalesce("timestamp", F.lit(0.0)).alias("t"), F.coalesce("frame_index", F.lit(0)).alias("i"), "id")
+    cut = clip_windows(timed.withColumn("ms", (F.col("t") * 1000).cast("long")), ["video_path"], order, "ms", seconds, size, min_frames)
+    items = F.array_sort(F.collect_list(F.struct(*order)))
+    clips = cut.groupBy("video_path", F.col("window_no").cast("int").alias("clip_index")).agg(F.transform(items, lambda f: f["id"]).alias("frame_ids"))
     return clips.select(F.format_string("%s_%05d", stem(F.col("video_path")), F.col("clip_index")).alias("clip_id"), F.col("video_path").alias("video_id"), "clip_index", "frame_ids")
 
 

@@ -258,10 +258,13 @@ def d8_marked(spark, d):
     return table(spark, d, "documents").select("doc_id", D.marked(before, F.lit("g1")).alias("groups"))
 
 
-@query("w7_video_clips", "WITH o AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events) SELECT user_id || '_' || lpad(cast(i // 30 AS varchar), 5, '0') AS clip_id, count(*) AS n, min(event_id) AS low FROM o GROUP BY ALL")
+@query("w7_video_clips", "WITH o AS (SELECT user_id, ts, event_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) // 30 AS i FROM events) SELECT user_id || '_' || lpad(cast(i AS varchar), 5, '0') AS clip_id, 'v/' || user_id || '.mp4' AS video_id, i::INT AS clip_index, list(event_id ORDER BY ts, event_id) AS frame_ids FROM o GROUP BY user_id, i")
 def w7_video_clips(spark, d):
-    frames = fx.events_ms(spark, d).select(F.col("event_id").alias("id"), F.concat(F.lit("v/"), F.col("user_id").cast("string"), F.lit(".mp4")).alias("video_path"), F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts) / 1000000D").alias("timestamp"), F.col("event_id").alias("frame_index"))
-    return seq.build_video_clips(frames).select("clip_id", F.size("frame_ids").cast("long").alias("n"), F.array_min("frame_ids").alias("low"))
+    return seq.build_video_clips(video_frames(spark, d))
+
+
+def video_frames(spark, d):
+    return fx.events_ms(spark, d).select(F.col("event_id").alias("id"), F.concat(F.lit("v/"), F.col("user_id").cast("string"), F.lit(".mp4")).alias("video_path"), F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts) / 1000000D").alias("timestamp"), F.col("event_id").alias("frame_index"))
 
 
 @query("k7_label_files", f"WITH {fx.BOXES} SELECT CASE WHEN ('0x' || substr(md5(image_id), 1, 8))::BIGINT % 10 = 0 THEN 'val' ELSE 'train' END AS split, count(DISTINCT image_id) AS n FROM boxes GROUP BY ALL")

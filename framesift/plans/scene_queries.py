@@ -64,12 +64,23 @@ def w5_frame_ms(spark, d):
  moved AS (SELECT w.user_id, w.event_id, CASE WHEN w.win = l.m AND s.n < 3 AND l.m > 0 THEN w.win - 1 ELSE w.win END AS win, s.n < 3 AND l.m = 0 AS gone FROM w JOIN last l USING (user_id) JOIN sizes s ON s.user_id = w.user_id AND s.win = w.win)
  SELECT user_id, win::BIGINT AS window_no, count(*) AS n, min(event_id) AS low, max(event_id) AS high FROM moved WHERE NOT gone GROUP BY ALL""")
 def w4_cut_windows(spark, d):
-    frames = F.array_sort(F.collect_list(F.struct("ms", F.col("event_id").alias("id"))))
-    cut = fx.events_ms(spark, d).groupBy("user_id").agg(frames.alias("f")).select("user_id", F.posexplode(seq.cut_windows(F.col("f"), 5 * DAY / 1000, 5, 3)).alias("window_no", "ids"))
-    return cut.select("user_id", F.col("window_no").cast("long").alias("window_no"), F.size("ids").cast("long").alias("n"), F.array_min("ids").alias("low"), F.array_max("ids").alias("high"))
+    events = fx.events_ms(spark, d).select("user_id", "ms", "event_id")
+    cut = seq.clip_windows(events, ["user_id"], ["ms", "event_id"], "ms", 5 * DAY / 1000, 5, 3)
+    return cut.groupBy("user_id", "window_no").agg(F.count("*").alias("n"), F.min("event_id").alias("low"), F.max("event_id").alias("high"))
 
 
-@query("w7_seq_clips")
+KEYED = f"""{fx.FRAMES}, n AS (SELECT id, path, regexp_extract(path, '[^/]*$') AS name, regexp_replace(path, '/[^/]*$', '') AS dir FROM frames WHERE id % 6 <> 5),
+ k AS (SELECT id, path, dir, CASE id % 6 WHEN 0 THEN 'bucket:' || dir WHEN 1 THEN 'v:' || split_part(name, '_', 1) WHEN 2 THEN 'ms:' || dir || ':_' || regexp_extract(name, '_([0-9]).jpg$', 1) WHEN 3 THEN 'secms:' || dir ELSE 'idx:' || dir || ':IMG_' END AS run_id,
+  CASE WHEN id % 6 < 2 THEN 'seq' WHEN id % 6 < 4 THEN 'ms' ELSE 'idx' END AS mode, CASE WHEN id % 6 < 2 THEN id ELSE 0 END AS sub,
+  CASE id % 6 WHEN 0 THEN 0 WHEN 1 THEN 1000 * id WHEN 2 THEN 1700000000000 + 900 * id WHEN 3 THEN (1700000000 + id) * 1000 + rpad(cast(id % 997 AS varchar), 3, '0')::BIGINT ELSE id END AS value FROM n),
+ c AS (SELECT *, CASE mode WHEN 'seq' THEN sub <= lag(sub) OVER o WHEN 'ms' THEN value - lag(value) OVER o > 10000 ELSE value - lag(value) OVER o > 2 END AS cut FROM k WINDOW o AS (PARTITION BY run_id, mode ORDER BY value, sub, id)),
+ r AS (SELECT *, coalesce(sum(cut::INT) OVER (PARTITION BY run_id, mode ORDER BY value, sub, id ROWS UNBOUNDED PRECEDING), 0)::BIGINT AS run_no FROM c)"""
+
+
+@query("w7_seq_clips", f"""WITH {KEYED}, w AS (SELECT *, count(*) OVER p AS total, first(path) OVER o AS head, (row_number() OVER o - 1) // 30 AS win FROM r WINDOW p AS (PARTITION BY run_id, mode, run_no), o AS (PARTITION BY run_id, mode, run_no ORDER BY value, sub, id)),
+ g AS (SELECT run_id, mode, run_no, head, dir, win::INT AS clip_index, list(id ORDER BY value, sub, id) AS frame_ids FROM w WHERE total >= 5 GROUP BY ALL),
+ i AS (SELECT *, 'seq_' || right(regexp_replace(head, '[^0-9A-Za-z_-]', '_', 'g'), 48) || '_' || lpad(clip_index::VARCHAR, 5, '0') AS legacy_clip_id FROM g)
+ SELECT legacy_clip_id || '_' || substr(md5(concat_ws('|', run_id, mode, run_no)), 1, 8) AS clip_id, legacy_clip_id, 'seq:' || dir AS video_id, clip_index, frame_ids FROM i""")
 def w7_seq_clips(spark, d):
     return seq.build_seq_clips(fx.frames(spark, d))
 

@@ -45,20 +45,30 @@ def sequential_windows(frames, seconds, floor, tail):
     return [[i for _, i in w] for w in done]
 
 
-def test_cut_windows_equals_the_sequential_rule(spark):
+@pytest.mark.parametrize("batch", [1, 3, 10_000])
+def test_clip_windows_equal_the_sequential_rule(spark, batch):
     r = random.Random(1)
-    lists = []
-    for _ in range(60):
-        ms = 0
-        frames = []
+    rows, want = [], {}
+    for k in range(60):
+        ms, frames = 0, []
         for i in range(r.randrange(1, 30)):
             ms += r.choice([0, 100, 400, 900])
             frames.append((ms if r.random() > 0.005 else None, i))
-        lists.append(frames)
-    rows = spark.createDataFrame([(i, f) for i, f in enumerate(lists)], "k int, f array<struct<ms:bigint,id:bigint>>")
-    got = {x["k"]: x["w"] for x in rows.select("k", seq.cut_windows(F.col("f"), 2, 3, 2).alias("w")).collect()}
-    for i, frames in enumerate(lists):
-        assert got[i] == sequential_windows(frames, 2, 3, 2)
+        rows += [(k, i, t) for t, i in frames]
+        counted = [[i for _, i in frames[at : at + 3]] for at in range(0, len(frames), 3)]
+        want[k] = counted if any(t is None for t, _ in frames) else sequential_windows(frames, 2, 3, 2)
+        want[k] = counted if want[k] is None else want[k]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        cut = seq.clip_windows(spark.createDataFrame(rows, "k int, i int, ms long"), ["k"], ["i"], "ms", 2, 3, 2).orderBy("k", "i").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = {k: {} for k in want}
+    for x in cut:
+        got[x["k"]].setdefault(x["window_no"], []).append(x["i"])
+    for k, windows in got.items():
+        assert list(windows) == list(range(len(windows)))
+        assert list(windows.values()) == want[k]
 
 
 def test_evenly_spaced(spark):
