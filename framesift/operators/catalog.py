@@ -5,6 +5,8 @@ Every operator returns the new table (or the rows to append); writing it is the
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from framesift.functions.paths import basename
@@ -76,6 +78,14 @@ def cleared_except(clips: DataFrame, keep: DataFrame, key: str, fields: list[str
     return joined.select(*[F.when(F.col("_k").isNotNull(), F.col(c)).alias(c) if c in fields else F.col(c) for c in clips.columns])
 
 
+def clear_counts(clips: DataFrame, keep: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """What ``cleared_except`` would do: rows with any of the fields before, those to be cleared and those left."""
+    kept = keep.select(F.col(key).alias("_k")).distinct()
+    held = reduce(lambda a, b: a | b, [F.col(f).isNotNull() for f in fields])
+    joined = clips.where(held).join(kept, F.col(key) == F.col("_k"), "left")
+    return joined.agg(F.count("*").alias("had"), F.count_if(F.col("_k").isNull()).alias("cleared"), F.count("_k").alias("kept"))
+
+
 def without_siblings(folders: DataFrame, column: str = "dir", tokens: list[tuple[str, str]] = (("8M", "2M"), ("8m", "2m"))) -> DataFrame:
     """Folders less those whose low-resolution sibling (the first token pair in the path, replaced once) is there too."""
     sibling = F.lit(None).cast("string")

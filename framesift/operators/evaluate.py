@@ -101,6 +101,25 @@ def class_quadrants(classes: DataFrame, frames: DataFrame, old: DataFrame, new:
     return joined.select("cls", "both", "old_only", "new_only", (F.col("n_frames") - seen).alias("none"), gain.alias("direction"))
 
 
+def class_hits(old: DataFrame, new: DataFrame, threshold: float = HIGH) -> DataFrame:
+    """Per class that either model hits: frames and segments hit by each, and the segments' rates over all segments.
+
+    ``old`` and ``new``: segment, frame, cls, score.
+    """
+    scored = old.select("segment", "frame", "cls", "score", F.lit("old").alias("_m")).union(new.select("segment", "frame", "cls", "score", F.lit("new").alias("_m")))
+    total = scored.agg(F.count_distinct("segment").alias("n_segments"))
+    hit = F.col("score") >= threshold
+
+    def best(model: str) -> Column:
+        return F.max(F.when(F.col("_m") == model, hit.cast("int")).otherwise(0))
+
+    frames = scored.groupBy("cls", "segment", "frame").agg(best("old").alias("o"), best("new").alias("n"))
+    segments = frames.groupBy("cls", "segment").agg(F.sum("o").alias("fo"), F.sum("n").alias("fn"), F.max("o").alias("so"), F.max("n").alias("sn"))
+    counts = segments.groupBy("cls").agg(F.sum("fo").alias("frames_old"), F.sum("fn").alias("frames_new"), F.sum("so").alias("segments_old"), F.sum("sn").alias("segments_new"))
+    rated = counts.where("frames_old > 0 OR frames_new > 0").crossJoin(F.broadcast(total))
+    return rated.select("cls", "frames_old", "frames_new", "segments_old", "segments_new", *[F.round(F.col(f"segments_{m}") / F.col("n_segments"), 4).alias(f"segment_rate_{m}") for m in ("old", "new")])
+
+
 def segment_values(hits: DataFrame, names: dict[str, str], none: str = "无标识") -> DataFrame:
     """Per (segment, model): the sorted class names, mapped where a name is given, joined by 、, or ``none``."""
     table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])

@@ -14,9 +14,9 @@ from framesift.sources import readers as S, writers as K
 from framesift.streaming import ingest as R
 
 
-@query("j1_assets_sources", "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F'")
+@query("j1_assets_sources", "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey")
 def j1_assets_sources(spark, d):
-    o, c = table(spark, d, "orders").where("o_orderstatus = 'F'"), table(spark, d, "customer")
+    o, c = table(spark, d, "orders"), table(spark, d, "customer")
     return o.join(c, o["o_custkey"] == c["c_custkey"]).select("o_orderkey", "c_name")
 
 
@@ -68,9 +68,9 @@ def j7_lookup_cascade(spark, d):
     return C.lookup_cascade(wanted, files).select("row", "way")
 
 
-@query("j8_orphans", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("j8_orphans", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey % 7 <> 3)")
 def j8_orphans(spark, d):
-    return C.orphans(table(spark, d, "customer"), table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey").select("c_custkey")
+    return C.orphans(table(spark, d, "customer"), table(spark, d, "orders").where("o_custkey % 7 <> 3").select(F.col("o_custkey").alias("c_custkey")), "c_custkey").select("c_custkey")
 
 
 @query("j9_cleared_except", "SELECT o_orderkey, CASE WHEN o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') THEN o_orderpriority END AS o_orderpriority FROM orders")
@@ -205,18 +205,18 @@ def m24_migrated(spark, d):
     return C.migrated(legacy, store).select("project", "fid")
 
 
-@query("b2_centre_lines", f"WITH {fx.BOXES} SELECT image_id, line, part, supp, floor((x0 + x1) / 2 / img_w * 1000000 + 0.25)::BIGINT AS cx, floor((y0 + y1) / 2 / img_h * 1000000 + 0.25)::BIGINT AS cy, floor((x1 - x0) / img_w * 1000000 + 0.25)::BIGINT AS w FROM boxes")
+@query("b2_centre_lines", f"WITH {fx.BOXES} SELECT image_id, line, part, supp, floor((x0 + x1) / 2 / img_w * 1000000 + 0.25)::BIGINT AS cx, floor((y0 + y1) / 2 / img_h * 1000000 + 0.25)::BIGINT AS cy, floor((x1 - x0) / img_w * 1000000 + 0.25)::BIGINT AS w, floor((y1 - y0) / img_h * 1000000 + 0.25)::BIGINT AS h FROM boxes")
 def b2_centre_lines(spark, d):
     box = B.xyxy_to_centre(*[F.col(c) for c in ("x0", "y0", "x1", "y1", "img_w", "img_h")])
     out = fx.boxes(spark, d).withColumn("b", box)
-    return out.select("image_id", "line", "part", "supp", *[F.floor(F.col("b")[c] * 1000000 + 0.25).alias(c) for c in ("cx", "cy", "w")])
+    return out.select("image_id", "line", "part", "supp", *[F.floor(F.col("b")[c] * 1000000 + 0.25).alias(c) for c in ("cx", "cy", "w", "h")])
 
 
-@query("b5_oriented", f"WITH {fx.BOXES} SELECT image_id, line, part, supp, round(((x0 - 3) + (x1 + 2)) / 2, 6) AS cx, round(x1 - x0 + 5, 6) AS w FROM boxes")
+@query("b5_oriented", f"WITH {fx.BOXES} SELECT image_id, line, part, supp, round(((x0 - 3) + (x1 + 2)) / 2, 6) AS cx, round(x1 - x0 + 5, 6) AS w, round((y0 + y1) / 2, 6) AS cy, round(y1 - y0, 6) AS h FROM boxes")
 def b5_oriented(spark, d):
     corners = F.array(F.col("x0"), F.col("y0"), F.col("x1") + 2, F.col("y0") + 1, F.col("x1"), F.col("y1"), F.col("x0") - 3, F.col("y1"))
     out = fx.boxes(spark, d).withColumn("b", B.oriented_to_centre(corners))
-    return out.select("image_id", "line", "part", "supp", F.round("b.cx", 6).alias("cx"), F.round("b.w", 6).alias("w"))
+    return out.select("image_id", "line", "part", "supp", *[F.round(F.col("b")[c], 6).alias(c) for c in ("cx", "cy", "w", "h")])
 
 
 CROPS = """crops AS (SELECT *, floor(greatest(0, (x0 + x1) / 2 - 2 * greatest(x1 - x0, y1 - y0)))::INT AS l, floor(greatest(0, (y0 + y1) / 2 - 2 * greatest(x1 - x0, y1 - y0)))::INT AS t,
@@ -263,11 +263,12 @@ def a10_unmapped(spark, d):
     return unmapped(B.map_names(table(spark, d, "part").select(F.col("p_type").alias("name")), [("contains", "steel", "metal")]), F.col("cls"))
 
 
-@query("s5_label_lines", f"WITH {fx.BOXES} SELECT image_id, count(*) AS n, round(sum(round((x1 - x0) / img_w, 6)), 3) AS w FROM boxes GROUP BY ALL")
+@query("s5_label_lines", f"""WITH {fx.BOXES} SELECT image_id, 3 AS cls, floor((x0 + x1) / 2 / img_w * 1000000 + 0.5001)::BIGINT AS cx, floor((y0 + y1) / 2 / img_h * 1000000 + 0.5001)::BIGINT AS cy,
+  floor((x1 - x0) / img_w * 1000000 + 0.5001)::BIGINT AS w, floor((y1 - y0) / img_h * 1000000 + 0.5001)::BIGINT AS h FROM boxes""")
 def s5_label_lines(spark, d):
     box = B.xyxy_to_centre(*[F.col(c) for c in ("x0", "y0", "x1", "y1", "img_w", "img_h")])
     lines = fx.boxes(spark, d).select("image_id", B.label_line(F.lit(3), box).alias("value"))
-    return B.parse_label_lines(lines).groupBy("image_id").agg(F.count("*").alias("n"), F.round(F.sum("box.w"), 3).alias("w"))
+    return B.parse_label_lines(lines).select("image_id", "cls", *[F.round(F.col("box")[c] * 1000000).cast("long").alias(c) for c in ("cx", "cy", "w", "h")])
 
 
 @query("m1_unioned", f"WITH {fx.BOXES} SELECT CASE WHEN line % 2 = 0 THEN 'even' ELSE 'odd' END AS source, cls, count(*) AS n FROM boxes GROUP BY ALL")
@@ -350,10 +351,10 @@ def d4_near_hashes(spark, d):
 
 @query("d7_decisions", f"""WITH {HASHED}, n AS (SELECT * FROM h WHERE id % 20 = 0), c AS (SELECT DISTINCT phash, sha256 FROM h WHERE id % 20 <> 0),
  p AS (SELECT id, bool_or(n.sha256 = c.sha256) AS same, min(list_sum([CASE WHEN substr(n.phash, i, 1) <> substr(c.phash, i, 1) THEN 1 ELSE 0 END FOR i IN range(1, 17)])) AS dist FROM n, c GROUP BY id)
- SELECT id, CASE WHEN same THEN 'skip' WHEN dist <= 5 THEN 'mark_duplicate' ELSE 'keep' END AS action FROM p""")
+ SELECT id, CASE WHEN same THEN 'skip' WHEN dist <= 5 THEN 'mark_duplicate' ELSE 'keep' END AS action, CASE WHEN NOT same AND dist <= 5 THEN 'phash_' || substr(h.phash, 1, 8) END AS group_id FROM p JOIN h USING (id)""")
 def d7_decisions(spark, d):
     h = hashed_docs(spark, d)
-    return D.new_asset_decisions(h.where("id % 20 = 0"), h.where("id % 20 <> 0")).select("id", "action")
+    return D.new_asset_decisions(h.where("id % 20 = 0"), h.where("id % 20 <> 0")).select("id", "action", "group_id")
 
 
 def vectors(spark, d):
@@ -365,14 +366,25 @@ def d5_cosine_pairs(spark, d):
     return D.cosine_pairs(vectors(spark, d), 0.35, block=200).select("a", "b", F.round("cosine", 6).alias("cosine"))
 
 
-@query("d5_greedy_groups")
+def greedy_sql(least: float, rest: str) -> str:
+    """Groups of the vectors that ``rest`` lets through, one node a step in ascending ids: ``led`` (id, leader)."""
+    return f"""v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings WHERE {rest}), p AS (SELECT x.id AS a, y.id AS b FROM v x JOIN v y ON x.id < y.id WHERE list_dot_product(x.e, y.e) >= {least}),
+ ns AS (SELECT id, row_number() OVER (ORDER BY id) AS i, coalesce((SELECT list(a) FROM p WHERE b = id), []) AS low FROM (SELECT a AS id FROM p UNION SELECT b FROM p)),
+ g AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS leaders UNION ALL SELECT ns.i, CASE WHEN list_has_any(g.leaders, ns.low) THEN g.leaders ELSE list_append(g.leaders, ns.id) END FROM g JOIN ns ON ns.i = g.i + 1),
+ led AS (SELECT id, coalesce(list_min(list_intersect(low, (SELECT leaders FROM g ORDER BY i DESC LIMIT 1))), id) AS leader FROM ns)"""
+
+
+@query("d5_greedy_groups", f"WITH RECURSIVE {greedy_sql(0.3, 'true')} SELECT id, leader FROM led")
 def d5_greedy_groups(spark, d):
     return D.greedy_groups(write_shared(D.cosine_pairs(vectors(spark, d), 0.3), "pairs"))
 
 
-@query("d6_scan_summary")
+@query("d6_scan_summary", f"""WITH RECURSIVE {HASHED}, one AS (SELECT id FROM h WHERE sha256 IN (SELECT sha256 FROM h GROUP BY sha256 HAVING count(*) > 1)), r AS (SELECT * FROM h WHERE id NOT IN (SELECT id FROM one)),
+ two AS (SELECT id FROM r WHERE phash IN (SELECT phash FROM r GROUP BY phash HAVING count(*) > 1)), {greedy_sql(0.3, "vec_id NOT IN (SELECT id FROM one UNION ALL SELECT id FROM two)")},
+ c AS (SELECT (SELECT count(*) FROM h) AS total, (SELECT count(*) FROM one) + (SELECT count(*) FROM two) + (SELECT count(*) FROM led WHERE id <> leader) AS duplicate_count)
+ SELECT total, duplicate_count, total - duplicate_count AS "unique", printf('%.2f%%', 100.0 * duplicate_count / total) AS rate FROM c""")
 def d6_scan_summary(spark, d):
-    members = D.full_scan(hashed_docs(spark, d), vectors(spark, d), 0.4)
+    members = D.full_scan(hashed_docs(spark, d), vectors(spark, d), 0.3)
     return D.scan_summary(write_shared(members, "members"), hashed_docs(spark, d))
 
 
@@ -461,7 +473,7 @@ def s3_clip_list(spark, d):
     return out.select("c_custkey", F.when(F.col("c").isNotNull(), F.size("c")).alias("n"))
 
 
-@query("s6_coco_boxes", "SELECT concat('i', l_orderkey) AS image_id, l_returnflag AS cls, count(*) AS n, sum(l_partkey + l_suppkey)::BIGINT AS x1 FROM lineitem GROUP BY ALL")
+@query("s6_coco_boxes", "SELECT concat('i', l_orderkey) AS image_id, 1920 AS img_w, 1080 AS img_h, l_returnflag AS cls, l_partkey::DOUBLE AS x0, l_linenumber::DOUBLE AS y0, (l_partkey + l_suppkey)::DOUBLE AS x1, l_linenumber + l_quantity AS y1 FROM lineitem")
 def s6_coco_boxes(spark, d):
     li = table(spark, d, "lineitem")
     flag = F.when(F.col("l_returnflag") == "A", 1).when(F.col("l_returnflag") == "N", 2).otherwise(3)
@@ -470,13 +482,14 @@ def s6_coco_boxes(spark, d):
     docs = doc.select(F.array(F.struct(F.col("_k").alias("id"), F.concat(F.lit("i"), F.col("_k").cast("string")).alias("file_name"), F.lit(1920).alias("width"), F.lit(1080).alias("height"))).alias("images"), "annotations", F.expr("CASE WHEN _k = (SELECT 0) THEN array() ELSE array() END").cast("array<struct<id:bigint,name:string>>").alias("categories"))
     names = spark.range(1).selectExpr("array(struct(1L AS id, 'A' AS name), struct(2L AS id, 'N' AS name), struct(3L AS id, 'R' AS name)) AS categories", "array() AS images", "array() AS annotations")
     first = names.select(F.col("images").cast(docs.schema["images"].dataType).alias("images"), F.col("annotations").cast(docs.schema["annotations"].dataType).alias("annotations"), F.col("categories").cast("array<struct<id:bigint,name:string>>").alias("categories"))
-    return S.coco_boxes(docs.unionByName(first)).groupBy("image_id", "cls").agg(F.count("*").alias("n"), F.sum("x1").cast("long").alias("x1"))
+    return S.coco_boxes(docs.unionByName(first))
 
 
-@query("s8_struct_of_arrays", "SELECT l_orderkey AS image_id, l_returnflag AS cls, count(*) AS n FROM lineitem GROUP BY ALL")
+@query("s8_struct_of_arrays", "SELECT l_orderkey AS image_id, l_returnflag AS cls, l_partkey AS x, l_suppkey AS y FROM lineitem")
 def s8_struct_of_arrays(spark, d):
-    rows = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("image_id")).agg(F.struct(F.collect_list("l_returnflag").alias("category"), F.collect_list(F.array("l_partkey", "l_suppkey")).alias("bbox")).alias("objects"))
-    return S.struct_of_arrays(rows).groupBy("image_id", "cls").agg(F.count("*").alias("n"))
+    rows = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("image_id")).agg(F.collect_list(F.struct(F.col("l_returnflag").alias("c"), F.array("l_partkey", "l_suppkey").alias("b"))).alias("o"))
+    arrays = rows.select("image_id", F.struct(F.col("o.c").alias("category"), F.col("o.b").alias("bbox")).alias("objects"))
+    return S.struct_of_arrays(arrays).select("image_id", "cls", F.get("bbox", F.lit(0)).alias("x"), F.get("bbox", F.lit(1)).alias("y"))
 
 
 @query("s13_class_names", "SELECT p_partkey, p_size % 3 + 1 AS n, CASE WHEN p_size % 3 > 0 THEN 'b' ELSE 'a' END AS at_one FROM part")
@@ -486,13 +499,13 @@ def s13_class_names(spark, d):
     return out.select("p_partkey", F.size("c").alias("n"), F.coalesce(F.get("c", F.lit(1))["name"], F.get("c", F.lit(0))["name"]).alias("at_one"))
 
 
-@query("k1_export_round_trip", f"WITH {fx.ASSETS} SELECT asset_id, status, CASE WHEN quality IS NULL THEN '' ELSE lang END AS lang FROM assets")
+@query("k1_export_round_trip", f"WITH {fx.ASSETS} SELECT asset_id, 'img/' || asset_id AS image_path, project AS chain, CASE WHEN n_chars >= 8000 THEN '8M' WHEN n_chars >= 1800 THEN '2M' WHEN n_chars > 0 THEN '其他' ELSE '' END AS resolution, status, CASE WHEN quality IS NULL THEN '' ELSE lang END AS lang FROM assets")
 def k1_export_round_trip(spark, d):
     path = shared_path(spark, "export")
     a = fx.assets(spark, d)
     rows = a.select("*", F.concat(F.lit("img/"), "asset_id").alias("image_path"), F.array("project").alias("directory_chain"), F.col("id").alias("frame_index"), F.lit(0.0).alias("timestamp"), F.create_map(F.lit("vehicle"), F.lit("v1")).alias("business"), F.col("n_chars").cast("int").alias("width"), F.lit(1000).alias("height"), F.lit(0.5).alias("decision_score"))
     K.write_export(rows, path, "parquet", ["lang"])
-    return spark.read.parquet(path).select("asset_id", "status", "lang")
+    return spark.read.parquet(path)
 
 
 @query("k8_shards", "SELECT substr(cast(doc_id AS varchar), 1, 1) AS shard, count(*) AS n FROM documents WHERE doc_id % 2 = 1 GROUP BY ALL")

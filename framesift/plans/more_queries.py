@@ -113,33 +113,33 @@ def s4_catalog_rows(spark, d):
     return S.catalog_rows(assets, table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))).select("vector_id", "project", "video_path")
 
 
-@query("s7_nested_detections", "SELECT 'o' || o_orderkey || '.jpg' AS image_id, l_returnflag AS cls, count(*) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_quantity > 30 GROUP BY ALL")
+@query("s7_nested_detections", "SELECT 'o' || o_orderkey || '.jpg' AS image_id, l_returnflag AS cls, l_discount AS x, l_tax AS y, l_quantity AS w, l_extendedprice AS h FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_quantity > 30")
 def s7_nested_detections(spark, d):
-    boxes = table(spark, d, "lineitem").where("l_quantity > 30").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_returnflag").alias("label"), F.array(F.lit(0.1), F.lit(0.1), F.lit(0.2), F.lit(0.2)).alias("bounding_box"))).alias("b"))
+    boxes = table(spark, d, "lineitem").where("l_quantity > 30").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_returnflag").alias("label"), F.array("l_discount", "l_tax", "l_quantity", "l_extendedprice").alias("bounding_box"))).alias("b"))
     o = table(spark, d, "orders")
     samples = o.join(boxes, o["o_orderkey"] == boxes["l_orderkey"], "left").select(F.concat(F.lit("d/o"), F.col("o_orderkey").cast("string"), F.lit(".jpg")).alias("filepath"), F.struct(F.col("b").alias("detections")).alias("detections"))
-    return S.nested_detections(samples).groupBy("image_id", "cls").agg(F.count("*").alias("n"))
+    return S.nested_detections(samples).select("image_id", "cls", *[F.get("bbox", F.lit(i)).alias(c) for i, c in enumerate("xywh")])
 
 
-@query("s9_array_of_structs", "SELECT l_orderkey AS image_id, l_returnflag AS cls, count(*) AS n FROM lineitem GROUP BY ALL")
+@query("s9_array_of_structs", "SELECT l_orderkey AS image_id, l_returnflag AS cls, l_partkey AS x, l_suppkey AS y FROM lineitem")
 def s9_array_of_structs(spark, d):
-    rows = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("image_id")).agg(F.collect_list(F.struct(F.col("l_returnflag").alias("category"), F.array("l_partkey").alias("bbox"))).alias("objects"))
-    return S.array_of_structs(rows).groupBy("image_id", "cls").agg(F.count("*").alias("n"))
+    rows = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("image_id")).agg(F.collect_list(F.struct(F.col("l_returnflag").alias("category"), F.array("l_partkey", "l_suppkey").alias("bbox"))).alias("objects"))
+    return S.array_of_structs(rows).select("image_id", "cls", F.get("bbox", F.lit(0)).alias("x"), F.get("bbox", F.lit(1)).alias("y"))
 
 
-@query("s11_image_objects", "SELECT l_orderkey AS image_id, l_returnflag AS cls, count(*) AS n FROM lineitem WHERE l_linestatus <> 'O' GROUP BY ALL")
+@query("s11_image_objects", "SELECT l_orderkey AS image_id, 10 AS img_w, 10 AS img_h, l_returnflag AS cls, l_partkey::DOUBLE AS x0, l_suppkey::DOUBLE AS y0, l_quantity AS x1, l_tax AS y1 FROM lineitem WHERE l_linestatus <> 'O'")
 def s11_image_objects(spark, d):
     box = F.struct(*[F.col(c).cast("double").alias(n) for c, n in (("l_partkey", "xmin"), ("l_suppkey", "ymin"), ("l_quantity", "xmax"), ("l_tax", "ymax"))])
     props = F.struct((F.col("l_linestatus") == "O").alias("exterior"), F.lit(None).cast("boolean").alias("out-of-frame"))
     docs = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("image_id")).agg(F.collect_list(F.struct(F.col("l_returnflag").alias("label"), box.alias("bbox"), props.alias("properties"))).alias("objects")).withColumn("width", F.lit(10)).withColumn("height", F.lit(10))
-    return S.image_objects(docs).groupBy("image_id", "cls").agg(F.count("*").alias("n"))
+    return S.image_objects(docs)
 
 
-@query("s14_mixed_lines", f"WITH {fx.BOXES} SELECT image_id, count(*) FILTER (line % 3 < 2) AS n, count(*) FILTER (line % 3 = 0) AS oriented FROM boxes GROUP BY ALL HAVING count(*) FILTER (line % 3 < 2) > 0")
+@query("s14_mixed_lines", f"WITH {fx.BOXES} SELECT image_id, CASE line % 3 WHEN 0 THEN 4 ELSE 2 END AS cls, CASE line % 3 WHEN 0 THEN 0.3 ELSE 0.5 END::DOUBLE AS cx, CASE line % 3 WHEN 0 THEN 0.25 ELSE 0.5 END::DOUBLE AS cy, CASE line % 3 WHEN 0 THEN 0.4 ELSE 0.1 END::DOUBLE AS w, CASE line % 3 WHEN 0 THEN 0.3 ELSE 0.1 END::DOUBLE AS h FROM boxes WHERE line % 3 < 2")
 def s14_mixed_lines(spark, d):
     value = F.expr("CASE line % 3 WHEN 0 THEN '4 0.1 0.1 0.5 0.1 0.5 0.4 0.1 0.4' WHEN 1 THEN '2 0.5 0.5 0.1 0.1' ELSE '2 0.5 0.5' END")
     parsed = B.parse_label_lines(fx.boxes(spark, d).select("image_id", value.alias("value")))
-    return parsed.groupBy("image_id").agg(F.count("*").alias("n"), F.count_if(F.col("cls") == 4).alias("oriented"))
+    return parsed.select("image_id", "cls", *[F.round(F.col("box")[c], 6).alias(c) for c in ("cx", "cy", "w", "h")])
 
 
 @query("s15_store_counts", "SELECT source AS project, count(*) AS n FROM documents WHERE doc_id % 2 = 0 GROUP BY ALL")
@@ -150,10 +150,10 @@ def s15_store_counts(spark, d):
     return lookup(store, store.where("fid % 2 = 0"), ["project", "fid"]).groupBy("project").agg(F.count("*").alias("n"))
 
 
-@query("s12_path_boxes", "SELECT regexp_extract(o_clerk, '[^/]*$') AS image_id, x1 FROM (SELECT 'a/b/' || p_partkey || '.jpg' AS o_clerk, p_size + p_partkey AS x1 FROM part)")
+@query("s12_path_boxes", "SELECT p_partkey || '.jpg' AS image_id, p_partkey AS x0, 1::BIGINT AS y0, p_partkey + p_size AS x1, 3::BIGINT AS y1 FROM part")
 def s12_path_boxes(spark, d):
     rows = table(spark, d, "part").select(F.concat(F.lit("a/b/"), F.col("p_partkey").cast("string"), F.lit(".jpg")).alias("image_path"), F.array(F.col("p_partkey"), F.lit(1).cast("long"), F.col("p_size").cast("long"), F.lit(2).cast("long")).alias("bbox_coords"))
-    return rows.select(paths.basename(F.col("image_path")).alias("image_id"), (F.get("bbox_coords", F.lit(0)) + F.get("bbox_coords", F.lit(2))).alias("x1"))
+    return S.path_boxes(rows)
 
 
 @query("t3_human_tags", "SELECT c_custkey AS asset_id, c_mktsegment AS tag, 'Human' AS source, 1.0::DOUBLE AS confidence FROM customer")

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from framesift.operators import aggregates as agg, boxes as B, evaluate, tags
+from framesift.operators import aggregates as agg, boxes as B, catalog, evaluate, search, tags
 from framesift.plans import fixtures as fx
 from framesift.plans.registry import query, table
 from framesift.plans.shared import shared_path
+from framesift.plans.scene_queries import SCORES, detector_scores
 from framesift.sources import readers as S, writers as K
+from framesift.streaming import ingest as R
 
 PREDICTED = "CASE WHEN n_chars > 800 THEN 'good' ELSE 'bad' END"
 
@@ -121,6 +123,73 @@ def k3_csv_round_trip(spark, d):
     return named.select("asset_id", "status").crossJoin(F.broadcast(first))
 
 
+@query("k5_package_files", f"WITH {fx.ASSETS} SELECT asset_id, 'img/' || asset_id AS image_path, substr(asset_id, 1, 8) || '_' || asset_id AS target, status, source_id FROM assets")
+def k5_package_files(spark, d):
+    """A package read back: its copy list and its metadata by asset."""
+    path = shared_path(spark, "package")
+    K.write_export(exported(spark, d), path, "package", ["lang"])
+    metadata = spark.read.json(f"{path}/metadata").select("asset_id", "final.status", "source.source_id")
+    return spark.read.parquet(f"{path}/files").join(metadata, "asset_id")
+
+
+@query("k10_layout", "SELECT concat('project=', source, '/processed') AS folder, count(*) AS n FROM documents WHERE source IN ('src1', 'src2') GROUP BY ALL")
+def k10_layout(spark, d):
+    root = shared_path(spark, "projects")
+    for name in ("src1", "src2"):
+        table(spark, d, "documents").where(F.col("source") == name).select("doc_id").write.parquet(K.project_path(root, name, "processed"))
+    rows = spark.read.parquet(f"{root}/project=*/processed").select(F.regexp_extract(F.col("_metadata.file_path"), "(project=[^/]*/[^/]*)/", 1).alias("folder"))
+    return rows.groupBy("folder").agg(F.count("*").alias("n"))
+
+
+@query("k11_latest_snapshot", "SELECT doc_id AS id, '2024-02-01' AS ts FROM documents WHERE source = 'src1' AND doc_id % 3 = 0")
+def k11_latest_snapshot(spark, d):
+    path = shared_path(spark, "snapshots")
+    docs = table(spark, d, "documents").select(F.col("source").alias("project"), F.col("doc_id").alias("id"))
+    K.write_snapshot(docs, path, "2024-01-01")
+    K.write_snapshot(docs.where("id % 3 = 0"), path, "2024-02-01")
+    return S.latest_snapshot(spark, path, "src1")
+
+
+@query("m19_clear_counts", """WITH c AS (SELECT c_mktsegment, o_orderstatus FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus <> 'P')
+  SELECT count(*) AS had, count(*) FILTER (c_mktsegment <> 'BUILDING') AS cleared, count(*) FILTER (c_mktsegment = 'BUILDING') AS kept FROM c""")
+def m19_clear_counts(spark, d):
+    keep = table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
+    clips = table(spark, d, "orders").selectExpr("o_custkey", "CASE WHEN o_orderstatus = 'F' THEN o_orderpriority END AS result", "CASE WHEN o_orderstatus = 'O' THEN o_totalprice END AS score")
+    return catalog.clear_counts(clips, keep, "o_custkey", ["result", "score"])
+
+
+@query("m26_first_run", "SELECT concat(source, '/', doc_id) AS path, concat('root/', source) AS dir, 'seed' AS outcome FROM documents WHERE doc_id % 3 <> 0")
+def m26_first_run(spark, d):
+    files = table(spark, d, "documents").selectExpr("concat(source, '/', doc_id) AS path", "concat('root/', source) AS dir", "doc_id")
+    jobs = spark.range(0).selectExpr("'' AS dir", "0 AS step")
+    return R.discovery_round(files.select("path", "dir"), files.where("doc_id % 3 = 0"), jobs, 10, 6, True)
+
+
+@query("a13_class_hits", f"""WITH {SCORES}, f AS (SELECT cls, segment, frame, max((model = 'old' AND score >= 0.25)::INT) AS o, max((model = 'new' AND score >= 0.25)::INT) AS n FROM bothm GROUP BY ALL),
+  s AS (SELECT cls, segment, sum(o) AS fo, sum(n) AS fn, max(o) AS so, max(n) AS sn FROM f GROUP BY ALL), t AS (SELECT count(DISTINCT segment) AS k FROM bothm)
+  SELECT cls, sum(fo)::BIGINT AS frames_old, sum(fn)::BIGINT AS frames_new, sum(so)::BIGINT AS segments_old, sum(sn)::BIGINT AS segments_new, round(sum(so) / any_value(k), 4) AS segment_rate_old, round(sum(sn) / any_value(k), 4) AS segment_rate_new
+  FROM s, t GROUP BY cls HAVING sum(fo) > 0 OR sum(fn) > 0""")
+def a13_class_hits(spark, d):
+    return evaluate.class_hits(*detector_scores(spark, d))
+
+
+@query("b3_corner_boxes", "SELECT p_partkey, round(p_size / 100 + p_partkey % 7 / 20, 6) AS cx, round(p_partkey % 5 / 10 + p_size % 3 / 20, 6) AS cy, round(p_partkey % 7 / 10, 6) AS w, round(p_size % 3 / 10, 6) AS h FROM part")
+def b3_corner_boxes(spark, d):
+    box = B.xywh_to_centre(F.col("p_size") / 100, F.col("p_partkey") % 5 / 10, F.col("p_partkey") % 7 / 10, F.col("p_size") % 3 / 10)
+    return table(spark, d, "part").select("p_partkey", box.alias("b")).select("p_partkey", *[F.round(F.col("b")[c], 6).alias(c) for c in ("cx", "cy", "w", "h")])
+
+
+@query("s13_quoted_names", "SELECT p_partkey, id, name FROM (SELECT p_partkey, 0 AS id, p_brand AS name FROM part UNION ALL SELECT p_partkey, p_size, 'x y' FROM part WHERE p_size % 2 = 0)")
+def s13_quoted_names(spark, d):
+    text = F.expr("concat('names: {0: \\'', p_brand, '\\'', CASE WHEN p_size % 2 = 0 THEN concat(', ', p_size, ' : \\'x y\\'') ELSE '' END, '}')")
+    return table(spark, d, "part").select("p_partkey", F.inline(S.quoted_class_names(text)))
+
+
+@query("l2_newest", "SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey LIMIT 100")
+def l2_newest(spark, d):
+    return search.listing(table(spark, d, "orders"), [F.desc("o_orderdate"), "o_orderkey"], o_orderstatus="F").limit(100).select("o_orderkey", "o_orderdate")
+
+
 def exported(spark, d):
     a = fx.assets(spark, d)
     return a.select(

@@ -403,11 +403,13 @@ def t14_candidates(spark, d):
     return T.candidates(segment_tags(spark, d), values, aliases, dismissed)
 
 
-@query("t12_value_added", "SELECT dim, value, position FROM (VALUES ('seg', 'BUILDING', 0), ('seg', 'MACHINERY', 1), ('seg', 'AUTOMOBILE', 2), ('seg', 'unknown', 3)) AS v(dim, value, position) WHERE (SELECT count(*) FROM customer WHERE c_mktsegment = 'AUTOMOBILE') > 0")
+@query("t12_value_added", """WITH v AS (SELECT DISTINCT c_mktsegment AS value FROM customer WHERE c_mktsegment <> 'AUTOMOBILE'), n AS (SELECT value, (row_number() OVER (ORDER BY value) - 1)::INT AS position FROM v), k AS (SELECT count(*)::INT AS k FROM n)
+  SELECT 'seg' AS dim, value, position FROM n UNION ALL SELECT 'seg', 'AUTOMOBILE', k FROM k UNION ALL SELECT 'seg', 'unknown', k + 1 FROM k""")
 def t12_value_added(spark, d):
-    values, aliases = ontology(spark)
-    seen = table(spark, d, "customer").where("c_mktsegment = 'AUTOMOBILE'").select(F.col("c_mktsegment").alias("_v")).distinct()
-    return T.value_added(values, aliases, "seg", "AUTOMOBILE")[0].crossJoin(F.broadcast(seen)).drop("_v")
+    values = table(spark, d, "customer").where("c_mktsegment <> 'AUTOMOBILE'").select(F.col("c_mktsegment").alias("value")).distinct()
+    rest = values.select(F.lit("seg").alias("dim"), "value", (F.row_number().over(W.orderBy("value")) - 1).alias("position"))
+    last = values.agg(F.lit("seg").alias("dim"), F.lit("unknown").alias("value"), F.count("*").cast("int").alias("position"))
+    return T.value_added(rest.union(last), ontology(spark)[1], "seg", "AUTOMOBILE")[0]
 
 
 @query("t13_mapped_labels", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN ['行人', '小车'] WHEN p_size % 3 = 1 THEN ['小车'] ELSE [] END AS objects FROM part")

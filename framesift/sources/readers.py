@@ -80,6 +80,19 @@ def array_of_structs(rows: DataFrame, key: str = "image_id", column: str = "obje
     return rows.select(key, F.explode(column).alias("o")).select(key, F.col("o.category").alias("cls"), F.col("o.bbox").alias("bbox"))
 
 
+def path_boxes(rows: DataFrame) -> DataFrame:
+    """Boxes of rows keyed by ``image_path`` with ``bbox_coords`` as corner and size; the image is the path's last part."""
+    x, y, w, h = (F.get("bbox_coords", F.lit(i)) for i in range(4))
+    return rows.select(basename(F.col("image_path")).alias("image_id"), x.alias("x0"), y.alias("y0"), (x + w).alias("x1"), (y + h).alias("y1"))
+
+
+def latest_snapshot(spark: SparkSession, path: str, project: str) -> DataFrame:
+    """(id, ts) of a project's last work list among those that ``write_snapshot`` left in ``path``."""
+    own = spark.read.parquet(path).where(F.col("project") == project)
+    last = own.agg(F.max("ts").alias("_last"))
+    return own.join(F.broadcast(last), F.col("ts") == F.col("_last")).select("id", "ts")
+
+
 TRUTH = T.StructType([T.StructField(n, T.StringType()) for n in ("filename", "x_from", "y_from", "width", "height", "sign_class")])
 
 

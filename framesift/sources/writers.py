@@ -63,6 +63,12 @@ def project_path(root: str, project: str, kind: str) -> str:
     return f"{root}/project={project}/{kind}"
 
 
+def write_snapshot(rows: DataFrame, path: str, ts: str, key: str = "project") -> DataFrame:
+    """Append a work list (project, id) under the time ``ts``, a folder for each project; returns its counts."""
+    rows.select(F.col(key).cast("string").alias("project"), F.lit(ts).alias("ts"), "id").write.mode("append").partitionBy("project").parquet(path)
+    return work_snapshot(rows, key)
+
+
 def work_snapshot(rows: DataFrame, key: str = "project") -> DataFrame:
     """Per project the number of ids, the first and the last."""
     return rows.groupBy(key).agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
