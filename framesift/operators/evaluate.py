@@ -95,7 +95,7 @@ def class_quadrants(classes: DataFrame, frames: DataFrame, old: DataFrame, new:
     """Per class (a small table): counts of each quadrant over all frames.  Frames without a hit are counted, not paired with classes."""
     quads = quadrants(old, new, ["cls", "frame"], threshold).groupBy("cls").pivot("quadrant", ["both", "old_only", "new_only"]).count()
     total = frames.agg(F.count("*").alias("n_frames"))
-    joined = F.broadcast(classes).join(quads, "cls", "left").na.fill(0, ["both", "old_only", "new_only"]).crossJoin(F.broadcast(total))
+    joined = classes.join(quads, "cls", "left").na.fill(0, ["both", "old_only", "new_only"]).crossJoin(F.broadcast(total))
     seen = F.col("both") + F.col("old_only") + F.col("new_only")
     gain = F.when(F.col("new_only") > F.col("old_only"), "up").when(F.col("new_only") < F.col("old_only"), "down").otherwise("same")
     return joined.select("cls", "both", "old_only", "new_only", (F.col("n_frames") - seen).alias("none"), gain.alias("direction"))

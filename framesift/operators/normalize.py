@@ -62,9 +62,9 @@ def values_long(rows: DataFrame, key: str, dims: list[str], doc: str = "doc", ol
 def checked_values(values: DataFrame, dim_values: DataFrame, value_aliases: DataFrame, dims: list[str], key: str = "id") -> DataFrame:
     """Values by their official names, in their own dimension or relocated to the alphabetically first one that lists them;
     others are dropped; relocated values follow the dimension's own in the order of ``dims`` they came from; repeats keep the first place; every dimension without any value gets ``unknown``."""
-    a = F.broadcast(value_aliases.select(F.col("dim").alias("_ad"), F.col("alias").alias("_a"), F.col("value").alias("_av")))
+    a = value_aliases.select(F.col("dim").alias("_ad"), F.col("alias").alias("_a"), F.col("value").alias("_av"))
     named = values.join(a, (F.col("dim") == F.col("_ad")) & (F.col("value") == F.col("_a")), "left").withColumn("value", F.coalesce("_av", "value")).drop("_ad", "_a", "_av")
-    listed = F.broadcast(dim_values.where(F.col("dim").isin(dims)).groupBy(F.col("value").alias("_v")).agg(F.collect_set("dim").alias("_dims")))
+    listed = dim_values.where(F.col("dim").isin(dims)).groupBy(F.col("value").alias("_v")).agg(F.collect_set("dim").alias("_dims"))
     placed = named.join(listed, F.col("value") == F.col("_v")).withColumn("_own", F.array_contains("_dims", F.col("dim")))
     placed = placed.withColumn("_from", F.array_position(F.array(*[F.lit(d) for d in dims]), F.col("dim"))).withColumn("dim", F.when(F.col("_own"), F.col("dim")).otherwise(F.array_min("_dims")))
     kept = placed.where(F.col("dim").isin(dims)).groupBy(key, "dim", "value").agg(F.min(F.struct((~F.col("_own")).alias("moved"), "_from", "position")).alias("_at"))
@@ -106,13 +106,13 @@ def checked_events(events: DataFrame, vocabulary: DataFrame, aliases: DataFrame)
     def cut(name: str, most: int) -> Column:
         return F.substring(F.regexp_replace(F.coalesce(name, F.lit("")), r"^\s+|\s+$", ""), 1, most)
 
-    known = official(events, aliases).join(F.broadcast(vocabulary.select(F.col("value").alias("type")).distinct()), "type", "left_semi")
+    known = official(events, aliases).join(vocabulary.select(F.col("value").alias("type")).distinct(), "type", "left_semi")
     return known.withColumn("reason", cut("reason", REASON_CHARS)).withColumn("anchor", cut("anchor", ANCHOR_CHARS))
 
 
 def official(rows: DataFrame, aliases: DataFrame) -> DataFrame:
     """Rows with ``type`` by its official name."""
-    a = F.broadcast(aliases.select(F.col("alias").alias("_a"), F.col("value").alias("_v")))
+    a = aliases.select(F.col("alias").alias("_a"), F.col("value").alias("_v"))
     return rows.join(a, F.col("type") == F.col("_a"), "left").withColumn("type", F.coalesce("_v", "type")).drop("_a", "_v")
 
 
@@ -145,7 +145,7 @@ def moved_objects(objects: DataFrame, vocabulary: DataFrame, key: str = "id", al
         named = named.withColumn("state", F.when(F.col("state").isin(states), F.col("state")))
     routed = named.withColumn("_m", F.try_element_at(table, F.col("type")))
     moved = routed.where("_m IS NOT NULL").select(key, "_m.dim", "_m.value").distinct()
-    kept = routed.where("_m IS NULL").drop("_m").join(F.broadcast(vocabulary.select(F.col("value").alias("type")).distinct()), "type", "left_semi")
+    kept = routed.where("_m IS NULL").drop("_m").join(vocabulary.select(F.col("value").alias("type")).distinct(), "type", "left_semi")
     return best(kept, key, MAX_OBJECTS), moved
 
 

@@ -160,7 +160,7 @@ def clip_windows(rows: DataFrame, run: list[str], order: list[str], ms: str, sec
 
 def clip_seconds(rows: DataFrame, config: DataFrame, project: str = "project") -> DataFrame:
     """Adds ``clip_seconds`` from (scope, seconds): the project's own, else that of ``*``, else 0."""
-    own = F.broadcast(config.where("scope <> '*'").select(F.col("scope").alias("_scope"), F.col("seconds").alias("_own")))
+    own = config.where("scope <> '*'").select(F.col("scope").alias("_scope"), F.col("seconds").alias("_own"))
     every = F.broadcast(config.where("scope = '*'").agg(F.max("seconds").alias("_every")))
     joined = rows.join(own, F.col(project) == F.col("_scope"), "left").crossJoin(every)
     return joined.withColumn("clip_seconds", F.coalesce("_own", "_every", F.lit(0.0))).drop("_scope", "_own", "_every")

@@ -83,17 +83,17 @@ def conflicts(machine: DataFrame, human: DataFrame) -> DataFrame:
 
 def validated(tags: DataFrame, dim_values: DataFrame) -> DataFrame:
     """Adds ``valid``: tags of dimensions the ontology does not know are valid, others must be listed."""
-    known = F.broadcast(dim_values.select(F.col("dim").alias("_d")).distinct())
-    listed = F.broadcast(dim_values.select(F.col("dim").alias("_ld"), F.col("value").alias("_v")).distinct())
+    known = dim_values.select(F.col("dim").alias("_d")).distinct()
+    listed = dim_values.select(F.col("dim").alias("_ld"), F.col("value").alias("_v")).distinct()
     joined = tags.join(known, F.col("dim") == F.col("_d"), "left").join(listed, (F.col("dim") == F.col("_ld")) & (F.col("tag") == F.col("_v")), "left")
     return joined.withColumn("valid", F.col("_d").isNull() | F.col("_v").isNotNull()).drop("_d", "_ld", "_v")
 
 
 def canonical(tags: DataFrame, dim_aliases: DataFrame, value_aliases: DataFrame) -> DataFrame:
     """Dimension aliases, then value aliases within the dimension, by their official names."""
-    d = F.broadcast(dim_aliases.select(F.col("alias").alias("_a"), F.col("dim").alias("_dim")))
+    d = dim_aliases.select(F.col("alias").alias("_a"), F.col("dim").alias("_dim"))
     named = tags.join(d, F.col("dim") == F.col("_a"), "left").withColumn("dim", F.coalesce("_dim", "dim")).drop("_a", "_dim")
-    v = F.broadcast(value_aliases.select(F.col("dim").alias("_vd"), F.col("alias").alias("_va"), F.col("value").alias("_vv")))
+    v = value_aliases.select(F.col("dim").alias("_vd"), F.col("alias").alias("_va"), F.col("value").alias("_vv"))
     return named.join(v, (F.col("dim") == F.col("_vd")) & (F.col("tag") == F.col("_va")), "left").withColumn("tag", F.coalesce("_vv", "tag")).drop("_vd", "_va", "_vv")
 
 
@@ -101,7 +101,7 @@ def candidates(tags: DataFrame, dim_values: DataFrame, value_aliases: DataFrame,
     """Tags in the data that are no value, no alias and not dismissed, with their counts."""
     out = tags.groupBy("dim", "tag").agg(F.count("*").alias("n"))
     for known, value in ((dim_values, "value"), (value_aliases, "alias"), (dismissed, "value")):
-        out = out.join(F.broadcast(known.select("dim", F.col(value).alias("tag")).distinct()), ["dim", "tag"], "left_anti")
+        out = out.join(known.select("dim", F.col(value).alias("tag")).distinct(), ["dim", "tag"], "left_anti")
     return out
 
 
@@ -114,7 +114,7 @@ def mapped_labels(labels: Column, mapping: dict[str, str]) -> Column:
 
 def unsupported_events(events: DataFrame, objects: DataFrame, needs: DataFrame) -> DataFrame:
     """Adds ``unsupported`` to (asset_id, event): the event needs objects of which the asset has none."""
-    wanted = F.broadcast(needs.groupBy(F.col("event").alias("_e")).agg(F.collect_set("object").alias("_needs")))
+    wanted = needs.groupBy(F.col("event").alias("_e")).agg(F.collect_set("object").alias("_needs"))
     have = objects.groupBy(F.col("asset_id").alias("_id")).agg(F.collect_set("object").alias("_have"))
     joined = events.join(wanted, F.col("event") == F.col("_e"), "left").join(have, F.col("asset_id") == F.col("_id"), "left")
     fits = F.arrays_overlap("_needs", F.coalesce("_have", F.array().cast("array<string>")))

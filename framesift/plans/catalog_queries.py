@@ -560,18 +560,9 @@ def r6_backlog(spark, d):
 
 @query("r3_last_wins", "SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY ALL")
 def r3_last_wins(spark, d):
-    target = shared_path(spark, "r3")
-
-    def merge(batch, number):
-        old = batch.sparkSession.read.parquet(f"{target}/v{number}") if number else None
-        rows = batch.select("user_id", F.struct("ts", "event_id").alias("at"))
-        R.last_wins(rows if old is None else old.unionByName(rows), "user_id", "at").write.mode("overwrite").parquet(f"{target}/v{number + 1}")
-        latest.append(number + 1)
-
-    latest: list[int] = []
-    stream = event_stream(spark, d).writeStream.foreachBatch(merge).option("checkpointLocation", shared_path(spark, "r3c")).trigger(availableNow=True).start()
-    stream.awaitTermination()
-    return spark.read.parquet(f"{target}/v{latest[-1]}").select("user_id", "at.event_id")
+    rows = event_stream(spark, d).select("user_id", F.struct("ts", "event_id").alias("at"))
+    log = R.run_to_table(rows, "r3_last_wins", "append", shared_path(spark, "r3"), lambda batch: R.last_wins(batch, "user_id", "at"))
+    return R.last_wins(log, "user_id", "at").select("user_id", "at.event_id")
 
 
 @query("r7_windowed_counts", "SELECT epoch_us(time_bucket(INTERVAL '1 hour', ts)) // 1000000 AS w, event_type, count(*) AS n FROM events GROUP BY ALL")

@@ -56,7 +56,7 @@ def coco_boxes(doc: DataFrame) -> DataFrame:
     images = doc.select(F.explode("images").alias("i")).select(F.col("i.id").alias("_i"), F.col("i.file_name").alias("image_id"), F.col("i.width").alias("img_w"), F.col("i.height").alias("img_h"))
     names = doc.select(F.explode("categories").alias("c")).select(F.col("c.id").alias("_c"), F.col("c.name").alias("cls"))
     boxes = doc.select(F.explode("annotations").alias("a")).select("a.image_id", "a.category_id", "a.bbox").withColumnRenamed("image_id", "_image")
-    joined = boxes.join(images, F.col("_image") == F.col("_i")).join(F.broadcast(names), F.col("category_id") == F.col("_c"))
+    joined = boxes.join(images, F.col("_image") == F.col("_i")).join(names, F.col("category_id") == F.col("_c"))
     x, y, w, h = (F.get("bbox", F.lit(i)) for i in range(4))
     return joined.select("image_id", "img_w", "img_h", "cls", x.alias("x0"), y.alias("y0"), (x + w).alias("x1"), (y + h).alias("y1"))
 

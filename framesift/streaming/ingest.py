@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import heapq
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -147,14 +147,18 @@ def windowed_counts(stream: DataFrame, ts: str, window: str, slide: str | None =
     return stream.withWatermark(ts, delay).groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
+def run_to_table(stream: DataFrame, name: str, mode: str, checkpoint: str, each: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Run a stream over what is there now and return the result table: Parquet in the shared folder, a folder for each
-    micro-batch, which a repeated batch overwrites.  The last one is the table in complete mode, all of them in append mode."""
+    micro-batch, which a repeated batch overwrites.  The last one is the table in complete mode, all of them in append mode.
+
+    ``each`` changes a micro-batch's rows but not their columns, before they are written.  A write-back by ``last_wins`` thus
+    appends a batch's last rows only, and one more ``last_wins`` over the table resolves them; no batch rewrites the target.
+    """
     spark, path = stream.sparkSession, shared_path(stream.sparkSession, name)
     done: dict[int, str] = {}
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/{number}")
+        (each(batch) if each else batch).write.mode("overwrite").parquet(f"{path}/{number}")
         done[number] = f"{path}/{number}"
 
     stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
