@@ -5,9 +5,9 @@ the sum of its words' information (-log2 of their share in the corpus, counted o
 that leaked a thousand times do not make their own seeds common beyond their words).  Seeds of at least
 ``RARE_BITS`` bits are used, and of every item at least its rarest half, so no item is without seeds.
 
-Where a seed occurs in a document, the passage around it, as long as the item and ``SLACK`` more on either
-side, is aligned with the item word by word (match +2, mismatch -1, gap -1), and the local score is
-divided by that of a perfect copy.  From ``THRESHOLD`` on it is a leak: whole copies have 1.0, copies with
+Where a seed occurs in a document, the passage around it is aligned with the item word by word (match +2,
+mismatch -1, gap -1): as long as the item and on either side as many more words as a copy that reaches the
+threshold can have been given (``slack``).  The local score is divided by that of a perfect copy.  From ``THRESHOLD`` on it is a leak: whole copies have 1.0, copies with
 replaced, dropped or added words less, chance matches of single seeds far below.
 
 Items are taken in blocks of at most ``BLOCK_WORDS`` words, each broadcast, so the test set may have any
@@ -34,7 +34,6 @@ from framesift.plans.shared import write_shared
 
 SEED_WORDS = 3
 RARE_BITS = 26.0
-SLACK = 10
 THRESHOLD = 0.5
 MATCH, MISMATCH, GAP = 2, -1, 1
 BLOCK_WORDS = 1_000_000
@@ -72,6 +71,11 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+def slack(words: int, threshold: float) -> int:
+    """The most words that can lie between the matches of an item of ``words`` words in a passage that scores ``threshold``."""
+    return max(0, math.ceil(words * MATCH * (1 - threshold) / GAP))
+
+
 def aligned_span(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
     """Best local score with the passage's first and last (exclusive) aligned word."""
     best, end = align(item, passage)
@@ -145,14 +149,14 @@ def _find(seeds: Seeds, seed_words: int, threshold: float):
                         found.setdefault(item, []).append((at - place, at))
             for item, spots in found.items():
                 item_id, own = seeds.items[item]
-                best = (0.0, 0, 0)
+                best, spare = (0.0, 0, 0), slack(len(own), threshold)
                 spots = sorted(set(spots))
                 at = 0
                 while at < len(spots):  # spots on nearby diagonals share one passage
                     last = at
-                    while last + 1 < len(spots) and spots[last + 1][0] - spots[last][0] <= SLACK:
+                    while last + 1 < len(spots) and spots[last + 1][0] - spots[last][0] <= spare:
                         last += 1
-                    low, high = max(0, spots[at][0] - SLACK), min(len(hashes), spots[last][0] + len(own) + SLACK)
+                    low, high = max(0, spots[at][0] - spare), min(len(hashes), spots[last][0] + len(own) + spare)
                     score, start, end = aligned_span(own, hashes[low:high])
                     best = max(best, (score / (MATCH * len(own)), -(low + start), low + end))
                     at = last + 1

@@ -519,6 +519,38 @@ def test_decontamination(spark, docs, none):
     assert find_leaks(none, bench).count() == 0 and find_leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_leaks_equal_brute_force(spark):
+    """Seeds, passages and scores against plain alignment of every whole text with every item."""
+    from framesift.llm.decontaminate import find_leaks
+
+    r = random.Random(11)
+    items = [(i, text_of(700 + i, 22 + i)) for i in range(10)]
+    data = []
+    for n in range(45):
+        text = text_of(800 + n, 60).split()
+        for _ in range(n % 3):
+            edited, rate = [], r.choice([0, 0.1, 0.2, 0.3, 0.45, 0.6])
+            for w in r.choice(items)[1].split():
+                edited += [w] if r.random() >= rate else r.choice([["other"], [], [w, "more"]])
+            at = r.randrange(len(text))
+            text[at:at] = edited
+        data.append((n, " ".join(text)))
+    want = {}
+    for doc_id, text in data:
+        b = text.split()
+        for item_id, item in items:
+            above, best = [0] * (len(b) + 1), 0
+            for w in item.split():
+                row = [0]
+                for j, v in enumerate(b):
+                    row.append(max(0, above[j] + (2 if v == w else -1), above[j + 1] - 1, row[j] - 1))
+                above, best = row, max(best, *row)
+            if best >= len(item.split()):
+                want[doc_id, item_id] = best / (2 * len(item.split()))
+    leaks = find_leaks(spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert len(want) > 15 and {(x["doc_id"], x["item_id"]): x["score"] for x in leaks} == pytest.approx(want)
+
+
 # personal data
 
 
@@ -659,6 +691,47 @@ def test_quality(spark, docs, labels, none):
     assert all(r["keep"] for r in quality(docs, labels.limit(0)).collect() if r["doc_id"] not in (41, 42, 43, None))
 
 
+def test_site_rates_equal_plain_sums(spark):
+    """Posteriors of hosts, paths and documents against sums in plain Python."""
+    from framesift.llm.quality import STRENGTH, quality
+
+    r = random.Random(5)
+    data = []
+    for i in range(240):
+        host = f"h{r.randrange(6)}"
+        bad = r.random() < (0.8 if host == "h0" else 0.15)
+        data.append((i, "SPAM!! " * r.randrange(20, 60) if bad else text_of(i, 60) + ".", r.choice(["en", None]), host if r.random() < 0.95 else None, int(not bad)))
+    docs = spark.createDataFrame([x[:4] for x in data], "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(x[0], x[4]) for x in data if x[0] % 2], "doc_id long, quality int")
+    got = quality(docs, labels).collect()
+    taken = [x[4] for x in data if x[0] % 2]
+    prior = np.log(np.mean(taken) / (1 - np.mean(taken)))
+
+    def sums(key):
+        out = {}
+        for x in got:
+            n, good = out.get(key(x), (0, 0.0))
+            out[key(x)] = n + 1, good + 1 / (1 + np.exp(-(x["evidence"] + prior)))
+        return out
+
+    def strength_of(groups):  # (n, good, parent)
+        groups = [g for g in groups if g[0] >= 2]
+        scale = sum(p * (1 - p) * n for n, _, p in groups)
+        excess = sum(n * (g / n - p) ** 2 - p * (1 - p) for n, g, p in groups)
+        return STRENGTH[1] if excess <= 0 else min(STRENGTH[1], max(STRENGTH[0], scale / excess - 1))
+
+    hosts, paths = sums(lambda x: x["host"]), sums(lambda x: (x["host"], x["path"]))
+    overall = sum(g for _, g in hosts.values()) / len(got)
+    k = strength_of([(n, g, overall) for n, g in hosts.values()])
+    rates = {h: (g + k * overall) / (n + k) for h, (n, g) in hosts.items()}
+    k = strength_of([(n, g, rates[h]) for (h, _), (n, g) in paths.items()])
+    for x in got:
+        n, g = paths[x["host"], x["path"]]
+        rate = (g + k * rates[x["host"]]) / (n + k)
+        assert (x["host_rate"], x["path_rate"]) == pytest.approx((rates[x["host"]], rate))
+        assert x["quality"] == pytest.approx(1 / (1 + np.exp(-x["evidence"]) * (1 - rate) / rate))
+
+
 def test_sparse_sites_shrink(spark):
     from framesift.llm.quality import strength
 
