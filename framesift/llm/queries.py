@@ -1,4 +1,4 @@
-"""Queries of the ten operators over the given tables, and their SQL."""
+"""Queries of the operators over the given tables, and their SQL."""
 
 from __future__ import annotations
 
@@ -115,6 +115,40 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from framesift.llm.merkle import manifest
+
+    docs = table(spark, sf_dir, "documents")
+    even = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    found = F.when(even, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], "source", "doc_id", {"text": found})
+
+
+#: Levels by a recursive grouping; proofs by the runs that hold each leaf's ancestors; CRC32 bit by bit.
+MERKLE_SQL = """WITH RECURSIVE
+  fields AS (SELECT doc_id, source, text, concat(strlen(doc_id::varchar), ':', doc_id, coalesce(concat(strlen(source), ':', source), '-'), coalesce(concat(strlen(lang), ':', lang), '-'),
+      coalesce(concat(strlen(n_chars::varchar), ':', n_chars), '-')) AS head,
+    list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::bigint)), lambda c, b:
+      list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS crc FROM documents),
+  leaves AS (SELECT doc_id, source, sha256(concat(head, coalesce(concat(strlen(text), ':', text), '-'))) AS leaf,
+    sha256(concat(head, coalesce(concat(strlen(now), ':', now), '-'))) AS found FROM (SELECT *, CASE WHEN crc & 1 = 1 THEN replace(text, chr(10), '') ELSE text END AS now FROM fields)),
+  placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM leaves),
+  low(level, source, pos, n, digest) AS (SELECT 0, source, pos, n, leaf FROM placed UNION ALL
+    SELECT level + 1, source, pos // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos)) FROM low WHERE n > 1 GROUP BY level, source, pos // 3, n),
+  heads AS (SELECT source, level AS height, digest AS subroot, row_number() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM low WHERE n = 1),
+  high(level, pos, n, digest) AS (SELECT 0, pos, n, subroot FROM heads UNION ALL
+    SELECT level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos)) FROM high WHERE n > 1 GROUP BY level, pos // 3, n),
+  runs AS (SELECT level, source, pos // 3 AS run, list(digest ORDER BY pos) AS nodes FROM low WHERE n > 1 GROUP BY ALL),
+  upper_runs AS (SELECT level, pos // 3 AS run, list(digest ORDER BY pos) AS nodes FROM high WHERE n > 1 GROUP BY ALL),
+  steps AS (SELECT p.doc_id, r.level, p.pos // (3 ** r.level)::bigint % 3 AS slot, r.nodes FROM placed p JOIN runs r ON p.source IS NOT DISTINCT FROM r.source AND p.pos // (3 ** (r.level + 1))::bigint = r.run
+    UNION ALL SELECT p.doc_id, h.height + r.level, h.pos // (3 ** r.level)::bigint % 3, r.nodes FROM placed p JOIN heads h ON p.source IS NOT DISTINCT FROM h.source JOIN upper_runs r ON h.pos // (3 ** (r.level + 1))::bigint = r.run),
+  proofs AS (SELECT doc_id, list({'l': array_to_string(nodes[:slot], ''), 'r': array_to_string(nodes[slot + 2:], '')} ORDER BY level) AS path FROM steps GROUP BY doc_id),
+  told AS (SELECT p.doc_id, p.leaf, h.subroot, (SELECT digest FROM high WHERE n = 1) AS root, sha256(array_to_string(list_transform(coalesce(path, []), lambda x: concat(x.l, x.r)), '')) AS proof_sha256,
+    list_reduce(list_prepend({'l': p.found, 'r': ''}, coalesce(path, [])), lambda a, x: {'l': sha256(concat(x.l, a.l, x.r)), 'r': ''}).l AS folded_root
+    FROM placed p JOIN heads h ON p.source IS NOT DISTINCT FROM h.source LEFT JOIN proofs USING (doc_id))
+SELECT *, folded_root = root AS verified FROM told"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_arc_to_warc": op1_arc_to_warc,
     "op2_personal_data": op2_personal_data,
@@ -126,8 +160,10 @@ QUERIES: dict[str, Query] = {
     "op8_licenses": op8_licenses,
     "op9_simhash": op9_simhash,
     "op10_packing": op10_packing,
+    "op13_merkle": op13_merkle,
 }
 
 ORACLE: dict[str, str] = {
     "op8_licenses": license_scan_sql(),
+    "op13_merkle": MERKLE_SQL,
 }
