@@ -115,6 +115,25 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from framesift.llm.lexical import ranked
+
+    return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+RANKED_SQL = r"""WITH
+  found AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+  asked AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL),
+  docs AS (SELECT doc_id, count(*) AS n FROM found GROUP BY doc_id),
+  whole AS (SELECT count(*) AS documents, sum(n)::bigint AS length FROM docs),
+  lengths AS (SELECT doc_id, 75 + (25 * n * documents) // length AS m FROM docs, whole),
+  counts AS (SELECT doc_id, term, count(*) AS tf FROM found WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+  weights AS (SELECT term, floor(1000 * ln((2 * documents + 2)::double / (2 * count(*) + 1)::double))::bigint AS w FROM counts, whole GROUP BY term, documents),
+  scores AS (SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::bigint AS score
+    FROM counts JOIN lengths USING (doc_id) JOIN weights USING (term) JOIN asked USING (term) GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::int AS rank, doc_id, score FROM scores WHERE score > 0 QUALIFY rank <= 20"""
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from framesift.llm.merkle import manifest
 
@@ -124,6 +143,13 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], "source", "doc_id", {"text": found})
 
 
+def op12_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from framesift.llm.rules import COUNTS, quality_rules
+
+    found = quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", *COUNTS, "base_failed", "kept", "rule")
+
+
 #: Levels by a recursive grouping; proofs by the runs that hold each leaf's ancestors; CRC32 bit by bit.
 MERKLE_SQL = """WITH RECURSIVE
   fields AS (SELECT doc_id, source, text, concat(strlen(doc_id::varchar), ':', doc_id, coalesce(concat(strlen(source), ':', source), '-'), coalesce(concat(strlen(lang), ':', lang), '-'),
@@ -160,10 +186,13 @@ QUERIES: dict[str, Query] = {
     "op8_licenses": op8_licenses,
     "op9_simhash": op9_simhash,
     "op10_packing": op10_packing,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_decision_list": op12_decision_list,
     "op13_merkle": op13_merkle,
 }
 
 ORACLE: dict[str, str] = {
     "op8_licenses": license_scan_sql(),
+    "op11_ranked_search": RANKED_SQL,
     "op13_merkle": MERKLE_SQL,
 }
