@@ -1,14 +1,14 @@
 """Operator 11: ranked lexical search by hashed max-sketches with exact rescoring.
 
-The index holds a row for each document: its number of terms, a sketch, and its distinct terms with their counts.  The sketch has two rows
-of coordinates, ``LOAD`` to twice as many as the document has distinct terms; every term is hashed to one coordinate of each row, where the
+The index holds a row for each document: its number of terms, a sketch, and its distinct terms with their counts.  The sketch has ``ROWS`` rows
+of coordinates, each ``LOAD`` to twice ``LOAD`` times as many as the document has distinct terms; every term is hashed to one coordinate of each row, where the
 largest count that falls there is kept.  The impact of a term rises with its count, and the other parts of it
 (document length, collection size, rarity) are the same for the whole document or the whole term, so the maxima of counts are the maxima of
 impacts for any collection statistics: the index needs no second pass when these change.  Document frequencies leave the same
 pass as partial counts and are added up when a batch of queries asks for its terms.
 
-A search takes the queries in blocks.  A task looks all terms of the block up in the sketches of a batch of documents at once; the smaller of a
-term's two coordinates gives its bound, the weighted sum of these each item's.  Documents are then rescored exactly
+A search takes the queries in blocks.  A task looks all terms of the block up in the sketches of a batch of documents at once; the smallest of a
+term's coordinates gives its bound, the weighted sum of these each item's.  Documents are then rescored exactly
 from their own terms in the order of falling bounds, until the bound is below the score of the k-th best that this task has seen.
 Only the best k of a task and item are shuffled.  The result is exact: a bound is never below the score.
 
@@ -32,8 +32,8 @@ from framesift.llm.arrow import map_rows
 from framesift.plans.shared import write_shared
 
 TOP = 20
-#: Coordinates of a sketch's row for each distinct term, at least.
-LOAD = 2
+#: Rows of a sketch, and a row's coordinates for each distinct term, at least.
+ROWS, LOAD = 4, 2
 #: The largest count a coordinate tells; it stands for itself and all above.
 MOST = 255
 #: Documents of which a task holds the bounds at once, and terms of a block of queries.
@@ -55,7 +55,7 @@ def terms_of(text: str | None) -> list[bytes]:
 
 
 class Hashes:
-    """64-bit hashes of terms, remembered up to a limit; each half names a coordinate."""
+    """64-bit hashes of terms, remembered up to a limit."""
 
     def __init__(self, limit: int = 300_000) -> None:
         self.known, self.limit = {}, limit
@@ -73,15 +73,16 @@ class Hashes:
         return np.array(out, np.uint64)
 
 
-def coordinates(hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    mask = np.uint64(width - 1)
-    return (hashes & mask).astype(np.int64), ((hashes >> np.uint64(32)) & mask).astype(np.int64)
+def coordinates(hashes: np.ndarray, width: int) -> list[np.ndarray]:
+    """A coordinate of each row for every hash; ``width`` is a power of two.  Rows step on by the upper half, made odd."""
+    first, step, mask = hashes & np.uint64(0xFFFFFFFF), (hashes >> np.uint64(32)) | np.uint64(1), np.uint64(width - 1)
+    return [((first + np.uint64(row) * step) & mask).astype(np.int64) for row in range(ROWS)]
 
 
 def fold(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Two rows of coordinatewise maxima of the counts."""
+    """``ROWS`` rows of coordinatewise maxima of the counts."""
     width = 1 << max(3, (LOAD * len(hashes) - 1).bit_length())
-    sketch = np.zeros((2, width), np.uint8)
+    sketch = np.zeros((ROWS, width), np.uint8)
     rising = np.argsort(counts, kind="stable")  # of the values put at one place the last stays
     values = np.minimum(counts[rising], MOST).astype(np.uint8)
     for row, at in zip(sketch, coordinates(hashes, width), strict=True):
@@ -155,7 +156,7 @@ class Bounds:
         self.block, self.places, self.tables = block, {}, {}
 
     def __call__(self, n: int, sketch: bytes) -> np.ndarray:
-        rows = np.frombuffer(sketch, np.uint8).reshape(2, -1)
+        rows = np.frombuffer(sketch, np.uint8).reshape(ROWS, -1)
         width = rows.shape[1]
         if width not in self.places:
             self.places[width] = coordinates(self.block.hashes, width)
@@ -165,8 +166,10 @@ class Bounds:
                 self.tables.clear()
             table = self.tables[m] = impact(np.arange(MOST + 1, dtype=np.int64), m)
             table[MOST] = 1_000_000  # what no count exceeds
-        first, second = self.places[width]
-        return self.block.sums(self.tables[m][np.minimum(rows[0][first], rows[1][second])])
+        least = None
+        for row, at in zip(rows, self.places[width], strict=True):
+            least = row[at] if least is None else np.minimum(least, row[at])
+        return self.block.sums(self.tables[m][least])
 
 
 class Best:

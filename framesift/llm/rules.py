@@ -143,9 +143,10 @@ def covered(x: np.ndarray, conditions: Iterable[Condition]) -> np.ndarray:
     return mask
 
 
-def _rounded(cuts: np.ndarray, digits: int = 4) -> np.ndarray:
-    """Cuts of a few significant digits, which people can read."""
-    return np.unique([float(f"{c:.{digits}g}") for c in cuts])
+def cuts_of(values: np.ndarray, digits: int = 4) -> list[float]:
+    """Thresholds midway between neighbouring quantiles, of a few significant digits, which people can read."""
+    known = np.unique(np.quantile(values, np.linspace(0, 1, CUTS)))
+    return sorted({float(f"{c:.{digits}g}") for c in (known[1:] + known[:-1]) / 2})
 
 
 def grow(x: np.ndarray, bad: np.ndarray) -> list[Condition]:
@@ -157,7 +158,7 @@ def grow(x: np.ndarray, bad: np.ndarray) -> list[Condition]:
         best, gain = None, 1e-9
         for f, name in enumerate(FEATURES):
             values = x[at, f]
-            for cut in _rounded(np.quantile(values, np.linspace(0, 1, CUTS))).tolist():
+            for cut in cuts_of(values):
                 high = values > cut
                 p, n = int((high & bad[at]).sum()), int(high.sum())
                 for above, right, all_ in ((True, p, n), (False, int(p0) - p, len(at) - n)):
