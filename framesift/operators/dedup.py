@@ -11,11 +11,11 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from framesift.functions.paths import percent
+from framesift.operators.similarity import PAIRS, similar_pairs, spread_to_copies
 from framesift.plans.shared import write_shared
 
 HASH_CHARACTERS, MOST_DIFFERENT = 16, 5
 DUPLICATE_COSINE = 0.95
-PAIRS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("cosine", T.DoubleType())])
 
 
 def equal_groups(rows: DataFrame, column: str) -> DataFrame:
@@ -90,7 +90,7 @@ def cosine_pairs(vectors: DataFrame, least: float, block: int = BLOCK, count: in
 
     Vectors are dealt to blocks by hash; each pair of blocks is one group of at most two blocks' vectors, so no group
     grows with the data, and a row is sent to as many groups as there are blocks.  For very large tables use
-    ``hyperplane_pairs``, whose candidates are joined by key.
+    ``similarity.indexed_pairs``, whose candidates share a bucket of an index.
     """
     n = max(1, -(-(count if count is not None else vectors.count()) // block))
     mine = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
@@ -117,34 +117,6 @@ def cosine_pairs(vectors: DataFrame, least: float, block: int = BLOCK, count: in
     return keyed.groupBy("i", "j").applyInArrow(_grouped(find), PAIRS)
 
 
-def hyperplane_pairs(vectors: DataFrame, least: float, dim: int, bits: int = 12, tables: int = 8, seed: int = 7) -> DataFrame:
-    """Pairs by random hyperplanes: vectors with the same ``bits`` signs in any of the tables are verified.
-
-    Recall is below 1 (a pair at cosine c is missed with probability (1 - (1 - acos(c)/pi)**bits)**tables), but no wrong pair is given.
-    """
-    planes = np.random.default_rng(seed).standard_normal((tables * bits, dim)).astype(np.float32)
-
-    def signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = to_arrow_schema(KEYED)
-        for batch in batches:
-            if batch.num_rows:
-                x = np.stack(batch.column(1).to_pylist()).astype(np.float32)
-                bit = (x @ planes.T > 0).reshape(len(x), tables, bits)
-                keys = (bit * (1 << np.arange(bits))).sum(axis=2) + (np.arange(tables) << bits)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys.tolist(), pa.list_(pa.int64()))], schema=schema)
-
-    keyed = vectors.select("id", "embedding").mapInArrow(signs, KEYED).select("id", F.explode("keys").alias("key"))
-    pairs = keyed.select(F.col("id").alias("a"), "key").join(keyed.select(F.col("id").alias("b"), "key"), "key").where("a < b").select("a", "b").distinct()
-    left = vectors.select(F.col("id").alias("_a"), F.col("embedding").alias("x"))
-    right = vectors.select(F.col("id").alias("_b"), F.col("embedding").alias("y"))
-    both = pairs.join(left, F.col("a") == F.col("_a")).join(right, F.col("b") == F.col("_b"))
-    dot = F.aggregate(F.zip_with("x", "y", lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return both.withColumn("cosine", dot).where(F.col("cosine") >= least).select("a", "b", "cosine")
-
-
-KEYED = T.StructType([T.StructField("id", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
-
-
 def greedy_groups(pairs: DataFrame, max_rounds: int = 200) -> DataFrame:
     """(id, leader): in ascending ids, an uncaptured node leads and captures its uncaptured neighbours.
 
@@ -171,13 +143,17 @@ def greedy_groups(pairs: DataFrame, max_rounds: int = 200) -> DataFrame:
     return members.union(state.where("leads").select("id", F.col("id").alias("leader")))
 
 
-def full_scan(assets: DataFrame, vectors: DataFrame, least: float = DUPLICATE_COSINE) -> DataFrame:
-    """Members of three levels (id, level, group): equal content, then equal hash, then embedding groups of what is left."""
+def full_scan(assets: DataFrame, vectors: DataFrame, least: float = DUPLICATE_COSINE, recall: float = 0.99) -> DataFrame:
+    """Members of three levels (id, level, group): equal content, then equal hash, then embedding groups of what is left.
+
+    The pairs of the third level come from the hyperplane index with ``recall``; equal vectors are always found.
+    """
     one = duplicate_members(assets, "sha256").select("id", F.lit(1).alias("level"), F.col("sha256").alias("group"))
     rest = assets.join(one.select("id"), "id", "left_anti")
     two = duplicate_members(rest, "phash").select("id", F.lit(2).alias("level"), F.col("phash").alias("group"))
     left = vectors.join(one.select("id").union(two.select("id")), "id", "left_anti")
-    three = greedy_groups(cosine_pairs(write_shared(left, "level3"), least))
+    pairs, copies = similar_pairs(left, least, recall)
+    three = spread_to_copies(greedy_groups(pairs), copies)
     return one.union(two).union(three.select("id", F.lit(3).alias("level"), F.col("leader").cast("string").alias("group")))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from framesift.functions.jsontext import complete_of, extracted_of, first_object_of
 from framesift.functions.paths import basename
-from framesift.operators import boxes as B, catalog as C, dedup as D, normalize as N
+from framesift.operators import boxes as B, catalog as C, dedup as D, normalize as N, similarity as V
 from framesift.plans import fixtures as fx
 from framesift.plans.registry import query, table
 from framesift.plans.shared import shared_path, write_shared
@@ -361,11 +361,21 @@ def vectors(spark, d):
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
 
 
-@query("d5_cosine_pairs", "SELECT x.vec_id AS a, y.vec_id AS b, round(list_dot_product(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 6) AS cosine FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id WHERE list_dot_product(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) >= 0.35")
+COSINE = "SELECT x.vec_id AS a, y.vec_id AS b, round(list_dot_product(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 6) AS cosine FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id WHERE list_dot_product(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) >= 0.35"
+#: A recall so high that no pair of small tables is missed; scans of large ones ask for less.
+NEARLY_ALL = 0.99999
+
+
+@query("d5_cosine_pairs", COSINE)
 def d5_cosine_pairs(spark, d):
     return D.cosine_pairs(vectors(spark, d), 0.35, block=200).select("a", "b", F.round("cosine", 6).alias("cosine"))
 
 
+@query("d5_indexed_pairs", f"WITH embeddings AS (SELECT min(vec_id) AS vec_id, embedding FROM embeddings GROUP BY embedding) {COSINE}")
+def d5_indexed_pairs(spark, d):
+    return V.similar_pairs(vectors(spark, d), 0.35, NEARLY_ALL)[0].select("a", "b", F.round("cosine", 6).alias("cosine"))
+
+
 def greedy_sql(least: float, rest: str) -> str:
     """Groups of the vectors that ``rest`` lets through, one node a step in ascending ids: ``led`` (id, leader)."""
     return f"""v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings WHERE {rest}), p AS (SELECT x.id AS a, y.id AS b FROM v x JOIN v y ON x.id < y.id WHERE list_dot_product(x.e, y.e) >= {least}),
@@ -379,12 +389,18 @@ def d5_greedy_groups(spark, d):
     return D.greedy_groups(write_shared(D.cosine_pairs(vectors(spark, d), 0.3), "pairs"))
 
 
+@query("d5_indexed_groups", f"WITH RECURSIVE {greedy_sql(0.3, 'true')} SELECT id, leader FROM led")
+def d5_indexed_groups(spark, d):
+    pairs, copies = V.similar_pairs(vectors(spark, d), 0.3, NEARLY_ALL)
+    return V.spread_to_copies(D.greedy_groups(pairs), copies)
+
+
 @query("d6_scan_summary", f"""WITH RECURSIVE {HASHED}, one AS (SELECT id FROM h WHERE sha256 IN (SELECT sha256 FROM h GROUP BY sha256 HAVING count(*) > 1)), r AS (SELECT * FROM h WHERE id NOT IN (SELECT id FROM one)),
  two AS (SELECT id FROM r WHERE phash IN (SELECT phash FROM r GROUP BY phash HAVING count(*) > 1)), {greedy_sql(0.3, "vec_id NOT IN (SELECT id FROM one UNION ALL SELECT id FROM two)")},
  c AS (SELECT (SELECT count(*) FROM h) AS total, (SELECT count(*) FROM one) + (SELECT count(*) FROM two) + (SELECT count(*) FROM led WHERE id <> leader) AS duplicate_count)
  SELECT total, duplicate_count, total - duplicate_count AS "unique", printf('%.2f%%', 100.0 * duplicate_count / total) AS rate FROM c""")
 def d6_scan_summary(spark, d):
-    members = D.full_scan(hashed_docs(spark, d), vectors(spark, d), 0.3)
+    members = D.full_scan(hashed_docs(spark, d), vectors(spark, d), 0.3, NEARLY_ALL)
     return D.scan_summary(write_shared(members, "members"), hashed_docs(spark, d))
 
 
