@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from framesift.functions.paths import basename, dirname, forward, slug, stem
+from framesift.operators import blocks
 from framesift.plans.order import with_position
+from framesift.plans.shared import write_shared
 
 #: File-name rules of ordered frames; their order decides.  Fixed values (patterns).
 V_NAME = r"(?i)^(v\d+)_(\d+)_(\d+)\.jpg$"
@@ -19,6 +22,8 @@ SECONDS_NAME = r"^(\d{9,})\.(\d{1,3})\.jpg$"
 INDEX_NAME = r"^(.+?)(\d{3,})\.jpg$"
 
 GAP_MS, INDEX_GAP, CLIP_FRAMES, MIN_FRAMES = 10_000, 2, 30, 5
+#: A window of Spark sorts a key in one task; where a key has more rows than this, keys are scanned in blocks, with the same result.
+RUN_ROWS = 2_000_000
 
 
 def _part(name: Column, pattern: str, group: int) -> Column:
@@ -53,6 +58,12 @@ def seq_key(path: Column) -> Column:
     )
 
 
+def with_seq_key(frames: DataFrame, path: str = "path", name: str = "_k") -> DataFrame:
+    """Ordered frames with their ``seq_key``.  The key comes out of a generator, so its rules are evaluated once a row and not once for every field
+    and filter that reads it."""
+    return frames.withColumn(name, F.explode(F.array(seq_key(F.col(path))))).where(F.col(name).isNotNull())
+
+
 def frame_ms(path: Column) -> Column:
     """Milliseconds in a frame's file name (three shapes), or null."""
     name = basename(path)
@@ -63,35 +74,58 @@ def frame_ms(path: Column) -> Column:
     )
 
 
-def split_runs(rows: DataFrame, run: list[str], value: str, tie: list[str], mode: str = "ms", sub: str | None = None, gap_ms: int = GAP_MS, index_gap: int = INDEX_GAP) -> DataFrame:
+def has_hot_key(rows: DataFrame, keys: list[str], run_rows: int) -> bool:
+    """Whether any key has more than ``run_rows`` rows: counts are combined before the shuffle, one number reaches the driver."""
+    return (rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) > run_rows
+
+
+def with_cuts(rows: DataFrame, run: list[str], order: list[str], read: list[str], cut, run_rows: int) -> DataFrame:
+    """Adds ``run_no``, the cuts up to a row; ``cut`` tells from accessors of this row's and the last row's columns."""
+    if has_hot_key(rows, run, run_rows):
+        return blocks.cumulative_cuts(rows, run, order, read, cut, "run_no")
+    own = W.partitionBy(*run).orderBy(*order)
+    marked = rows.withColumn("_cut", F.coalesce(cut(F.col, lambda c: F.lag(c).over(own)).cast("long"), F.lit(0).cast("long")))
+    return marked.withColumn("run_no", F.sum("_cut").over(own.rowsBetween(W.unboundedPreceding, 0))).drop("_cut")
+
+
+def split_runs(rows: DataFrame, run: list[str], value: str, tie: list[str], mode: str = "ms", sub: str | None = None, gap_ms: int = GAP_MS, index_gap: int = INDEX_GAP, run_rows: int = RUN_ROWS) -> DataFrame:
     """Adds ``run_no``, from 0 within each key: a run ends where the gap rule of ``mode`` cuts.
 
-    One window per key; ties in ``value`` keep the order of ``tie``.
+    Ties in ``value`` keep the order of ``tie``.
     """
-    order = W.partitionBy(*run).orderBy(value, *tie)
     if mode == "seq":
-        cut = F.col(sub) <= F.lag(sub).over(order)
-    else:
-        cut = F.col(value) - F.lag(value).over(order) > (gap_ms if mode == "ms" else index_gap)
-    marked = rows.withColumn("_cut", F.coalesce(cut.cast("long"), F.lit(0).cast("long")))
-    return marked.withColumn("run_no", F.sum("_cut").over(order.rowsBetween(W.unboundedPreceding, 0))).drop("_cut")
+        return with_cuts(rows, run, [value, *tie], [sub], lambda now, before: now(sub) <= before(sub), run_rows)
+    return with_cuts(rows, run, [value, *tie], [value], lambda now, before: now(value) - before(value) > (gap_ms if mode == "ms" else index_gap), run_rows)
 
 
-def split_keyed_runs(rows: DataFrame, position: str = "position", gap_ms: int = GAP_MS, index_gap: int = INDEX_GAP) -> DataFrame:
+def split_keyed_runs(rows: DataFrame, position: str = "position", gap_ms: int = GAP_MS, index_gap: int = INDEX_GAP, run_rows: int = RUN_ROWS) -> DataFrame:
     """``run_no`` for rows with seq_key fields run_id, mode, value and sub, each mode by its own rule."""
-    order = W.partitionBy("run_id", "mode").orderBy("value", "sub", position)
-    step = F.col("value") - F.lag("value").over(order)
-    cut = F.when(F.col("mode") == "seq", F.col("sub") <= F.lag("sub").over(order)).when(F.col("mode") == "ms", step > gap_ms).otherwise(step > index_gap)
-    marked = rows.withColumn("_cut", F.coalesce(cut.cast("long"), F.lit(0).cast("long")))
-    return marked.withColumn("run_no", F.sum("_cut").over(order.rowsBetween(W.unboundedPreceding, 0))).drop("_cut")
 
+    def cut(now, before):
+        step = now("value") - before("value")
+        return F.when(now("mode") == "seq", now("sub") <= before("sub")).when(now("mode") == "ms", step > gap_ms).otherwise(step > index_gap)
 
-def fixed_windows(rows: DataFrame, run: list[str], order: list[str], size: int = CLIP_FRAMES) -> DataFrame:
+    return with_cuts(rows, ["run_id", "mode"], ["value", "sub", position], ["value", "sub", "mode"], cut, run_rows)
+
+
+def fixed_windows(rows: DataFrame, run: list[str], order: list[str], size: int = CLIP_FRAMES, run_rows: int = RUN_ROWS) -> DataFrame:
     """Adds ``window_no``: every ``size`` rows of a run, the last window short."""
+    if has_hot_key(rows, run, run_rows):
+        return blocks.placed(rows, run, order, "_at").withColumn("window_no", F.floor(F.col("_at") / size).cast("long")).drop("_at")
     number = F.row_number().over(W.partitionBy(*run).orderBy(*order)) - 1
     return rows.withColumn("window_no", F.floor(number / size).cast("long"))
 
 
+def with_group(rows: DataFrame, keys: list[str], facts: dict[str, Column], run_rows: int = RUN_ROWS) -> DataFrame:
+    """Adds aggregates of a row's group: over a window, or, where a group is hot, grouped and joined, which adaptive execution can split."""
+    if not has_hot_key(rows, keys, run_rows):
+        own = W.partitionBy(*keys)
+        return rows.withColumns({name: fact.over(own) for name, fact in facts.items()})
+    kept = write_shared(rows, "grouped-rows")
+    grouped = kept.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(*[fact.alias(name) for name, fact in facts.items()])
+    return kept.join(grouped, blocks.same(keys)).select(*rows.columns, *facts)
+
+
 def _number_windows(batches: Iterator[pa.RecordBatch], ms: str, span: float, floor_frames: int, min_tail: int, size: int) -> Iterator[pa.RecordBatch]:
     """``window_no`` for rows sorted by run and time, with ``_at`` (place in the run) and ``_timed``.
 
@@ -138,7 +172,7 @@ def _number_windows(batches: Iterator[pa.RecordBatch], ms: str, span: float, flo
         yield from numbered(held, np.full(held.num_rows, no - 1))
 
 
-def clip_windows(rows: DataFrame, run: list[str], order: list[str], ms: str, seconds: float, size: int = CLIP_FRAMES, min_tail: int = MIN_FRAMES) -> DataFrame:
+def clip_windows(rows: DataFrame, run: list[str], order: list[str], ms: str, seconds: float, size: int = CLIP_FRAMES, min_tail: int = MIN_FRAMES, run_rows: int = RUN_ROWS) -> DataFrame:
     """Adds ``window_no`` to the rows of each run in their order; no run is held in memory.
 
     Where ``seconds`` is positive, a window closes before the first frame that comes when it has ``size`` frames and
@@ -146,10 +180,13 @@ def clip_windows(rows: DataFrame, run: list[str], order: list[str], ms: str, sec
     which a time (``ms``, milliseconds) is missing or first and last are equal, and all runs without ``seconds``, have
     windows of every ``size`` frames.
     """
+    if seconds <= 0:
+        return fixed_windows(rows, run, order, size, run_rows)
+    if has_hot_key(rows, run, run_rows):
+        one_by_one = lambda some: clip_windows(some, run, order, ms, seconds, size, min_tail, sys.maxsize)
+        return blocks.timed_windows(rows, run, order, ms, seconds * 1000, size, min_tail, one_by_one)
     own = W.partitionBy(*run).orderBy(*order)
     placed = rows.withColumn("_at", (F.row_number().over(own) - 1).cast("long"))
-    if seconds <= 0:
-        return placed.withColumn("window_no", F.floor(F.col("_at") / size).cast("long")).drop("_at")
     whole = own.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     usable = (F.count(ms).over(whole) == F.count(F.lit(1)).over(whole)) & (F.first(ms).over(whole) != F.last(ms).over(whole))
     schema = T.StructType([*rows.schema.fields, T.StructField("window_no", T.LongType())])
@@ -166,7 +203,7 @@ def clip_seconds(rows: DataFrame, config: DataFrame, project: str = "project") -
     return joined.withColumn("clip_seconds", F.coalesce("_own", "_every", F.lit(0.0))).drop("_scope", "_own", "_every")
 
 
-def build_seq_clips(frames: DataFrame, size: int = CLIP_FRAMES, min_frames: int = MIN_FRAMES, seconds: float = 0.0) -> DataFrame:
+def build_seq_clips(frames: DataFrame, size: int = CLIP_FRAMES, min_frames: int = MIN_FRAMES, seconds: float = 0.0, run_rows: int = RUN_ROWS) -> DataFrame:
     """Clips of frames (id, path, position) ordered by their file names: runs of at least ``min_frames``, cut by
     ``clip_windows`` with the times that the names tell.
 
@@ -174,10 +211,10 @@ def build_seq_clips(frames: DataFrame, size: int = CLIP_FRAMES, min_frames: int
     adds a hash of the run.
     """
     run, order = ["run_id", "mode", "run_no"], ["value", "sub", "position", "id"]
-    keyed = frames.withColumn("_k", seq_key(F.col("path"))).where("_k IS NOT NULL").select("id", "path", "position", frame_ms(F.col("path")).alias("ms"), "_k.*")
-    own = W.partitionBy(*run)
-    sized = split_keyed_runs(keyed).withColumn("_n", F.count(F.lit(1)).over(own)).withColumn("head", F.first("path").over(own.orderBy(*order)))
-    cut = clip_windows(sized.where(F.col("_n") >= min_frames).drop("_n", "path"), run, order, "ms", seconds, size, min_frames)
+    keyed = with_seq_key(frames).select("id", "path", "position", frame_ms(F.col("path")).alias("ms"), "_k.*")
+    facts = {"_n": F.count(F.lit(1)), "head": F.min_by("path", F.struct(*order))}
+    sized = with_group(split_keyed_runs(keyed, run_rows=run_rows), run, facts, run_rows)
+    cut = clip_windows(sized.where(F.col("_n") >= min_frames).drop("_n", "path"), run, order, "ms", seconds, size, min_frames, run_rows)
     items = F.array_sort(F.collect_list(F.struct(*order)))
     clips = cut.groupBy(*run, "head", F.col("window_no").cast("int").alias("clip_index")).agg(F.transform(items, lambda f: f["id"]).alias("frame_ids"))
     legacy = F.format_string("seq_%s_%05d", slug(F.col("head")), F.col("clip_index"))
@@ -188,11 +225,11 @@ def build_seq_clips(frames: DataFrame, size: int = CLIP_FRAMES, min_frames: int
     )
 
 
-def build_video_clips(frames: DataFrame, size: int = CLIP_FRAMES, min_frames: int = MIN_FRAMES, seconds: float = 0.0) -> DataFrame:
+def build_video_clips(frames: DataFrame, size: int = CLIP_FRAMES, min_frames: int = MIN_FRAMES, seconds: float = 0.0, run_rows: int = RUN_ROWS) -> DataFrame:
     """Clips of frames (id, video_path, timestamp in seconds, frame_index) with a video, ordered by time, then index."""
     order = ["t", "i", "id"]
     timed = frames.where("video_path IS NOT NULL").select("video_path", F.coalesce("timestamp", F.lit(0.0)).alias("t"), F.coalesce("frame_index", F.lit(0)).alias("i"), "id")
-    cut = clip_windows(timed.withColumn("ms", (F.col("t") * 1000).cast("long")), ["video_path"], order, "ms", seconds, size, min_frames)
+    cut = clip_windows(timed.withColumn("ms", (F.col("t") * 1000).cast("long")), ["video_path"], order, "ms", seconds, size, min_frames, run_rows)
     items = F.array_sort(F.collect_list(F.struct(*order)))
     clips = cut.groupBy("video_path", F.col("window_no").cast("int").alias("clip_index")).agg(F.transform(items, lambda f: f["id"]).alias("frame_ids"))
     return clips.select(F.format_string("%s_%05d", stem(F.col("video_path")), F.col("clip_index")).alias("clip_id"), F.col("video_path").alias("video_id"), "clip_index", "frame_ids")

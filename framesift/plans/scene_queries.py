@@ -26,11 +26,11 @@ def w3_fixed_windows(spark, d):
     return seq.fixed_windows(runs, ["user_id", "run_no"], ["ms", "event_id"]).select("user_id", "run_no", "event_id", "window_no")
 
 
-def session_clips(spark, d):
+def session_clips(spark, d, events=None, run_rows=seq.RUN_ROWS):
     """Runs of a day's gap, at least five events long, cut every 30 events, with count and bounds."""
-    runs = seq.split_runs(fx.events_ms(spark, d), ["user_id"], "ms", ["event_id"], gap_ms=DAY)
-    sized = runs.withColumn("n_run", F.count("*").over(W.partitionBy("user_id", "run_no"))).where(F.col("n_run") >= 5)
-    cut = seq.fixed_windows(sized, ["user_id", "run_no"], ["ms", "event_id"])
+    runs = seq.split_runs(fx.events_ms(spark, d) if events is None else events, ["user_id"], "ms", ["event_id"], gap_ms=DAY, run_rows=run_rows)
+    sized = seq.with_group(runs, ["user_id", "run_no"], {"n_run": F.count(F.lit(1))}, run_rows).where(F.col("n_run") >= 5)
+    cut = seq.fixed_windows(sized, ["user_id", "run_no"], ["ms", "event_id"], run_rows=run_rows)
     return cut.groupBy("user_id", "run_no", "window_no").agg(F.count("*").alias("n"), F.min("ms").alias("first_ms"), F.max("ms").alias("last_ms"), F.round(F.sum("value"), 2).alias("total"))
 
 
@@ -46,8 +46,7 @@ def w6_session_clips(spark, d):
   CASE id % 6 WHEN 0 THEN 'seq' WHEN 1 THEN 'seq' WHEN 2 THEN 'ms' WHEN 3 THEN 'ms' WHEN 4 THEN 'idx' END AS mode,
   CASE id % 6 WHEN 0 THEN 0 WHEN 1 THEN 1000 * id WHEN 2 THEN 1700000000000 + 900 * id WHEN 3 THEN (1700000000 + id) * 1000 + rpad(cast(id % 997 AS varchar), 3, '0')::BIGINT WHEN 4 THEN id END AS value FROM n WHERE id % 6 <> 5""")
 def w1_seq_key(spark, d):
-    keyed = fx.frames(spark, d).withColumn("k", seq.seq_key(F.col("path"))).where("k IS NOT NULL")
-    return keyed.select("id", "k.run_id", "k.mode", "k.value")
+    return seq.with_seq_key(fx.frames(spark, d)).select("id", "_k.run_id", "_k.mode", "_k.value")
 
 
 @query("w5_frame_ms", """SELECT event_id AS id, CASE event_id % 6 WHEN 1 THEN 1000 * event_id WHEN 2 THEN 1700000000000 + 900 * event_id
@@ -69,6 +68,39 @@ def w4_cut_windows(spark, d):
     return cut.groupBy("user_id", "window_no").agg(F.count("*").alias("n"), F.min("event_id").alias("low"), F.max("event_id").alias("high"))
 
 
+#: All events as one run, which no task holds: scanned in blocks.
+ONE_RUN = "events AS (SELECT 0 AS user_id, event_id, ts, value FROM main.events)"
+
+
+def one_run(spark, d):
+    return fx.events_ms(spark, d).withColumn("user_id", F.lit(0)).select("user_id", "ms", "event_id", "value")
+
+
+@query("w2_hot_run", f"WITH {ONE_RUN}, {RUNS.replace(str(DAY), '60000')} SELECT event_id, run_no FROM runs")
+def w2_hot_run(spark, d):
+    return seq.split_runs(one_run(spark, d), ["user_id"], "ms", ["event_id"], gap_ms=60_000, run_rows=0).select("event_id", "run_no")
+
+
+@query("w3_hot_run", "SELECT event_id, (row_number() OVER (ORDER BY epoch_us(ts) // 1000, event_id) - 1) // 30 AS window_no FROM events")
+def w3_hot_run(spark, d):
+    return seq.fixed_windows(one_run(spark, d), ["user_id"], ["ms", "event_id"], run_rows=0).select("event_id", "window_no")
+
+
+@query("w4_hot_run", """WITH RECURSIVE o AS (SELECT event_id, epoch_us(ts) // 1000 AS ms, row_number() OVER (ORDER BY epoch_us(ts) // 1000, event_id) AS i FROM events),
+ w AS (SELECT 1::BIGINT AS i, 0 AS no UNION ALL SELECT * FROM (SELECT (SELECT min(n.i) FROM o n, o b WHERE b.i = w.i AND n.i >= w.i + 5 AND n.ms - b.ms >= 43200000) AS i, no + 1 FROM w) WHERE i IS NOT NULL),
+ p AS (SELECT o.event_id, w.no, w.i AS head FROM o ASOF JOIN w ON o.i >= w.i), l AS (SELECT max(no) AS last, max(head) AS head, (SELECT count(*) FROM o) - max(head) + 1 AS n FROM p)
+ SELECT event_id, (CASE WHEN no = last AND n < 3 THEN no - 1 ELSE no END)::BIGINT AS window_no FROM p, l WHERE NOT (no = last AND n < 3 AND last = 0)""")
+def w4_hot_run(spark, d):
+    return seq.clip_windows(one_run(spark, d), ["user_id"], ["ms", "event_id"], "ms", DAY / 2000, 5, 3, run_rows=0).select("event_id", "window_no")
+
+
+@query("w6_hot_run", f"""WITH {ONE_RUN}, {RUNS}, sized AS (SELECT *, count(*) OVER (PARTITION BY user_id, run_no) AS n_run FROM runs),
+ win AS (SELECT *, (row_number() OVER (PARTITION BY user_id, run_no ORDER BY ms, event_id) - 1) // 30 AS window_no FROM sized WHERE n_run >= 5)
+ SELECT user_id, run_no, window_no, count(*) AS n, min(ms) AS first_ms, max(ms) AS last_ms, round(sum(value), 2) AS total FROM win GROUP BY ALL""")
+def w6_hot_run(spark, d):
+    return session_clips(spark, d, one_run(spark, d), 0)
+
+
 KEYED = f"""{fx.FRAMES}, n AS (SELECT id, path, regexp_extract(path, '[^/]*$') AS name, regexp_replace(path, '/[^/]*$', '') AS dir FROM frames WHERE id % 6 <> 5),
  k AS (SELECT id, path, dir, CASE id % 6 WHEN 0 THEN 'bucket:' || dir WHEN 1 THEN 'v:' || split_part(name, '_', 1) WHEN 2 THEN 'ms:' || dir || ':_' || regexp_extract(name, '_([0-9]).jpg$', 1) WHEN 3 THEN 'secms:' || dir ELSE 'idx:' || dir || ':IMG_' END AS run_id,
   CASE WHEN id % 6 < 2 THEN 'seq' WHEN id % 6 < 4 THEN 'ms' ELSE 'idx' END AS mode, CASE WHEN id % 6 < 2 THEN id ELSE 0 END AS sub,
