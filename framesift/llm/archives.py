@@ -177,7 +177,25 @@ def header_value(head: bytes, name: str) -> str | None:
 
 
 def _whole(text: str | None) -> int | None:
-    return int(text) if text and re.fullmatch(r"-?[0-9]{1,18}", text) else None
+    """A signed 64-bit number, or none."""
+    number = int(text) if text and re.fullmatch(r"-?[0-9]{1,19}", text) else None
+    return number if number is not None and -(1 << 63) <= number < 1 << 63 else None
+
+
+#: A header line up to its date: the last address and date that stand together, so that a URL may hold spaces.
+_UP_TO_DATE = re.compile(r"(.*) ([0-9A-Fa-f.:]+|-) ([0-9]{4,14}) (.*)", re.S)
+
+
+def header_fields(line: str, version: int | None) -> list[str] | None:
+    """URL, address, date and content type, then the version's other fields, length last; None if the line is no header.
+
+    The length and what stands before it are counted from the right, so that a content type may hold spaces; without a version the type is one word.
+    """
+    found = _UP_TO_DATE.fullmatch(line)
+    if not found:
+        return None
+    rest = found[4].rsplit(" ", len(ARC_FIELDS[version]) - 4) if version else found[4].split(" ")
+    return [*found.groups()[:3], *rest] if len(rest) >= 2 and rest[-1].isdigit() else None
 
 
 def parse_arc(archive: str, data: bytes) -> Iterator[tuple]:
@@ -190,12 +208,9 @@ def parse_arc(archive: str, data: bytes) -> Iterator[tuple]:
             return
         if not line:
             continue
-        count = len(ARC_FIELDS[version])
-        filedesc = line.startswith(b"filedesc:")
-        fields = line.decode("utf-8", "replace").rsplit(" ", count - 1)
-        if filedesc:  # says its own version, so its header line may have either form
-            fields = line.decode("utf-8", "replace").split(" ")
-        if len(fields) < 5 or not fields[-1].isdigit():
+        filedesc = line.startswith(b"filedesc:")  # says its own version, so its header line may have either form
+        fields = header_fields(line.decode("utf-8", "replace"), None if filedesc else version)
+        if fields is None:
             raise ValueError(f"{archive}: no ARC header line at byte {position}")
         block = stream.exactly(int(fields[-1]))
         url, ip, date, content_type = fields[:4]

@@ -182,11 +182,15 @@ KNOWN: list[tuple[str, str]] = [
 #: Each text of ``KNOWN`` holds one of these in its canonical form, and its source in lower case holds the same one.
 NEEDLES = ["licen", "permi", "redistribution", "unencumbered"]
 
-#: The canonical form: ("pattern", regular expression, replacement, words one of which it needs) or ("text", from, to), in this order, after
-#: lower-casing.  Both regular-expression dialects (Java's and RE2) read these patterns alike.
+#: How a copyright line begins.
+_COPYRIGHT = "^[ \t]*(copyright[ \t]*(\\(c\\)|[©0-9<{\\[]|by )|\\(c\\)[ \t]*(copyright|[0-9])|©)"
+
+#: The canonical form: ("pattern", regular expression, replacement, words one of which it needs), ("text", from, to) or ("lines", beginning, first
+#: sentence, words one of which it needs), in this order, after lower-casing.  Lines of that beginning go, whatever their length; of those that hold
+#: one of ``NEEDLES``, and so may have a licence on them, the first sentence goes.  Both regular-expression dialects (Java's and RE2) read these patterns alike.
 RULES: list[tuple] = [
     ("pattern", "\r\n?", "\n", ["\r"]),
-    ("pattern", "(^|\n)([ \t]*(copyright[ \t]*(\\(c\\)|[©0-9<{\\[]|by )|\\(c\\)[ \t]*(copyright|[0-9])|©)[^\n]{0,200}(\n|\\z))+", "\n", ["copyright", "(c)", "©"]),
+    ("lines", _COPYRIGHT, _COPYRIGHT + "[^.]*(\\.[^ \t.][^.]*)*\\.[ \t]+", ["copyright", "(c)", "©"]),
     ("pattern", "(^|\n)[ \t]*all rights reserved[. \t]*", "\n", ["all rights reserved"]),
     ("pattern", "[ \t\n\f\u000b\u00a0!-/:-@\\[-`{-~‘’“”–—•]+", " ", []),
     ("text", "licence", "license"),
@@ -218,6 +222,9 @@ def with_digest(rows: DataFrame, text: str, name: str) -> DataFrame:
     for kind, a, b, *words in RULES:
         if kind == "text":
             out = F.replace(form, F.lit(a), F.lit(b))
+        elif kind == "lines":
+            left = F.transform(F.split(form, "\n"), lambda x: F.when(~x.rlike(a), x).when(holds(x, NEEDLES), F.regexp_replace(x, b, "")).otherwise(F.lit("")))  # noqa: B023
+            out = F.when(holds(form, words[0]), F.array_join(left, "\n")).otherwise(form)
         elif words[0]:
             out = F.when(holds(form, words[0]), F.regexp_replace(form, a, b)).otherwise(form)
         else:
@@ -273,6 +280,11 @@ def _quoted(text: str) -> str:
 def canonical_sql(text: str) -> str:
     out = f"lower(coalesce({text}, ''))"
     for kind, a, b, *_ in RULES:
+        if kind == "lines":
+            needed = " OR ".join(f"contains(x, {_quoted(word)})" for word in NEEDLES)
+            kept = f"CASE WHEN NOT regexp_matches(x, {_quoted(a)}) THEN x WHEN {needed} THEN regexp_replace(x, {_quoted(b)}, '') ELSE '' END"
+            out = f"array_to_string(list_transform(string_split({out}, chr(10)), lambda x: {kept}), chr(10))"
+            continue
         out = f"regexp_replace({out}, {_quoted(a)}, {_quoted(b)}, 'g')" if kind == "pattern" else f"replace({out}, {_quoted(a)}, {_quoted(b)})"
     return f"trim({out}, ' ')"
 

@@ -109,6 +109,8 @@ DOT_MARK = r"(?:\.|\s++\.\s++|\s*+[\[({<]\s?dot\s?[\])}>]\s*+|\s++dot\s++)"
 TRIGGER = re.compile(rf"[0-9@]|[\[({{<]\s?(?:at|dot)\s?[\])}}>]|(?<=\s)at(?=\s++[\w-]++{DOT_MARK}\w)|(?<=\s)dot(?=\s++\w)", re.I)
 #: An address whose marks are signs, words or words in brackets; its last part has letters only.
 ADDRESS = re.compile(rf"[\w%+-]++(?:{DOT_MARK}[\w%+-]++)*{AT_MARK}[\w-]++(?:{DOT_MARK}[\w-]++)*{DOT_MARK}[^\W\d_]{{2,}}(?![\w-])", re.I)
+#: A word, a bare "at" and a host with a plain dot ("look at example.com"): a place rather than an address, unless the local part has more than letters.
+LOOK_AT = re.compile(r"[^\W\d_]+\s+at\s+[\w-]+(?:\.[\w-]+)+", re.I)
 #: What stands before a span that begins within an address.
 WITHIN = re.compile(rf"[\w%+-](?:{DOT_MARK})?\Z", re.I)
 HEX = re.compile(r"[0-9A-Fa-f]{24,}|AKIA[0-9A-Z]{16}")
@@ -396,7 +398,7 @@ def find_spans(text: str, weights: np.ndarray | None) -> tuple[list[tuple[str, i
             if max(w.low, last) <= w.starts[i] < w.high:
                 added.append((LABELS[label], w.starts[i], w.ends[j - 1]))
                 last = w.ends[j - 1]
-    return base, sorted(added, key=lambda x: (LABELS.index(x[0]), x[1]))
+    return base, sorted((x for x in added if not (x[0] == "email" and LOOK_AT.fullmatch(text, x[1], x[2]))), key=lambda x: (LABELS.index(x[0]), x[1]))
 
 
 def snippets(text: str) -> Iterator[tuple[str, str]]:

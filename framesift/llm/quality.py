@@ -16,7 +16,7 @@ labelled rows at most (chosen by a hash of doc_id, a documented bound).
 
 Defined results: null and blank texts have zero statistics and quality 0, and are rejected; null
 sources and languages are groups of their own; rows without a label, or with a null one, are scored
-but not learned from; repeated rows are scored one by one; without labels of both kinds, the evidence
+but not learned from; repeated rows are scored one by one, and of those that repeat a labelled doc_id the one with the greatest statistics is learned from; without labels of both kinds, the evidence
 is 0 and the probability 0.5, which keeps the document; an empty table gives an empty result.
 """
 
@@ -94,10 +94,11 @@ def expanded(x: np.ndarray, mean: np.ndarray, spread: np.ndarray) -> np.ndarray:
 
 
 def classifier(stats: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """(mean, spread, weights, rate of good documents) from at most about ``bound`` labelled rows."""
+    """(mean, spread, weights, rate of good documents) from at most about ``bound`` labelled ids, one row of each."""
     ids = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("quality").cast("int")).alias("quality"))
     taken = ids.where(hash_share(7, bound, ids.count(), "doc_id"))
-    rows = stats.join(F.broadcast(taken), "doc_id").select("doc_id", *FEATURES, "quality").toPandas().sort_values("doc_id")
+    one = stats.join(F.broadcast(taken), "doc_id").groupBy("doc_id").agg(F.max(F.struct(*FEATURES)).alias("x"), F.max("quality").alias("quality"))
+    rows = one.select("doc_id", "x.*", "quality").toPandas().sort_values("doc_id")
     x, y = rows[FEATURES].to_numpy(float), rows["quality"].to_numpy(float)
     width = len(FEATURES)
     if not 0 < y.sum() < len(y):

@@ -5,14 +5,14 @@ letters and digits, case folded), each with value 1.  Training follows the FTRL-
 update: every coordinate has its own learning rate from its own sum of squared gradients, and an L1 term
 keeps coordinates at exactly zero until their evidence exceeds it, so the weights that remain are few.
 
-Training is fitted on about ``TRAIN_ROWS`` labelled rows at most (chosen by a hash of doc_id, a
-documented bound): their features are hashed in parallel, and one task runs the sequential updates
-over them.  ``HELD_BACK`` of them only choose the operating point, the margin with the best F1, which the
+Training is fitted on about ``TRAIN_ROWS`` labelled ids at most (chosen by a hash of doc_id), one row of each, and of those on as many
+as have about ``TRAIN_FEATURES`` features together (both documented bounds): their features are hashed in parallel, and one task runs the
+sequential updates over them.  ``HELD_BACK`` of them only choose the operating point, the margin with the best F1, which the
 bias takes up, so that a score of 0.5 is the decision.  Weights are at most 2**``BITS`` numbers, which
 bounds what is broadcast.  Scoring reads every row once.
 
 Defined results: null and blank texts have only the bias; documents without a label, or with a null
-one, are scored but not learned from; repeated rows are scored one by one; without any labelled row to learn
+one, are scored but not learned from; repeated rows are scored one by one, and of those that repeat a labelled doc_id the one with the greatest features is learned from; without any labelled row to learn
 from all scores are 0; a null doc_id counts as held out False and is never learned from;
 an empty table gives an empty result.
 """
@@ -28,9 +28,12 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from framesift.llm.arrow import map_rows
 from framesift.llm.words import MIX, hash_share, mixed
+from framesift.plans.shared import write_shared
 
 BITS = 20
 TRAIN_ROWS = 16_000
+#: Features in the training task, four bytes each.
+TRAIN_FEATURES = 32_000_000
 HELD_BACK = 0.15
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 0.1
@@ -132,15 +135,17 @@ def _train(bits: int, epochs: int):
     return run
 
 
-def train(rows: DataFrame, bits: int = BITS, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray]:
-    """Indices and weights of the coordinates that are not zero; ``rows`` is bounded by ``training_rows``."""
+def train(rows: DataFrame, bits: int = BITS, epochs: int = EPOCHS, most_features: int = TRAIN_FEATURES) -> tuple[np.ndarray, np.ndarray]:
+    """Indices and weights of the coordinates that are not zero; the ids in ``rows`` are bounded by ``training_rows``."""
 
     def features(examples: Iterator[tuple]) -> Iterable[tuple]:
         hasher = Hasher(bits)
         return ((order, toxic, hasher(text).tolist()) for order, toxic, text in examples)
 
     hashed = map_rows(rows.select(F.xxhash64(F.lit(6), "doc_id"), "toxic", "text"), features, FEATURES, weight=lambda r: 4 * len(r[2]))
-    found = hashed.repartition(1).mapInPandas(_train(bits, epochs), WEIGHTS).toPandas()
+    one = write_shared(hashed.groupBy("order").agg(F.max(F.struct("toxic", "features")).alias("_x")).select("order", "_x.*"), "toxic-features")
+    total = one.agg(F.sum(F.size("features"))).first()[0] or 0
+    found = one.where(hash_share(5, most_features, total, "order")).repartition(1).mapInPandas(_train(bits, epochs), WEIGHTS).toPandas()
     return found["at"].to_numpy(np.int64), found["weight"].to_numpy(float)
 
 

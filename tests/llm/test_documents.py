@@ -928,7 +928,7 @@ def test_licence_table_and_sql(spark, tmp_path):
             license, notices = want[r["doc_id"]]
             assert r["license"] == license and (notices is None or r["notices"] == notices), (r, KNOWN[r["doc_id"] // 3])
     named = {r["doc_id"]: r for r in got}
-    assert named[9000]["license"] is None and named[9003]["n_notices"] == 3 - 1 and named[None]["license"] == "MIT" and named[9001]["digest"] == named[9002]["digest"]
+    assert named[9000]["license"] == "MIT" and named[9003]["n_notices"] == 3 - 1 and named[None]["license"] == "MIT" and named[9001]["digest"] == named[9002]["digest"]
     docs.write.parquet(f"{tmp_path}/d")
     c = duckdb.connect()
     c.sql(f"create view documents as select * from '{tmp_path}/d/*.parquet'")
@@ -941,3 +941,60 @@ def test_licence_scan_runs_no_python(spark, docs):
 
     plan = license_scan(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+# limits that must not change results
+
+
+def test_page_ids_of_nineteen_digits(spark):
+    from framesift.llm.archives import pages_through_archives
+
+    ids = [9000000000000000001, 9000000000000000002, (1 << 63) - 1, -(1 << 63)]
+    pages = spark.createDataFrame([(i, "http://x.test/", "<p>equal</p>") for i in ids], "page_id long, url string, html string")
+    found = {r["id"]: (r["record_type"], r["refers_to_id"]) for r in pages_through_archives(pages).where("record_type IN ('response', 'revisit')").collect()}
+    assert found == {min(ids): ("response", None)} | {i: ("revisit", min(ids)) for i in ids if i != min(ids)}
+
+
+def test_header_lines_with_spaces():
+    from framesift.llm.archives import header_fields
+
+    assert header_fields("http://a/ 1.2.3.4 20200101000000 text/html; charset=utf-8 12", 1) == ["http://a/", "1.2.3.4", "20200101000000", "text/html; charset=utf-8", "12"]
+    assert header_fields("http://a/b c 1.2.3.4 20200101000000 text/html 12", 1)[0] == "http://a/b c"
+    assert header_fields("http://a/ 1.2.3.4 20200101 text/html; x=y 200 - - 0 a.arc 7", 2) == ["http://a/", "1.2.3.4", "20200101", "text/html; x=y", "200", "-", "-", "0", "a.arc", "7"]
+    assert header_fields("http://a/ 1.2.3.4 yesterday text/html 12", 1) is None and header_fields("http://a/ 1.2.3.4 20200101000000 12", 1) is None
+
+
+def test_long_copyright_lines(spark):
+    import duckdb
+
+    from framesift.llm.licenses import KNOWN, license_scan, license_scan_sql
+
+    mit = next(text for name, text in KNOWN if name == "MIT")
+    texts = [f"Copyright (c) 2020 {'A. Long Name, ' * n}and others\n\n{mit}" for n in (1, 40)] + [f"Copyright 2021 Someone Inc. {mit}", "Copyright (c) 2020 X. Licensed under the MIT License."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["license"], r["notices"], r["digest"]) for r in license_scan(docs).collect()}
+    assert [got[i][0] for i in range(4)] == ["MIT"] * 4
+    c = duckdb.connect()
+    c.register("documents", docs.toPandas())
+    assert {r[0]: (r[2], r[4], r[1]) for r in c.sql(license_scan_sql()).fetchall()} == got
+
+
+def test_repeated_labelled_rows_are_learned_from_once(spark, docs, labels):
+    from framesift.llm.quality import FEATURES, classifier, statistics
+    from framesift.llm.toxicity import train, training_rows
+
+    again = docs.unionByName(docs.where("doc_id = 4")).unionByName(docs.where("doc_id = 4"))
+    data = [(r["doc_id"], *map(float, statistics(r["text"]))) for r in docs.select("doc_id", "text").collect()]
+    stats = spark.createDataFrame(data, "doc_id long, " + ", ".join(f"{f} double" for f in FEATURES))
+    for a, b in zip(classifier(stats, labels), classifier(stats.union(stats.where("doc_id = 4")), labels), strict=True):
+        assert np.allclose(a, b)
+    one, two = (train(training_rows(d, labels, F.lit(True))) for d in (docs, again))
+    assert (one[0] == two[0]).all() and np.allclose(one[1], two[1])
+    few = train(training_rows(docs, labels, F.lit(True)), most_features=200)
+    assert len(few[0]) < len(one[0])
+
+
+def test_places_are_no_addresses():
+    from framesift.llm.personal import LOOK_AT
+
+    assert LOOK_AT.fullmatch("look at example.com") and not LOOK_AT.fullmatch("john.doe at example.com") and not LOOK_AT.fullmatch("anna at example dot org") and not LOOK_AT.fullmatch("x7 at example.com")
