@@ -113,3 +113,23 @@ METRICS = PREDICTIONS + """, pairs AS (SELECT DISTINCT model, asset_id FROM pred
     (SELECT count(*) FROM truth t WHERE t.asset_id = g.asset_id AND t.dim = g.dim) AS nt FROM grid g),
   metrics AS (SELECT model, asset_id, dim, tp, np - tp AS fp, nt - tp AS fn, CASE WHEN np > 0 THEN tp / np ELSE 0 END AS precision, CASE WHEN nt > 0 THEN tp / nt ELSE 0 END AS recall,
     CASE WHEN tp > 0 THEN 2.0 * tp / (np + nt) ELSE 0 END AS f1 FROM counted)"""
+
+
+def arrivals(rows: DataFrame, ms: str, batches: int, jitter_ms: int, folder: str, files: int = 2) -> None:
+    """Rows as files that arrive in ``batches`` by time, each row up to ``jitter_ms`` late; then one row a hundred days ahead, which moves the watermark
+    past all of them (its other columns are null)."""
+    spark = rows.sparkSession
+    low, high = rows.agg(F.min(ms), F.max(ms)).first()
+    if low is None:
+        low = high = 0
+    late = F.pmod(F.xxhash64(*rows.columns), F.lit(jitter_ms))
+    dealt = rows.withColumn("_batch", F.least(F.lit(batches - 1), ((F.col(ms) - low + late) / ((high - low) // batches + 1)).cast("int")))
+    for number in range(batches):
+        dealt.where(F.col("_batch") == number).drop("_batch").repartition(files).write.mode("append").parquet(folder)
+    ahead = spark.range(1).select(*[(F.lit(high + 100 * 86_400_000) if c == ms else F.lit(None)).cast(t).alias(c) for c, t in rows.dtypes])
+    ahead.write.mode("append").parquet(folder)
+
+
+def arriving(spark: SparkSession, schema: str, ms: str, folder: str, files: int = 2) -> DataFrame:
+    """The stream of what ``arrivals`` wrote, with ``ms`` as the timestamp ``ts``."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder).withColumn("ts", F.timestamp_millis(ms))
