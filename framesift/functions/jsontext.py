@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import functions as F, types as T
@@ -88,19 +89,58 @@ def extracted(text: str | None) -> str | None:
     return first_object(text) or repaired(text)
 
 
+class SuffixAutomaton:
+    """All substrings of a text as paths: states with transitions, suffix links and lengths, built in linear time."""
+
+    def __init__(self, text: str) -> None:
+        self.next, self.link, self.length = [{}], [-1], [0]
+        last = 0
+        for c in text:
+            new = self._state({}, 0, self.length[last] + 1)
+            at = last
+            while at >= 0 and c not in self.next[at]:
+                self.next[at][c] = new
+                at = self.link[at]
+            if at >= 0:
+                to = self.next[at][c]
+                if self.length[to] == self.length[at] + 1:
+                    self.link[new] = to
+                else:
+                    twin = self._state(dict(self.next[to]), self.link[to], self.length[at] + 1)
+                    while at >= 0 and self.next[at].get(c) == to:
+                        self.next[at][c] = twin
+                        at = self.link[at]
+                    self.link[to] = self.link[new] = twin
+            last = new
+
+    def _state(self, arcs: dict[str, int], link: int, length: int) -> int:
+        self.next.append(arcs)
+        self.link.append(link)
+        self.length.append(length)
+        return len(self.link) - 1
+
+    def longest(self, text: str) -> int:
+        """Length of the longest substring of ``text`` that is one of the automaton's, in one pass."""
+        best = state = matched = 0
+        for c in text:
+            while state and c not in self.next[state]:
+                state = self.link[state]
+                matched = self.length[state]
+            if c in self.next[state]:
+                state, matched = self.next[state][c], matched + 1
+                best = max(best, matched)
+        return best
+
+
+@lru_cache(maxsize=1024)
+def automaton_of(text: str) -> SuffixAutomaton:
+    """Criteria are few and repeat from row to row, so each one's automaton is built once a worker."""
+    return SuffixAutomaton(text)
+
+
 def longest_common(a: str, b: str) -> int:
-    """Length of the longest common substring."""
-    if not a or not b:
-        return 0
-    low, high = 0, min(len(a), len(b))
-    while low < high:  # a common substring has common substrings of every smaller length
-        size = (low + high + 1) // 2
-        parts = {a[i : i + size] for i in range(len(a) - size + 1)}
-        if any(b[i : i + size] in parts for i in range(len(b) - size + 1)):
-            low = size
-        else:
-            high = size - 1
-    return low
+    """Length of the longest common substring; ``b`` is the text that repeats from call to call."""
+    return automaton_of(b).longest(a) if a and b else 0
 
 
 @F.pandas_udf(T.StringType())

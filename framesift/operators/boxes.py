@@ -100,6 +100,30 @@ def map_names(names: DataFrame, rules: list[tuple[str, str, str]], column: str =
     return names.join(distinct, F.col(column) == F.col("_name"), "left").drop("_name")
 
 
+#: Groups of road-sign codes of the GOST numbering and their class, and words for traffic lights.  Fixed values.
+GOST_GROUPS = {"1": "warning", "2": "mandatory", "3": "prohibition", "4": "mandatory", "5": "guide", "6": "guide"}
+GOST_SPEED, LIGHT_WORDS = "3.24", ["trafficlight", "traffic_light", "светофор"]
+
+
+def gost_class(code: Column) -> Column:
+    """The class of a road-sign code (``3_24_n20``, ``5.19.1``) by the number of its group; null for plates (7, 8) and what is no code."""
+    text = F.trim(code.cast("string"))
+    number = F.replace(text, F.lit("_"), F.lit("."))
+    group = F.regexp_extract(number, r"^([0-9]+)", 1)
+    light = reduce(lambda a, b: a | b, [F.contains(F.lower(text), F.lit(w)) for w in LIGHT_WORDS])
+    by_group = F.element_at(F.create_map(*[F.lit(x) for pair in GOST_GROUPS.items() for x in pair]), group)
+    return F.when(light, "traffic_light").when((group == "3") & F.startswith(number, F.lit(GOST_SPEED)), "speed_limit").otherwise(by_group)
+
+
+def new_outputs(rows: DataFrame, existing: DataFrame | None, source: str, path: str = "path") -> DataFrame:
+    """Adds ``key``, the source's prefix and the file's stem, and ``split``; of rows with one key the first by path stays, and none whose key ``existing`` has."""
+    keyed = rows.withColumn("key", F.concat(F.lit(f"{source}_"), stem(F.col(path))))
+    rest = [c for c in keyed.columns if c != "key"]
+    one = keyed.groupBy("key").agg(F.min_by(F.struct(*rest), F.struct(path)).alias("_r")).select("_r.*", "key")
+    left = one if existing is None else one.join(existing.select(F.col("key").alias("_known")).distinct(), F.col("key") == F.col("_known"), "left_anti")
+    return left.withColumn("split", hash_split(F.col("key")))
+
+
 def parse_label_lines(lines: DataFrame) -> DataFrame:
     """(image_id, cls, box) of label lines ``value``: plain ``cls cx cy w h`` (more fields ignored), or ``cls`` and eight corner coordinates."""
     f = F.filter(F.split(F.trim("value"), r"\s+"), lambda x: x != "")

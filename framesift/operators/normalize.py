@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from framesift.functions.jsontext import extracted_of, overlap_share
+from framesift.plans.shared import write_shared
 
 UNKNOWN, NO_SIGN = "unknown", "无标识"
 REASON_CHARS, ANCHOR_CHARS, MAX_FRAMES, MAX_OBJECTS, MAX_EVENTS = 200, 80, 16, 8, 5
@@ -62,6 +63,7 @@ def values_long(rows: DataFrame, key: str, dims: list[str], doc: str = "doc", ol
 def checked_values(values: DataFrame, dim_values: DataFrame, value_aliases: DataFrame, dims: list[str], key: str = "id") -> DataFrame:
     """Values by their official names, in their own dimension or relocated to the alphabetically first one that lists them;
     others are dropped; relocated values follow the dimension's own in the order of ``dims`` they came from; repeats keep the first place; every dimension without any value gets ``unknown``."""
+    values = write_shared(values, "reply-values")  # replies are parsed once, for their values and for their keys
     a = value_aliases.select(F.col("dim").alias("_ad"), F.col("alias").alias("_a"), F.col("value").alias("_av"))
     named = values.join(a, (F.col("dim") == F.col("_ad")) & (F.col("value") == F.col("_a")), "left").withColumn("value", F.coalesce("_av", "value")).drop("_ad", "_a", "_av")
     listed = dim_values.where(F.col("dim").isin(dims)).groupBy(F.col("value").alias("_v")).agg(F.collect_set("dim").alias("_dims"))

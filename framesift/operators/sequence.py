@@ -235,6 +235,19 @@ def build_video_clips(frames: DataFrame, size: int = CLIP_FRAMES, min_frames: in
     return clips.select(F.format_string("%s_%05d", stem(F.col("video_path")), F.col("clip_index")).alias("clip_id"), F.col("video_path").alias("video_id"), "clip_index", "frame_ids")
 
 
+#: What a clip that is built again keeps of its judgement.
+RESULTS = ["vlm_result", "human_tags", "final_tags", "human_rejected", "decision"]
+
+
+def rebuild_clips(frames: DataFrame, old: DataFrame, size: int = CLIP_FRAMES, min_frames: int = MIN_FRAMES, seconds: float = 0.0, fields: list[str] | None = None, run_rows: int = RUN_ROWS) -> DataFrame:
+    """All clips of frames (id, path, position, video_path, timestamp, frame_index): those of videos by their times, the other frames' by the order their names
+    tell, each with the results of the old clip of the same id where its frames are the same."""
+    columns = ["clip_id", "video_id", "clip_index", "frame_ids"]
+    videos = build_video_clips(frames, size, min_frames, seconds, run_rows).select(columns)
+    sequences = build_seq_clips(frames.where("video_path IS NULL").select("id", "path", "position"), size, min_frames, seconds, run_rows).select(columns)
+    return inherit_results(videos.unionByName(sequences), old, RESULTS if fields is None else fields)
+
+
 def inherit_results(clips: DataFrame, old: DataFrame, fields: list[str]) -> DataFrame:
     """Adds ``fields`` of the old clip with the same clip_id, only where its frame ids are the same list."""
     before = old.select(F.col("clip_id").alias("_id"), F.col("frame_ids").alias("_frames"), *[F.col(f).alias(f"_old_{f}") for f in fields])

@@ -144,3 +144,26 @@ def value_added(dim_values: DataFrame, value_aliases: DataFrame, dim: str, value
     ).drop("_at")
     new = place.select(F.lit(dim).alias("dim"), F.lit(value).alias("value"), "position")
     return moved.unionByName(new), value_aliases.where(~((F.col("dim") == dim) & (F.col("alias") == value)))
+
+
+def alias_added(dim_values: DataFrame, value_aliases: DataFrame, dim: str, alias: str, value: str) -> DataFrame:
+    """The aliases (dim, alias, value) with one more, or with its new target.  The target must be a value of the dimension, the alias must not be."""
+    found = {r["value"] for r in dim_values.where((F.col("dim") == dim) & F.col("value").isin(alias, value)).select("value").collect()}
+    if value not in found:
+        raise ValueError(f"no such value of {dim}: {value}")
+    if alias in found:
+        raise ValueError(f"already a value of {dim}: {alias}")
+    rest = value_aliases.where(~((F.col("dim") == dim) & (F.col("alias") == alias)))
+    new = value_aliases.sparkSession.range(1).select(F.lit(dim).alias("dim"), F.lit(alias).alias("alias"), F.lit(value).alias("value"))
+    return rest.select("dim", "alias", "value").unionByName(new)
+
+
+def dismissed(given_up: DataFrame, dim: str, tag: str) -> DataFrame:
+    """The given-up candidates (dim, tag) with one more; they are not offered again, while data that have them keep them."""
+    new = given_up.sparkSession.range(1).select(F.lit(dim).alias("dim"), F.lit(tag).alias("tag"))
+    return given_up.select("dim", "tag").unionByName(new).distinct()
+
+
+def restored(given_up: DataFrame, dim: str, tag: str) -> DataFrame:
+    """The given-up candidates without one, which is offered again."""
+    return given_up.where(~((F.col("dim") == dim) & (F.col("tag") == tag)))

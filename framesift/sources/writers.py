@@ -2,34 +2,59 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
 from framesift.functions.paths import safe_class_name
 from framesift.operators.aggregates import manifest
 from framesift.operators.search import export_rows, flat_rows, sharded_name
+from framesift.plans.shared import write_shared
 
 BYTE_ORDER_MARK = "\ufeff"
 FORMATS = ("jsonl", "json", "csv", "parquet", "package")
 
 
 def write_export(assets: DataFrame, path: str, form: str, dims: list[str]) -> dict:
-    """Export assets in a format; returns path and count.  ``json`` is the lines form too: a Spark dataset has no one array."""
+    """Export assets in a format in one pass over them; returns path, format, the count of rows written and the manifest (a DataFrame).
+
+    ``jsonl`` has a row a line, ``json`` one array over the dataset's files in their order.  A table without rows becomes an empty CSV file.
+    """
     if form not in FORMATS:
         raise ValueError(f"no such format: {form}")
-    nested = export_rows(assets, dims)
-    if form in ("jsonl", "json"):
+    seen = Observation()
+    nested = export_rows(assets.observe(seen, F.count(F.lit(1)).alias("n")), dims)
+    if form == "jsonl":
         nested.write.json(path)
+    elif form == "json":
+        write_json_array(nested, path)
     elif form == "csv":
         flat = flat_rows(nested, dims)
         # the mark that opens a UTF-8 file for spreadsheets stands before the header's first name
         flat.withColumnRenamed(flat.columns[0], BYTE_ORDER_MARK + flat.columns[0]).write.option("header", "true").csv(path)
+        if not seen.get["n"]:
+            assets.sparkSession.createDataFrame([], "value string").write.mode("overwrite").text(path)
     elif form == "parquet":
         flat_rows(nested, dims).write.parquet(path)
     else:
         nested.write.json(f"{path}/metadata")
         manifest(assets).write.json(f"{path}/manifest")
         assets.select("asset_id", "image_path", sharded_name(F.col("asset_id"), F.col("image_path")).alias("target")).write.parquet(f"{path}/files")
-    return {"path": path, "format": form, "count": assets.count()}
+    return {"path": path, "format": form, "count": seen.get["n"], "manifest": manifest(assets)}
+
+
+def write_json_array(rows: DataFrame, path: str) -> None:
+    """One JSON array, dealt over text files whose concatenation in the order of their names is the document."""
+    spark = rows.sparkSession
+    lines = write_shared(rows.select(F.to_json(F.struct(*rows.columns)).alias("value")), "json-lines").withColumn("_n", F.monotonically_increasing_id())
+    first = lines.agg(F.min("_n")).first()[0]
+    body = lines.select(F.concat(F.when(F.col("_n") == F.lit(first), "").otherwise(","), F.col("value")).alias("value"))
+    ends = [spark.range(0, 1, 1, 1).select(F.lit(c).alias("value")) for c in "[]"]
+    ends[0].union(body).union(ends[1]).write.text(path)
+
+
+def read_json_array(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
+    """The rows of ``write_json_array``."""
+    lines = spark.read.text(path).where("value NOT IN ('[', ']')")
+    return lines.select(F.from_json(F.regexp_replace("value", "^,", ""), schema).alias("_r")).select("_r.*")
 
 
 def write_labels(labels: DataFrame, classes: DataFrame, path: str) -> None:
