@@ -179,6 +179,23 @@ KNOWN: list[tuple[str, str]] = [
     ),
     *((spdx, f"SPDX-License-Identifier: {spdx}") for spdx in _SPDX),
 ]
+#: (SPDX id, SHA-256 of the canonical form) of long licences as they are published.  Fixed values.  The GNU texts alone do not say whether later versions are allowed.
+KNOWN_WHOLE: list[tuple[str, str]] = [
+    ("Apache-2.0", "04e64e0427d80fdde16fa8415931bf2c09bc943f13ec322a09df188bf23a3543"),
+    ("Artistic-1.0-Perl", "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702"),
+    ("BSD-3-Clause", "21ce5e311a0ef74591e636cf6d0a236029bcaa0ee86324ac68d5748657aa8651"),
+    ("CC0-1.0", "cccf7894e1b9f4ba9f97728bf0c5baf9e07bc2ac93da7a51556451b1fb2b868e"),
+    ("GFDL-1.2", "5379e6f33e826ba185b23fd11a414555c2161fda481478babd1e73a3ae098a71"),
+    ("GFDL-1.3", "93d6108daecdddc5f284cf8f2512fb0d72f6e9ee12381feb9704ba194b00c3e6"),
+    ("GPL-1.0", "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224"),
+    ("GPL-2.0", "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821"),
+    ("GPL-3.0", "a8cd54d6683aa630f0b8d05d56184ad91dc486756da2df61c94d3e4e8d5ecb68"),
+    ("LGPL-2.0", "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908"),
+    ("LGPL-2.1", "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "3f0343dd4f3b064be36e0c6584737c9b7bb5c322721694563f9009e088ce96d1"),
+    ("MPL-2.0", "6fedd8db6adb0e102fc0f69b9e1501d2edaf25940e34910831cab46f9f5d4e4d"),
+]
 #: Each text of ``KNOWN`` holds one of these in its canonical form, and its source in lower case holds the same one.
 NEEDLES = ["licen", "permi", "redistribution", "unencumbered"]
 
@@ -236,7 +253,9 @@ def with_digest(rows: DataFrame, text: str, name: str) -> DataFrame:
 def known_digests(spark: SparkSession) -> DataFrame:
     """(known_digest, license) of the constant table, distinct."""
     rows = F.explode(F.array(*[F.struct(F.lit(name).alias("license"), F.lit(text).alias("text")) for name, text in KNOWN])).alias("row")
-    return with_digest(spark.range(1).select(rows).select("row.*"), "text", "known_digest").select("known_digest", "license").distinct()
+    whole = F.explode(F.array(*[F.struct(F.lit(digest).alias("known_digest"), F.lit(name).alias("license")) for name, digest in KNOWN_WHOLE])).alias("row")
+    short = with_digest(spark.range(1).select(rows).select("row.*"), "text", "known_digest").select("known_digest", "license").distinct()
+    return short.union(spark.range(1).select(whole).select("row.*"))
 
 
 def entire_parts(text: Column) -> Column:
@@ -292,8 +311,10 @@ def canonical_sql(text: str) -> str:
 def license_scan_sql() -> str:
     """DuckDB SQL for ``license_scan(documents)``."""
     values = ", ".join(f"({_quoted(name)}, {_quoted(text)})" for name, text in KNOWN)
+    whole = ", ".join(f"({_quoted(name)}, {_quoted(digest)})" for name, digest in KNOWN_WHOLE)
     return f"""
-WITH known AS (SELECT DISTINCT sha256({canonical_sql("text")}) AS known_digest, license FROM (VALUES {values}) AS k(license, text)),
+WITH known AS (SELECT DISTINCT sha256({canonical_sql("text")}) AS known_digest, license FROM (VALUES {values}) AS k(license, text)
+  UNION ALL SELECT known_digest, license FROM (VALUES {whole}) AS w(license, known_digest)),
 docs AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text, replace(coalesce(text, ''), chr(13), '') AS plain FROM documents),
 parts AS (
   SELECT row, unnest(string_split(plain, chr(10))) AS part FROM docs UNION ALL

@@ -908,10 +908,10 @@ def test_licence_table_and_sql(spark, tmp_path):
 
     import duckdb
 
-    from framesift.llm.licenses import KNOWN, NEEDLES, known_digests, license_scan, license_scan_sql
+    from framesift.llm.licenses import KNOWN, KNOWN_WHOLE, NEEDLES, known_digests, license_scan, license_scan_sql
 
     table = known_digests(spark).collect()
-    assert len({r["known_digest"] for r in table}) == len(table) == len(KNOWN)
+    assert len({r["known_digest"] for r in table}) == len(table) == len(KNOWN) + len(KNOWN_WHOLE)
     assert all(any(n in text.lower() for n in NEEDLES) for _, text in KNOWN)
     data, want = [], {}
     for i, (name, text) in enumerate(KNOWN):
@@ -998,3 +998,17 @@ def test_places_are_no_addresses():
     from framesift.llm.personal import LOOK_AT
 
     assert LOOK_AT.fullmatch("look at example.com") and not LOOK_AT.fullmatch("john.doe at example.com") and not LOOK_AT.fullmatch("anna at example dot org") and not LOOK_AT.fullmatch("x7 at example.com")
+
+
+def test_published_licence_texts(spark):
+    from pathlib import Path
+
+    from framesift.llm.licenses import license_scan
+
+    folder = Path("/usr/share/common-licenses")
+    names = {"Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0", "BSD": "BSD-3-Clause", "GFDL-1.3": "GFDL-1.3"}
+    there = [n for n in names if (folder / n).exists()]
+    if not there:
+        pytest.skip("no licence texts here")
+    docs = spark.createDataFrame([(i, (folder / n).read_text(errors="replace").replace("\n", "\r\n" if i % 2 else "\n")) for i, n in enumerate(there)], "doc_id long, text string")
+    assert {there[r["doc_id"]]: r["license"] for r in license_scan(docs).collect()} == {n: names[n] for n in there}
