@@ -41,8 +41,8 @@ ARC_FIELDS = {
 }
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 ID_HEADER = "X-Page-Id"
-#: Copies of a group's response row, so that no group of equal payloads meets in one task.
-SALTS = 16
+#: A group of equal payloads is hot from this share of a task's even load on: there are at most so many for each task.
+HOT_SHARES = 4
 CHUNK = 1 << 20
 
 LINES = T.StructType([T.StructField("record", T.BinaryType())])
@@ -286,7 +286,7 @@ def find_responses(parsed: DataFrame) -> DataFrame:
     groups = parsed.where("record_type = 'response'").groupBy("payload_digest", "payload_bytes")
     return groups.agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").select(
         F.col("payload_digest").alias("of_digest"), F.col("payload_bytes").alias("of_bytes"),
-        F.col("first.archive").alias("to_archive"), F.col("first.position").alias("to_position"), F.col("first.date").alias("to_date"), F.col("first.id").alias("to_id"),
+        F.col("first.archive").alias("to_archive"), F.col("first.position").alias("to_position"), F.col("first.date").alias("to_date"), F.col("first.id").alias("to_id"), "n",
     )
 
 
@@ -294,14 +294,22 @@ def convert_arc(spark: SparkSession, arc_path: str, warc_path: str) -> str:
     """Convert all ARC files below ``arc_path`` to WARC files below ``warc_path``; returns that path."""
     parsed = read_arc(spark, arc_path)
     firsts = write_shared(find_responses(parsed), "responses")
-    salted = parsed.withColumn("salt", F.pmod(F.xxhash64("archive", "position"), F.lit(SALTS)).cast("int"))
-    spread = firsts.withColumn("of_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-    same = (
-        (salted["payload_digest"] == spread["of_digest"]) & (salted["payload_bytes"] == spread["of_bytes"]) & (salted["salt"] == spread["of_salt"])
-        & (salted["record_type"] == "response") & ~((salted["archive"] == spread["to_archive"]) & (salted["position"] == spread["to_position"]))
-    )
-    joined = salted.join(spread, same, "left").withColumn("payload", F.when(F.col("to_archive").isNull(), F.col("payload")))
-    rows = joined.select("archive", "position", "url", "ip", "date", "record_type", "content_type", "head", "payload", "payload_digest", "to_archive", "to_position", "to_date", "to_id")
+    # groups with more rows than a task's even share of a quarter: at most HOT_SHARES for each task, whatever the data, so they are broadcast
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = firsts.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") * HOT_SHARES * parts > total
+    to = ["to_archive", "to_position", "to_date", "to_id"]
+    near = F.broadcast(firsts.where(hot).select("of_digest", "of_bytes", *to))
+    is_response = parsed["record_type"] == "response"
+    known = parsed.join(near, is_response & (parsed["payload_digest"] == F.col("of_digest")) & (parsed["payload_bytes"] == F.col("of_bytes")), "left").drop("of_digest", "of_bytes")
+    # rows of hot groups have their response already; a key of their own deals them evenly in the join with all other groups
+    own = F.when(F.col("to_archive").isNull() & (F.col("record_type") == "response"), F.col("payload_digest")).otherwise(F.concat_ws(":", F.lit("row"), "archive", F.col("position").cast("string")))
+    others = firsts.where(~hot).select("of_digest", "of_bytes", *[F.col(c).alias(f"_{c}") for c in to])
+    joined = known.withColumn("_key", own).join(others, (F.col("_key") == F.col("of_digest")) & (F.col("payload_bytes") == F.col("of_bytes")), "left")
+    told = joined.withColumns({c: F.coalesce(c, f"_{c}") for c in to})
+    itself = (F.col("archive") == F.col("to_archive")) & (F.col("position") == F.col("to_position"))
+    told = told.withColumns({c: F.when(~itself, F.col(c)) for c in reversed(to)}).withColumn("payload", F.when(F.col("to_archive").isNull(), F.col("payload")))
+    rows = told.select("archive", "position", "url", "ip", "date", "record_type", "content_type", "head", "payload", "payload_digest", *to)
     return write_records(map_rows(rows, _to_warc, LINES, weight=lambda r: len(r[0]), slice_rows=64), warc_path)
 
 

@@ -30,7 +30,7 @@ K = 128
 RANGE = 1 << 32
 #: Rows of one ordered block: neighbours are found within a block, and across its edge by a guest row.
 BLOCK_ROWS = 2048
-MAX_BLOCKS = 20_000
+MAX_BLOCKS = 200_000
 
 SKETCHES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("sketch", T.BinaryType())])
 NEIGHBOURS = T.StructType([
@@ -205,7 +205,7 @@ def sketch_neighbours(docs: DataFrame, k: int = K, shingle_words: int = SHINGLE_
 
     The order is doc_id descending; the edited text has its last third replaced by the beginning of
     the next document (after the last: the first).  Block borders come from the ids alone; each
-    block is sorted and read as a stream, and gets the first row of the block after it as a guest.
+    block is a task of its own, sorted and read as a stream, and gets the first row of the block after it as a guest.
     Texts are shuffled once.
     """
     rows = docs.select(
@@ -213,5 +213,5 @@ def sketch_neighbours(docs: DataFrame, k: int = K, shingle_words: int = SHINGLE_
     )
     bounds, guests = block_borders(rows.select("doc_id"), block_rows)
     blocked = map_rows(rows, _with_guests(bounds, guests), BLOCKED, weight=lambda r: len(r[4] or ""), slice_rows=128)
-    ordered = blocked.repartition(len(bounds) + 1, "block").sortWithinPartitions("block", F.desc("guest"), F.col("doc_id").desc_nulls_last(), "tie")
+    ordered = blocked.repartitionById(len(bounds) + 1, "block").sortWithinPartitions("block", F.desc("guest"), F.col("doc_id").desc_nulls_last(), "tie")
     return map_rows(ordered, _compare(k, shingle_words), NEIGHBOURS, slice_rows=64)
