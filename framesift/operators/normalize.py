@@ -121,8 +121,8 @@ def official(rows: DataFrame, aliases: DataFrame) -> DataFrame:
 def deduplicated_events(events: DataFrame, key: str = "id") -> DataFrame:
     """One of equal (type, anchor, reason) events, the first; and of three or more exclusive movements at one anchor only the
     surest (then by priority, then the first)."""
-    place = W.partitionBy(key, "type", F.trim("anchor"), F.trim("reason")).orderBy("position")
-    once = events.withColumn("_r", F.row_number().over(place)).where("_r = 1").drop("_r")
+    equal = events.groupBy(key, "type", F.trim("anchor").alias("_a"), F.trim("reason").alias("_b"))
+    once = equal.agg(F.min_by(F.struct(*events.columns), F.struct("position")).alias("_e")).select("_e.*")  # combined before the shuffle
     exclusive = F.col("type").isin(MOVES) & (F.trim("anchor") != "")
     group = W.partitionBy(key, F.trim("anchor"), exclusive)
     rank = F.row_number().over(group.orderBy(F.desc("confidence"), F.desc(F.array_position(F.array(*[F.lit(m) for m in MOVES]), F.col("type"))), "position"))
