@@ -1,6 +1,7 @@
 """Label files, JSON arrays, exports, partition merges, ontology edits, sign codes, and the overlap automaton."""
 
 import json
+import time
 from pathlib import Path
 
 import pytest
@@ -41,6 +42,10 @@ def test_a_failed_task_leaves_no_label_file(spark, tmp_path):
     broken = rows.withColumn("split", F.when(F.col("id") == 33, F.raise_error(F.lit("lost"))).otherwise(F.col("split")))
     with pytest.raises(Exception, match="lost"):
         L.write_label_files(broken, [], path)
+    for _ in range(50):  # tasks that are being killed may take a moment to notice
+        if not files(tmp_path):
+            break
+        time.sleep(0.1)
     assert files(tmp_path) == []
     L.write_label_files(rows, [], path)
     assert len(files(path)) == 41
