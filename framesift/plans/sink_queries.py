@@ -39,7 +39,7 @@ def k2_json_array(spark, d):
 @query("m3_partitioned", """SELECT o_orderkey, CASE WHEN o_orderkey % 500 = 7 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_totalprice FROM orders UNION ALL SELECT -o_orderkey, 'N', 1.5 FROM orders WHERE o_orderkey % 500 = 7""")
 def m3_partitioned(spark, d):
     """Two upserts of a few keys as deltas, compacted into the partitions they touch."""
-    path, part = shared_path(spark, "orders"), F.expr("abs(o_orderkey) div 1000")
+    path, part = shared_path(spark, "orders"), F.expr("abs(o_orderkey) div 10000")
     orders = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", F.col("o_totalprice").cast("double").alias("o_totalprice"))
     few = orders.where("o_orderkey % 500 = 7")
     M.write_base(orders, path, part)
