@@ -10,7 +10,8 @@ whenever the nodes outgrow ``NODES_A_KEY`` for each possible key.  There are so
 with probability ``MEETS`` (171 lists of three bytes) whatever the width; a pair at 0.85 does with 0.998, and exact copies always.  Pairs
 that meet are tallied over all 256 positions, kept from the least number of equal bytes on that any pair within the
 limit has (five standard deviations below its mean: no smaller number is guaranteed, as more bits may differ than there are
-bytes), and verified bit by bit.
+bytes), and verified bit by bit.  That makes likely groups; in them ``resemblance`` compares the sets of shingles themselves, so that
+documents are only joined by pairs whose resemblance is the one asked for.
 
 The lists are read in two rounds.  What the first ``1 / FIRST_SHARE`` of them links is one group; in the others, nodes of one group are
 never compared or linked again and lists of one group only are passed over, so a large group of near copies costs a few
@@ -44,8 +45,9 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from framesift.llm.arrow import map_rows
+from framesift.llm.resemblance import exact_groups, shingle_set
 from framesift.llm.simhash import _runs, bit_counts, shared_bytes
-from framesift.llm.words import MIX, mixed, run_hashes, word_hashes, words_of
+from framesift.llm.words import MIX, mixed
 from framesift.plans.graph import connected_components
 from framesift.plans.shared import write_shared
 
@@ -62,7 +64,7 @@ LIST_NODES = 65_536
 #: Bits compared at once, in 64-bit words.
 CELL_WORDS = 1 << 20
 
-PRINTS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("fp", T.BinaryType())])
+PRINTS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("mark", T.LongType()), T.StructField("fp", T.BinaryType())])
 INDEX = T.StructType([T.StructField("key", T.LongType()), T.StructField("id", T.LongType()), T.StructField("group", T.LongType())])
 #: A pair (id, other), or a node of a longer list (key, id).
 FOUND = T.StructType([T.StructField("key", T.LongType()), T.StructField("id", T.LongType()), T.StructField("other", T.LongType())])
@@ -71,7 +73,7 @@ LINKS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.Lon
 
 def wide_fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS, lanes: int = LANES) -> bytes:
     """64·lanes majority bits over the distinct shingles' hashes."""
-    hashes = np.unique(run_hashes(word_hashes(words_of(text)), shingle_words))
+    hashes = shingle_set(text, shingle_words)
     if not len(hashes):
         return bytes(8 * lanes)
     totals = np.zeros(64 * lanes, np.int64)
@@ -324,12 +326,15 @@ def near_duplicate_ids(docs: DataFrame, similarity: float = SIMILARITY) -> DataF
     """(doc_id, kept_id) of every document that a near-duplicate with a smaller doc_id stands for."""
 
     def prints_of(rows: Iterator[tuple]) -> Iterable[tuple]:
-        return ((doc_id, wide_fingerprint(text)) for doc_id, text in rows)
+        return ((doc_id, mark, wide_fingerprint(text)) for doc_id, mark, text in rows)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
-    prints = write_shared(map_rows(rows, prints_of, PRINTS), "wide-prints")
-    nodes = write_shared(prints.groupBy("fp").agg(F.min("doc_id").alias("id")), "wide-nodes")
-    owners = near_groups(nodes.select("id", "fp"), similarity).select(F.col("fp").alias("node_fp"), F.col("group").alias("kept_id"))
+    prints = write_shared(map_rows(rows.select("doc_id", F.xxhash64("text"), "text"), prints_of, PRINTS), "wide-prints")
+    first = prints.groupBy("fp").agg(F.min(F.struct("doc_id", "mark")).alias("first"))
+    nodes = write_shared(first.select(F.col("first.doc_id").alias("id"), "first.mark", "fp"), "wide-nodes")
+    found = near_groups(nodes.select("id", "fp"), similarity).select(F.col("fp").alias("node_fp"), "group")
+    groups = write_shared(nodes.join(found, F.col("fp") == F.col("node_fp")).select("id", "mark", "fp", "group"), "likely-groups")
+    owners = exact_groups(groups, rows, similarity, SHINGLE_WORDS).select(F.col("fp").alias("node_fp"), F.col("group").alias("kept_id"))
     return prints.join(owners, prints["fp"] == owners["node_fp"]).where("doc_id <> kept_id").select("doc_id", "kept_id").distinct()
 
 

@@ -192,6 +192,60 @@ def test_wide_near_duplicates(spark):
     assert near_duplicate_ids(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("cell", [4, 512])
+def test_near_duplicates_equal_exact_components(spark, monkeypatch, cell):
+    """Families at every distance around the similarity, in one cell and in many: nothing is joined below it, nearly all above."""
+    from framesift.llm import resemblance, wide
+
+    monkeypatch.setattr(resemblance, "CELL_NODES", cell)
+    r = random.Random(11)
+    data = []
+    for family in range(40):
+        w = text_of(5000 + family, 200).split()
+        for copy in range(12 if family < 4 else 3):
+            v = list(w)
+            for _ in range(0 if copy == 0 else family % 10):
+                v[r.randrange(len(v))] = f"new{r.randrange(1000)}"
+            data.append((1000 * family + copy, " ".join(v)))
+    data += [(5, data[0][1]), (5, text_of(1, 50)), (7, ""), (8, None), (2**62, data[0][1])]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+
+    def shingles(text):
+        w = (text or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    label = {i: i for i, _ in data}
+    all_sets = [(i, shingles(t)) for i, t in data]
+
+    def join(a, b):
+        if label[a] != label[b]:
+            low, high = sorted((label[a], label[b]))
+            for k, x in label.items():
+                if x == high:
+                    label[k] = low
+
+    pairs = [(a, b, len(x & y) / max(1, len(x | y)), x == y) for n, (a, x) in enumerate(all_sets) for b, y in all_sets[:n]]
+    for a, b, likeness, equal in pairs:
+        if likeness >= 0.8 or equal:
+            join(a, b)
+    found = {x["doc_id"]: x["kept_id"] for x in wide.near_duplicate_ids(docs).collect()}
+    assert all(label[i] == label[kept] for i, kept in found.items())
+    want = {i for i, x in label.items() if i != x}
+    assert set(found) <= want and len(found) >= 0.95 * len(want) and {8, 2**62} <= set(found)
+    assert sum(0.7 < p[2] < 0.8 for p in pairs) > 50 and sum(0.8 <= p[2] < 0.9 for p in pairs) > 50
+
+
+def test_resemblance_at_the_limit():
+    from framesift.llm.resemblance import cell_links, resemble
+
+    x, y = np.arange(9, dtype=np.uint64), np.arange(1, 10, dtype=np.uint64)
+    assert resemble(x, y, 0.8) and not resemble(x, y, 0.81) and not resemble(x[:0], y[:0], 0.8) and not resemble(x, y[:3], 0.8)
+    rows = [(i, i, True, True, bytes(256), s.tobytes()) for i, s in enumerate([x, y, x[:3], x])]
+    assert {frozenset(p) for p in cell_links(rows, 0.8)} == {frozenset((0, 1)), frozenset((0, 3))}
+    assert not [*cell_links([r[:1] + (0,) + r[2:] for r in rows], 0.8)]  # joined already
+    assert [*cell_links([(4, 4, True, False, *rows[0][4:]), (4, 5, False, True, *rows[0][4:])], 0.8)] == []  # one id
+
+
 def test_list_links_equal_all_pairs():
     from framesift.llm.wide import alike, list_links
 
