@@ -3,7 +3,7 @@
 Base spans are exact matches of four patterns (email, ip, card, phone) with their checks.  The random field
 adds spans that the patterns miss: obfuscated or ill-formed addresses and numbers, and secrets.  Around
 each trigger (a digit, ``@``, or the words "at"/"dot", in brackets or between words of a host) a window of tokens is cut.  Every
-run of up to ``MAX_TOKENS`` tokens that holds a trigger, and every spelt address however long, is a candidate segment of each kind, scored by
+run of up to ``MAX_TOKENS`` tokens (``WORD_TOKENS`` where words are among them) that holds a trigger, and every spelt address however long, is a candidate segment of each kind, scored by
 features of the whole span (shape, digits, groups, separators, octets, Luhn, neighbours), and
 a dynamic programme over segment ends chooses boundaries and kinds of the window together, with tokens outside
 segments free.  Base spans are barriers: they always stay, and segments lie between them.  Windows of a long run of triggers
@@ -12,8 +12,9 @@ overlap, and a segment belongs to the window that holds it whole.
 The field is trained by gradient ascent on the conditional log likelihood (segment-level forward and backward
 sums) over at most ``TRAIN_WINDOWS`` windows of a hash sample of about ``TRAIN_ROWS`` documents (documented bounds): of each
 document, wherever in its text they stand, one span of each kind and ``TRIGGERS_A_TEXT`` other triggers, chosen by hash; of all
-those at most ``KIND_SNIPPETS`` for each kind come first, so that rare kinds are learnt too, and the other triggers fill up.
-There are no labels, so base spans and strong secrets (long hexadecimal runs, access key ids) serve as the truth; every
+those at most ``KIND_SNIPPETS`` for each kind come first, so that rare kinds are learnt too, and the other triggers fill up.  One task trains.
+Of a snippet at most four spans and one secret are shown, and windows of more than 80 tokens are not (bounds too).
+There are no labels, so base spans and strong secrets (long hexadecimal runs, keys with an issuer's prefix; some are made up) serve as the truth; every
 base span is also shown once in a damaged spelling that keeps its label, which teaches what the patterns
 cannot match; an address is shown in nine, with fewer and more parts and without digits.  A word, "at" and a host
 name count as an address ("look at example.com" too).  The sample decides weights only; every whole text is searched.
@@ -27,8 +28,10 @@ time linear in the text, long runs of digits or letters included.
 from __future__ import annotations
 
 import heapq
+import math
 import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from itertools import zip_longest
 
 import numpy as np
@@ -41,13 +44,14 @@ from framesift.llm.words import hash_share
 KINDS = ["email", "ip", "card", "phone"]
 ADDED = ["secret"]
 LABELS = [*KINDS, *ADDED]
-MAX_TOKENS = 24
+#: The longest candidates: of numbers and marks, and of those with words that are no whole address.
+MAX_TOKENS, WORD_TOKENS = 24, 9
 MARGIN = 3
 TRAIN_ROWS = 4000
 TRAIN_WINDOWS = 1000
 KIND_SNIPPETS = 40
 TRIGGERS_A_TEXT = 4
-EPOCHS = 6
+EPOCHS = 14
 BITS = 14
 
 SPANS = T.StructType([
@@ -113,7 +117,12 @@ ADDRESS = re.compile(rf"[\w%+-]++(?:{DOT_MARK}[\w%+-]++)*{AT_MARK}[\w-]++(?:{DOT
 LOOK_AT = re.compile(r"[^\W\d_]+\s+at\s+[\w-]+(?:\.[\w-]+)+", re.I)
 #: What stands before a span that begins within an address.
 WITHIN = re.compile(rf"[\w%+-](?:{DOT_MARK})?\Z", re.I)
-HEX = re.compile(r"[0-9A-Fa-f]{24,}|AKIA[0-9A-Z]{16}")
+#: Strong secrets: long hexadecimal runs, and keys whose issuers give them a prefix.
+SECRET = re.compile(r"[0-9A-Fa-f]{24,}|(?:AKIA|ASIA)[0-9A-Z]{16}|(?:[sprk]k|whsec)_(?:(?:live|test)_)?[0-9A-Za-z]{16,}|gh[a-z]_[0-9A-Za-z]{30,}|glpat-[0-9A-Za-z]{20,}|xox[a-z]-[0-9A-Za-z]{10,}(?:-[0-9A-Za-z]{10,})*")
+#: What makes a number a part of a longer one.
+CUT_BEFORE, CUT_AFTER = re.compile(r"[0-9][-./,:]?\Z"), re.compile(r"[-./,:]?[0-9]")
+#: Digits in groups with a phone number's marks between them.
+GROUPED = re.compile(r"\(?[0-9]++\)?(?:(?:\s?[-./]\s?|\s)?\(?[0-9]++\)?)*+")
 
 
 class Window:
@@ -128,6 +137,8 @@ class Window:
 
 #: Code points on either side of a trigger within which its window's tokens are cut, and the longest window of many triggers.
 REACH, LONGEST = 48, 768
+#: How far back a window's first word is followed to be whole: local parts have 64 characters at most.
+LONG_NAME = 80
 #: How far a window reads beyond the place from which on segments belong to the next one, and back from where its own begin.
 BEYOND, BACK = 192, 32
 
@@ -145,6 +156,8 @@ def windows(text: str, barriers: list[tuple[int, int]]) -> Iterator[Window]:
         floor = barriers[b - 1][1] if b else 0
         ceiling = barriers[b][0] if b < len(barriers) else len(text)
         low, high = max(floor, m.start() - REACH), min(ceiling, m.end() + REACH)
+        while low > floor and m.start() - low < LONG_NAME and text[low - 1] in LOCAL and text[low] in LOCAL:
+            low -= 1
         if not spots or low > spots[-1][1] or floor >= spots[-1][1]:
             spots.append([low, high, low, len(text)])
         elif high - spots[-1][2] <= LONGEST:
@@ -166,6 +179,7 @@ def windows(text: str, barriers: list[tuple[int, int]]) -> Iterator[Window]:
             yield Window(text, [s for s, _ in merged], [e for _, e in merged], [bool(TRIGGER.search(text[s:e])) or text[s:e].lower() in ("at", "dot") for s, e in merged], own, after)
 
 
+@lru_cache(1 << 16)
 def shape(text: str) -> str:
     out = re.sub(r"[^\W\d_]+", "a", re.sub(r"[0-9]+", lambda m: "d" if len(m[0]) > 4 else "d" * len(m[0]), text))
     return re.sub(r"\s+", "_", out)[:40]
@@ -184,10 +198,18 @@ def features(text: str, start: int, end: int, before: str, after: str) -> list[s
         out.append(f"luhn={luhn(digits)}")
     if len(groups) == 4:
         out.append(f"octets={all(len(g) <= 3 and int(g) <= 255 for g in groups)}")
-    if HEX.fullmatch(span):
-        out.append("hex")
+    if SECRET.fullmatch(text, start, end):
+        out.append("key")
+    if digits:
+        out.append(f"cut={bool(CUT_BEFORE.search(text[max(0, start - 2) : start]) or CUT_AFTER.match(text, end))}")
+    if len(digits) > 6 and GROUPED.fullmatch(span):
+        sizes = [min(len(g), 5) for g in groups]
+        between = "".join(sorted(set(re.findall(r"[-./\s]", span))))
+        lead = "00" if digits.startswith("00") else digits[0] if digits[0] in "01" else "x"
+        out += [f"phone={9 <= len(digits) <= 15}:{lead}", f"sizes={min(sizes)}-{max(sizes)}", f"between={between}:{len(groups) > 1}", f"grouped={len(digits)}:{between}", f"brackets={'(' in span}:{lead}"]
     found = ADDRESS.match(text, start, end + REACH) if "@" in span or "at" in low else None
     if found:
+        out.append(f"tail={min(len(re.split(r'\W+', found[0])[-1]), 5)}:{'@' in span or '(' in span or '[' in span}")
         out.append("beyond address" if found.end() < end else f"address={found.end() == end and not WITHIN.search(text[max(0, start - 12) : start])}")
     elif "@" in span or "at" in low:
         out.append("no address")
@@ -217,9 +239,12 @@ class Lattice:
             if words[i] in ",.;:!?)]":
                 continue
             warm = False
-            ends = [*range(i, min(self.n, i + MAX_TOKENS))]
-            if whole.get(i, 0) >= i + MAX_TOKENS:
+            stop = min(self.n, i + MAX_TOKENS)
+            stop = min(stop, max(i + WORD_TOKENS, next((k for k in range(i, stop) if words[k].isalpha()), stop)))
+            ends = [*range(i, stop)]
+            if whole.get(i, 0) >= stop:
                 ends.append(whole[i])
+                warm = True
             for j in ends:
                 warm = warm or w.hot[j]
                 if not warm or words[j] in ",.;:!?([+=":
@@ -230,9 +255,13 @@ class Lattice:
                 self.spans.append((i, j + 1))
                 self.features.append(hashed(features(w.text, w.starts[i], w.ends[j], before, after)))
 
+        self.first, self.end = (np.array([x[k] for x in self.spans], np.int64) for k in (0, 1))
+        self.at = np.cumsum([0, *map(len, self.features)])
+        self.flat = np.concatenate(self.features) if self.features else np.zeros(0, np.int64)
+
     def scores(self, weights: np.ndarray) -> np.ndarray:
         """One score for each candidate and label."""
-        return np.array([weights[:, f].sum(axis=1) for f in self.features]) if self.spans else np.zeros((0, len(LABELS)))
+        return np.add.reduceat(weights[:, self.flat], self.at[:-1], axis=1).T if self.spans else np.zeros((0, len(LABELS)))
 
 
 def best_segments(lattice: Lattice, scores: np.ndarray) -> list[tuple[int, int, int]]:
@@ -257,20 +286,30 @@ def best_segments(lattice: Lattice, scores: np.ndarray) -> list[tuple[int, int,
     return out[::-1]
 
 
+def _log_sum(one: float, others: np.ndarray) -> float:
+    if not len(others):
+        return one
+    top = max(one, float(others.max()))
+    return top + math.log(math.exp(one - top) + float(np.exp(others - top).sum()))
+
+
 def expected(lattice: Lattice, scores: np.ndarray) -> np.ndarray:
     """Probability of each candidate and label under the field: forward and backward over segments."""
     n = lattice.n
+    if not lattice.spans:
+        return scores
     forward, backward = np.zeros(n + 1), np.zeros(n + 1)
-    mass = np.logaddexp.reduce(scores, axis=1) if len(scores) else np.zeros(0)
+    mass = np.logaddexp.reduce(scores, axis=1)
+    starting: list[list[int]] = [[] for _ in range(n)]
+    for c, (i, _) in enumerate(lattice.spans):
+        starting[i].append(c)
     for end in range(1, n + 1):
-        forward[end] = np.logaddexp.reduce([forward[end - 1], *(forward[lattice.spans[c][0]] + mass[c] for c in lattice.by_end[end])])
-    ahead: list[list[float]] = [[] for _ in range(n + 1)]
-    for end in range(n, 0, -1):
-        backward[end] = np.logaddexp.reduce([*( [backward[end + 1]] if end < n else [0.0]), *ahead[end]]) if end < n else 0.0
-        for c in lattice.by_end[end]:
-            ahead[lattice.spans[c][0]].append(backward[end] + mass[c])
-    total = forward[n]
-    return np.array([np.exp(forward[i] + scores[c] + backward[j] - total) for c, (i, j) in enumerate(lattice.spans)]) if lattice.spans else scores
+        own = lattice.by_end[end]
+        forward[end] = _log_sum(forward[end - 1], forward[lattice.first[own]] + mass[own] if own else mass[:0])
+    for at in range(n - 1, -1, -1):
+        own = starting[at]
+        backward[at] = _log_sum(backward[at + 1], backward[lattice.end[own]] + mass[own] if own else mass[:0])
+    return np.exp(forward[lattice.first][:, None] + scores + backward[lattice.end][:, None] - forward[n])
 
 
 LETTERS = str.maketrans("0123456789", "aeiourstln")
@@ -278,7 +317,7 @@ LETTERS = str.maketrans("0123456789", "aeiourstln")
 
 def varied(address: str, number: int) -> str:
     """The address, or one without digits, with fewer or more parts."""
-    local, _, host = (address.translate(LETTERS) if number % 4 else address).rpartition("@")
+    local, _, host = (address.translate(LETTERS) if number % 2 else address).rpartition("@")
     parts = host.split(".")
     local = [local, re.split(r"[._%+-]", local)[0] or local, f"{local}.{parts[0]}"][number % 3]
     return local + "@" + ".".join([parts, parts[-2:], [*parts, parts[-1][:2]], ["mail", *parts, parts[-1][:2]]][number // 2 % 4])
@@ -292,19 +331,30 @@ def damaged(kind: str, span: str, number: int) -> str:
     if kind == "phone":
         own = re.sub(r"^\+[0-9]{1,3}[ -]?", "", span)
         groups = re.findall("[0-9]+", own)
-        return [span.lstrip("+"), "00" + span.lstrip("+"), own, "-".join(groups), " ".join(["0" + groups[0], *groups[1:]]), f"({groups[0]}) " + "-".join(groups[1:] or groups)][number % 6]
+        digits = "".join(groups)
+        if number % 2:  # the same number in other groups
+            groups = [g for g in re.findall(GROUPINGS[number // 2 % len(GROUPINGS)], digits)[0] if g]
+        mark = "- ./"[number // 10 % 4]
+        return [span.lstrip("+"), "00" + span.lstrip("+"), own, mark.join(groups), " ".join(["0" + groups[0], *groups[1:]]), f"({groups[0]}) " + mark.join(groups[1:] or groups), ".".join(groups),
+                " ".join(["00" + str(30 + number % 60), *groups]), mark.join(["0" + groups[0], *groups[1:]]), f"(0{groups[0]}) " + " ".join(groups[1:] or groups)][number % 10]
     if kind == "card":
         digits = re.sub("[^0-9]", "", span)
-        return [".", "/", "_"][number % 3].join(digits[i : i + 4] for i in range(0, len(digits), 4))
+        return [".", "/", "_", " . ", " / "][number % 5].join(digits[i : i + 4] for i in range(0, len(digits), 4))
     return span.replace(".", [" . ", ",", " dot "][number % 3])
 
 
 #: How many damaged spellings of a base span are shown.
-SPELLINGS = {"email": 9, "phone": 6, "card": 3, "ip": 3}
+SPELLINGS = {"email": 9, "phone": 10, "card": 5, "ip": 3}
+#: Groups in which a phone's digits are shown too.
+GROUPINGS = [r"(.{1,3})(.{0,3})(.*)", r"(.{1,3})(.*)", r"(.{1,2})(.{0,2})(.{0,2})(.{0,2})(.*)", r"(.{1,4})(.*)", r"(.{1,3})(.{0,4})(.*)"]
+#: Keys with their issuers' prefixes and the number of letters and digits after them.
+PREFIXES = {"AKIA": 16, "ASIA": 16, "sk_live_": 24, "pk_test_": 24, "sk_": 32, "ghp_": 36, "gho_": 36, "glpat-": 20, "xoxb-": 24}
 #: Ordinary numbers, and "at" and "dot" as ordinary words: nothing personal.
 PLAIN = [
     "{a}.{b}.{c}", "v{a}.{b}", "{a}/{b}/{y}", "{y}-0{c}-1{c}", "{a}:3{c}", "{a}:1{c}:4{b}", "${a},{y}.{a}", "{a}.{y} %", "{y} to {y}", "{y}/{c}", "{a} - {b} = {c}", "{a} x {b}", "no. {y}{a}", "{a} {y}",
     "{a}{b} of {y}", "(see {c}.{a})", "[{a}]", "{a}st and {b}nd", "{y}s", "#{a}{y}", "at {a} or {b}", "at noon. They", "a dot in the", "{y}{y}{y}{y}", "{y} {y} {y} {y}", "{y}{a}-{y}-{y}-{y}", "a dot or two dots", "stay at sea. Then",
+    "978-{c}-16-{a}8410-{c}", "ISBN {c}-{y}-{y}-{c}", "{y}-0{c}-1{c} 1{c}:{y}", "{c}.{y}{y}{y}", "{y}{a}-{y}{b}", "{c} {c}00 000 000", "{c},{c}00,000,000", "{a}.{y}, -{b}.{y}", "({y}) {y}-{y}", "{y}/{y}/{y}", "{y}.0{c}.1{c}", "{y}-{y}, {y}-{y}",
+    "v{a}.{b}.{c}.{y}", "order {y}{y}{y}", "id_{y}_{a}", "{a} {b} {c} {a} {b} {c}", "{y}0{c}1{c}{y}", "model_{y}_{a}b{c}", "section {a}.{b}.{c}.{a}.{b}", "look at the dot there", "wait at one dot or more", "point at this dot again", "stop at every dot. Then", "met at number {a} dot five", "{c}.{y}{y}", "{b}.{y}{y}", "{c}0{c} {c}00 {c}0{c}",
 ]
 
 
@@ -320,6 +370,20 @@ def plain_examples(texts: list[str]) -> Iterator[tuple[str, list]]:
         yield " ".join([*words[at : at + 4], plain, *words[at + 4 : at + 8]]), []
 
 
+def key_examples(texts: list[str]) -> Iterator[tuple[str, list]]:
+    """Keys of ``PREFIXES`` between words of the snippets."""
+    words = [w for text in texts for w in re.findall(r"[^\W\d_]+[.,]?", text)] or ["a"]
+    for i in range(4 * len(PREFIXES)):
+        prefix, size = [*PREFIXES.items()][i % len(PREFIXES)]
+        letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789" + ("" if prefix.isupper() else "abcdefghijklmnopqrstuvwxyz")
+        body = "".join(letters[xxhash.xxh64_intdigest(f"{i}:{k}", 4) % len(letters)] for k in range(size - 1)) + str(i % 10)
+        if i % 3 == 0:  # few digits
+            body = body[: size // 2].translate(LETTERS) + str(i % 10) + body[size // 2 : -1].translate(LETTERS)
+            body = body.upper() if prefix.isupper() else body
+        head = " ".join(words[i * 11 % len(words) :][:4]) + " "
+        yield head + prefix + body + " " + " ".join(words[i * 17 % len(words) :][:4]), [("secret", len(head), len(head) + len(prefix) + size)]
+
+
 def _example(text: str, truth: list[tuple[str, int, int]]) -> tuple[Lattice, dict[int, int]] | None:
     """The lattice of the text's first window with the truth's candidates; None where a true span has no candidate."""
     for w in windows(text, []):
@@ -332,10 +396,10 @@ def _example(text: str, truth: list[tuple[str, int, int]]) -> tuple[Lattice, dic
 
 
 def training_examples(texts: Iterable[str]) -> list[tuple[Lattice, dict[int, int]]]:
-    """At most ``TRAIN_WINDOWS`` windows of the texts with their true segments, and those of ordinary numbers."""
+    """At most ``TRAIN_WINDOWS`` windows of the texts with their true segments, and those of ordinary numbers and keys."""
     texts = list(texts)
-    plain = [_example(*x) for x in plain_examples(texts)]
-    return [x for x in [*_text_examples(texts), *plain] if x and x[0].n <= 80]
+    made = [_example(*x) for x in [*plain_examples(texts), *key_examples(texts)]]
+    return [x for x in [*_text_examples(texts), *made] if x and x[0].n <= 80]
 
 
 def _text_examples(texts: Iterable[str]) -> list[tuple[Lattice, dict[int, int]] | None]:
@@ -350,14 +414,14 @@ def _text_examples(texts: Iterable[str]) -> list[tuple[Lattice, dict[int, int]]
             spans_of = [text[s:e], *(damaged(kind, text[s:e], n) for n in range(number + len(out), number + len(out) + SPELLINGS[kind]))]
             for span in spans_of:
                 out.append(_example(head + span + tail, [(kind, len(head), len(head) + len(span))]))
-        for m in [*HEX.finditer(text)][:1]:
+        for m in [*SECRET.finditer(text)][:1]:
             head, tail = text[max(0, m.start() - REACH // 2) : m.start()], text[m.end() : m.end() + REACH // 2]
             if not any(c in "0123456789@" for c in head + tail):
                 for size in (24, 32, 36):
                     out.append(_example(head + m[0][:size] + tail, [("secret", len(head), len(head) + min(size, len(m[0])))]))
         for w in windows(text, covered):
             lattice = Lattice(w)
-            gold = {c: LABELS.index("secret") for c, (i, j) in enumerate(lattice.spans) if j == i + 1 and HEX.fullmatch(text[w.starts[i] : w.ends[i]])}
+            gold = {c: LABELS.index("secret") for c, (i, j) in enumerate(lattice.spans) if j == i + 1 and SECRET.fullmatch(text[w.starts[i] : w.ends[i]])}
             out.append((lattice, gold))
         if len(out) >= TRAIN_WINDOWS:
             break
@@ -377,12 +441,11 @@ def train(texts: Iterable[str], epochs: int = EPOCHS, rate: float = 0.5, decay:
             gradient = -expected(lattice, lattice.scores(weights))
             for c, label in gold.items():
                 gradient[c, label] += 1
-            touched = np.flatnonzero(np.abs(gradient).max(axis=1) > 1e-4)
-            for c in touched:
-                at = lattice.features[c]
-                g = gradient[c][:, None] - decay * weights[:, at]
-                square[:, at] += g * g
-                weights[:, at] += rate * g / np.sqrt(square[:, at])
+            sizes = np.diff(lattice.at)
+            at, place = np.unique(lattice.flat, return_inverse=True)
+            g = np.stack([np.bincount(place, np.repeat(x, sizes), len(at)) for x in gradient.T]) - decay * weights[:, at]
+            square[:, at] += g * g
+            weights[:, at] += rate * g / np.sqrt(square[:, at])
     return weights
 
 
@@ -408,7 +471,7 @@ def snippets(text: str) -> Iterator[tuple[str, str]]:
         return xxhash.xxh64_intdigest(f"{place}:{len(text)}".encode(), 3)
 
     chosen: dict[str, tuple[int, int]] = {}
-    for kind, s, e in [*base_spans(text), *(("secret", *m.span()) for m in HEX.finditer(text))]:
+    for kind, s, e in [*base_spans(text), *(("secret", *m.span()) for m in SECRET.finditer(text))]:
         if kind not in chosen or order(s) < order(chosen[kind][0]):
             chosen[kind] = (s, e)
     triggers = heapq.nsmallest(TRIGGERS_A_TEXT, (m.span() for m in TRIGGER.finditer(text)), key=lambda x: order(x[0]))
@@ -429,13 +492,18 @@ def fit(docs: DataFrame, bound: int = TRAIN_ROWS) -> np.ndarray | None:
     sample = docs.where(hash_share(2, bound, docs.count(), "doc_id", text)).select(text.alias("text"))
 
     def cut(rows: Iterator[tuple]) -> Iterable[tuple]:
-        """Only the surroundings of spans and triggers, each bounded in number and size, go to the driver."""
+        """Only the surroundings of spans and triggers, each bounded in number and size, go to the one task that trains."""
         for (value,) in rows:
             yield from snippets(value or "")
 
     schema = T.StructType([T.StructField("kind", T.StringType()), T.StructField("text", T.StringType())])
-    texts = balanced((r["kind"], r["text"]) for r in map_rows(sample, cut, schema).collect())
-    return train(texts) if texts else None
+    def learn(rows: Iterator[tuple]) -> Iterable[tuple]:
+        texts = balanced(rows)
+        if texts:
+            yield (train(texts).tobytes(),)
+
+    weights = map_rows(map_rows(sample, cut, schema).repartition(1), learn, T.StructType([T.StructField("weights", T.BinaryType())])).collect()
+    return np.frombuffer(weights[0]["weights"]).reshape(len(LABELS), -1) if weights else None
 
 
 def personal_spans(docs: DataFrame, weights: np.ndarray | None) -> DataFrame:
