@@ -11,7 +11,8 @@ threshold can have been given (``slack``).  The local score is divided by that o
 replaced, dropped or added words less, chance matches of single seeds far below.
 
 Items are taken in blocks of at most ``BLOCK_WORDS`` words, each broadcast, so the test set may have any
-size; documents are read once a block and never shuffled.
+size; documents are read once a block and never shuffled.  Words of documents are only looked up
+among the items' words (``Vocabulary``): all others are alike, as they are in no seed and match nothing.
 
 Defined results: null and blank texts and items match nothing; items of fewer than ``SEED_WORDS`` words
 have themselves as their one seed; repeated rows give one result row each; null ids are carried;
@@ -22,8 +23,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import chain, repeat
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -39,6 +40,10 @@ MATCH, MISMATCH, GAP = 2, -1, 1
 BLOCK_WORDS = 1_000_000
 FILTER_BITS = 22
 WORD = re.compile(r"[^\W_]+")
+#: Letters and digits of Latin-1 in lower case, a space for anything else.
+LATIN = bytes(ord(c.lower()) if WORD.match(c) else 32 for c in map(chr, range(256)))
+#: Code points after which a piece of several texts is worked on.
+PIECE_CHARS = 1 << 18
 
 COUNTS = T.StructType([T.StructField("word", T.LongType()), T.StructField("n", T.LongType())])
 LEAKS = T.StructType([
@@ -47,11 +52,45 @@ LEAKS = T.StructType([
 ])
 
 
-def words_of(text: str | None) -> list[bytes]:
+def words_of(text: str | None) -> list[bytes] | list[str]:
+    """The words in lower case: Latin-1 bytes where the whole text can be so encoded, else strings."""
     text = text or ""
-    low = text.lower()
-    words = WORD.findall(low) if len(low) == len(text) else [w.lower() for w in WORD.findall(text)]
-    return [w.encode("utf-8", "replace") for w in words]
+    try:
+        return text.encode("latin-1").translate(LATIN).split()
+    except UnicodeEncodeError:
+        low = text.lower()
+        return WORD.findall(low) if len(low) == len(text) else [w.lower() for w in WORD.findall(text)]
+
+
+class Vocabulary:
+    """The words of some items, numbered, with their hashes; any other word has the number after the last."""
+
+    def __init__(self, texts: Iterable[str | None]) -> None:
+        words = sorted({w.decode("latin-1") if isinstance(w, bytes) else w for text in texts for w in words_of(text)})
+        self.size = len(words)
+        self.numbers: dict[bytes | str, int] = {w: k for k, w in enumerate(words)}
+        self.numbers |= {w.encode("latin-1"): k for k, w in enumerate(words) if ord(max(w)) < 256}
+        self.hash = word_hashes([*(w.encode("utf-8", "replace") for w in words), b""])
+
+    def of(self, texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all words, text after text, and how many words each text has."""
+        words = [words_of(text) for text in texts]
+        sizes = np.array([len(w) for w in words], np.int64)
+        return np.fromiter(map(self.numbers.get, chain.from_iterable(words), repeat(self.size)), np.int64, int(sizes.sum())), sizes
+
+
+def pieces(rows: Iterable[tuple]) -> Iterator[list[tuple]]:
+    """Runs of rows whose texts, the last column, have some ``PIECE_CHARS`` code points together."""
+    held: list[tuple] = []
+    size = 0
+    for row in rows:
+        held.append(row)
+        size += len(row[-1] or "")
+        if size >= PIECE_CHARS:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
@@ -118,53 +157,53 @@ class Seeds:
                 yield int(self.item[s]), int(self.place[s]), at
 
 
-def _count(wanted: set[int]):
-    def run(rows: Iterator[tuple]) -> Iterable[tuple]:
-        counts: Counter = Counter()
-        known = np.array(sorted(wanted), np.uint64)
-        total = 0
-        for (text,) in rows:
-            h = word_hashes(words_of(text))
-            total += len(h)
-            if len(h) and len(known):
-                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                counts.update(at[known[at] == h].tolist())
-        yield None, total
-        yield from ((int(known[k].astype(np.int64)), n) for k, n in counts.items())
-
-    return run
-
-
-def _find(seeds: Seeds, seed_words: int, threshold: float):
-    def run(rows: Iterator[tuple]) -> Iterable[tuple]:
-        for doc_id, row, row2, text in rows:
-            words = words_of(text)
-            hashes = word_hashes(words)
-            if not len(hashes):
-                continue
-            found: dict[int, list[tuple[int, int]]] = {}
-            for size in sorted({seed_words, *seeds.short}):
-                if len(hashes) >= size:
-                    for item, place, at in seeds.hits(run_hashes(hashes, size)):
-                        found.setdefault(item, []).append((at - place, at))
-            for item, spots in found.items():
-                item_id, own = seeds.items[item]
-                best, spare = (0.0, 0, 0), slack(len(own), threshold)
-                spots = sorted(set(spots))
-                at = 0
-                while at < len(spots):  # spots on nearby diagonals share one passage
-                    last = at
-                    while last + 1 < len(spots) and spots[last + 1][0] - spots[last][0] <= spare:
-                        last += 1
-                    low, high = max(0, spots[at][0] - spare), min(len(hashes), spots[last][0] + len(own) + spare)
-                    score, start, end = aligned_span(own, hashes[low:high])
-                    best = max(best, (score / (MATCH * len(own)), -(low + start), low + end))
-                    at = last + 1
-                if best[0] >= threshold:
-                    spans = [m.span() for m in WORD.finditer(text)]
-                    yield doc_id, row, row2, item_id, best[0], spans[-best[1]][0], spans[best[2] - 1][1], len(spots)
-
-    return run
+def _count(vocabulary: Vocabulary, rows: Iterator[tuple]) -> Iterable[tuple]:
+    counts, total = np.zeros(vocabulary.size + 1, np.int64), 0
+    for piece in pieces(rows):
+        numbers, _ = vocabulary.of(text for (text,) in piece)
+        counts += np.bincount(numbers, minlength=vocabulary.size + 1)
+        total += len(numbers)
+    yield None, total
+    yield from ((k, int(counts[k])) for k in np.flatnonzero(counts[:-1]).tolist())
+
+
+def _find(vocabulary: Vocabulary, seeds: Seeds, seed_words: int, threshold: float, rows: Iterator[tuple]) -> Iterable[tuple]:
+    for piece in pieces(rows):
+        numbers, sizes = vocabulary.of(row[-1] for row in piece)
+        hashes, owner, ends = vocabulary.hash[numbers], np.repeat(np.arange(len(piece)), sizes), np.cumsum(sizes)
+        found: dict[int, dict[int, list[tuple[int, int]]]] = {}
+        for size in sorted({seed_words, *seeds.short}):
+            if len(hashes) >= size:
+                for item, place, at in seeds.hits(run_hashes(hashes, size)):
+                    text = int(owner[at])
+                    if at + size <= ends[text]:  # no run goes on into the next text
+                        at -= int(ends[text] - sizes[text])
+                        found.setdefault(text, {}).setdefault(item, []).append((at - place, at))
+        for text, items in sorted(found.items()):
+            yield from _leaks(seeds, piece[text], hashes[ends[text] - sizes[text] : ends[text]], items, threshold)
+
+
+def _leaks(seeds: Seeds, row: tuple, hashes: np.ndarray, found: dict[int, list[tuple[int, int]]], threshold: float) -> Iterator[tuple]:
+    """The items of ``found`` (item, diagonals and places of its seeds) that a text of ``hashes`` holds."""
+    *keys, text = row
+    for item, spots in found.items():
+        item_id, own = seeds.items[item]
+        best, spare = (0.0, 0, 0), slack(len(own), threshold)
+        spots = sorted(set(spots))
+        at = 0
+        while at < len(spots):  # spots on nearby diagonals share one passage
+            last = at
+            while last + 1 < len(spots) and spots[last + 1][0] - spots[last][0] <= spare:
+                last += 1
+            low, high = max(0, spots[at][0] - spare), min(len(hashes), spots[last][0] + len(own) + spare)
+            # no score is above that of all the item's words that the passage has
+            if np.isin(own, hashes[low:high]).sum() / len(own) >= threshold:
+                score, start, end = aligned_span(own, hashes[low:high])
+                best = max(best, (score / (MATCH * len(own)), -(low + start), low + end))
+            at = last + 1
+        if best[0] >= threshold:
+            spans = [m.span() for m in WORD.finditer(text)]
+            yield *keys, item_id, best[0], spans[-best[1]][0], spans[best[2] - 1][1], len(spots)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, seed_words: int = SEED_WORDS, threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -180,17 +219,22 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, seed_words: int = SEED_WOR
     numbered = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
     out = None
     for block in range(blocks):
-        held = [(r["item_id"], word_hashes(words_of(r["text"]))) for r in numbered.where(F.col("block") == block).orderBy("item_id", "text").toLocalIterator()]
-        held = [x for x in held if len(x[1])]
-        wanted = {int(h) for _, hashes in held for h in hashes}
-        counted = map_rows(rows.select("text"), _count(wanted), COUNTS).groupBy("word").agg(F.sum("n").alias("n")).toLocalIterator()
+        held = [(r["item_id"], r["text"]) for r in numbered.where(F.col("block") == block).orderBy("item_id", "text").toLocalIterator()]
+        words = Vocabulary(text for _, text in held)
+        held = [(item_id, words.hash[words.of([text])[0]]) for item_id, text in held]
+        vocabulary = docs.sparkSession.sparkContext.broadcast(words)
+
+        def count(batch: Iterator[tuple], vocabulary=vocabulary) -> Iterable[tuple]:
+            return _count(vocabulary.value, batch)
+
+        counted = map_rows(rows.select("text"), count, COUNTS).groupBy("word").agg(F.sum("n").alias("n")).toLocalIterator()
         counts = {r["word"]: r["n"] for r in counted}
         tokens = counts.pop(None, 0)
-        bits = {w % (1 << 64): math.log2((tokens + 1) / (n + 1)) for w, n in counts.items()}
-        seeds = docs.sparkSession.sparkContext.broadcast(Seeds(held, bits, math.log2(tokens + 1), seed_words))
+        bits = {int(words.hash[k]): math.log2((tokens + 1) / (n + 1)) for k, n in counts.items()}
+        seeds = docs.sparkSession.sparkContext.broadcast(Seeds([x for x in held if len(x[1])], bits, math.log2(tokens + 1), seed_words))
 
-        def find(batch: Iterator[tuple], seeds=seeds) -> Iterable[tuple]:
-            return _find(seeds.value, seed_words, threshold)(batch)
+        def find(batch: Iterator[tuple], vocabulary=vocabulary, seeds=seeds) -> Iterable[tuple]:
+            return _find(vocabulary.value, seeds.value, seed_words, threshold, batch)
 
         leaks = map_rows(rows, find, LEAKS)
         out = leaks if out is None else out.union(leaks)

@@ -605,6 +605,43 @@ def test_leaks_equal_brute_force(spark):
     assert len(want) > 15 and {(x["doc_id"], x["item_id"]): x["score"] for x in leaks} == pytest.approx(want)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["Ab", "É", "ß", "ª", "²", "µ", "ÿ", "_", "×", "’", "İ", "Σ", "Ж", "中", "\x00", "\x85", "\xa0", " ", "\n", "x1", "-"]), max_size=12))
+def test_numbered_words_are_the_words(parts):
+    """Latin-1 texts and others give the words of the pattern, whichever way the items' words are written."""
+    from framesift.llm.decontaminate import WORD, Vocabulary
+
+    text = "".join(parts)
+    low = text.lower()
+    want = WORD.findall(low) if len(low) == len(text) else [w.lower() for w in WORD.findall(text)]
+    for items in ([text], [text + " ’"], [" ".join(want[::2])]):
+        vocabulary = Vocabulary(items)
+        known = {w: k for w, k in vocabulary.numbers.items() if isinstance(w, str)}
+        numbers, sizes = vocabulary.of([text, None, text + " ’"])
+        assert numbers.tolist() == [known.get(w, vocabulary.size) for w in want] * 2 and sizes.tolist() == [len(want), 0, len(want)]
+
+
+def test_decontamination_hashes_no_words_of_documents(monkeypatch):
+    """Words of documents are looked up among the items' (hashing each took most of the time), and no seed spans two texts."""
+    from framesift.llm import decontaminate, words
+
+    items = [(1, "Straße über Ünter den Linden"), (2, "tiny"), (3, "alpha beta gamma"), (4, "’ Жук and É")]
+    vocabulary = decontaminate.Vocabulary(text for _, text in items)
+    seeds = decontaminate.Seeds([(i, vocabulary.hash[vocabulary.of([text])[0]]) for i, text in items], {}, 20.0, 3)
+    monkeypatch.setattr(words.xxhash, "xxh64_intdigest", None)
+    texts = ["one alpha beta", "gamma and tiny", None, "go STRASSE ÜBER ünter DEN linden", "“on” straße über ünter den linden", "jetzt Straße über Ünter den Linden", "", "жук AND é", "alpha beta gamma"]
+    counts = dict(decontaminate._count(vocabulary, iter([(x,) for x in texts])))
+    assert counts.pop(None) == sum(len(decontaminate.WORD.findall(x or "")) for x in texts)
+    plain = {k: w for w, k in vocabulary.numbers.items() if isinstance(w, str)}
+    assert {plain[k]: n for k, n in counts.items()} == {"alpha": 2, "beta": 2, "gamma": 2, "tiny": 1, "über": 3, "ünter": 3, "den": 3, "linden": 3, "straße": 2, "and": 2, "é": 1, "жук": 1}
+    for piece in (1, 1 << 18):
+        monkeypatch.setattr(decontaminate, "PIECE_CHARS", piece)
+        found = list(decontaminate._find(vocabulary, seeds, 3, 0.5, iter([(i, 0, 0, x) for i, x in enumerate(texts)])))
+        assert [(x[0], x[3], x[4], texts[x[0]][x[5] : x[6]]) for x in found] == [
+            (1, 2, 1.0, "tiny"), (3, 1, 0.8, "ÜBER ünter DEN linden"), (4, 1, 1.0, "straße über ünter den linden"), (5, 1, 1.0, "Straße über Ünter den Linden"), (7, 4, 1.0, "жук AND é"), (8, 3, 1.0, "alpha beta gamma"),
+        ]
+
+
 # personal data
 
 
