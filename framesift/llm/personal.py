@@ -115,6 +115,8 @@ TRIGGER = re.compile(rf"[0-9@]|[\[({{<]\s?(?:at|dot)\s?[\])}}>]|(?<=\s)at(?=\s++
 ADDRESS = re.compile(rf"[\w%+-]++(?:{DOT_MARK}[\w%+-]++)*{AT_MARK}[\w-]++(?:{DOT_MARK}[\w-]++)*{DOT_MARK}[^\W\d_]{{2,}}(?![\w-])", re.I)
 #: A word, a bare "at" and a host with a plain dot ("look at example.com"): a place rather than an address, unless the local part has more than letters.
 LOOK_AT = re.compile(r"[^\W\d_]+\s+at\s+[\w-]+(?:\.[\w-]+)+", re.I)
+#: Last parts of hosts; those of countries have two letters.
+SUFFIXES = frozenset("com org net edu gov mil int info biz name pro".split())
 #: What stands before a span that begins within an address.
 WITHIN = re.compile(rf"[\w%+-](?:{DOT_MARK})?\Z", re.I)
 #: Strong secrets: long hexadecimal runs, and keys whose issuers give them a prefix.
@@ -209,8 +211,12 @@ def features(text: str, start: int, end: int, before: str, after: str) -> list[s
         out += [f"phone={9 <= len(digits) <= 15}:{lead}", f"sizes={min(sizes)}-{max(sizes)}", f"between={between}:{len(groups) > 1}", f"grouped={len(digits)}:{between}", f"brackets={'(' in span}:{lead}"]
     found = ADDRESS.match(text, start, end + REACH) if "@" in span or "at" in low else None
     if found:
-        out.append(f"tail={min(len(re.split(r'\W+', found[0])[-1]), 5)}:{'@' in span or '(' in span or '[' in span}")
-        out.append("beyond address" if found.end() < end else f"address={found.end() == end and not WITHIN.search(text[max(0, start - 12) : start])}")
+        tail, marked = re.split(r"\W+", found[0])[-1].lower(), "@" in span or "(" in span or "[" in span
+        out.append(f"tail={min(len(tail), 5)}:{marked}")
+        whole = found.end() == end and not WITHIN.search(text[max(0, start - 12) : start])
+        out.append("beyond address" if found.end() < end else f"address={whole}")
+        if whole:
+            out.append(f"host={'known' if tail in SUFFIXES else min(len(tail), 3)}:{marked}")
     elif "@" in span or "at" in low:
         out.append("no address")
     out.append(f"words={min(len(span.split()), 9)}")
@@ -315,19 +321,24 @@ def expected(lattice: Lattice, scores: np.ndarray) -> np.ndarray:
 LETTERS = str.maketrans("0123456789", "aeiourstln")
 
 
+def drawn(choices: list, number: int, what: str):
+    """One of the choices by a hash, so that every choice comes together with every other one."""
+    return choices[xxhash.xxh64_intdigest(f"{what}:{number}", 5) % len(choices)]
+
+
 def varied(address: str, number: int) -> str:
     """The address, or one without digits, with fewer or more parts."""
-    local, _, host = (address.translate(LETTERS) if number % 2 else address).rpartition("@")
+    local, _, host = drawn([address, address.translate(LETTERS)], number, "digits").rpartition("@")
     parts = host.split(".")
-    local = [local, re.split(r"[._%+-]", local)[0] or local, f"{local}.{parts[0]}"][number % 3]
-    return local + "@" + ".".join([parts, parts[-2:], [*parts, parts[-1][:2]], ["mail", *parts, parts[-1][:2]]][number // 2 % 4])
+    local = drawn([local, re.split(r"[._%+-]", local)[0] or local, f"{local}.{parts[0]}"], number, "local")
+    return local + "@" + ".".join(drawn([parts, parts[-2:], [*parts, parts[-1][:2]], ["mail", *parts, parts[-1][:2]]], number, "host"))
 
 
 def damaged(kind: str, span: str, number: int) -> str:
     """A spelling of a base span that its pattern no longer matches."""
     if kind == "email":
         span = varied(span, number)
-        return span.replace("@", [" at ", " (at) ", " [at] ", "[at]", " {at} "][number % 5]).replace(".", [".", " dot ", " [dot] ", " (dot) "][number // 3 % 4])
+        return span.replace("@", drawn([" at ", " at ", " (at) ", " [at] ", "[at]", " {at} "], number, "at")).replace(".", drawn([".", " dot ", " dot ", " [dot] ", " (dot) "], number, "dot"))
     if kind == "phone":
         own = re.sub(r"^\+[0-9]{1,3}[ -]?", "", span)
         groups = re.findall("[0-9]+", own)
@@ -354,7 +365,7 @@ PLAIN = [
     "{a}.{b}.{c}", "v{a}.{b}", "{a}/{b}/{y}", "{y}-0{c}-1{c}", "{a}:3{c}", "{a}:1{c}:4{b}", "${a},{y}.{a}", "{a}.{y} %", "{y} to {y}", "{y}/{c}", "{a} - {b} = {c}", "{a} x {b}", "no. {y}{a}", "{a} {y}",
     "{a}{b} of {y}", "(see {c}.{a})", "[{a}]", "{a}st and {b}nd", "{y}s", "#{a}{y}", "at {a} or {b}", "at noon. They", "a dot in the", "{y}{y}{y}{y}", "{y} {y} {y} {y}", "{y}{a}-{y}-{y}-{y}", "a dot or two dots", "stay at sea. Then",
     "978-{c}-16-{a}8410-{c}", "ISBN {c}-{y}-{y}-{c}", "{y}-0{c}-1{c} 1{c}:{y}", "{c}.{y}{y}{y}", "{y}{a}-{y}{b}", "{c} {c}00 000 000", "{c},{c}00,000,000", "{a}.{y}, -{b}.{y}", "({y}) {y}-{y}", "{y}/{y}/{y}", "{y}.0{c}.1{c}", "{y}-{y}, {y}-{y}",
-    "v{a}.{b}.{c}.{y}", "order {y}{y}{y}", "id_{y}_{a}", "{a} {b} {c} {a} {b} {c}", "{y}0{c}1{c}{y}", "model_{y}_{a}b{c}", "section {a}.{b}.{c}.{a}.{b}", "look at the dot there", "wait at one dot or more", "point at this dot again", "stop at every dot. Then", "met at number {a} dot five", "{c}.{y}{y}", "{b}.{y}{y}", "{c}0{c} {c}00 {c}0{c}",
+    "v{a}.{b}.{c}.{y}", "order {y}{y}{y}", "id_{y}_{a}", "{a} {b} {c} {a} {b} {c}", "{y}0{c}1{c}{y}", "model_{y}_{a}b{c}", "section {a}.{b}.{c}.{a}.{b}", "look at the dot there", "wait at one dot or more", "point at this dot again", "stop at every dot. Then", "met at number {a} dot five", "meet at one dot and go", "aim at any dot with care", "stay at this dot for now", "{c}.{y}{y}", "{b}.{y}{y}", "{c}0{c} {c}00 {c}0{c}",
 ]
 
 

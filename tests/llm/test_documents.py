@@ -742,6 +742,17 @@ def test_spelt_addresses(spark):
     assert find_spans("we meet at noon. Then at home we sit at the fire", weights) == ([], [])
 
 
+def test_spellings_shown_come_in_all_combinations():
+    """A plain name at a host of two parts with both marks as words was never shown: one number chose all."""
+    from framesift.llm.personal import ADDRESS, damaged, features
+
+    shown = {damaged("email", "jane.smith@mail.example.com", n) for n in range(5000)}
+    assert {"jane at example dot com", "jane.smith (at) example.com", "jane [dot] smith at mail [dot] example [dot] com [dot] co", "jane dot smith[at]mail dot example dot com"} <= shown
+    assert all(ADDRESS.fullmatch(x) for x in shown)
+    host = [next(f for f in features(t, 0, len(t), "^", "$") if f.startswith("host=")) for t in ("ann at hill dot org", "stop at one dot and", "ann at hill dot de", "ann (at) hill.net")]
+    assert len(set(host)) == 4
+
+
 def test_spelt_training_examples_have_their_span():
     from framesift.llm.personal import KINDS, _example, _text_examples, damaged
 
