@@ -73,7 +73,8 @@ def checked_values(values: DataFrame, dim_values: DataFrame, value_aliases: Data
     real = kept.withColumn("_n", F.count_if(F.col("value") != UNKNOWN).over(W.partitionBy(key, "dim"))).where((F.col("value") != UNKNOWN) | (F.col("_n") == 0))
     grouped = real.groupBy(key, "dim").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "value"))), lambda x: x["value"]).alias("tags"))
     grid = values.select(key).distinct().withColumn("dim", F.explode(F.array(*[F.lit(d) for d in dims])))
-    return grid.join(grouped, [key, "dim"], "left").withColumn("tags", F.coalesce("tags", F.array(F.lit(UNKNOWN))))
+    # both sides have a row for every key; the written values take so few bytes a row that Spark would broadcast one of them
+    return grid.join(grouped.hint("merge"), [key, "dim"], "left").withColumn("tags", F.coalesce("tags", F.array(F.lit(UNKNOWN))))
 
 
 def sign_tags(tags: Column) -> Column:
