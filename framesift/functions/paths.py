@@ -48,8 +48,22 @@ def like_escaped(text: Column) -> Column:
     return F.regexp_replace(text, r"([\\%_])", r"\\$1")
 
 
-def percent(share: Column, digits: int = 1) -> Column:
-    return F.format_string(f"%.{digits}f%%", share * 100)
+def percent(part: Column, whole: Column, digits: int = 1) -> Column:
+    """``part`` of ``whole`` (neither negative) in per cent with up to three digits, rounded as C and Python round: by the double's exact value, ties to even.
+
+    Java's formats round the double's shortest decimal text instead, which is another number in a tenth of all shares of 10,000.  Here the
+    fraction is taken as a whole number of 2^-73, in two parts.
+    """
+    scale, low = 10**digits, 1 << 20
+    x = (100 * part).cast("double") / whole.cast("double")
+    fraction = (x - F.floor(x)) * float(1 << 53)
+    high, rest = F.floor(fraction), F.floor((fraction - F.floor(fraction)) * float(low)) * scale
+    units = high * scale + F.shiftright(rest, 20)
+    down, left = F.floor(x) * scale + F.shiftright(units, 53), units.bitwiseAND((1 << 53) - 1)
+    tie = F.lit(1 << 52)
+    up = (left > tie) | ((left == tie) & ((rest % low > 0) | (down % 2 == 1)))
+    rounded = down + up.cast("long")
+    return F.format_string(f"%d.%0{digits}d%%", F.floor(rounded / scale), rounded % scale)
 
 
 def hash_bucket(key: Column, buckets: int = 10) -> Column:

@@ -163,7 +163,7 @@ def scan_summary(members: DataFrame, total: DataFrame) -> DataFrame:
     counted = per.agg(F.coalesce(F.sum(F.when(F.col("level") == 3, F.col("n") - 1).otherwise(F.col("n"))), F.lit(0)).alias("duplicate_count"))
     n = total.agg(F.count("*").alias("total"))
     joined = n.crossJoin(F.broadcast(counted))
-    return joined.select("total", "duplicate_count", (F.col("total") - F.col("duplicate_count")).alias("unique"), F.when(F.col("total") < 2, "0.0%").otherwise(percent(F.col("duplicate_count") / F.greatest(F.lit(1), F.col("total")), 2)).alias("rate"))
+    return joined.select("total", "duplicate_count", (F.col("total") - F.col("duplicate_count")).alias("unique"), F.when(F.col("total") < 2, "0.0%").otherwise(percent(F.col("duplicate_count"), F.greatest(F.lit(1), F.col("total")), 2)).alias("rate"))
 
 
 def marked(metadata: Column, group: Column) -> Column:
