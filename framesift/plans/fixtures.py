@@ -40,13 +40,13 @@ def events_ms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def frames(spark: SparkSession, d: str) -> DataFrame:
-    """Frame file names of six shapes by event_id, as (id, path, position)."""
+    """Frame file names of six shapes by event_id, as (id, path, position).  Numbers are padded to six digits, longer ones stay whole."""
     name = F.expr("""CASE event_id % 6
       WHEN 0 THEN concat('images/vid', user_id, '/vid', user_id, '_', event_id, '.jpg')
       WHEN 1 THEN concat('images/v', user_id % 9, '_', 1000 * event_id, '_', event_id, '.jpg')
       WHEN 2 THEN concat('images/', event_id, '_', 1700000000000 + 900 * event_id, '_', user_id % 3, '.jpg')
       WHEN 3 THEN concat('cam/', 1700000000 + event_id, '.', event_id % 997, '.jpg')
-      WHEN 4 THEN concat('img/IMG_', lpad(cast(event_id AS string), 6, '0'), '.jpg')
+      WHEN 4 THEN concat('img/IMG_', lpad(cast(event_id AS string), greatest(6, length(cast(event_id AS string))), '0'), '.jpg')
       ELSE concat('img/photo', event_type, '.png') END""")
     return table(spark, d, "events").select(F.col("event_id").alias("id"), name.alias("path"), F.col("event_id").alias("position"))
 
