@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from framesift.functions.paths import percent
-from framesift.operators.similarity import PAIRS, similar_pairs, spread_to_copies
+from framesift.operators.leaders import all_pairs, leader_groups
+from framesift.operators.similarity import similar_pairs, spread_to_copies
 from framesift.plans.shared import write_shared
 
 HASH_CHARACTERS, MOST_DIFFERENT = 16, 5
@@ -71,50 +72,13 @@ def new_asset_decisions(new: DataFrame, catalog: DataFrame, most: int = MOST_DIF
 BLOCK = 1024
 
 
-def _grouped(fn):
-    """Runs ``fn`` on the vectors of one (block, block) cell; vectors are compared by one matrix product."""
-
-    def run(table: pa.Table) -> pa.Table:
-        side = table.column("side").to_numpy()
-        ids = table.column("id").to_numpy()
-        x = np.stack(table.column("embedding").to_pylist()).astype(np.float32)
-        order = np.argsort(ids, kind="stable")
-        side, ids, x = side[order], ids[order], x[order]
-        return fn(ids, x, side)
-
-    return run
-
-
 def cosine_pairs(vectors: DataFrame, least: float, block: int = BLOCK, count: int | None = None) -> DataFrame:
     """Exact pairs (a < b) of unit vectors (id, embedding) with an inner product of at least ``least``.
 
-    Vectors are dealt to blocks by hash; each pair of blocks is one group of at most two blocks' vectors, so no group
-    grows with the data, and a row is sent to as many groups as there are blocks.  For very large tables use
+    Every vector meets every other, ``block`` rows at a time (``leaders.all_pairs``).  For very large tables and high cosines use
     ``similarity.indexed_pairs``, whose candidates share a bucket of an index.
     """
-    n = max(1, -(-(count if count is not None else vectors.count()) // block))
-    mine = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    cells = vectors.select("id", "embedding", mine.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("other"))
-    keyed = cells.select("id", "embedding", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-
-    def find(ids: np.ndarray, x: np.ndarray, side: np.ndarray) -> pa.Table:
-        low, high = (side == 0), (side == 1)
-        schema = to_arrow_schema(PAIRS)
-        if high.any() and low.any():
-            a, b, p, q = ids[low], ids[high], x[low], x[high]
-            product = (p.astype(np.float64) @ q.astype(np.float64).T)
-            i, j = np.nonzero(product >= least)
-            left, right = a[i], b[j]
-        elif not high.any():
-            product = x.astype(np.float64) @ x.astype(np.float64).T
-            i, j = np.nonzero(np.triu(product >= least, 1))
-            left, right = ids[i], ids[j]
-        else:
-            return schema.empty_table()
-        return pa.table([np.minimum(left, right), np.maximum(left, right), product[i, j]], schema=schema)
-
-    # a diagonal cell has one side only; a cell off the diagonal whose low side is empty has no pairs
-    return keyed.groupBy("i", "j").applyInArrow(_grouped(find), PAIRS)
+    return all_pairs(vectors, least, block, count=count)
 
 
 def greedy_groups(pairs: DataFrame, max_rounds: int = 200) -> DataFrame:
