@@ -107,17 +107,20 @@ def greedy_groups(pairs: DataFrame, max_rounds: int = 200) -> DataFrame:
     return members.union(state.where("leads").select("id", F.col("id").alias("leader")))
 
 
-def full_scan(assets: DataFrame, vectors: DataFrame, least: float = DUPLICATE_COSINE, recall: float = 0.99) -> DataFrame:
+def full_scan(assets: DataFrame, vectors: DataFrame, least: float = DUPLICATE_COSINE, recall: float | None = 0.99) -> DataFrame:
     """Members of three levels (id, level, group): equal content, then equal hash, then embedding groups of what is left.
 
-    The pairs of the third level come from the hyperplane index with ``recall``; equal vectors are always found.
+    The pairs of the third level come from the hyperplane index with ``recall``; equal vectors are always found.  Without ``recall`` the groups are exact.
     """
     one = duplicate_members(assets, "sha256").select("id", F.lit(1).alias("level"), F.col("sha256").alias("group"))
     rest = assets.join(one.select("id"), "id", "left_anti")
     two = duplicate_members(rest, "phash").select("id", F.lit(2).alias("level"), F.col("phash").alias("group"))
     left = vectors.join(one.select("id").union(two.select("id")), "id", "left_anti")
-    pairs, copies = similar_pairs(left, least, recall)
-    three = spread_to_copies(greedy_groups(pairs), copies)
+    if recall is None:
+        three = leader_groups(left, least)
+    else:
+        pairs, copies = similar_pairs(left, least, recall)
+        three = spread_to_copies(greedy_groups(pairs), copies)
     return one.union(two).union(three.select("id", F.lit(3).alias("level"), F.col("leader").cast("string").alias("group")))
 
 
